@@ -2,27 +2,56 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, suffix_dedup
+from . import bpe, decontaminate, jaccard, language, records, suffix_dedup, token_counts
+
+#: The package of the public tokenizers' files.
+TOKENIZERS = "public_tokenizers"
+
+
+def tokenizer(name: str) -> str:
+    """The path of a vocabulary file; it is read where it lies, on the driver and on each executor."""
+    return importlib.import_module(TOKENIZERS).path(name)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict(_read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_read(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(_read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), budget=2048)
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(_read(spark, sf_dir, "documents"), width=200).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.read(*records.write(_read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2))
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.hits(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), width=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_ngram_jaccard_join, op8_suffix_array_dedup)}
+    return {f.__name__: f for f in (op3_language_id, op4_bpe_round_trip, op5_ngram_jaccard_join, op6_token_counts, op8_suffix_array_dedup, op9_token_records, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
