@@ -5,11 +5,13 @@ groups are exactly the repeated windows. Sorting every suffix of the corpus woul
 for each byte, so the first digit of a window is its anchor: the leftmost smallest of the scrambled
 half-width grams in it. Equal windows have the same anchor at the same offset, wherever they stand, so:
 
-* pass 1 groups by the anchor gram. Windows whose gram occurs once are singletons and leave.
-* pass 2 groups what is left by the rest of the window down to depth `width`.
+* pass 1 groups by the anchor gram, its next digit being the hash of the whole stretch of text that the
+  windows around one anchor cover (a chunk). A gram that occurs once leaves: its windows are singletons. Of
+  chunks that occur again, every window is repeated.
+* pass 2 orders down to depth `width` what pass 1 leaves open: grams around which different chunks stand.
+  One copy of each such chunk is sent as text, and the windows of all chunks of a gram are compared.
 
-Windows with one anchor stand together and are sent as one chunk of text, not one by one. Both passes
-aggregate in the map task first: of a gram or chunk that occurs often there, one occurrence goes on, and the
+Pass 1 aggregates in the map task first: of a chunk that occurs often there, one occurrence goes on, and the
 others are already known to be repeated. So a passage that a third of the documents hold stays spread out.
 
 Defined cases: null text is empty; texts shorter than the width keep all bytes but can't lose any; matches
@@ -20,7 +22,7 @@ apart; equal rows repeat each other); an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,18 +34,15 @@ from . import textops
 from .common import materialise, partitions_of, prepare, texts
 
 #: Bytes of postings that a task holds before it hands them on.
-FLUSH = 48 << 20
+FLUSH = 24 << 20
 #: Bytes of text handled at a time; longer texts are cut into overlapping pieces.
 PIECE = 1 << 20
 _INDEX_BITS = np.uint64(23)
-_POSTINGS = "bucket int, kind int, keys binary, rows binary, starts binary, counts binary, chunks binary"
-
-
-def _row_key(doc: pa.Array, text: pa.Array) -> list[bytes]:
-    """16 bytes for a row: its doc_id and a hash of its text."""
-    import xxhash
-
-    return [(-1 if d is None else d).to_bytes(8, "little", signed=True) + xxhash.xxh3_64_digest(t.encode("utf-8", "surrogatepass")) for d, t in zip(doc.to_pylist(), text.to_pylist(), strict=True)]
+#: A row of a table: its doc_id (the least long for null) and a hash of its text.
+_ROW = np.dtype([("id", "<i8"), ("tag", "<i4")])
+#: One occurrence of a chunk; a negative count: already known to be repeated.
+_POSTING = np.dtype([("gram", "<u8"), ("chunk", "<u8"), ("id", "<i8"), ("tag", "<i4"), ("start", "<i4"), ("count", "<i2")])
+_RANGES = "id long, tag int, ranges binary, asked binary"
 
 
 def anchors(sums: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -93,142 +92,159 @@ def _pieces(column: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarr
                 yield part, np.array([0, len(part)]), np.array([row]), np.array([at])
 
 
-class _Sender:
-    """Holds postings of a task, aggregates equal keys and hands them on by bucket.
-
-    kind 0: postings to be grouped by key; kind 1: occurrences known to be repeated."""
+def _blobs(postings: np.ndarray, buckets: np.ndarray, kind: int) -> Iterator[tuple[int, int, bytes]]:
+    """(bucket, kind, postings) for each bucket that occurs."""
+    order = np.argsort(buckets, kind="stable")
+    buckets, postings = buckets[order], postings[order]
+    cut = [0, *(np.flatnonzero(np.diff(buckets)) + 1), len(buckets)]
+    for x, y in zip(cut[:-1], cut[1:], strict=True):
+        if x < y:
+            yield int(buckets[x]), kind, postings[x:y].tobytes()
 
-    def __init__(self, buckets: int, with_text: bool):
-        self.buckets, self.with_text, self.held = buckets, with_text, 0
-        self.parts: list[tuple] = []
 
-    def add(self, keys: np.ndarray, rows: np.ndarray, starts: np.ndarray, counts: np.ndarray, raw: np.ndarray | None = None, at: np.ndarray | None = None, lengths: np.ndarray | None = None, groups: np.ndarray | None = None) -> None:
-        """keys tell equal occurrences; groups (keys if None) choose the bucket; raw[at : at + lengths] is an occurrence's text."""
-        self.parts.append((keys, rows, starts, counts, raw, at, lengths, keys if groups is None else groups))
-        self.held += len(keys) * 40 + (0 if raw is None else len(raw))
-
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        if not self.parts:
-            return
-        keys, rows, starts, counts, groups = (np.concatenate([p[i] for p in self.parts]) for i in (0, 1, 2, 3, 7))
-        part = np.repeat(np.arange(len(self.parts)), [len(p[0]) for p in self.parts])
-        local = np.concatenate([np.arange(len(p[0])) for p in self.parts])
-        order = np.argsort(keys, kind="stable")
-        first = np.ones(len(keys), bool)
-        first[1:] = keys[order][1:] != keys[order][:-1]
-        size = np.diff(np.append(np.flatnonzero(first), len(keys)))
-        sent = order[first]
-        repeated = np.zeros(len(keys), bool)
-        repeated[order] = np.repeat(size > 1, size)
-        bucket = (groups % np.uint64(self.buckets)).astype(np.int64)
-        out = []
-        for kind, pick in ((0, sent), (1, np.flatnonzero(repeated))):
-            where = bucket[pick] if kind == 0 else rows[pick].view(np.uint64).reshape(-1, 2)[:, 1].astype(np.int64) % self.buckets
-            by = np.argsort(where, kind="stable")
-            pick, where = pick[by], where[by]
-            cut = [0, *(np.flatnonzero(np.diff(where)) + 1), len(where)]
-            for x, y in zip(cut[:-1], cut[1:], strict=True):
-                if x < y:
-                    out.append(self._row(kind, int(where[x]), pick[x:y], keys, rows, starts, counts, repeated, part, local))
-        for i in range(0, len(out), 64):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 64], strict=True), [pa.int32(), pa.int32(), *[pa.binary()] * 5], strict=True)], ["bucket", "kind", "keys", "rows", "starts", "counts", "chunks"])
-        self.parts.clear()
-        self.held = 0
-
-    def _row(self, kind, where, pick, keys, rows, starts, counts, repeated, part, local):
-        chunks = b""
-        if kind == 0 and self.with_text:
-            chunks = b"".join(self.parts[p][4][(s := self.parts[p][5][i]) : s + self.parts[p][6][i]].tobytes() for p, i in zip(part[pick].tolist(), local[pick].tolist(), strict=True))
-        # a negative count: the occurrence is already known to be repeated
-        n = np.where(repeated[pick], -counts[pick], counts[pick]) if kind == 0 else counts[pick]
-        return where, kind, keys[pick].tobytes(), rows[pick].tobytes(), starts[pick].astype(np.int64).tobytes(), n.astype(np.int32).tobytes(), chunks
-
-
-def _sent(batches: Iterator[pa.RecordBatch], buckets: int, with_text: bool, fill: Callable[[_Sender, pa.RecordBatch], Iterator[None]]) -> Iterator[pa.RecordBatch]:
-    sender = _Sender(buckets, with_text)
-    for b in batches:
-        for _ in fill(sender, b):
-            if sender.held >= FLUSH:
-                yield from sender.flush()
-    yield from sender.flush()
+def _batches(rows: list[tuple], schema: list[tuple[str, pa.DataType]], size: int = 64) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(rows), size):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows[i : i + size], strict=True), schema, strict=True)], [n for n, _ in schema])
 
 
-def _joined(bucket: pa.Table, kind: int) -> tuple[np.ndarray, ...]:
-    t = bucket.filter(pc.equal(bucket.column("kind"), kind))
-    blob = lambda name: b"".join(x.as_py() for x in t.column(name))
-    return np.frombuffer(blob("keys"), np.uint64), np.frombuffer(blob("rows"), "V16"), np.frombuffer(blob("starts"), np.int64), np.frombuffer(blob("counts"), np.int32), np.frombuffer(blob("chunks"), np.uint8)
-
-
-def _by_row(rows: np.ndarray, *values: np.ndarray) -> pa.Table:
-    """One output row for each document row, the values as binary columns a, b."""
-    r = np.ascontiguousarray(rows).view("S16") if len(rows) else np.zeros(0, "S16")
-    u, inverse = np.unique(np.ascontiguousarray(rows).view(np.uint64).reshape(-1, 2), axis=0, return_inverse=True) if len(r) else (np.zeros((0, 2), np.uint64), np.zeros(0, np.int64))
-    order = np.argsort(inverse, kind="stable")
-    cut = np.searchsorted(inverse[order], np.arange(len(u) + 1))
-    cols = {"row_key": pa.array([x.tobytes() for x in u], pa.binary())}
-    for name, v in zip("ab", values, strict=False):
-        v = v[order].astype(np.int64)
-        cols[name] = pa.array([v[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
-    return pa.table(cols)
-
-
-def _grams(width: int) -> Callable:
-    def fill(sender: _Sender, b: pa.RecordBatch) -> Iterator[None]:
-        own = np.frombuffer(b"".join(_row_key(b.column("doc_id"), b.column("text"))), "V16")
-        for raw, ends, numbers, offset in _pieces(b.column("text"), width):
-            keys, first, count, row = anchors(textops.prefix_sums(raw), ends, width)
-            sender.add(keys, own[numbers[row]], first - ends[row] + offset[row], count)
-            yield
+_SENT = [("bucket", pa.int32()), ("kind", pa.int32()), ("postings", pa.binary())]
 
-    return fill
 
+def _chunk_postings(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Every chunk of the texts. kind 0 goes to its gram's bucket; kind 1 is known to be repeated."""
+    held: list[np.ndarray] = []
 
-def _repeated_grams(bucket: pa.Table) -> pa.Table:
-    keys, rows, starts, counts, _ = _joined(bucket, 0)
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    same = np.zeros(len(k), bool)
-    same[1:] = k[1:] == k[:-1]
-    same[:-1] |= same[1:].copy()
-    hit = np.zeros(len(k), bool)
-    hit[order] = same
-    hit &= counts > 0
-    _, r1, s1, c1, _ = _joined(bucket, 1)
-    return _by_row(np.concatenate((rows[hit], r1)), np.concatenate((starts[hit], s1)), np.concatenate((counts[hit], c1)))
-
-
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without a repeated gram are finished; the others go on with the windows in question."""
+    def flush() -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        x = np.concatenate(held)
+        held.clear()
+        order = np.argsort(x["chunk"], kind="stable")
+        k = x["chunk"][order]
+        first = np.ones(len(k), bool)
+        first[1:] = k[1:] != k[:-1]
+        size = np.diff(np.append(np.flatnonzero(first), len(k)))
+        keep = np.zeros(len(k), bool)
+        keep[order] = first
+        again = np.zeros(len(k), bool)
+        again[order] = np.repeat(size > 1, size)
+        sent = x[keep]
+        sent["count"] = np.where(again[keep], -sent["count"], sent["count"])
+        known = x[again]
+        rows = [*_blobs(sent, (sent["gram"] % np.uint64(buckets)).astype(np.int64), 0), *_blobs(known, known["id"] % buckets, 1)]
+        yield from _batches(rows, _SENT)
+
+    size = 0
     for b in batches:
-        out = {"text": [], "n_bytes": [], "sha": []}
-        for t, at in zip(b.column("text").to_pylist(), b.column("a"), strict=True):
-            raw = t.encode("utf-8", "surrogatepass")
-            out["n_bytes"].append(len(raw))
-            out["text"].append(t if at.is_valid else None)
-            out["sha"].append(None if at.is_valid else hashlib.sha256(raw).hexdigest())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), pa.array(out["text"], pa.string()), pa.array(out["n_bytes"], pa.int64()), pa.array(out["sha"], pa.string()), b.column("a"), b.column("b")], ["doc_id", "row_key", "text", "n_bytes", "sha", "a", "b"])
-
-
-def _chunks(width: int) -> Callable:
-    def fill(sender: _Sender, b: pa.RecordBatch) -> Iterator[None]:
-        for key, t, sa, sb in zip(b.column("row_key"), b.column("text").to_pylist(), b.column("a"), b.column("b"), strict=True):
-            raw = np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)
-            first = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in sa.values])
-            count = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in sb.values])
+        own = np.empty(b.num_rows, _ROW)
+        own["id"], own["tag"] = b.column("id").to_numpy(), b.column("tag").to_numpy()
+        for raw, ends, numbers, offset in _pieces(b.column("text"), width):
             sums = textops.prefix_sums(raw)
-            whole = textops.span_hashes(sums, first, first + count + (width - 1))
-            # windows of one chunk have one anchor gram; its key decides the bucket
-            groups = _anchor_of(sums, first, width)
-            rows = np.frombuffer(key.as_buffer(), "V16").repeat(len(first))
-            sender.add(whole, rows, first, count, raw, first, count + (width - 1), groups)
-            yield
-
-    return fill
-
-
-def _anchor_of(sums: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
+            gram, first, count, row = anchors(sums, ends, width)
+            x = np.empty(len(gram), _POSTING)
+            x["gram"], x["chunk"] = gram, textops.span_hashes(sums, first, first + count + (width - 1))
+            x["id"], x["tag"] = own["id"][numbers[row]], own["tag"][numbers[row]]
+            x["start"], x["count"] = first - ends[row] + offset[row], count
+            held.append(x)
+            size += x.nbytes
+            if size >= FLUSH:
+                yield from flush()
+                size = 0
+    yield from flush()
+
+
+def _joined(bucket: pa.Table, kind: int) -> np.ndarray:
+    t = bucket.filter(pc.equal(bucket.column("kind"), kind))
+    return np.frombuffer(b"".join(x.as_py() for x in t.column("postings")), _POSTING)
+
+
+def _by_row(ranges: np.ndarray, asked: np.ndarray) -> pa.Table:
+    """A row for each document row: ranges (start, end) and what is asked of it (start, count), as 32-bit integers."""
+    x = np.concatenate((ranges, asked))
+    kind = np.repeat([0, 1], [len(ranges), len(asked)])
+    order = np.lexsort((x["start"], kind, x["tag"], x["id"]))
+    x, kind = x[order], kind[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x["id"][1:] != x["id"][:-1]) | (x["tag"][1:] != x["tag"][:-1])
+    cut = np.append(np.flatnonzero(new), len(x))
+    both = np.stack((x["start"], x["end"]), axis=1).astype(np.int32)
+    out: dict[str, list] = {"ranges": [], "asked": []}
+    for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        m = i + int((kind[i:j] == 0).sum())
+        out["ranges"].append(both[i:m].tobytes() if m > i else None)
+        out["asked"].append(both[m:j].tobytes() if j > m else None)
+    return pa.table({"id": pa.array(x["id"][new], pa.int64()), "tag": pa.array(x["tag"][new], pa.int32()), "ranges": pa.array(out["ranges"], pa.binary()), "asked": pa.array(out["asked"], pa.binary())})
+
+
+_SPAN = np.dtype([("id", "<i8"), ("tag", "<i4"), ("start", "<i4"), ("end", "<i4")])
+
+
+def _spans(postings: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    x = np.empty(len(postings), _SPAN)
+    x["id"], x["tag"], x["start"], x["end"] = postings["id"], postings["tag"], start, end
+    return x
+
+
+def _pass_1(bucket: pa.Table, width: int) -> pa.Table:
+    """Ranges of repeated chunks; one occurrence of each chunk whose gram stands in other chunks, too, is asked for."""
+    x, known = _joined(bucket, 0), _joined(bucket, 1)
+    x = x[np.lexsort((x["chunk"], x["gram"]))]
+    n = len(x)
+    first = np.ones(n, bool)
+    first[1:] = (x["gram"][1:] != x["gram"][:-1]) | (x["chunk"][1:] != x["chunk"][:-1])
+    variant = np.cumsum(first) - 1
+    size = np.bincount(variant, minlength=1)
+    sure = np.zeros(len(size), bool)
+    np.logical_or.at(sure, variant, x["count"] < 0)
+    again = (size > 1) | sure  # by variant
+    head = np.flatnonzero(first)
+    gram = x["gram"][head]
+    mixed = np.zeros(len(head), bool)
+    mixed[1:] = gram[1:] == gram[:-1]
+    mixed[:-1] |= mixed[1:].copy()
+    covered = x[again[variant] & (x["count"] > 0)] if n else x
+    chosen = x[head[mixed]] if n else x
+    settled = again[mixed] if n else np.zeros(0, bool)
+    count = np.abs(chosen["count"].astype(np.int64))
+    done = np.concatenate((covered, known))
+    start = done["start"].astype(np.int64)
+    return _by_row(_spans(done, start, start + np.abs(done["count"].astype(np.int64)) + width - 1), _spans(chosen, chosen["start"], np.where(settled, -count, count)))
+
+
+def _asked_chunks(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The chunks that are asked for, with their text, to the bucket of their gram."""
+    rows: list[tuple] = []
+    size = 0
+    for b in batches:
+        for own, tag, t, asked in zip(b.column("id").to_pylist(), b.column("tag").to_pylist(), b.column("text").to_pylist(), b.column("asked"), strict=True):
+            text = t.encode("utf-8", "surrogatepass")
+            a = np.concatenate([np.frombuffer(v.as_buffer(), np.int32).reshape(-1, 2) for v in asked.values]).astype(np.int64)
+            first, count = a[:, 0], np.abs(a[:, 1])
+            x = np.empty(len(a), _POSTING)
+            x["gram"] = _anchor_of(np.frombuffer(text, np.uint8), first, width)
+            x["chunk"], x["id"], x["tag"], x["start"], x["count"] = 0, own, tag, first, a[:, 1]
+            for where, i, s, e in zip((x["gram"] % np.uint64(buckets)).tolist(), range(len(a)), first.tolist(), (first + count + width - 1).tolist(), strict=True):
+                rows.append((where, x[i].tobytes(), text[s:e]))
+                size += e - s + 64
+        if size >= FLUSH:
+            yield from _gathered(rows)
+            rows, size = [], 0
+    yield from _gathered(rows)
+
+
+def _gathered(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    out: dict[int, tuple[list, list]] = {}
+    for where, posting, text in rows:
+        p = out.setdefault(where, ([], []))
+        p[0].append(posting)
+        p[1].append(text)
+    yield from _batches([(k, b"".join(p), b"".join(t)) for k, (p, t) in out.items()], [("bucket", pa.int32()), ("postings", pa.binary()), ("chunks", pa.binary())])
+
+
+def _anchor_of(raw: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
     """The anchor key of the window at each start."""
     gram = width // 2
+    sums = textops.prefix_sums(raw)
     at = first[:, None] + np.arange(width - gram + 1)
     g = textops.span_hashes(sums, at, at + gram)
     low = (np.uint64(1) << _INDEX_BITS) - np.uint64(1)
@@ -236,15 +252,32 @@ def _anchor_of(sums: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
     return g[np.arange(len(first)), pick]
 
 
-def _repeated_windows(bucket: pa.Table, width: int) -> pa.Table:
-    """Byte ranges [a, b) that repeated windows cover."""
-    _, rows, starts, counts, text = _joined(bucket, 0)
-    known, n = counts < 0, np.abs(counts).astype(np.int64)
+def _pass_2(bucket: pa.Table, width: int) -> pa.Table:
+    """Byte ranges that repeated windows of the sent chunks cover, some grams at a time."""
+    x = np.frombuffer(b"".join(v.as_py() for v in bucket.column("postings")), _POSTING)
+    text = np.frombuffer(b"".join(v.as_py() for v in bucket.column("chunks")), np.uint8)
+    n = np.abs(x["count"].astype(np.int64))
+    at = np.cumsum(n + width - 1) - (n + width - 1)
+    order = np.argsort(x["gram"], kind="stable")
+    total = np.cumsum(n[order])
+    found, low = [], 0
+    while low < len(order):
+        high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + (1 << 20), "right")))
+        while high < len(order) and x["gram"][order[high]] == x["gram"][order[high - 1]]:
+            high += 1  # chunks of a gram stay together
+        found.append(_windows(x[order[low:high]], at[order[low:high]], text, width))
+        low = high
+    return _by_row(np.concatenate(found) if found else np.zeros(0, _SPAN), np.zeros(0, _SPAN))
+
+
+def _windows(x: np.ndarray, at: np.ndarray, text: np.ndarray, width: int) -> np.ndarray:
+    n = np.abs(x["count"].astype(np.int64))
     length = n + width - 1
-    at = np.cumsum(length) - length
+    here = np.cumsum(length) - length
+    text = text[np.repeat(at - here, length) + np.arange(int(length.sum()))]
     sums = textops.prefix_sums(text)
     owner = np.repeat(np.arange(len(n)), n)
-    begin = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at, n)
+    begin = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(here, n)
     h = textops.span_hashes(sums, begin, begin + width)
     order = np.argsort(h)
     k = h[order]
@@ -253,47 +286,39 @@ def _repeated_windows(bucket: pa.Table, width: int) -> pa.Table:
     same[:-1] |= same[1:].copy()
     hit = np.zeros(len(k), bool)
     hit[order] = same
-    hit &= ~known[owner]
+    hit &= (x["count"] > 0)[owner]
     edge = np.diff(np.concatenate(([False], hit, [False])).astype(np.int8))
     turn = np.zeros(len(hit) + 1, bool)
     turn[np.cumsum(n)] = turn[0] = True  # ranges end with their chunk
     p = np.flatnonzero(hit & (turn[:-1] | (edge[:-1] == 1)))
     q = np.flatnonzero(hit & (turn[1:] | (edge[1:] == -1))) + 1
     o = owner[p]
-    a = starts[o] + begin[p] - at[o]
-    _, r1, s1, c1, _ = _joined(bucket, 1)
-    return _by_row(np.concatenate((rows[o], r1)), np.concatenate((a, s1)), np.concatenate((a + (q - p) + width - 1, s1 + c1 + width - 1)))
+    a = x["start"][o].astype(np.int64) + begin[p] - here[o]
+    return _spans(x[o], a, a + (q - p) + width - 1)
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cut the covered ranges out."""
     for b in batches:
-        out = {c: [] for c in ("n_removed", "n_spans", "kept")}
-        for t, ra, rb in zip(b.column("text").to_pylist(), b.column("ra"), b.column("rb"), strict=True):
+        out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept", "sha")}
+        for t, *found in zip(b.column("text").to_pylist(), b.column("ranges"), b.column("more"), strict=True):
             raw = t.encode("utf-8", "surrogatepass")
+            ranges = [np.frombuffer(v.as_buffer(), np.int32).reshape(-1, 2) for x in found if x.is_valid for v in x.values]
             kept, removed, spans, last = [], 0, 0, 0
-            if ra.is_valid and len(ra.values):
-                a = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in ra.values])
-                z = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in rb.values])
+            if ranges:
+                a, z = np.concatenate(ranges).astype(np.int64).T
                 order = np.argsort(a)
                 a, z = a[order], np.maximum.accumulate(z[order])
                 head = np.ones(len(a), bool)
                 head[1:] = a[1:] > z[:-1]
-                start = a[head]
-                stop = np.append(z[:-1][head[1:]], z[-1])
-                for x, y in zip(start.tolist(), stop.tolist(), strict=True):
+                for x, y in zip(a[head].tolist(), np.append(z[:-1][head[1:]], z[-1]).tolist(), strict=True):
                     kept.append(raw[last:x])
                     removed, spans, last = removed + y - x, spans + 1, y
             kept.append(raw[last:])
-            out["kept"].append(b"".join(kept))
-            out["n_removed"].append(removed)
-            out["n_spans"].append(spans)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(out["n_removed"], pa.int64()), pa.array(out["n_spans"], pa.int64()), pa.array(out["kept"], pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in out["kept"]], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
-
-
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(_row_key(b.column("doc_id"), b.column("text")), pa.binary())], ["doc_id", "text", "row_key"])
+            rest = b"".join(kept) if removed else raw
+            for c, v in zip(out, (len(raw), removed, spans, rest if removed else None, hashlib.sha256(rest).hexdigest()), strict=True):
+                out[c].append(v)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out["n_bytes"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["n_spans"], pa.int64()), pa.array(out["kept"], pa.binary()), pa.array(out["sha"], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
 
 def dedup(docs: DataFrame, width: int = 200, buckets: int | None = None) -> DataFrame:
@@ -301,18 +326,14 @@ def dedup(docs: DataFrame, width: int = 200, buckets: int | None = None) -> Data
 
     kept holds the remaining bytes where some were removed, and is null where the text stays as it is."""
     prepare(docs.sparkSession)
-    source = texts(docs)
+    source = texts(docs).select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.hash("text").alias("tag"), "text")
     n = min(4096, max(16, buckets or 2 * partitions_of(source)))
-    posted = source.mapInArrow(lambda it: _sent(it, n, False, _grams(width)), _POSTINGS)
-    grams = posted.groupBy("bucket").applyInArrow(_repeated_grams, "row_key binary, a binary, b binary")
-    grams = grams.groupBy("row_key").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
-    keyed = source.mapInArrow(_keyed, "doc_id long, text string, row_key binary")
-    split = keyed.join(grams, "row_key", "left").select("doc_id", "row_key", "text", "a", "b")
-    split = materialise(split.mapInArrow(_split, "doc_id long, row_key binary, text string, n_bytes long, sha string, a array<binary>, b array<binary>"), "suffixes")
-    done = split.where("sha is not null").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.lit(None).cast("binary").alias("kept"), F.col("sha").alias("kept_sha256"))
-    open_ = split.where("sha is null").select("doc_id", "row_key", "text", "n_bytes", "a", "b")
-    posted = open_.mapInArrow(lambda it: _sent(it, n, True, _chunks(width)), _POSTINGS)
-    ranges = posted.groupBy("bucket").applyInArrow(lambda t: _repeated_windows(t, width), "row_key binary, a binary, b binary")
-    ranges = ranges.groupBy("row_key").agg(F.collect_list("a").alias("ra"), F.collect_list("b").alias("rb"))
-    cut = open_.select("doc_id", "row_key", "text", "n_bytes").join(ranges, "row_key", "left").mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
-    return done.union(cut.select(*done.columns))
+    posted = source.select("id", "tag", "text").mapInArrow(lambda it: _chunk_postings(it, width, n), "bucket int, kind int, postings binary")
+    found = posted.groupBy("bucket").applyInArrow(lambda t: _pass_1(t, width), _RANGES)
+    found = materialise(found.groupBy("id", "tag").agg(F.collect_list("ranges").alias("ranges"), F.collect_list("asked").alias("asked")), "ranges")
+    # both uses of this join share one shuffle of the texts
+    full = source.join(found, ["id", "tag"], "left")
+    asked = full.where(F.size("asked") > 0).select("id", "tag", "text", "asked").mapInArrow(lambda it: _asked_chunks(it, width, n), "bucket int, postings binary, chunks binary")
+    more = asked.groupBy("bucket").applyInArrow(lambda t: _pass_2(t, width), _RANGES)
+    more = more.groupBy("id", "tag").agg(F.collect_list("ranges").alias("more"))
+    return full.join(more, ["id", "tag"], "left").select("doc_id", "text", "ranges", "more").mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
