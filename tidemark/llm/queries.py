@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, language, records, suffix_dedup, token_counts, toxicity
+from . import bpe, decontaminate, fingerprint, jaccard, language, records, suffix_dedup, token_counts, toxicity
 
 #: The package of the public tokenizers' files.
 TOKENIZERS = "public_tokenizers"
@@ -26,6 +26,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited(_read(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(_read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -55,7 +59,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_language_id, op4_bpe_round_trip, op5_ngram_jaccard_join, op6_token_counts, op8_suffix_array_dedup, op9_token_records, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_toxicity, op2_order_minhash, op3_language_id, op4_bpe_round_trip, op5_ngram_jaccard_join, op6_token_counts, op8_suffix_array_dedup, op9_token_records, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
