@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, fingerprint, jaccard, language, records, suffix_dedup, token_counts, toxicity
+from . import bpe, decontaminate, fingerprint, html, jaccard, language, records, suffix_dedup, token_counts, toxicity
 
 #: The package of the public tokenizers' files.
 TOKENIZERS = "public_tokenizers"
@@ -46,6 +46,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(_read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), budget=2048)
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_read(spark, sf_dir, "pages"))
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(_read(spark, sf_dir, "documents"), width=200).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -59,7 +63,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_order_minhash, op3_language_id, op4_bpe_round_trip, op5_ngram_jaccard_join, op6_token_counts, op8_suffix_array_dedup, op9_token_records, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_toxicity, op2_order_minhash, op3_language_id, op4_bpe_round_trip, op5_ngram_jaccard_join, op6_token_counts, op7_html_extraction, op8_suffix_array_dedup, op9_token_records, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
