@@ -269,6 +269,24 @@ def encoder(path: str) -> ByteEncoder:
     return _encoders[path]
 
 
+def _tokenised(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    e = encoder(path)
+    table = e.merges.text
+    for b in batches:
+        for at in range(0, b.num_rows, 64):
+            part = b.slice(at, 64)
+            text = part.column("text").to_pylist()
+            lists = [np.frombuffer(x, "<u4") for x in e.encode_batch(text)]
+            same = [b"".join(map(table.__getitem__, x.tolist())).decode("utf-8", "replace") == t for x, t in zip(lists, text, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in lists], pa.int64()), pa.array([x.astype(np.int32) for x in lists], pa.list_(pa.int32())), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "round_trip"])
+
+
+def tokenise(docs: DataFrame, path: str) -> DataFrame:
+    """Rows (doc_id, n_tokens, ids, round_trip); round_trip: whether the ids decode to the text."""
+    prepare(docs.sparkSession)
+    return texts(docs).mapInArrow(lambda it: _tokenised(it, path), "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
+
+
 def _round_trip(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
     e = encoder(path)
     table = e.merges.text

@@ -167,6 +167,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, cut: bool = Fal
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """The rows of docs whose document has no hit; all columns."""
-    found = hits(docs, benchmark, width).where("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(found, docs.doc_id.cast("long").eqNullSafe(F.col("_hit")), "left_anti")
+    """The rows of docs without a hit; all columns as they are. A pass for each part of the benchmark."""
+    spark = docs.sparkSession
+    prepare(spark)
+
+    def kept(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+        part: Benchmark = shared.value
+        for b in batches:
+            yield b.filter(pa.array([not part.find(words(t or ""))[0].any() for t in b.column("text").cast(pa.string()).to_pylist()], pa.bool_()))
+
+    for part in _parts(benchmark, width):
+        docs = docs.mapInArrow(lambda it, s=spark.sparkContext.broadcast(part): kept(it, s), docs.schema)
+    return docs

@@ -102,28 +102,40 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return model
 
 
+def _guesses(sums: ChunkSums, model: Model, batch: list[str]) -> tuple[list[str], list[float]]:
+    n = len(model.languages)
+    v = sums.sums(batch)
+    count = np.maximum(v[:, n], 1)
+    e = v[:, :n] * (np.minimum(count, EVIDENCE) / count)[:, None]
+    pred, score = [], []
+    for i, text in enumerate(batch):
+        if not n or (v[i, n] == 0 and not any(map(str.isalpha, text))):
+            pred.append(UNDETERMINED)
+            score.append(0.0)
+            continue
+        p = np.exp(e[i] - e[i].max())
+        k = int(p.argmax())
+        pred.append(model.languages[k])
+        score.append(float(p[k] / p.sum()))
+    return pred, score
+
+
 def _predicted(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     model: Model = shared.value
-    n = len(model.languages)
-    sums = ChunkSums(model.chunk, n + 1)
+    sums = ChunkSums(model.chunk, len(model.languages) + 1)
     for b in batches:
-        t = [x or "" for x in b.column("text").to_pylist()]
-        v = sums.sums(t)
-        count = np.maximum(v[:, n], 1)
-        e = v[:, :n] * (np.minimum(count, EVIDENCE) / count)[:, None]
-        pred, score = [], []
-        for i, text in enumerate(t):
-            if not n or (v[i, n] == 0 and not any(map(str.isalpha, text))):
-                pred.append(UNDETERMINED)
-                score.append(0.0)
-                continue
-            p = np.exp(e[i] - e[i].max())
-            k = int(p.argmax())
-            pred.append(model.languages[k])
-            score.append(float(p[k] / p.sum()))
+        pred, score = _guesses(sums, model, [x or "" for x in b.column("text").to_pylist()])
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
 
+def _kept(batches: Iterator[pa.RecordBatch], shared, least: float) -> Iterator[pa.RecordBatch]:
+    model: Model = shared.value
+    sums = ChunkSums(model.chunk, len(model.languages) + 1)
+    for b in batches:
+        pred, score = _guesses(sums, model, [x or "" for x in b.column("text").cast(pa.string()).to_pylist()])
+        yield b.filter(pa.array([p != UNDETERMINED and s >= least for p, s in zip(pred, score, strict=True)], pa.bool_()))
+
+
 def predict(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """Rows (doc_id, held_out, lang_pred, score), one for each row of docs, by a model fitted on docs if none is given."""
     spark = docs.sparkSession
@@ -134,6 +146,7 @@ def predict(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Model | None = None, least: float = 0.0) -> DataFrame:
-    """The rows of docs whose language is determined with a score of at least `least`; all columns."""
-    out = predict(docs, model).where((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < least)).select(F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(out, docs.doc_id.cast("long").eqNullSafe(F.col("_rejected")), "left_anti")
+    """The rows of docs whose language is determined, with a score of at least `least`; all columns as they are."""
+    prepare(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
+    return docs.mapInArrow(lambda it: _kept(it, shared, least), docs.schema)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import materialise, partitions_of, prepare, texts
+from .common import materialise, partitions_of, prepare
 
 #: Bytes of postings that a task holds before it hands them on.
 FLUSH = 24 << 20
@@ -300,7 +300,7 @@ def _windows(x: np.ndarray, at: np.ndarray, text: np.ndarray, width: int) -> np.
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cut the covered ranges out."""
     for b in batches:
-        out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept", "sha")}
+        out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept", "sha", "text")}
         for t, *found in zip(b.column("text").to_pylist(), b.column("ranges"), b.column("more"), strict=True):
             raw = t.encode("utf-8", "surrogatepass")
             ranges = [np.frombuffer(v.as_buffer(), np.int32).reshape(-1, 2) for x in found if x.is_valid for v in x.values]
@@ -316,17 +316,21 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     removed, spans, last = removed + y - x, spans + 1, y
             kept.append(raw[last:])
             rest = b"".join(kept) if removed else raw
-            for c, v in zip(out, (len(raw), removed, spans, rest if removed else None, hashlib.sha256(rest).hexdigest()), strict=True):
+            for c, v in zip(out, (len(raw), removed, spans, rest if removed else None, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if removed else t), strict=True):
                 out[c].append(v)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out["n_bytes"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["n_spans"], pa.int64()), pa.array(out["kept"], pa.binary()), pa.array(out["sha"], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out["n_bytes"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["n_spans"], pa.int64()), pa.array(out["kept"], pa.binary()), pa.array(out["sha"], pa.string()), pa.array(out["text"], pa.string()), b.column("rest")], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "text", "rest"])
 
 
-def dedup(docs: DataFrame, width: int = 200, buckets: int | None = None) -> DataFrame:
+def dedup(docs: DataFrame, width: int = 200, buckets: int | None = None, carry: bool = False) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256), one for each row of docs.
 
-    kept holds the remaining bytes where some were removed, and is null where the text stays as it is."""
+    kept holds the remaining bytes where some were removed, and is null where the text stays as it is; text is
+    what remains, without characters that lost a byte; with carry, rest has the other columns of docs."""
     prepare(docs.sparkSession)
-    source = texts(docs).select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.hash("text").alias("tag"), "text")
+    others = [c for c in docs.columns if c.lower() not in ("doc_id", "text")] if carry else []
+    # the other columns travel in one struct, so their names can't clash with ours
+    rest = F.struct(*[docs[c] for c in others]) if others else F.lit(None).cast("int")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), rest.alias("rest")).select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.hash("text").alias("tag"), "text", "rest")
     n = min(4096, max(16, buckets or 2 * partitions_of(source)))
     posted = source.select("id", "tag", "text").mapInArrow(lambda it: _chunk_postings(it, width, n), "bucket int, kind int, postings binary")
     found = posted.groupBy("bucket").applyInArrow(lambda t: _pass_1(t, width), _RANGES)
@@ -336,4 +340,14 @@ def dedup(docs: DataFrame, width: int = 200, buckets: int | None = None) -> Data
     asked = full.where(F.size("asked") > 0).select("id", "tag", "text", "asked").mapInArrow(lambda it: _asked_chunks(it, width, n), "bucket int, postings binary, chunks binary")
     more = asked.groupBy("bucket").applyInArrow(lambda t: _pass_2(t, width), _RANGES)
     more = more.groupBy("id", "tag").agg(F.collect_list("ranges").alias("more"))
-    return full.join(more, ["id", "tag"], "left").select("doc_id", "text", "ranges", "more").mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    kind = source.schema["rest"].dataType.simpleString()
+    return full.join(more, ["id", "tag"], "left").select("doc_id", "text", "ranges", "more", "rest").mapInArrow(_removed, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, text string, rest {kind}")
+
+
+def clean(docs: DataFrame, width: int = 200) -> DataFrame:
+    """docs with the repeated bytes cut out of text, characters that lost a byte dropped, and n_chars, where there is
+    such a column, as it then is; all rows and columns."""
+    cut = dedup(docs, width, carry=True)
+    names = {c.lower(): c for c in docs.columns}
+    new = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.char_length("text")}
+    return cut.select(*[(new[low] if low in new else F.col("rest")[c]).cast(docs.schema[c].dataType).alias(c) for low, c in names.items()])
