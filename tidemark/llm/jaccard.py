@@ -12,17 +12,20 @@ A document's set holds its distinct k-word shingles. Two documents link when den
 * B is the boundary with the least number of keys over the sizes that occur.
 
 Lists give candidates: first every member with the smallest of its list, verified on whole sets. Members of
-a list that are in different components afterwards are verified pair by pair, so no link is lost, while a
-large group of near copies never becomes all its pairs. Components come from star contraction.
+a list that are in different components afterwards go through a second, finer scan: their shingles are put
+in order, the rarest among them first, and a list holds, for one shingle and two ranges of sizes, the sets
+that have it early enough for the overlap that such sizes need. There every member is verified with the one
+of fewest shingles of its own, and what then is in different components pair by pair, so no link is lost,
+while a large group of near copies never becomes all its pairs. Components come from star contraction.
 
 Defined cases: null text, or text without words, has an empty set, links with nothing and is its own
 component; fewer words than k make one shingle of the whole sequence; rows that share a doc_id count as one
-document for links, and each keeps its row; other columns are ignored; an empty table gives no rows.
+document for links (by the smallest set), and each keeps its row; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
@@ -239,6 +242,46 @@ def _verified(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator
         yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep, pa.bool_())), b.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, 64):
+            part = b.slice(at, 64)
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("shingles")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("doc").to_numpy(), [len(x) for x in sets])), pa.array(np.concatenate(sets))], ["doc", "shingle"])
+
+
+#: Sizes of one range differ by at most this part.
+_RANGE = 1.025
+
+
+def _size_range(n: int) -> int:
+    return int(np.log(n) / np.log(_RANGE))
+
+
+_KEYS = "shingle long, low int, high int, doc long, component long, size long, place long, alone long"
+
+
+def _early(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Lists of each set: its shingles in rarest-first order, as far as a partner's size lets the first common one stand."""
+    z = Sizes(num, den)
+    for b in batches:
+        rows: list[tuple] = []
+        for doc, component, size, shared in zip(*(b.column(c).to_pylist() for c in ("doc", "component", "size", "shared")), strict=True):
+            order = [e["shingle"] for e in sorted(shared or (), key=lambda e: (e["n"], e["shingle"]))]
+            alone = size - len(order)
+            least: dict[int, int] = {}  # by range of the partner's size: the least overlap
+            for t in z.partners(size):
+                if t > 0 and (o := z.overlap(size, t)) <= min(size, t):
+                    r = _size_range(t)
+                    least[r] = min(least.get(r, o), o)
+            own = _size_range(size)
+            for r, o in least.items():
+                for place in range(alone, size - o + 1):
+                    rows.append((order[place - alone], min(own, r), max(own, r), doc, component, size, place, alone))
+        cols = list(zip(*rows, strict=True)) or [()] * 8
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 5], strict=True)], [x.split()[0] for x in _KEYS.split(", ")])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): each node of the edges (a, b) with the smallest node it reaches, by star contraction.
 
@@ -279,7 +322,7 @@ def join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, buckets
     named = materialise(named.where("b is not null and a is not null"), "lists")
     edges = named.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     wanted = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = materialise(source.join(wanted, "doc_id").mapInArrow(lambda it: _sets(it, words), "doc_id long, shingles binary"), "shingles")
+    sets = materialise(source.join(wanted, "doc_id").mapInArrow(lambda it: _sets(it, words), "doc_id long, shingles binary").groupBy("doc_id").agg(F.min("shingles").alias("shingles")), "shingles")
 
     def verified(pairs: DataFrame) -> DataFrame:
         full = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
@@ -287,19 +330,46 @@ def join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, buckets
 
     links = verified(edges)
     found = components(links)
-    # members of one list in different components: the pairs that the smallest member did not settle
+    # members of one list in different components: what the smallest member did not settle
     member = named.select("list_id", F.explode(F.array("a", "b")).alias("doc")).distinct().join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").select("list_id", "doc", F.coalesce("component", "doc").alias("component"))
     mixed = member.groupBy("list_id").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("list_id")
-    open_ = materialise(member.join(mixed, "list_id"), "open")
-    p, q = open_.alias("p"), open_.alias("q")
-    rest = p.join(q, (F.col("p.list_id") == F.col("q.list_id")) & (F.col("p.doc") < F.col("q.doc")) & (F.col("p.component") != F.col("q.component"))).select(F.col("p.doc").alias("a"), F.col("q.doc").alias("b")).distinct().join(edges, ["a", "b"], "left_anti")
-    more = verified(rest)
-    if not more.isEmpty():
-        found = components(links.union(more))
+    open_ = materialise(member.join(mixed, "list_id").select("doc", "component").distinct(), "open")
+    if not open_.isEmpty():
+        found = _second_scan(open_, sets.withColumnRenamed("doc_id", "doc"), edges, links, verified, num, den)
     named_of = features.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").select("doc_id", "n_shingles", "rep")
     return named_of.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
+def _second_scan(open_: DataFrame, sets: DataFrame, edges: DataFrame, links: DataFrame, verified: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
+    """Components after the finer scan of the open sets (doc, component)."""
+    inside = materialise(open_.join(sets, "doc"), "open")
+    element = inside.select("doc", "shingles").mapInArrow(_elements, "doc long, shingle long")
+    common = materialise(element.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "common")
+    shared = element.join(common, "shingle").groupBy("doc").agg(F.collect_list(F.struct("n", "shingle")).alias("shared"))
+    early = inside.select("doc", "component", (F.octet_length("shingles") / 8).cast("long").alias("size")).join(shared, "doc", "left")
+    keys = materialise(early.mapInArrow(lambda it: _early(it, num, den), _KEYS), "early")
+    by = ["shingle", "low", "high"]
+
+    centers = keys.groupBy(by).agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min(F.struct("alone", "doc", "component")).alias("c")).where("x <> y").select(*by, F.col("c.doc").alias("center"), F.col("c.component").alias("center_component"))
+    first = keys.join(centers, by).where("component <> center_component").select(F.least("doc", "center").alias("a"), F.greatest("doc", "center").alias("b")).distinct().join(edges, ["a", "b"], "left_anti")
+    first = materialise(first, "tried")
+    links = links.union(verified(first))
+    found = components(links)
+
+    # the largest component of a list need not be paired with itself
+    keys = keys.drop("component").join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    keys = materialise(keys, "early")
+    main = keys.groupBy(*by, "component").count().groupBy(by).agg(F.max_by("component", F.struct("count", -F.col("component"))).alias("main"), F.count("*").alias("n")).where("n > 1").drop("n")
+    listed = materialise(keys.join(main, by), "early")
+    p, q = listed.where("component <> main").alias("p"), listed.alias("q")
+    need = f"(({num} * (p.size + q.size) + {num + den - 1}) div {num + den})"
+    same = [F.col(f"p.{c}") == F.col(f"q.{c}") for c in by]
+    rest = p.join(q, [*same, F.expr(f"p.component <> q.component and (q.component = q.main or p.doc < q.doc) and p.size - p.place >= {need} and q.size - q.place >= {need} and least(p.size, q.size) >= {need}")])
+    rest = rest.select(F.least("p.doc", "q.doc").alias("a"), F.greatest("p.doc", "q.doc").alias("b")).distinct().join(edges.union(first), ["a", "b"], "left_anti")
+    more = verified(rest)
+    return found if more.isEmpty() else components(links.union(more))
+
+
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The documents of docs that have the smallest doc_id of their component; all columns of docs."""
     kept = join(docs, words, num, den).where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
