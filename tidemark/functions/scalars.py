@@ -30,7 +30,7 @@ def unit_pairs() -> list[tuple[str, str, float]]:
             for b, y in others.items():
                 if a != b:
                     out.setdefault((a, b), y / x)
-    return [(a, b, f) for (a, b), f in out.items()]
+    return [(a, b, float(f)) for (a, b), f in out.items()]
 
 
 def units_table(spark: SparkSession) -> DataFrame:
