@@ -216,6 +216,13 @@ class ByteEncoder:
             self.words |= fresh
         return out
 
+    def _whole(self, text: str) -> bytes:
+        """Ids of any text: special tokens apart, the rest by the whole split pattern."""
+        special = self.merges.special
+        parts = [p for p in (self.specials.split(text) if self.specials else [text]) if p]
+        plain = iter(self._encode_pieces([p for p in parts if p not in special]))
+        return b"".join(np.array([special[p]], "<u4").tobytes() if p in special else next(plain) for p in parts)
+
     @staticmethod
     def _regular(chunk: str) -> bool:
         rest = chunk[1:] if chunk[:1] == "\n" else chunk
@@ -252,10 +259,7 @@ class ByteEncoder:
         if len(self.chunks) < CHUNKS:
             self.chunks |= fresh
         for i in whole:
-            parts = self.specials.split(batch[i]) if self.specials else [batch[i]]
-            parts = [p for p in parts if p]
-            plain = iter(self._encode_pieces([p for p in parts if p not in self.merges.special]))
-            out[i] = b"".join(np.array([self.merges.special[p]], "<u4").tobytes() if p in self.merges.special else next(plain) for p in parts)
+            out[i] = self._whole(batch[i])
         return out
 
 

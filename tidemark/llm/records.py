@@ -125,16 +125,8 @@ class LibraryEncoder(ByteEncoder):
                     out[i] = x.tobytes()
         return out
 
-    def encode_batch(self, batch: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(batch) if self.specials and "<" in t and self.specials.search(t)]
-        odd = set(whole)
-        rest = [i for i in range(len(batch)) if i not in odd]
-        out: list[bytes] = [b""] * len(batch)
-        for i, x in zip(rest, super().encode_batch([batch[i] for i in rest]), strict=True):
-            out[i] = x
-        for i in whole:
-            out[i] = self._ids(batch[i]).tobytes()
-        return out
+    def _whole(self, text: str) -> bytes:
+        return self._ids(text).tobytes()
 
 
 _encoders: dict[str, LibraryEncoder] = {}
