@@ -65,36 +65,38 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return add_fingerprint(texts(docs), "text", "fp").select("doc_id", as_text("fp").alias("fingerprint"))
 
 
-def following(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, wanted_by, wanted_n): for each doc_id the one that it follows in descending order, and that one's length.
-
-    Ids are ordered within ranges of about equal size; only the ends of the ranges, at most 4096, come together."""
-    ids = materialise(docs.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.char_length("text")).alias("n")), "ids")
-    ranges = min(4096, max(8, 4 * partitions_of(docs)))
-    cuts = sorted(set(ids.stat.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
-    ids = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="doc_id", outputCol="range").transform(ids)
-    ends = ids.groupBy("range").agg(F.max("doc_id").alias("top"), F.min("doc_id").alias("low"), F.min_by("n", "doc_id").alias("low_n"))
+def with_next(docs: DataFrame, columns: list[str], most_ranges: int = 65_536) -> DataFrame:
+    """docs with `next`, a struct of the columns of the following row in descending doc_id, rows of one doc_id by text;
+    after the last row comes the first. Rows without a doc_id are left out.
+
+    Rows are dealt to ranges of ids of about equal size and follow each other by a window within a range. The
+    first row of each range is sent to the range before, too; to know them, one id a range is broadcast."""
+    ids = materialise(docs.where("doc_id is not null").select("doc_id").distinct(), "ids")
+    ranges = min(most_ranges, max(8, 4 * partitions_of(docs)))
+    cuts = sorted(set(ids.stat.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.25 / ranges))) or [0.0]
+    cut = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="doc_id", outputCol="range")
     order = Window.orderBy("range")
+    tops = cut.transform(ids).groupBy("range").agg(F.max("doc_id").alias("top"))
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ends = ends.select("range", "top", F.coalesce(F.lead("low").over(order), F.first("low").over(whole)).alias("end_id"), F.coalesce(F.lead("low_n").over(order), F.first("low_n").over(whole)).alias("end_n"))
-    within = Window.partitionBy("range").orderBy(F.desc("doc_id"))
-    ids = ids.withColumn("before", F.lag("doc_id").over(within)).withColumn("before_n", F.lag("n").over(within))
-    ids = ids.join(F.broadcast(ends), "range")  # at most one row a range
-    return ids.select("doc_id", F.coalesce("before", "end_id").alias("wanted_by"), F.coalesce("before_n", "end_n").alias("wanted_n"))
+    tops = tops.select("top", F.coalesce(F.lead("range").over(order), F.first("range").over(whole)).alias("above"))
+    rows = cut.transform(docs.where("doc_id is not null")).join(F.broadcast(tops), F.col("doc_id") == F.col("top"), "left")
+    copies = F.array_compact(F.array(F.struct(F.col("range"), F.lit(False).alias("copy")), F.when(F.col("top").isNotNull(), F.struct(F.col("above").alias("range"), F.lit(True).alias("copy")))))
+    rows = rows.select(*docs.columns, F.explode(copies).alias("to")).select(*docs.columns, "to.range", "to.copy")
+    within = Window.partitionBy("range").orderBy("copy", F.desc("doc_id"), "text")
+    return rows.withColumn("next", F.lead(F.struct(*columns)).over(within)).where("not copy").drop("range", "copy")
 
 
 def edited(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
     The edited text has its last third replaced by as many characters of the next document's beginning, in
-    descending doc_id; after the last comes the first. Rows that share a doc_id all follow the same document;
-    where several could be the next one, the smallest beginning counts. A null doc_id has no next document:
-    its edited text lacks the last third, and near_next is null."""
-    source = texts(docs)
-    want = materialise(following(source), "following")
-    own = add_fingerprint(source, "text", "fp")
-    heads = own.join(want, "doc_id").groupBy("wanted_by").agg(F.min(F.struct(F.expr("substring(text, 1, cast(wanted_n div 3 as int))").alias("head"), F.col("fp").alias("next_fp"))).alias("next")).select(F.col("wanted_by").alias("doc_id"), "next")
-    both = own.join(heads, "doc_id", "left").select("doc_id", "text", "fp", "next.next_fp", "next.head").withColumn("n_chars", F.char_length("text").cast("long"))
+    descending doc_id; after the last comes the first. Rows that share a doc_id follow each other in the order
+    of their texts. A row without a doc_id has no next document: its edited text lacks the last third, and
+    near_next is null."""
+    own = add_fingerprint(texts(docs), "text", "fp")
+    alone = own.where("doc_id is null").withColumn("next", F.lit(None).cast("struct<text:string,fp:array<bigint>>"))
+    both = with_next(own, ["text", "fp"]).unionByName(alone)
+    both = both.select("doc_id", "text", "fp", F.col("next.fp").alias("next_fp"), F.col("next.text").alias("head"), F.char_length("text").cast("long").alias("n_chars"))
     both = both.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 3 as int)), substring(coalesce(head, ''), 1, cast(n_chars div 3 as int)))"))
     out = add_fingerprint(both.select("doc_id", "n_chars", "fp", "next_fp", "edited", F.sha2("edited", 256).alias("edited_sha256")), "edited", "edited_fp")
     return out.select("doc_id", "n_chars", "edited_sha256", as_text("fp").alias("fingerprint"), as_text("edited_fp").alias("edited_fingerprint"), likeness("fp", "edited_fp").alias("near_edited"), F.when(F.col("next_fp").isNotNull(), likeness("fp", "next_fp")).alias("near_next"))
