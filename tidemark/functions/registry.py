@@ -29,7 +29,10 @@ INDICATORS = [
 ]
 
 #: Sources by priority, 1 the best; unknown ones have 999.
-SOURCE_PRIORITY = {"apple_health": 1, "theta.theta_oura": 2, "vital.garmin": 3}
+SOURCE_PRIORITY = {
+    "vital.dexcom_v3": 1, "vital.abbott_libreview": 2, "vital.freestyle_libre": 3, "vital.omron": 4, "vital.ihealth": 5, "vital.withings": 6, "vital.renpho": 7, "vital.garmin": 8, "vital.polar": 9, "vital.whoop_v2": 10, "vital.fitbit": 11, "vital.oura": 12, "vital.ultrahuman": 13,
+    "vital.eight_sleep": 14, "vital.beurer_api": 15, "vital.hammerhead": 16, "vital.wahoo": 17, "vital.zwift": 18, "vital.peloton": 19, "vital.cronometer": 20, "vital.my_fitness_pal_v2": 21, "resmed": 22, "vital.map_my_fitness": 22, "frontierx": 23, "apple_health": 99,
+}
 
 
 def target(method: str, indicator: str, period: str = "daily") -> str:

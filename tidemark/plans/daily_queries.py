@@ -76,5 +76,5 @@ QUERIES = {
     "derived_indicators": (lambda s, d: derived.from_readings(readings(s, d)).withColumn("day", F.col("day").cast("timestamp")), None),
     "latest_per_indicator": (lambda s, d: derived.latest(readings(s, d)), f"WITH {R} SELECT user_id, indicator, time, CAST(num AS DOUBLE) AS num FROM (SELECT *, row_number() OVER (PARTITION BY user_id, indicator ORDER BY time DESC, event_id DESC) AS r FROM readings) WHERE r = 1"),
 }
-_VAL = f"WITH {VALUES_SQL}, pick AS (SELECT user_id, day, indicator, a, hi, lo, s, sd FROM (SELECT *, row_number() OVER (PARTITION BY user_id, day, indicator ORDER BY CASE source WHEN 'apple_health' THEN 1 WHEN 'theta.theta_oura' THEN 2 WHEN 'vital.garmin' THEN 3 ELSE 999 END, hi DESC) AS r FROM vals) WHERE r = 1)"
+_VAL = f"WITH {VALUES_SQL}, pick AS (SELECT user_id, day, indicator, a, hi, lo, s, sd FROM (SELECT *, row_number() OVER (PARTITION BY user_id, day, indicator ORDER BY CASE source WHEN 'vital.garmin' THEN 8 WHEN 'apple_health' THEN 99 ELSE 999 END, hi DESC) AS r FROM vals) WHERE r = 1)"
 QUERIES["derived_indicators"] = (QUERIES["derived_indicators"][0], f"{_VAL} SELECT user_id, CAST(day AS TIMESTAMP) AS day, 'derivedHrRange' AS indicator, round(hi - lo, 2) AS value FROM pick WHERE indicator = 'heartRates' AND hi > lo UNION ALL SELECT user_id, CAST(day AS TIMESTAMP), 'derivedBloodGlucoseCV', round(least(100.0, sd / a * 100), 2) FROM pick WHERE indicator = 'bloodGlucoses' AND a > 0 AND sd IS NOT NULL")
