@@ -98,6 +98,7 @@ class LibraryEncoder(ByteEncoder):
 
             self.specials = regex.compile("|".join(regex.escape(t.content) for t in added.values()))
         self.line = self.library.encode("\n", add_special_tokens=False).ids[0]
+        self.line_bytes = np.array([self.line], "<u4").tobytes()
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
@@ -118,11 +119,10 @@ class LibraryEncoder(ByteEncoder):
                 part = at[k : k + 4096]
                 # chunks after a space keep it only if it does not follow the line end: each gets a letter before it
                 ids = self._ids("\n".join(("x" + pieces[i]) if spaced else pieces[i].lstrip("\n") for i in part))
-                cut = np.flatnonzero(ids == self.line)
-                for i, x in zip(part, np.split(ids, cut), strict=True):
-                    x = x[1:] if len(x) and x[0] == self.line else x
-                    x = x[1:] if spaced else np.concatenate((np.array([self.line], "<u4"), x)) if pieces[i][0] == "\n" else x
-                    out[i] = x.tobytes()
+                raw, cut = ids.tobytes(), np.flatnonzero(ids == self.line) * 4
+                starts, ends = [0, *(cut + 4).tolist()], [*cut.tolist(), len(raw)]
+                for i, a, z in zip(part, starts, ends, strict=True):
+                    out[i] = raw[a + 4 : z] if spaced else self.line_bytes + raw[a:z] if pieces[i][0] == "\n" else raw[a:z]
         return out
 
     def _whole(self, text: str) -> bytes:
