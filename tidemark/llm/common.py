@@ -63,3 +63,12 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 def fold(key: Column) -> Column:
     """crc32 of the key's decimal text, modulo 3: rows with remainder 1 are held out."""
     return F.crc32(key.cast("string").cast("binary")) % 3
+
+
+#: Ids of 8 bytes that a join may broadcast; it is checked, and more are joined by a shuffle.
+MOST_BROADCAST_IDS = 2_000_000
+
+
+def join_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """df joined with a written table of ids: by broadcast while it is small, so df need not be shuffled."""
+    return df.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST_IDS else ids, key, how)

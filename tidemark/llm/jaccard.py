@@ -7,7 +7,8 @@ A document's set holds its distinct k-word shingles. Two documents link when den
   reach. Linked light sets share such a subset.
 * Heavy sets, and light ones that may link with a heavy one, are scanned through inverted lists. A list's
   key is a block: all shingles of a set whose hashes fall in one of m equal ranges. m exceeds the largest
-  symmetric difference that linked sets of the size class may have, so linked sets share a whole block.
+  symmetric difference that linked sets of the size class may have, so linked sets share whole blocks, and
+  more of them than there are empty ones, which need not be listed.
   Single shingles as keys would give lists as long as the commonest phrase is frequent; whole blocks don't.
 * B is the boundary with the least number of keys over the sizes that occur.
 
@@ -26,21 +27,21 @@ document for links (by the smallest set), and each keeps its row; other columns
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from math import comb
+from math import comb, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import materialise, partitions_of, prepare, texts
+from .common import join_ids, materialise, partitions_of, prepare, texts
 
 #: Sets of more shingles are always heavy.
 LIGHT_MOST = 40
-#: Blocks beyond the pigeonhole's need; a set with more empty blocks than this lists the empty ones, too.
-SPARE = 2
+#: Sketches count shingles in 2**SKETCH_BITS ranges of their hashes.
+SKETCH_BITS = 10
 #: Postings that a task holds before it hands them on.
 FLUSH = 1 << 21
 #: Sets that a task remembers, so that equal sets post once a task.
@@ -54,6 +55,7 @@ class Sizes:
     def __init__(self, num: int, den: int, light: int = 0):
         self.num, self.den, self.light = num, den, light
         self.starts: list[int] = []  # of the size classes for blocks
+        self._blocks: dict[int, tuple[int, int]] = {}
         low = max(1, -(-(light + 1) * num // den))
         self.starts.append(low)
 
@@ -75,13 +77,25 @@ class Sizes:
             self.starts.append(max(self.starts[-1] + 1, self.starts[-1] * self.den // self.num + 1))
         return int(np.searchsorted(self.starts, s, "right")) - 1
 
-    def blocks(self, k: int) -> int:
-        """Blocks of class k: one more than linked sets can differ by, and the spare ones."""
-        self.class_of(self.starts[k] if k < len(self.starts) else 0)
-        while len(self.starts) <= k + 1:
-            self.class_of(self.starts[-1])
-        top = self.starts[k + 1] - 1
-        return (top + top * self.den // self.num) * (self.den - self.num) // (self.den + self.num) + 1 + SPARE
+    def blocks(self, k: int) -> tuple[int, int]:
+        """Blocks of class k, and how many of them are spare: beyond one more than linked sets can differ by.
+
+        A set passes over its empty blocks, unless it has more of them than are spare; of linked sets' equal
+        blocks one more is there than are spare, so one that both list remains."""
+        if k not in self._blocks:
+            while len(self.starts) <= k + 1:
+                self.class_of(self.starts[-1])
+            low, top = self.starts[k], self.starts[k + 1] - 1
+            differ = (top + top * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
+            spare = 2
+            while True:
+                m = differ + 1 + spare
+                empty = m * exp(-low / m)  # expected in a set of the smallest size
+                if empty + 4 * sqrt(empty) <= spare or spare > differ:
+                    break
+                spare += 1
+            self._blocks[k] = (m, spare)
+        return self._blocks[k]
 
     def classes(self, s: int) -> range:
         """Size classes in which a set of s shingles lists its blocks: its own and those of smaller partners."""
@@ -95,7 +109,7 @@ def choose_boundary(counts: dict[int, int], num: int, den: int) -> int:
 
     def cost(light: int) -> int:
         z = Sizes(num, den, light)
-        return sum(n * ((z.subsets(s, light) if s <= light else 0) + sum(z.blocks(k) for k in z.classes(s))) for s, n in counts.items())
+        return sum(n * ((z.subsets(s, light) if s <= light else 0) + sum(z.blocks(k)[0] for k in z.classes(s))) for s, n in counts.items())
 
     return min(range(LIGHT_MOST + 1), key=lambda b: (cost(b), b))
 
@@ -118,15 +132,14 @@ def _subset_keys(h: np.ndarray, sizes: list[int]) -> list[int]:
 _bounds: dict[int, np.ndarray] = {}
 
 
-def _block_keys(h: np.ndarray, sums: np.ndarray, k: int, m: int) -> np.ndarray:
+def _block_keys(h: np.ndarray, sums: np.ndarray, k: int, m: int, spare: int) -> np.ndarray:
     """Keys of the blocks of a sorted set in class k; sums: prefix sums of its scrambled members."""
     if m not in _bounds:
         _bounds[m] = np.array([(i << 64) // m for i in range(1, m)], np.uint64)
     at = np.concatenate(([0], np.searchsorted(h, _bounds[m]), [len(h)]))
-    size = np.diff(at)
     keys = textops.mix(sums[at[1:]] - sums[at[:-1]] + textops.mix(np.arange(m, dtype=np.uint64) + np.uint64((k + 1) << 32)))
-    full = size > 0
-    return keys[full] if m - int(full.sum()) <= SPARE else keys
+    full = np.diff(at) > 0
+    return keys[full] if m - int(full.sum()) <= spare else keys
 
 
 def _features(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -179,7 +192,7 @@ def _postings(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, lig
                     seen.clear()
                 seen.add(mark)
                 s = j - i
-                new = [_block_keys(own, sums[i : j + 1], c, z.blocks(c)) for c in z.classes(s)]
+                new = [_block_keys(own, sums[i : j + 1], c, *z.blocks(c)) for c in z.classes(s)]
                 if s <= light:
                     new.append(_subset_keys(own, z.subset_sizes(s, light)))
                 new = np.concatenate(new) if new else np.zeros(0, np.uint64)
@@ -224,16 +237,37 @@ def _lists(bucket: pa.Table) -> pa.Table:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Sets of the wanted rows, with a sketch each: how many shingles fall in each of SKETCH ranges."""
     for b in batches:
         for row, last, raw, ends in textops.slices(b.column("text")):
             h, at = textops.shingle_sets(raw, ends, k)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(row, last - row), pa.array([h[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["doc_id", "shingles"])
+            out: list[tuple] = []
+            for doc, want, i, j in zip(b.column("doc_id").slice(row, last - row).to_pylist(), b.column("set_key").slice(row, last - row).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                own = h[i:j]
+                if xxhash.xxh3_128_digest(own) == want:
+                    sketch = np.minimum(np.bincount((own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS), 255).astype(np.uint8)
+                    out.append((doc, j - i, sketch.tobytes(), own.tobytes()))
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=True)], ["doc_id", "size", "sketch", "shingles"])
+
+
+def _possible(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches allow the overlap that a link needs: no set shares more of a range than either has there."""
+    for b in batches:
+        keep = []
+        for x, y, m, n in zip(b.column("sketch_a"), b.column("sketch_b"), b.column("size_a").to_pylist(), b.column("size_b").to_pylist(), strict=True):
+            p, q = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+            least = np.minimum(p, q)
+            o = min(m, n) if least.max(initial=0) == 255 else int(least.sum(dtype=np.int64))
+            keep.append(den * o >= num * (m + n - o))
+        mask = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], ["a", "b"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep = []
-        for x, y in zip(b.column("set_a"), b.column("set_b"), strict=True):
+        for x, y in zip(b.column("shingles_a"), b.column("shingles_b"), strict=True):
             p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             both = np.concatenate((p, q))
             both.sort(kind="stable")
@@ -258,7 +292,7 @@ def _size_range(n: int) -> int:
     return int(np.log(n) / np.log(_RANGE))
 
 
-_KEYS = "shingle long, low int, high int, doc long, component long, size long, place long, alone long"
+_KEYS = "shingle long, low int, high int, doc long, size long, place long, alone long"
 
 
 def _early(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -266,7 +300,7 @@ def _early(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa
     z = Sizes(num, den)
     for b in batches:
         rows: list[tuple] = []
-        for doc, component, size, shared in zip(*(b.column(c).to_pylist() for c in ("doc", "component", "size", "shared")), strict=True):
+        for doc, size, shared in zip(*(b.column(c).to_pylist() for c in ("doc", "size", "shared")), strict=True):
             order = [e["shingle"] for e in sorted(shared or (), key=lambda e: (e["n"], e["shingle"]))]
             alone = size - len(order)
             least: dict[int, int] = {}  # by range of the partner's size: the least overlap
@@ -277,9 +311,9 @@ def _early(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa
             own = _size_range(size)
             for r, o in least.items():
                 for place in range(alone, size - o + 1):
-                    rows.append((order[place - alone], min(own, r), max(own, r), doc, component, size, place, alone))
-        cols = list(zip(*rows, strict=True)) or [()] * 8
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 5], strict=True)], [x.split()[0] for x in _KEYS.split(", ")])
+                    rows.append((order[place - alone], min(own, r), max(own, r), doc, size, place, alone))
+        cols = list(zip(*rows, strict=True)) or [()] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4], strict=True)], [x.split()[0] for x in _KEYS.split(", ")])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -292,15 +326,15 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        large = both.join(least, both.a == least.n).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(least, both.a == least.n).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m")
         small = large.join(least, large.a == least.n)
         small = small.select("a", F.col("m").alias("b")).union(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        e = materialise(small.distinct(), "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == mark:
+        seen = Observation()
+        e = materialise(small.distinct().observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "edges")
+        if seen.get == mark:
             break
-        mark = now
+        mark = seen.get
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
@@ -321,43 +355,45 @@ def join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, buckets
     named = lists.join(rep.select(F.col("doc_id").alias("doc"), F.col("rep").alias("b")), "doc").join(rep.select(F.col("doc_id").alias("center"), F.col("rep").alias("a")), "center").select("list_id", "a", "b")
     named = materialise(named.where("b is not null and a is not null"), "lists")
     edges = named.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    wanted = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = materialise(source.join(wanted, "doc_id").mapInArrow(lambda it: _sets(it, words), "doc_id long, shingles binary").groupBy("doc_id").agg(F.min("shingles").alias("shingles")), "shingles")
+    edges = materialise(edges, "candidates")
+    wanted = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(features.groupBy("doc_id").agg(F.min("set_key").alias("set_key")), "doc_id")
+    sets = materialise(join_ids(source, materialise(wanted, "wanted"), "doc_id", "inner").mapInArrow(lambda it: _sets(it, words), "doc_id long, size long, sketch binary, shingles binary"), "shingles")
+    side = lambda x, *columns: sets.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
-        return materialise(full.mapInArrow(lambda it: _verified(it, num, den), "a long, b long"), "links")
+        brief = pairs.join(side("b", "size", "sketch"), "b").join(side("a", "size", "sketch"), "a").where(f"least(size_a, size_b) * {den} >= greatest(size_a, size_b) * {num}")
+        pairs = materialise(brief.mapInArrow(lambda it: _possible(it, num, den), "a long, b long"), "possible")
+        full = pairs.join(side("b", "shingles"), "b").join(side("a", "shingles"), "a")
+        return materialise(full.mapInArrow(lambda it: _verified(it, num, den), "a long, b long").distinct(), "links")
 
     links = verified(edges)
-    found = components(links)
-    # members of one list in different components: what the smallest member did not settle
-    member = named.select("list_id", F.explode(F.array("a", "b")).alias("doc")).distinct().join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").select("list_id", "doc", F.coalesce("component", "doc").alias("component"))
-    mixed = member.groupBy("list_id").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("list_id")
-    open_ = materialise(member.join(mixed, "list_id").select("doc", "component").distinct(), "open")
-    if not open_.isEmpty():
-        found = _second_scan(open_, sets.withColumnRenamed("doc_id", "doc"), edges, links, verified, num, den)
+    # a list whose members all link with its smallest one is settled; the others go on
+    settled = links.withColumn("linked", F.lit(True))
+    failed = named.where("a <> b").select("list_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(settled, ["a", "b"], "left").groupBy("list_id").agg(F.count("*").alias("n"), F.count_if(F.col("linked").isNull()).alias("failed")).where("failed > 0 and n > 1").select("list_id")
+    open_ = materialise(named.join(failed, "list_id").select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "open")
+    found = components(links) if open_.isEmpty() else _second_scan(open_, sets.select(F.col("doc_id").alias("doc"), "shingles"), edges, links, verified, num, den)
     named_of = features.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").select("doc_id", "n_shingles", "rep")
     return named_of.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
 def _second_scan(open_: DataFrame, sets: DataFrame, edges: DataFrame, links: DataFrame, verified: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
-    """Components after the finer scan of the open sets (doc, component)."""
-    inside = materialise(open_.join(sets, "doc"), "open")
+    """Components after the finer scan of the open sets (doc)."""
+    inside = materialise(open_.join(sets, "doc").dropDuplicates(["doc"]), "open")
     element = inside.select("doc", "shingles").mapInArrow(_elements, "doc long, shingle long")
     common = materialise(element.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "common")
     shared = element.join(common, "shingle").groupBy("doc").agg(F.collect_list(F.struct("n", "shingle")).alias("shared"))
-    early = inside.select("doc", "component", (F.octet_length("shingles") / 8).cast("long").alias("size")).join(shared, "doc", "left")
+    early = inside.select("doc", (F.octet_length("shingles") / 8).cast("long").alias("size")).join(shared, "doc", "left")
     keys = materialise(early.mapInArrow(lambda it: _early(it, num, den), _KEYS), "early")
     by = ["shingle", "low", "high"]
 
-    centers = keys.groupBy(by).agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min(F.struct("alone", "doc", "component")).alias("c")).where("x <> y").select(*by, F.col("c.doc").alias("center"), F.col("c.component").alias("center_component"))
-    first = keys.join(centers, by).where("component <> center_component").select(F.least("doc", "center").alias("a"), F.greatest("doc", "center").alias("b")).distinct().join(edges, ["a", "b"], "left_anti")
+    centers = keys.groupBy(by).agg(F.count("*").alias("n"), F.min(F.struct("alone", "doc")).alias("c")).where("n > 1").select(*by, F.col("c.doc").alias("center"))
+    first = keys.join(centers, by).where("doc <> center").select(F.least("doc", "center").alias("a"), F.greatest("doc", "center").alias("b")).distinct().join(edges, ["a", "b"], "left_anti")
     first = materialise(first, "tried")
     links = links.union(verified(first))
     found = components(links)
 
     # the largest component of a list need not be paired with itself
-    keys = keys.drop("component").join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    keys = keys.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     keys = materialise(keys, "early")
     main = keys.groupBy(*by, "component").count().groupBy(by).agg(F.max_by("component", F.struct("count", -F.col("component"))).alias("main"), F.count("*").alias("n")).where("n > 1").drop("n")
     listed = materialise(keys.join(main, by), "early")
@@ -372,5 +408,6 @@ def _second_scan(open_: DataFrame, sets: DataFrame, edges: DataFrame, links: Dat
 
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The documents of docs that have the smallest doc_id of their component; all columns of docs."""
-    kept = join(docs, words, num, den).where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs.doc_id.cast("long").eqNullSafe(kept._kept), "left_semi")
+    out = join(docs, words, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias("_out")).distinct()
+    key = docs.withColumn("_out", F.col("doc_id").cast("long"))
+    return join_ids(key, materialise(out, "copies"), "_out", "left_anti").select(*docs.columns)
