@@ -1,8 +1,8 @@
 """Language identification: known words by their log frequency in each language, unseen ones by character n-grams.
 
 Every word gives evidence for each language: the log of its smoothed frequency there, less the mean over the
-languages. A word that the model has not seen backs off to its characters: from each position, the longest
-n-gram that the model knows, each step shorter counting less. A text's evidence is its mean over words, taken
+languages. A word that the model has not seen backs off to its characters: it is cut into the longest n-grams
+that the model knows, from its start on, each step shorter counting less. A text's evidence is its mean over words, taken
 for at most EVIDENCE words, so long texts don't become certain of anything.
 
 The model is fitted on a bounded sample: at most about SAMPLE documents of each of the LANGUAGES most frequent
@@ -29,6 +29,8 @@ from .chunks import ChunkSums
 from .common import fold, prepare
 
 SAMPLE, LANGUAGES, WORDS, GRAMS, LONGEST, EVIDENCE = 2_000, 64, 20_000, 20_000, 4, 25
+#: Unseen words whose evidence a worker remembers.
+REMEMBERED = 300_000
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -39,8 +41,9 @@ class Model:
     def __init__(self, languages: list[str], words: dict[str, dict[str, int]], grams: dict[str, dict[str, int]]):
         self.languages = languages
         self.words, self.grams = self._evidence(words), self._evidence(grams)
+        self.seen: dict[str, list[float]] = {}
 
-    def _evidence(self, counts: dict[str, dict[str, int]]) -> dict[str, np.ndarray]:
+    def _evidence(self, counts: dict[str, dict[str, int]]) -> dict[str, list[float]]:
         """Item to its log frequency in each language less the mean; items of one length share their totals."""
         total: dict[tuple[int, str], int] = {}
         kinds: dict[int, int] = {}
@@ -53,27 +56,33 @@ class Model:
         for g, by in counts.items():
             k = size(g)
             v = np.array([math.log((by.get(lang, 0) + 0.3) / (total.get((k, lang), 0) + 0.3 * kinds[k])) for lang in self.languages])
-            out[g] = np.clip(v - v.mean(), -6, 6)
+            out[g] = np.clip(v - v.mean(), -6, 6).tolist()
         return out
 
-    def word(self, w: str) -> np.ndarray:
-        if (got := self.words.get(w)) is not None:
+    def word(self, w: str) -> list[float]:
+        if (got := self.words.get(w)) is not None or (got := self.seen.get(w)) is not None:
             return got
-        s, v, n = f"^{w}$", np.zeros(len(self.languages)), 0
-        for i in range(len(s) - 1):
+        s, find, i, pieces = f"^{w}$", self.grams.get, 0, 0
+        v, n = [0.0] * len(self.languages), len(s)
+        while i < n:
             weight = 1.0
-            for k in range(LONGEST, 0, -1):
-                if (got := self.grams.get(s[i : i + k])) is not None and i + k <= len(s):
-                    v += weight * got
+            for k in range(min(LONGEST, n - i), 0, -1):
+                if (row := find(s[i : i + k])) is not None:
+                    v = [a + weight * b for a, b in zip(v, row, strict=True)]
+                    pieces += 1
                     break
                 weight *= 0.6
-            n += 1
-        return np.clip(v / max(1, n) * 2, -6, 6)
+            i += k
+        v = [min(6.0, max(-6.0, 2 * a / pieces)) for a in v] if pieces else v
+        if len(self.seen) < REMEMBERED:
+            self.seen[w] = v
+        return v
 
     def chunk(self, chunk: str) -> list[float]:
         found = _WORD.findall(chunk.lower())
-        v = sum((self.word(w) for w in found), np.zeros(len(self.languages)))
-        return [*v, len(found)]
+        if len(found) == 1:
+            return [*self.word(found[0]), 1]
+        return [*map(sum, zip(*map(self.word, found), strict=True)), len(found)] if found else [0.0] * (len(self.languages) + 1)
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
