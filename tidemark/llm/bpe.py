@@ -19,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -84,9 +84,18 @@ class Merges:
         for z in made[np.argsort(self.rank[made])]:
             whole[z] &= whole[self.left[z]] & whole[self.right[z]]
         self.known = {s: i for s, i in self.ids.items() if whole[i]}
+        self.lengths = self._lengths(lambda s: s[:3])
         self.longest = max(map(len, self.known))
         self._apart: dict[int, bool] = {}
 
+    def _lengths(self, key: Callable[[str], str]) -> dict[str, tuple[int, ...]]:
+        """Lengths of the tokens of three symbols or more by their key, the longest first, then two and one."""
+        found: dict[str, set[int]] = {}
+        for s in self.known:
+            if len(s) > 2:
+                found.setdefault(key(s), {1, 2}).add(len(s))
+        return {s: tuple(sorted(x, reverse=True)) for s, x in found.items()}
+
     def merge_rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         key = x.astype(np.int64) << 20 | y
         at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
@@ -137,15 +146,15 @@ class Merges:
         return got
 
     def greedy(self, word: str) -> list[int]:
-        out, i, n, known, longest = [], 0, len(word), self.known, self.longest
+        out, i, n, find, lengths = [], 0, len(word), self.known.get, self.lengths.get
         while i < n:
-            j = min(n, i + longest)
-            while (t := known.get(word[i:j])) is None:
-                j -= 1
-                if j == i:
-                    raise ValueError(f"no token for symbol {word[i]!r}")
+            for k in lengths(word[i : i + 3], (2, 1)):
+                if (t := find(word[i : i + k])) is not None:
+                    break
+            else:
+                raise ValueError(f"no token for symbol {word[i]!r}")
             out.append(t)
-            i = j
+            i += k
         return out
 
     def exact(self, word: str) -> list[int]:
@@ -209,8 +218,8 @@ class ByteEncoder:
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of texts without special tokens, each by the whole split pattern."""
         split = [SPLIT.findall(p) for p in pieces]
-        fresh = self._encode_words({w for x in split for w in x} - self.words.keys())
         known = self.words
+        fresh = self._encode_words({w for x in split for w in x if w not in known})
         out = [b"".join([known.get(w) or fresh[w] for w in x]) for x in split]
         if len(self.words) < WORDS:
             self.words |= fresh
