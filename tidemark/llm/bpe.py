@@ -85,7 +85,8 @@ class Merges:
             whole[z] &= whole[self.left[z]] & whole[self.right[z]]
         self.known = {s: i for s, i in self.ids.items() if whole[i]}
         self.lengths = self._lengths(lambda s: s[:3])
-        self.longest = max(map(len, self.known))
+        self.end_lengths = self._lengths(lambda s: s[-3:])
+        self._steps = self.rank.tolist(), self.left.tolist(), self.right.tolist()
         self._apart: dict[int, bool] = {}
 
     def _lengths(self, key: Callable[[str], str]) -> dict[str, tuple[int, ...]]:
@@ -129,17 +130,18 @@ class Merges:
         if got is None:
             if len(self._apart) > 2_000_000:
                 self._apart.clear()
-            x, y, xe, ye, got = a, b, _NEVER, _NEVER, True
+            rank, left, right = self._steps
+            x, y, xe, ye, got = a, b, 1 << 40, 1 << 40, True
             while True:
                 m = self.pairs.get(x << 20 | y)
                 if m is not None and m[0] < xe and m[0] <= ye:
                     got = False
                     break
-                rx, ry = self.rank[x], self.rank[y]
+                rx, ry = rank[x], rank[y]
                 if rx > ry:
-                    xe, x = rx, int(self.right[x])
+                    xe, x = rx, right[x]
                 elif ry >= 0:
-                    ye, y = ry, int(self.left[y])
+                    ye, y = ry, left[y]
                 else:
                     break
             self._apart[key] = got

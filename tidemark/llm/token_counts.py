@@ -47,18 +47,19 @@ class PrefixCounter:
         """Tokens of each prefix of a word's bytes, 0 to all, as a word of its own."""
         if (got := self.words.get(word)) is not None:
             return got
-        known, longest, apart = self.merges.known, self.merges.longest, self.merges.stay_apart
+        known, lengths, apart = self.merges.known.get, self.merges.end_lengths.get, self.merges.stay_apart
         s = word.encode().decode("latin-1")
         last, inner, ended = [-1], [0], [0]
         for i in range(1, len(s) + 1):
             end = chr(ord(s[i - 1]) + 0x100)
             marked = plain = -1
-            for j in range(max(0, i - longest), i):
-                if marked < 0 and (t := known.get(s[j : i - 1] + end)) is not None and (not j or apart(last[j], t)):
-                    marked = inner[j] + 1
-                if plain < 0 and (t := known.get(s[j:i])) is not None and (not j or apart(last[j], t)):
-                    plain, token = inner[j] + 1, t
-                if marked >= 0 and plain >= 0:
+            for k in lengths(s[max(0, i - 3) : i - 1] + end, (2, 1)):
+                if k <= i and (t := known(s[i - k : i - 1] + end)) is not None and (k == i or apart(last[i - k], t)):
+                    marked = inner[i - k] + 1
+                    break
+            for k in lengths(s[max(0, i - 3) : i], (2, 1)):
+                if k <= i and (t := known(s[i - k : i])) is not None and (k == i or apart(last[i - k], t)):
+                    plain, token = inner[i - k] + 1, t
                     break
             if marked < 0 or plain < 0:
                 raise ValueError(f"no token ends at {i} in {word!r}")
