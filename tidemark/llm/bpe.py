@@ -85,7 +85,7 @@ class Merges:
             whole[z] &= whole[self.left[z]] & whole[self.right[z]]
         self.known = {s: i for s, i in self.ids.items() if whole[i]}
         self.lengths = self._lengths(lambda s: s[:3])
-        self.end_lengths = self._lengths(lambda s: s[-3:])
+        self.lengths_at_end = self._lengths(lambda s: s[-3:])
         self._steps = self.rank.tolist(), self.left.tolist(), self.right.tolist()
         self._apart: dict[int, bool] = {}
 

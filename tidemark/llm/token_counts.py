@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from .bpe import CHUNKS, WORDS, Merges
 from .common import prepare, texts
 
-_SEPARATORS = regex.compile("[\x1c-\x1f]")
+#: White space for str.split, but not for the split pattern.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 class PrefixCounter:
@@ -40,35 +41,45 @@ class PrefixCounter:
         self.split = regex.compile(split)
         self.special = self.merges.special
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, int] = {}
         self.chunks: dict[str, int] = {}
 
-    def prefix_counts(self, word: str) -> list[int]:
-        """Tokens of each prefix of a word's bytes, 0 to all, as a word of its own."""
-        if (got := self.words.get(word)) is not None:
-            return got
-        known, lengths, apart = self.merges.known.get, self.merges.end_lengths.get, self.merges.stay_apart
-        s = word.encode().decode("latin-1")
-        last, inner, ended = [-1], [0], [0]
-        for i in range(1, len(s) + 1):
-            end = chr(ord(s[i - 1]) + 0x100)
-            marked = plain = -1
-            for k in lengths(s[max(0, i - 3) : i - 1] + end, (2, 1)):
-                if k <= i and (t := known(s[i - k : i - 1] + end)) is not None and (k == i or apart(last[i - k], t)):
-                    marked = inner[i - k] + 1
-                    break
+    def _inner(self, s: str, n: int) -> tuple[list[int], list[int]]:
+        """For each prefix of s up to n symbols, without the end mark: its last token and its number of tokens."""
+        known, lengths, apart = self.merges.known.get, self.merges.lengths_at_end.get, self.merges.stay_apart
+        last, inner = [-1], [0]
+        for i in range(1, n + 1):
             for k in lengths(s[max(0, i - 3) : i], (2, 1)):
                 if k <= i and (t := known(s[i - k : i])) is not None and (k == i or apart(last[i - k], t)):
-                    plain, token = inner[i - k] + 1, t
+                    last.append(t)
+                    inner.append(inner[i - k] + 1)
                     break
-            if marked < 0 or plain < 0:
-                raise ValueError(f"no token ends at {i} in {word!r}")
-            last.append(token)
-            inner.append(plain)
-            ended.append(marked)
-        if len(self.words) < WORDS:
-            self.words[word] = ended
-        return ended
+            else:
+                raise ValueError(f"no token ends at {i} in {s!r}")
+        return last, inner
+
+    def _ended(self, s: str, i: int, last: list[int], inner: list[int]) -> int:
+        """Tokens of the first i symbols as a word of its own, with the end mark."""
+        known, apart, end = self.merges.known.get, self.merges.stay_apart, chr(ord(s[i - 1]) + 0x100)
+        for k in self.merges.lengths_at_end.get(s[max(0, i - 3) : i - 1] + end, (2, 1)):
+            if k <= i and (t := known(s[i - k : i - 1] + end)) is not None and (k == i or apart(last[i - k], t)):
+                return inner[i - k] + 1
+        raise ValueError(f"no token ends at {i} in {s!r}")
+
+    def prefix_counts(self, word: str) -> list[int]:
+        """Tokens of each prefix of a word's bytes, 0 to all, as a word of its own."""
+        s = word.encode().decode("latin-1")
+        last, inner = self._inner(s, len(s) - 1)
+        return [0, *(self._ended(s, i, last, inner) for i in range(1, len(s) + 1))]
+
+    def word_count(self, word: str) -> int:
+        """Tokens of a word, remembered: the last of its prefix counts."""
+        if (got := self.words.get(word)) is None:
+            s = word.encode().decode("latin-1")
+            got = self._ended(s, len(s), *self._inner(s, len(s) - 1))
+            if len(self.words) < WORDS:
+                self.words[word] = got
+        return got
 
     @staticmethod
     def normal(text: str) -> str:
@@ -79,7 +90,7 @@ class PrefixCounter:
 
     def count_piece(self, text: str) -> int:
         """Tokens of a text without special tokens, by the whole pattern."""
-        return sum(self.prefix_counts(w)[-1] for w in self.split.findall(self.normal(text)))
+        return sum(map(self.word_count, self.split.findall(self.normal(text))))
 
     def count_chunk(self, chunk: str) -> int:
         got = self.chunks.get(chunk)
@@ -92,7 +103,7 @@ class PrefixCounter:
     def count(self, text: str) -> int:
         if "<" in text and self.specials.search(text):
             return sum(1 if p in self.special else self.count(p) for p in self.specials.split(text) if p)
-        if _SEPARATORS.search(text):
+        if any(c in text for c in _SEPARATORS):
             return self.count_piece(text)
         chunks = text.split()
         vals = list(map(self.chunks.get, chunks))
@@ -102,7 +113,7 @@ class PrefixCounter:
 
     def boundaries(self, text: str) -> tuple[list[int], list[int]]:
         """Code points and tokens up to the end of each chunk of a text, and of the whole text."""
-        if self.specials.search(text) or _SEPARATORS.search(text):
+        if self.specials.search(text) or any(c in text for c in _SEPARATORS):
             return [len(text)], [self.count(text)]
         spans = [m.span() for m in regex.finditer(r"\S+", text)]
         return [b for _, b in spans], list(accumulate(self.count_chunk(text[a:b]) for a, b in spans))
@@ -116,7 +127,7 @@ class PrefixCounter:
     def text_prefixes(self, text: str) -> list[int]:
         """Tokens of every prefix of a text, 0 to all its code points."""
         out, done, base = [0], 0, 0
-        if self.specials.search(text) or _SEPARATORS.search(text):
+        if self.specials.search(text) or any(c in text for c in _SEPARATORS):
             return [self.count(text[:i]) for i in range(len(text) + 1)]
         for m in regex.finditer(r"\S+", text):
             out += [base] * (m.start() - done)
@@ -124,8 +135,9 @@ class PrefixCounter:
             if chunk.isascii() and "'" not in chunk:
                 at = 0
                 for w in self.split.findall(self.normal(chunk)):
-                    out += [base + at + c for c in self.prefix_counts(w)[1:]]
-                    at += self.prefix_counts(w)[-1]
+                    own = self.prefix_counts(w)
+                    out += [base + at + c for c in own[1:]]
+                    at += own[-1]
             else:
                 out += [base + self.count_piece(chunk[:i]) for i in range(1, len(chunk) + 1)]
             base, done = out[-1], m.end()
