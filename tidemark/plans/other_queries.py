@@ -117,9 +117,9 @@ def _sessions(s, d):
     return c.groupBy("conv_id").agg(F.count("*").alias("messages"), F.count_if(F.col("role") == "user").alias("by_user"), F.max("turn").alias("last_turn"), F.max_by("role", "turn").alias("last_role"), F.sum(F.length("text")).alias("chars"))
 
 
-def _sets(s, d):
+def _sets(s, d, ordered="true"):
     c, o = table(s, d, "customer").select("c_custkey"), table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return c.subtract(o).withColumn("kind", F.lit("never ordered")).union(o.where("c_custkey % 5 = 0").distinct().withColumn("kind", F.lit("ordered")))
+    return c.subtract(o).withColumn("kind", F.lit("never ordered")).union(o.where(ordered).distinct().withColumn("kind", F.lit("ordered")))
 
 
 def _exploded(s, d):
@@ -127,11 +127,11 @@ def _exploded(s, d):
     return e.groupBy("tag").agg(F.count("*").alias("n"))
 
 
-def _range_default(s, d):
+def _range_default(s, d, suppliers="true"):
     from pyspark.sql import Window
 
     w = Window.partitionBy("l_suppkey").orderBy("l_shipdate")
-    return table(s, d, "lineitem").where("l_suppkey < 20").withColumn("run", F.sum(F.col("l_quantity").cast("long")).over(w)).groupBy("l_suppkey", "l_shipdate").agg(F.max("run").alias("run"), F.min("run").alias("same"))
+    return table(s, d, "lineitem").where(suppliers).withColumn("run", F.sum(F.col("l_quantity").cast("long")).over(w)).groupBy("l_suppkey", "l_shipdate").agg(F.max("run").alias("run"), F.min("run").alias("same"))
 
 
 QUERIES = {
@@ -159,13 +159,16 @@ QUERIES = {
     "concept_bridges": (lambda s, d: graph.bridges(_codes(s, d), "S", "C"), "SELECT DISTINCT CAST(s_suppkey AS VARCHAR) AS left_code, CAST(c_custkey AS VARCHAR) AS right_code FROM supplier JOIN customer ON s_nationkey = c_nationkey AND floor(s_acctbal / 100) = floor(c_acctbal / 100)"),
     "concept_siblings": (lambda s, d: graph.siblings(_codes(s, d).where("system = 'C'"), "cui", "code").select("cui", F.array_join("members", "|").alias("members")), "SELECT CAST(c_nationkey AS VARCHAR) || '-' || CAST(CAST(floor(c_acctbal / 100) AS BIGINT) AS VARCHAR) AS cui, string_agg(CAST(c_custkey AS VARCHAR), '|' ORDER BY CAST(c_custkey AS VARCHAR)) AS members FROM customer GROUP BY 1 HAVING count(*) >= 2"),
     "token_bridges": (lambda s, d: graph.token_bridge(_tokens(s, d, "part", "p_partkey", "p_name").where("id < 300"), _tokens(s, d, "part", "p_partkey", "p_name").where("id >= 300 and id < 600")), "WITH t AS (SELECT p_partkey AS id, list_filter(list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')), lambda x: x NOT IN ('small', 'the')) AS k FROM part), j AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.k, b.k)) AS c, len(a.k) AS na, len(b.k) AS nb FROM t a, t b WHERE a.id < 300 AND b.id >= 300 AND b.id < 600 AND len(a.k) >= 2 AND len(b.k) >= 2) SELECT a, b, round(c / (na + nb - c), 6) AS jaccard FROM j WHERE c >= 0.5 * na AND c >= 0.5 * nb AND c > 0"),
+    "token_bridges_whole": (lambda s, d: graph.token_bridge(_tokens(s, d, "part", "p_partkey", "p_name")), None),
     "taxonomy_ancestors": (lambda s, d: graph.ancestors(s, _tree(s, d)), f"WITH RECURSIVE {_TREE}, up AS (SELECT node, parent AS ancestor, 1 AS depth FROM t UNION ALL SELECT u.node, t.parent, u.depth + 1 FROM up u JOIN t ON t.node = u.ancestor) SELECT node, ancestor, depth FROM up"),
     "merged_concepts": (lambda s, d: graph.merged_concepts(_codes(s, d).withColumnRenamed("cui", "name")), "WITH c AS (SELECT s_nationkey || '-' || CAST(floor(s_acctbal / 100) AS BIGINT) AS name, 'S' AS system, CAST(s_suppkey AS VARCHAR) AS code FROM supplier UNION ALL SELECT c_nationkey || '-' || CAST(floor(c_acctbal / 100) AS BIGINT), 'C', CAST(c_custkey AS VARCHAR) FROM customer) SELECT name, string_agg(DISTINCT system || ':' || code, '|' ORDER BY system || ':' || code) AS codes, count(DISTINCT system) AS systems FROM c GROUP BY 1"),
     "grep_lines": (_grep, "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents) SELECT doc_id, line, length(text) AS n FROM l WHERE regexp_matches(lower(text), 'license|gnu')"),
     "session_lists": (_sessions, "SELECT conv_id, count(*) AS messages, count(*) FILTER (WHERE role = 'user') AS by_user, max(turn) AS last_turn, arg_max(role, turn) AS last_role, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY 1"),
-    "set_operations": (_sets, "SELECT c_custkey, 'never ordered' AS kind FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'ordered' FROM orders WHERE o_custkey % 5 = 0"),
+    "set_operations": (lambda s, d: _sets(s, d, "c_custkey % 5 = 0"), "SELECT c_custkey, 'never ordered' AS kind FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'ordered' FROM orders WHERE o_custkey % 5 = 0"),
+    "set_operations_whole": (_sets, "SELECT c_custkey, 'never ordered' AS kind FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'ordered' FROM orders"),
     "tag_distribution": (_exploded, "SELECT unnest([lang, source]) AS tag, count(*) AS n FROM documents GROUP BY 1"),
-    "running_sum_peers": (_range_default, "WITH w AS (SELECT l_suppkey, l_shipdate, CAST(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_suppkey ORDER BY l_shipdate) AS BIGINT) AS run FROM lineitem WHERE l_suppkey < 20) SELECT l_suppkey, l_shipdate, max(run) AS run, min(run) AS same FROM w GROUP BY 1, 2"),
+    "running_sum_peers": (lambda s, d: _range_default(s, d, "l_suppkey < 20"), "WITH w AS (SELECT l_suppkey, l_shipdate, CAST(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_suppkey ORDER BY l_shipdate) AS BIGINT) AS run FROM lineitem WHERE l_suppkey < 20) SELECT l_suppkey, l_shipdate, max(run) AS run, min(run) AS same FROM w GROUP BY 1, 2"),
+    "running_sum_peers_whole": (_range_default, "WITH w AS (SELECT l_suppkey, l_shipdate, CAST(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_suppkey ORDER BY l_shipdate) AS BIGINT) AS run FROM lineitem) SELECT l_suppkey, l_shipdate, max(run) AS run, min(run) AS same FROM w GROUP BY 1, 2"),
     "content_store": (lambda s, d: table(s, d, "documents").select(F.sha2("text", 256).alias("content_hash"), "doc_id").groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1"),
     "newest_page": (lambda s, d: mapping.page(table(s, d, "orders").select("o_orderkey", "o_orderdate"), [F.desc("o_orderdate"), "o_orderkey"], 2, 50), "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50 OFFSET 100"),
 }
