@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
-from tidemark.operators import graph
+from tidemark.operators import derived, graph, quality
 from tidemark.plans import catalog
 
 
@@ -20,3 +20,17 @@ def test_whole_tables_are_read(spark):
     assert q["running_sum_peers_whole"](spark, SF).select("l_suppkey").distinct().count() == suppliers
     ordered = spark.read.parquet(f"{SF}/orders.parquet").select("o_custkey").distinct().count()
     assert q["set_operations_whole"](spark, SF).where(F.col("kind") == "ordered").count() == ordered
+
+
+def test_coverage_keeps_gaps(spark):
+    rules = spark.createDataFrame([("a", "dailyAvgA", "x"), ("b", "dailyAvgB", "y")], "indicator string, target string, unit string")
+    df = spark.createDataFrame([("u", "a"), ("v", "a"), ("v", "c")], "user_id string, indicator string")
+    assert sorted(map(tuple, quality.coverage(df, rules).collect())) == [("a", "dailyAvgA", "x", 2, 2), ("b", "dailyAvgB", "y", 0, 0)]
+
+
+def test_coverage_of_summaries_and_derived_indicators(spark):
+    rules = spark.createDataFrame([("heartRates", "dailyMaxHeartRates", "x"), ("heartRates", "dailyMinHeartRates", "x")], "indicator string, target string, unit string")
+    df = spark.createDataFrame([("u", "dailyMaxHeartRates.garmin"), ("v", "dailyMaxHeartRates.oura"), ("v", "dailyMaxHeartRates.oura")], "user_id string, indicator string")
+    assert sorted(map(tuple, quality.observed_targets(df, rules).select("target", "observed", "rows").collect())) == [("dailyMaxHeartRates", "dailyMaxHeartRates.garmin,dailyMaxHeartRates.oura", 3), ("dailyMinHeartRates", "", 0)]
+    got = {r["derived"]: (r["missing"], r["satisfied"]) for r in quality.derived_dependencies(df, derived.inputs_table(spark)).collect()}
+    assert got["derivedHrRange"] == ("dailyMinHeartRates", False) and len(got) == len(derived.RULES)

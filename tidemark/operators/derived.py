@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import registry
@@ -29,6 +29,10 @@ RULES: dict[str, tuple[tuple[str, ...], Callable[..., Column]]] = {
 }
 
 
+def inputs_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(name, i) for name, (names, _) in RULES.items() for i in names], "derived string, input string")
+
+
 def priority(source: Column) -> Column:
     out = F.lit(999)
     for name, p in registry.SOURCE_PRIORITY.items():

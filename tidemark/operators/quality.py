@@ -114,4 +114,19 @@ def analyzable_pairs(profile: DataFrame, least_days: int = 7) -> DataFrame:
 def coverage(df: DataFrame, rules: DataFrame) -> DataFrame:
     """Rules of the registry with the records that their source indicators have, 0 for gaps."""
     seen = df.groupBy("indicator").agg(F.count("*").alias("records"), F.countDistinct("user_id").alias("users"))
-    return F.broadcast(rules).join(seen, "indicator", "right").where("target is not null").select("indicator", "target", "unit", "records", "users")
+    # rules and counts both have a row for each name of the registry at most, so the counts are the side to send
+    return rules.join(F.broadcast(seen.join(F.broadcast(rules.select("indicator").distinct()), "indicator", "left_semi")), "indicator", "left").select("indicator", "target", "unit", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("users", F.lit(0)).alias("users"))
+
+
+def observed_targets(summaries: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rules of the registry with the names (target.source) that summaries (user_id, indicator) have of them, "" and 0 for none."""
+    made = summaries.groupBy(F.substring_index("indicator", ".", 1).alias("target"), "indicator").agg(F.count("*").alias("n"))
+    made = made.join(F.broadcast(rules.select("target")), "target", "left_semi").groupBy("target").agg(F.array_join(F.array_sort(F.collect_list("indicator")), ",").alias("observed"), F.sum("n").alias("rows"))
+    return rules.join(made, "target", "left").select(rules["indicator"], "target", F.coalesce("observed", F.lit("")).alias("observed"), F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
+def derived_dependencies(summaries: DataFrame, inputs: DataFrame) -> DataFrame:
+    """Second-level indicators (derived, input) with the inputs that no summary has and whether all are there."""
+    have = summaries.select(F.substring_index("indicator", ".", 1).alias("input")).distinct().withColumn("there", F.lit(True))
+    out = inputs.join(have, "input", "left").groupBy("derived").agg(F.count("*").alias("inputs"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("there").isNull(), F.col("input")))), ",").alias("missing"))
+    return out.select("derived", "inputs", "missing", (F.col("missing") == "").alias("satisfied"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import registry
+from tidemark.operators import daily, derived
 from tidemark.operators import quality as q
 from tidemark.sources.readings import FILTERED, readings
 from tidemark.sources.readings import READINGS_SQL as R
@@ -45,5 +46,8 @@ QUERIES = {
     "timestamp_quality": (_on(q.timestamp_quality, "2024-01-20"), f"WITH {R} SELECT source, count(*) FILTER (WHERE time < TIMESTAMP '2010-01-01') AS too_old, count(*) FILTER (WHERE time > TIMESTAMP '2024-01-22') AS in_future, count(*) AS total FROM readings GROUP BY 1"),
     "user_profile": (_on(q.user_profile, AS_OF), f"WITH {R}, p AS (SELECT user_id, indicator, count(DISTINCT CAST(time AS DATE)) AS days, count(*) AS records, max(time) AS latest, CAST(min(num) AS DOUBLE) AS low, CAST(max(num) AS DOUBLE) AS high, count(DISTINCT CAST(time AS DATE)) FILTER (WHERE CAST(time AS DATE) > CAST({_TS} AS DATE) - 14) AS recent FROM good GROUP BY 1, 2) SELECT *, datediff('day', CAST(latest AS DATE), CAST({_TS} AS DATE)) AS days_since, CASE WHEN recent >= 11 THEN 'continuous' WHEN recent >= 7 THEN 'intermittent' ELSE 'sparse' END AS density FROM p"),
     "analyzable_pairs": (lambda s, d: q.analyzable_pairs(q.user_profile(readings(s, d), _at())), f"WITH {R}, p AS (SELECT user_id, indicator, count(DISTINCT CAST(time AS DATE)) AS days FROM good GROUP BY 1, 2) SELECT a.user_id, a.indicator AS first, b.indicator AS second, least(a.days, b.days) AS days FROM p a JOIN p b ON a.user_id = b.user_id AND a.indicator < b.indicator WHERE least(a.days, b.days) >= 7"),
-    "coverage_report": (lambda s, d: q.coverage(readings(s, d), registry.rules_table(s)), f"WITH {R}, r AS ({_RULES}), s AS (SELECT indicator, count(*) AS records, count(DISTINCT user_id) AS users FROM readings GROUP BY 1) SELECT r.indicator, target, unit, records, users FROM r JOIN s ON r.indicator = s.indicator"),
+    "coverage_report": (lambda s, d: q.coverage(readings(s, d), registry.rules_table(s)).where("records > 0"), f"WITH {R}, r AS ({_RULES}), s AS (SELECT indicator, count(*) AS records, count(DISTINCT user_id) AS users FROM readings GROUP BY 1) SELECT r.indicator, target, unit, records, users FROM r JOIN s ON r.indicator = s.indicator"),
+    "coverage_report_whole": (lambda s, d: q.coverage(readings(s, d), registry.rules_table(s)), f"WITH {R}, r AS ({_RULES}), s AS (SELECT indicator, count(*) AS records, count(DISTINCT user_id) AS users FROM readings GROUP BY 1) SELECT r.indicator, target, unit, coalesce(records, 0) AS records, coalesce(users, 0) AS users FROM r LEFT JOIN s ON r.indicator = s.indicator"),
+    "coverage_observed": (lambda s, d: q.observed_targets(daily.summaries(readings(s, d)), registry.rules_table(s)), None),
+    "coverage_derived": (lambda s, d: q.derived_dependencies(daily.summaries(readings(s, d)), derived.inputs_table(s)), None),
 }
