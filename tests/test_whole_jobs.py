@@ -1,9 +1,11 @@
 """Operators and queries that must do the whole job: nothing cut away by ids, sizes or inner joins."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
-from tidemark.operators import derived, graph, quality
+from tidemark.operators import derived, graph, insight, quality
 from tidemark.plans import catalog
 
 
@@ -34,3 +36,49 @@ def test_coverage_of_summaries_and_derived_indicators(spark):
     assert sorted(map(tuple, quality.observed_targets(df, rules).select("target", "observed", "rows").collect())) == [("dailyMaxHeartRates", "dailyMaxHeartRates.garmin,dailyMaxHeartRates.oura", 3), ("dailyMinHeartRates", "", 0)]
     got = {r["derived"]: (r["missing"], r["satisfied"]) for r in quality.derived_dependencies(df, derived.inputs_table(spark)).collect()}
     assert got["derivedHrRange"] == ("dailyMinHeartRates", False) and len(got) == len(derived.RULES)
+
+
+TARGET = dt.date(2025, 3, 30)
+DAILY = "user_id string, category string, day date, value double"
+
+
+def days(spark, *series):
+    """(user, category, values of the days up to the target)."""
+    return spark.createDataFrame([(u, c, TARGET - dt.timedelta(days=len(v) - 1 - i), float(x)) for u, c, v in series for i, x in enumerate(v)], DAILY)
+
+
+def test_trends_must_be_large_and_to_the_worse(spark):
+    up, down, flat = [60 + i * 0.4 for i in range(29)], [80 - i * 0.4 for i in range(29)], [60 + i * 0.1 for i in range(29)]
+    v = days(spark, ("up", "heartRates", up), ("down", "heartRates", down), ("flat", "heartRates", flat), ("noisy", "heartRates", up), ("other", "x", up), ("thin", "bodyFat", down))
+    base = v.select("user_id", "category").distinct().withColumn("sigma", F.when(F.col("user_id") == "noisy", 10.0).otherwise(4.0))
+    got = {r["user_id"]: (round(r["total"], 3), r["severity"]) for r in insight.trend_findings(v, base, str(TARGET)).collect()}
+    assert got == {"up": (11.2, "moderate"), "thin": (-11.2, "mild")}
+
+
+def test_weekday_pattern_needs_days_of_both_kinds(spark):
+    # 30 March 2025 is a Sunday
+    whole = [200 if (TARGET - dt.timedelta(days=28 - i)).weekday() >= 5 else 100 for i in range(29)]
+    v = days(spark, ("a", "steps", whole), ("b", "steps", whole))
+    v = v.where("user_id = 'a' or weekday(day) < 5 or day > date'2025-03-16'").where("user_id = 'a' or day <> date'2025-03-30'")
+    assert v.where("user_id = 'b'").count() >= 20
+    assert [r["user_id"] for r in insight.weekday_pattern(v, str(TARGET)).collect()] == ["a"]
+
+
+def test_glucose_runs_up_to_the_target(spark):
+    z = {"long": [0, 0, *[2.5] * 7], "short": [0, 0, 0, *[2.5] * 6], "over": [*[2.5] * 8, 0], "mild": [*[1.6] * 9]}
+    dev = days(spark, *[(u, "bloodGlucoses", v) for u, v in z.items()], ("steps", "steps", [3] * 9)).withColumn("z", F.col("value"))
+    assert {r["user_id"]: (r["length"], r["severity"]) for r in insight.glucose(dev, str(TARGET)).collect()} == {"long": (7, "moderate"), "mild": (9, "mild")}
+
+
+def test_registered_thresholds_are_the_surveyed_ones(spark):
+    """Days without enough coverage have no glucose indicator; weak signals are no findings."""
+    q = catalog.queries()
+    assert q["gmi_14d"](spark, SF).where("gmi is not null and kept * interval < 0.7 * 14 * 1440").count() == 0
+    assert q["insight_multi_signal"](spark, SF).where("signals < 2 or longest < 3 or peak < 2").count() == 0
+    assert q["insight_single_sustained"](spark, SF).where("length < 5").count() == 0
+
+
+def test_signals_together_and_sustained(spark):
+    dev = days(spark, ("two", "a", [2.5] * 3), ("two", "b", [2.2] * 4), ("one", "a", [2.5] * 5), ("weak", "a", [1.9] * 9), ("weak", "b", [1.9] * 9)).withColumn("z", F.col("value"))
+    assert [(r["user_id"], r["signals"], r["longest"]) for r in insight.multi_signal(dev, str(TARGET)).collect()] == [("two", 2, 4)]
+    assert [(r["user_id"], r["length"]) for r in insight.single_sustained(dev, str(TARGET)).collect()] == [("one", 5)]

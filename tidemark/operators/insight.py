@@ -1,4 +1,4 @@
-"""Insights: baselines that freeze on excursions, density, tags, and six recipes over a user's daily values.
+"""Insights: baselines that freeze on excursions, density, and six recipes (without tags) over a user's daily values.
 
 A user's category has one value a day, so its history within the lookback is a bounded array: baselines fold
 over it within the row, and the recipes read the folded days. No group is larger than the lookback."""
@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 
 KEY = ["user_id", "category"]
 
+#: Of a trend the least change a week and in all, and the direction that is worse (0: both). Glucose in mg/dL.
+TRENDS = {
+    "heartRates": (1.5, 6.0, 1), "sleepDeep": (1.5, 5.0, -1), "bloodGlucoses": (0.2 * 18.0182, 0.5 * 18.0182, 1), "weight": (0.8, 3.0, 0), "bmi": (0.3, 1.0, 0),
+    "bodyFat": (0.8, 3.0, 0), "bpSystolic": (2.5, 8.0, 1), "steps": (1500.0, 4000.0, -1), "hrv": (3.0, 10.0, -1),
+}
+SLOW = ["weight", "bmi", "bodyFat"]
+
 
 def histories(values: DataFrame) -> DataFrame:
     """(user_id, category, days) with days an array of (day, value) in order, from (user_id, category, day, value)."""
@@ -44,11 +51,11 @@ def deviations(values: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def runs(dev: DataFrame, least_z: float, direction: int = 1) -> DataFrame:
-    """Stretches of consecutive days beyond a distance: start, stop, length, peak."""
+    """Stretches of consecutive days beyond a distance: start, stop, length, peak, mean."""
     d = dev.where(F.col("z") * direction >= least_z)
     w = Window.partitionBy(*KEY).orderBy("day")
     d = d.withColumn("island", F.date_sub("day", F.row_number().over(w)))
-    return d.groupBy(*KEY, "island").agg(F.min("day").alias("start"), F.max("day").alias("stop"), F.count("*").alias("length"), F.max(F.abs("z")).alias("peak")).drop("island")
+    return d.groupBy(*KEY, "island").agg(F.min("day").alias("start"), F.max("day").alias("stop"), F.count("*").alias("length"), F.max(F.abs("z")).alias("peak"), F.avg("z").alias("mean")).drop("island")
 
 
 def density(values: DataFrame, target: str, days: int = 14) -> DataFrame:
@@ -69,7 +76,7 @@ def single_sustained(dev: DataFrame, target: str, least_z: float = 2.5, run: int
 
 
 def trend(values: DataFrame, target: str, days: int = 28, least: int = 14) -> DataFrame:
-    """Slope of weekly means over four weeks before the target, with the total change in standard deviations."""
+    """Slope of weekly means over four weeks before the target; trend_findings() judges it."""
     end = F.lit(target).cast("date")
     v = values.where((F.col("day") < end) & (F.col("day") >= F.date_sub(end, days))).withColumn("week", F.floor(F.datediff("day", F.date_sub(end, days)) / 7).cast("int"))
     per = v.groupBy(*KEY, "week").agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
@@ -77,6 +84,18 @@ def trend(values: DataFrame, target: str, days: int = 28, least: int = 14) -> Da
     return out.where((F.col("n") >= least) & (F.col("weeks") >= 3)).select(*KEY, F.round("slope", 6).alias("slope"), "n", "weeks")
 
 
+def trend_findings(values: DataFrame, base: DataFrame, target: str, least_sigma: float = 1.5, weeks: int = 4) -> DataFrame:
+    """Each user's trend to the worse with the largest total change in standard deviations; ties go to the first category."""
+    rule = F.create_map(*[x for c, (week, total, way) in TRENDS.items() for x in (F.lit(c), F.struct(F.lit(week).alias("week"), F.lit(total).alias("total"), F.lit(way).alias("way")))])
+    t = trend(values, target, days=7 * weeks).withColumn("rule", F.try_element_at(rule, F.col("category"))).join(base.select(*KEY, "sigma"), KEY)
+    t = t.withColumn("total", F.col("slope") * weeks).withColumn("change", F.abs("total") / F.col("sigma"))
+    t = t.where((F.abs("slope") >= F.col("rule.week")) & (F.abs("total") >= F.col("rule.total")) & ((F.col("rule.way") == 0) | (F.signum("slope") == F.col("rule.way"))) & (F.col("change") >= least_sigma))
+    t = t.withColumn("_r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("change"), "category"))).where("_r = 1")
+    slow = F.col("category").isin(SLOW)
+    severity = F.when(F.col("change") >= F.when(slow, 5.0).otherwise(3.0), "severe").when(F.col("change") >= F.when(slow, 3.5).otherwise(2.0), "moderate").otherwise("mild")
+    return t.select(*KEY, "slope", F.round("total", 6).alias("total"), F.round("change", 6).alias("change"), severity.alias("severity"))
+
+
 def recovery(dev: DataFrame, target: str, window: int = 60, drop: float = 2.0) -> DataFrame:
     """A peak of two deviations or more, and a last five days calm and well below it."""
     end = F.lit(target).cast("date")
@@ -85,14 +104,22 @@ def recovery(dev: DataFrame, target: str, window: int = 60, drop: float = 2.0) -
     return out.where((F.col("peak") >= 2) & (F.abs("now") < 0.8) & (F.col("peak") - F.col("now") >= drop))
 
 
-def weekday_pattern(values: DataFrame, target: str, days: int = 28, least: int = 20, share: float = 0.3) -> DataFrame:
-    """Weekday and weekend means that differ by a share of the larger one."""
+def weekday_pattern(values: DataFrame, target: str, days: int = 28, least: int = 20, share: float = 0.3, least_weekdays: int = 12, least_weekends: int = 4) -> DataFrame:
+    """Weekday and weekend means, each of enough days, that differ by a share of the larger one."""
     end = F.lit(target).cast("date")
     weekend = F.weekday("day") >= 5
-    v = values.where(F.col("day").between(F.date_sub(end, days), end)).groupBy(*KEY).agg(F.count("*").alias("n"), F.avg(F.when(~weekend, F.col("value"))).alias("weekdays"), F.avg(F.when(weekend, F.col("value"))).alias("weekends"))
+    v = values.where(F.col("day").between(F.date_sub(end, days), end)).groupBy(*KEY).agg(F.count("*").alias("n"), F.count_if(~weekend).alias("n_weekdays"), F.count_if(weekend).alias("n_weekends"), F.avg(F.when(~weekend, F.col("value"))).alias("weekdays"), F.avg(F.when(weekend, F.col("value"))).alias("weekends"))
+    v = v.where((F.col("n_weekdays") >= least_weekdays) & (F.col("n_weekends") >= least_weekends))
     return v.where((F.col("n") >= least) & (F.abs(F.col("weekdays") - F.col("weekends")) >= share * F.greatest("weekdays", "weekends"))).select(*KEY, "n", F.round("weekdays", 6).alias("weekdays"), F.round("weekends", 6).alias("weekends"))
 
 
+def glucose(dev: DataFrame, target: str, least_z: float = 1.5, run: int = 7, window: int = 30) -> DataFrame:
+    """Users whose glucose has been high for days in a row up to the target; severity by the run's mean distance."""
+    end = F.lit(target).cast("date")
+    r = runs(dev.where((F.col("category") == "bloodGlucoses") & (F.col("day") > F.date_sub(end, window))), least_z).where((F.col("stop") == end) & (F.col("length") >= run))
+    return r.select("user_id", "length", F.round("mean", 6).alias("mean"), F.when(F.col("mean") >= 3, "severe").when(F.col("mean") >= 2, "moderate").otherwise("mild").alias("severity"))
+
+
 def cooled_down(found: DataFrame, past: DataFrame, days: int) -> DataFrame:
     """Findings (user_id, recipe, target) without one of the same recipe in the days before."""
     if days <= 1:

@@ -69,7 +69,9 @@ QUERIES = {
     "daily_glucose_ranges": (lambda s, d: daily.aggregate(readings(s, d).where("indicator = 'bloodGlucoses'"), ["pct_below_70", "tir_70_180", "pct_above_180", "tir_70_140"]).select("user_id", "source", F.col("day").cast("timestamp").alias("day"), "pct_below_70", "tir_70_180", "pct_above_180", "tir_70_140"), f"WITH {R} SELECT user_id, source, {_day}, " + ", ".join(f"{_method_sql(m)} AS {m}" for m in ("pct_below_70", "tir_70_180", "pct_above_180", "tir_70_140")) + f" FROM good WHERE indicator = 'bloodGlucoses' GROUP BY {GROUP}"),
     "hypo_events": (lambda s, d: clinical.hypo_events(readings(s, d), low=90, gap_minutes=1440).select("user_id", "source", F.col("day").cast("timestamp").alias("day"), "at_time", "minutes"), f"{_HYPO} SELECT user_id, source, {_day}, at_time, minutes FROM e WHERE us >= 900000000"),
     "hypo_summary": (lambda s, d: clinical.hypo_summary(readings(s, d), low=90, gap_minutes=1440).withColumn("day", F.col("day").cast("timestamp")), f"{_HYPO}, k AS (SELECT user_id, source, timezone, day, count(*) AS n, string_agg(at_time, ',' ORDER BY at_time) AS ats, sum(minutes) AS m FROM e WHERE us >= 900000000 GROUP BY ALL) SELECT u.user_id, u.source, CAST(u.day AS TIMESTAMP) AS day, coalesce(n, 0) AS event_count, coalesce(ats, '') AS event_times, CAST(coalesce(m, 0) AS BIGINT) AS event_minutes FROM (SELECT DISTINCT user_id, source, timezone, day FROM good WHERE indicator = 'bloodGlucoses' AND true) u LEFT JOIN k ON k.user_id = u.user_id AND k.source = u.source AND k.timezone = u.timezone AND k.day = u.day"),
-    "gmi_14d": (lambda s, d: clinical.gmi(readings(s, d), coverage=0.0005).withColumn("day", F.col("day").cast("timestamp")), None),
+    "hypo_events_clinical": (lambda s, d: clinical.hypo_events(readings(s, d)).select("user_id", "source", F.col("day").cast("timestamp").alias("day"), "at_time", "minutes"), None),
+    "hypo_summary_clinical": (lambda s, d: clinical.hypo_summary(readings(s, d)).withColumn("day", F.col("day").cast("timestamp")), None),
+    "gmi_14d": (lambda s, d: clinical.gmi(readings(s, d)).withColumn("day", F.col("day").cast("timestamp")), None),
     "morning_hr_jump": (lambda s, d: clinical.morning_jump(readings(s, d)).withColumn("day", F.col("day").cast("timestamp")), f"WITH {R}, h AS (SELECT user_id, day, num, hour(local_time) AS h FROM good WHERE indicator = 'heartRates' AND num BETWEEN 30 AND 220), j AS (SELECT user_id, day, max(num) FILTER (WHERE h BETWEEN 6 AND 8) AS top, CAST(sum(num * 100) FILTER (WHERE h BETWEEN 1 AND 4) AS HUGEINT) AS s, count(*) FILTER (WHERE h BETWEEN 1 AND 4) AS n FROM h GROUP BY ALL) SELECT user_id, CAST(day AS TIMESTAMP) AS day, round((CAST(top * 100 AS HUGEINT) * n - s) / n / 100.0, 2) AS jump FROM j WHERE n > 0 AND CAST(top * 100 AS HUGEINT) * n > s"),
     "nighttime_resting_hr": (lambda s, d: clinical.night_resting(readings(s, d), points=2).withColumn("day", F.col("day").cast("timestamp")), f"WITH {R} SELECT user_id, CAST(day AS TIMESTAMP) AS day, round(quantile_cont(CAST(num AS DOUBLE), 0.1), 4) AS resting, count(*) AS points FROM good WHERE indicator = 'heartRates' AND num BETWEEN 30 AND 220 AND hour(local_time) BETWEEN 1 AND 4 GROUP BY user_id, day HAVING count(*) >= 2"),
     "sleep_onset_latency": (lambda s, d: clinical.sleep_onset(readings(s, d)).withColumn("night", F.col("night").cast("timestamp")), f"WITH {R}, g AS (SELECT *, CAST(local_time - INTERVAL 18 HOUR AS DATE) AS night FROM good WHERE indicator IN ('sleepAnalysis_InBed', 'oxygenSaturations')), b AS (SELECT user_id, night, min(time) FILTER (WHERE indicator = 'sleepAnalysis_InBed') AS bed FROM g GROUP BY ALL), o AS (SELECT g.user_id, g.night, any_value(bed) AS bed, min(time) AS asleep FROM g JOIN b ON g.user_id = b.user_id AND g.night = b.night WHERE indicator = 'oxygenSaturations' AND time > bed GROUP BY ALL) SELECT user_id, CAST(night AS TIMESTAMP) AS night, round((epoch_us(asleep) - epoch_us(bed)) / 60000000.0, 2) AS latency FROM o WHERE (epoch_us(asleep) - epoch_us(bed)) / 60000000.0 <= 120"),
@@ -78,3 +80,5 @@ QUERIES = {
 }
 _VAL = f"WITH {VALUES_SQL}, pick AS (SELECT user_id, day, indicator, a, hi, lo, s, sd FROM (SELECT *, row_number() OVER (PARTITION BY user_id, day, indicator ORDER BY CASE source WHEN 'vital.garmin' THEN 8 WHEN 'apple_health' THEN 99 ELSE 999 END, hi DESC) AS r FROM vals) WHERE r = 1)"
 QUERIES["derived_indicators"] = (QUERIES["derived_indicators"][0], f"{_VAL} SELECT user_id, CAST(day AS TIMESTAMP) AS day, 'derivedHrRange' AS indicator, round(hi - lo, 2) AS value FROM pick WHERE indicator = 'heartRates' AND hi > lo UNION ALL SELECT user_id, CAST(day AS TIMESTAMP), 'derivedBloodGlucoseCV', round(least(100.0, sd / a * 100), 2) FROM pick WHERE indicator = 'bloodGlucoses' AND a > 0 AND sd IS NOT NULL")
+for _name in ("hypo_events", "hypo_summary"):
+    QUERIES[f"{_name}_clinical"] = (QUERIES[f"{_name}_clinical"][0], QUERIES[_name][1].replace("num >= 90", "num >= 70").replace("num < 90", "num < 70").replace("> 86400000000", "> 3600000000"))

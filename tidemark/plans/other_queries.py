@@ -148,11 +148,14 @@ QUERIES = {
     "nearby_positions": (_nearby, "WITH p AS (SELECT substr(p_brand, 7) AS grp, CAST(p_retailprice * 10 AS BIGINT) AS position, p_partkey AS id FROM part), j AS (SELECT a.grp, a.id, b.id AS near, abs(b.position - a.position) AS distance FROM p a JOIN p b ON a.grp = b.grp AND abs(b.position - a.position) <= 400 WHERE a.id % 97 = 0 AND b.id % 97 <> 0) SELECT grp, id, near, distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, near) AS r FROM j) WHERE r <= 5"),
     "baselines": (lambda s, d: _base(s, d).drop("days").withColumn("mean", F.round("mean", 6)).withColumn("sigma", F.round("sigma", 6)), None),
     "insight_density": (lambda s, d: insight.density(_values(s, d), TARGET), f"WITH {_V} SELECT user_id, category, count(DISTINCT day) AS n, CASE WHEN count(DISTINCT day) >= 12 THEN 'continuous' WHEN count(DISTINCT day) >= 7 THEN 'intermittent' ELSE 'sparse' END AS density FROM v WHERE day BETWEEN {_D} - 14 AND {_D} GROUP BY 1, 2"),
-    "insight_multi_signal": (lambda s, d: insight.multi_signal(insight.deviations(_values(s, d), _base(s, d)), TARGET, least_z=0.5, signals=1, run=2).withColumn("peak", F.round("peak", 6)), None),
-    "insight_single_sustained": (lambda s, d: insight.single_sustained(insight.deviations(_values(s, d), _base(s, d)), TARGET, least_z=0.1, run=2).select("user_id", "category", F.col("length")), None),
+    "insight_multi_signal": (lambda s, d: insight.multi_signal(insight.deviations(_values(s, d), _base(s, d)), TARGET).withColumn("peak", F.round("peak", 6)), None),
+    "insight_single_sustained": (lambda s, d: insight.single_sustained(insight.deviations(_values(s, d), _base(s, d)), TARGET).select("user_id", "category", F.col("length")), None),
     "insight_trend": (lambda s, d: insight.trend(_values(s, d), TARGET, least=6), f"WITH {_V}, w AS (SELECT user_id, category, CAST(floor(datediff('day', {_D} - 28, day) / 7) AS INT) AS week, avg(value) AS mean, count(*) AS n FROM v WHERE day < {_D} AND day >= {_D} - 28 GROUP BY 1, 2, 3) SELECT user_id, category, round(regr_slope(mean, week), 6) AS slope, CAST(sum(n) AS BIGINT) AS n, count(*) AS weeks FROM w GROUP BY 1, 2 HAVING sum(n) >= 6 AND count(*) >= 3"),
     "insight_recovery": (lambda s, d: insight.recovery(insight.deviations(_values(s, d), _base(s, d)), TARGET).withColumn("peak", F.round("peak", 6)).withColumn("now", F.round("now", 6)), None),
-    "insight_weekday_pattern": (lambda s, d: insight.weekday_pattern(_values(s, d), TARGET, least=8), f"WITH {_V}, w AS (SELECT user_id, category, count(*) AS n, avg(value) FILTER (WHERE isodow(day) < 6) AS weekdays, avg(value) FILTER (WHERE isodow(day) >= 6) AS weekends FROM v WHERE day BETWEEN {_D} - 28 AND {_D} GROUP BY 1, 2) SELECT user_id, category, n, round(weekdays, 6) AS weekdays, round(weekends, 6) AS weekends FROM w WHERE n >= 8 AND abs(weekdays - weekends) >= 0.3 * greatest(weekdays, weekends)"),
+    "insight_weekday_pattern": (lambda s, d: insight.weekday_pattern(_values(s, d), TARGET, least=8, least_weekdays=0, least_weekends=0), f"WITH {_V}, w AS (SELECT user_id, category, count(*) AS n, avg(value) FILTER (WHERE isodow(day) < 6) AS weekdays, avg(value) FILTER (WHERE isodow(day) >= 6) AS weekends FROM v WHERE day BETWEEN {_D} - 28 AND {_D} GROUP BY 1, 2) SELECT user_id, category, n, round(weekdays, 6) AS weekdays, round(weekends, 6) AS weekends FROM w WHERE n >= 8 AND abs(weekdays - weekends) >= 0.3 * greatest(weekdays, weekends)"),
+    "insight_trend_findings": (lambda s, d: insight.trend_findings(_values(s, d), _base(s, d), TARGET), None),
+    "insight_weekday_steps": (lambda s, d: insight.weekday_pattern(_values(s, d).where("category = 'steps'"), TARGET), None),
+    "insight_glucose": (lambda s, d: insight.glucose(insight.deviations(_values(s, d), _base(s, d)), TARGET), None),
     "active_users": (lambda s, d: readings(s, d).where(F.col("time") >= F.lit(TARGET).cast("timestamp")).select("user_id").distinct(), f"WITH {R} SELECT DISTINCT user_id FROM readings WHERE time >= TIMESTAMP '{TARGET}'"),
     "cosine_top_k": (_topk(), f"WITH c AS ({_COS}) SELECT query_id, id, round(c, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 12) DESC, id) AS r FROM c) WHERE r <= 5"),
     "resolve_per_system": (_topk("label"), f"WITH c AS ({_COS}) SELECT query_id, id, round(c, 5) AS score, CAST(label AS BIGINT) AS label FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY round(c, 12) DESC, id) AS r FROM c) WHERE r <= 5"),
