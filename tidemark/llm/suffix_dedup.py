@@ -10,9 +10,13 @@ half-width grams in it. Equal windows have the same anchor at the same offset, w
   chunks that occur again, every window is repeated.
 * pass 2 orders down to depth `width` what pass 1 leaves open: grams around which different chunks stand.
   One copy of each such chunk is sent as text, and the windows of all chunks of a gram are compared.
+  A gram with many chunks (a footer between different neighbours) would be a group without bound, so its
+  chunks don't stay together: their windows are dealt by the windows' own hashes.
 
 Pass 1 aggregates in the map task first: of a chunk that occurs often there, one occurrence goes on, and the
-others are already known to be repeated. So a passage that a third of the documents hold stays spread out.
+others are already known to be repeated. So a passage that a third of the documents hold stays spread out. Of
+a gram around which many different chunks stand there, only a mark goes to its bucket. Windows that are dealt
+by their hashes are aggregated in the map task in the same way.
 
 Defined cases: null text is empty; texts shorter than the width keep all bytes but can't lose any; matches
 don't cross documents; rows that share a doc_id are documents of their own (the text's hash tells them
@@ -35,13 +39,20 @@ from .common import materialise, partitions_of, prepare
 
 #: Bytes of postings that a task holds before it hands them on.
 FLUSH = 24 << 20
+#: Different chunks of a gram, in what a task holds or in all, from which their windows are dealt out.
+HOT = 256
+#: Added to the count of a chunk that is asked for, if its windows are dealt out.
+_DEALT = 1 << 20
 #: Bytes of text handled at a time; longer texts are cut into overlapping pieces.
 PIECE = 1 << 20
 _INDEX_BITS = np.uint64(23)
 #: A row of a table: its doc_id (the least long for null) and a hash of its text.
 _ROW = np.dtype([("id", "<i8"), ("tag", "<i4")])
-#: One occurrence of a chunk; a negative count: already known to be repeated.
+#: One occurrence of a chunk; a negative count: already known to be repeated; none: a mark that the gram is hot.
 _POSTING = np.dtype([("gram", "<u8"), ("chunk", "<u8"), ("id", "<i8"), ("tag", "<i4"), ("start", "<i4"), ("count", "<i2")])
+#: A window that is dealt out: SINGLE, REPEATED (sent on only for others to be compared with) or KNOWN (only to be removed).
+_WINDOW = np.dtype([("hash", "<u8"), ("id", "<i8"), ("tag", "<i4"), ("start", "<i4"), ("state", "<i1")])
+SINGLE, REPEATED, KNOWN = range(3)
 _RANGES = "id long, tag int, ranges binary, asked binary"
 
 
@@ -110,8 +121,20 @@ def _batches(rows: list[tuple], schema: list[tuple[str, pa.DataType]], size: int
 _SENT = [("bucket", pa.int32()), ("kind", pa.int32()), ("postings", pa.binary())]
 
 
-def _chunk_postings(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Every chunk of the texts. kind 0 goes to its gram's bucket; kind 1 is known to be repeated."""
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each key, whether it is the first of its value, and how many have the value."""
+    order = np.argsort(keys, kind="stable")
+    k = keys[order]
+    head = np.ones(len(k), bool)
+    head[1:] = k[1:] != k[:-1]
+    size = np.diff(np.append(np.flatnonzero(head), len(k)))
+    first, count = np.zeros(len(k), bool), np.zeros(len(k), np.int64)
+    first[order], count[order] = head, np.repeat(size, size)
+    return first, count
+
+
+def _chunk_postings(batches: Iterator[pa.RecordBatch], width: int, buckets: int, hot: int = HOT) -> Iterator[pa.RecordBatch]:
+    """Every chunk of the texts. kind 0 goes to its gram's bucket; kind 1 is known to be repeated; kind 2 has a hot gram."""
     held: list[np.ndarray] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -119,19 +142,17 @@ def _chunk_postings(batches: Iterator[pa.RecordBatch], width: int, buckets: int)
             return
         x = np.concatenate(held)
         held.clear()
-        order = np.argsort(x["chunk"], kind="stable")
-        k = x["chunk"][order]
-        first = np.ones(len(k), bool)
-        first[1:] = k[1:] != k[:-1]
-        size = np.diff(np.append(np.flatnonzero(first), len(k)))
-        keep = np.zeros(len(k), bool)
-        keep[order] = first
-        again = np.zeros(len(k), bool)
-        again[order] = np.repeat(size > 1, size)
+        keep, size = _runs(x["chunk"])
+        again = size > 1
         sent = x[keep]
         sent["count"] = np.where(again[keep], -sent["count"], sent["count"])
         known = x[again]
-        rows = [*_blobs(sent, (sent["gram"] % np.uint64(buckets)).astype(np.int64), 0), *_blobs(known, known["id"] % buckets, 1)]
+        first, variants = _runs(sent["gram"])
+        dealt = sent[variants >= hot]
+        marks = sent[(variants >= hot) & first]
+        marks["count"] = 0
+        sent = np.concatenate((sent[variants < hot], marks))
+        rows = [*_blobs(sent, (sent["gram"] % np.uint64(buckets)).astype(np.int64), 0), *_blobs(known, known["id"] % buckets, 1), *_blobs(dealt, dealt["id"] % buckets, 2)]
         yield from _batches(rows, _SENT)
 
     size = 0
@@ -185,9 +206,11 @@ def _spans(postings: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return x
 
 
-def _pass_1(bucket: pa.Table, width: int) -> pa.Table:
+def _pass_1(bucket: pa.Table, width: int, hot: int = HOT) -> pa.Table:
     """Ranges of repeated chunks; one occurrence of each chunk whose gram stands in other chunks, too, is asked for."""
-    x, known = _joined(bucket, 0), _joined(bucket, 1)
+    x, known, dealt = (_joined(bucket, kind) for kind in range(3))
+    marks = np.unique(x["gram"][x["count"] == 0])
+    x = x[x["count"] != 0]
     x = x[np.lexsort((x["chunk"], x["gram"]))]
     n = len(x)
     first = np.ones(n, bool)
@@ -202,34 +225,82 @@ def _pass_1(bucket: pa.Table, width: int) -> pa.Table:
     mixed = np.zeros(len(head), bool)
     mixed[1:] = gram[1:] == gram[:-1]
     mixed[:-1] |= mixed[1:].copy()
+    warm = (_runs(gram)[1] >= hot) | np.isin(gram, marks)  # by variant
+    mixed |= warm
     covered = x[again[variant] & (x["count"] > 0)] if n else x
     chosen = x[head[mixed]] if n else x
     settled = again[mixed] if n else np.zeros(0, bool)
-    count = np.abs(chosen["count"].astype(np.int64))
+    count = np.abs(chosen["count"].astype(np.int64)) + _DEALT * warm[mixed]
+    count = np.where(settled, -count, count)
+    more = dealt["count"].astype(np.int64)
+    chosen, count = np.concatenate((chosen, dealt)), np.concatenate((count, more + np.sign(more) * _DEALT))
     done = np.concatenate((covered, known))
     start = done["start"].astype(np.int64)
-    return _by_row(_spans(done, start, start + np.abs(done["count"].astype(np.int64)) + width - 1), _spans(chosen, chosen["start"], np.where(settled, -count, count)))
+    return _by_row(_spans(done, start, start + np.abs(done["count"].astype(np.int64)) + width - 1), _spans(chosen, chosen["start"], count))
 
 
 def _asked_chunks(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """The chunks that are asked for, with their text, to the bucket of their gram."""
+    """The chunks that are asked for, with their text, to the bucket of their gram; windows to be dealt out to others."""
     rows: list[tuple] = []
+    windows: list[np.ndarray] = []
     size = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        yield from _gathered(rows)
+        yield from _dealt(windows, buckets)
+        rows.clear()
+        windows.clear()
+
     for b in batches:
         for own, tag, t, asked in zip(b.column("id").to_pylist(), b.column("tag").to_pylist(), b.column("text").to_pylist(), b.column("asked"), strict=True):
             text = t.encode("utf-8", "surrogatepass")
             a = np.concatenate([np.frombuffer(v.as_buffer(), np.int32).reshape(-1, 2) for v in asked.values]).astype(np.int64)
+            raw = np.frombuffer(text, np.uint8)
+            apart = np.abs(a[:, 1]) > _DEALT
+            if apart.any():
+                windows.append(_windows_of(raw, a[apart], own, tag, width))
+                size += windows[-1].nbytes
+                a = a[~apart]
+                if not len(a):
+                    continue
             first, count = a[:, 0], np.abs(a[:, 1])
             x = np.empty(len(a), _POSTING)
-            x["gram"] = _anchor_of(np.frombuffer(text, np.uint8), first, width)
+            x["gram"] = _anchor_of(raw, first, width)
             x["chunk"], x["id"], x["tag"], x["start"], x["count"] = 0, own, tag, first, a[:, 1]
             for where, i, s, e in zip((x["gram"] % np.uint64(buckets)).tolist(), range(len(a)), first.tolist(), (first + count + width - 1).tolist(), strict=True):
                 rows.append((where, x[i].tobytes(), text[s:e]))
                 size += e - s + 64
         if size >= FLUSH:
-            yield from _gathered(rows)
-            rows, size = [], 0
-    yield from _gathered(rows)
+            yield from flush()
+            size = 0
+    yield from flush()
+
+
+def _windows_of(raw: np.ndarray, asked: np.ndarray, own: int, tag: int, width: int) -> np.ndarray:
+    """The windows of a text's chunks that are dealt out."""
+    n = np.abs(asked[:, 1]) - _DEALT
+    at = np.repeat(asked[:, 0] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+    x = np.empty(len(at), _WINDOW)
+    x["hash"] = textops.span_hashes(textops.prefix_sums(raw), at, at + width)
+    x["id"], x["tag"], x["start"], x["state"] = own, tag, at, np.repeat(np.where(asked[:, 1] < 0, REPEATED, SINGLE), n)
+    return x
+
+
+def _dealt(held: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Of each window one occurrence, to the bucket of its hash; all that occur again here are known to be repeated."""
+    if not held:
+        return
+    x = np.concatenate(held)
+    first, size = _runs(x["hash"])
+    known = x[(size > 1) & (x["state"] == SINGLE)]
+    known["state"] = KNOWN
+    x["state"] = np.where(size > 1, REPEATED, x["state"])
+    x = x[first]
+    blobs = [*_blobs(x, (x["hash"] % np.uint64(buckets)).astype(np.int64), 0), *_blobs(known, known["id"] % buckets, 0)]
+    yield from _batches([(buckets + k, b, None) for k, _, b in blobs], _CHUNKS)
+
+
+_CHUNKS = [("bucket", pa.int32()), ("postings", pa.binary()), ("chunks", pa.binary())]
 
 
 def _gathered(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +309,7 @@ def _gathered(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         p = out.setdefault(where, ([], []))
         p[0].append(posting)
         p[1].append(text)
-    yield from _batches([(k, b"".join(p), b"".join(t)) for k, (p, t) in out.items()], [("bucket", pa.int32()), ("postings", pa.binary()), ("chunks", pa.binary())])
+    yield from _batches([(k, b"".join(p), b"".join(t)) for k, (p, t) in out.items()], _CHUNKS)
 
 
 def _anchor_of(raw: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
@@ -270,6 +341,19 @@ def _pass_2(bucket: pa.Table, width: int) -> pa.Table:
     return _by_row(np.concatenate(found) if found else np.zeros(0, _SPAN), np.zeros(0, _SPAN))
 
 
+def _pass_2_dealt(bucket: pa.Table, width: int) -> pa.Table:
+    """Byte ranges of the windows of a bucket that are repeated."""
+    x = np.frombuffer(b"".join(v.as_py() for v in bucket.column("postings")), _WINDOW)
+    known, x = x[x["state"] == KNOWN], x[x["state"] != KNOWN]
+    x = np.concatenate((known, x[(_runs(x["hash"])[1] > 1) & (x["state"] == SINGLE)]))
+    x = x[np.lexsort((x["start"], x["tag"], x["id"]))]
+    # windows that touch make one range
+    head = np.ones(len(x), bool)
+    head[1:] = (x["id"][1:] != x["id"][:-1]) | (x["tag"][1:] != x["tag"][:-1]) | (x["start"][1:] > x["start"][:-1] + width)
+    last = np.append(head[1:], True)[: len(x)]
+    return _by_row(_spans(x[head], x["start"][head], x["start"][last] + width), np.zeros(0, _SPAN))
+
+
 def _windows(x: np.ndarray, at: np.ndarray, text: np.ndarray, width: int) -> np.ndarray:
     n = np.abs(x["count"].astype(np.int64))
     length = n + width - 1
@@ -321,7 +405,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out["n_bytes"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["n_spans"], pa.int64()), pa.array(out["kept"], pa.binary()), pa.array(out["sha"], pa.string()), pa.array(out["text"], pa.string()), b.column("rest")], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "text", "rest"])
 
 
-def dedup(docs: DataFrame, width: int = 200, buckets: int | None = None, carry: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, width: int = 200, buckets: int | None = None, carry: bool = False, hot: int = HOT) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256), one for each row of docs.
 
     kept holds the remaining bytes where some were removed, and is null where the text stays as it is; text is
@@ -332,13 +416,13 @@ def dedup(docs: DataFrame, width: int = 200, buckets: int | None = None, carry:
     rest = F.struct(*[docs[c] for c in others]) if others else F.lit(None).cast("int")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), rest.alias("rest")).select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.hash("text").alias("tag"), "text", "rest")
     n = min(4096, max(16, buckets or 2 * partitions_of(source)))
-    posted = source.select("id", "tag", "text").mapInArrow(lambda it: _chunk_postings(it, width, n), "bucket int, kind int, postings binary")
-    found = posted.groupBy("bucket").applyInArrow(lambda t: _pass_1(t, width), _RANGES)
+    posted = source.select("id", "tag", "text").mapInArrow(lambda it: _chunk_postings(it, width, n, hot), "bucket int, kind int, postings binary")
+    found = posted.groupBy("bucket").applyInArrow(lambda t: _pass_1(t, width, hot), _RANGES)
     found = materialise(found.groupBy("id", "tag").agg(F.collect_list("ranges").alias("ranges"), F.collect_list("asked").alias("asked")), "ranges")
     # both uses of this join share one shuffle of the texts
     full = source.join(found, ["id", "tag"], "left")
     asked = full.where(F.size("asked") > 0).select("id", "tag", "text", "asked").mapInArrow(lambda it: _asked_chunks(it, width, n), "bucket int, postings binary, chunks binary")
-    more = asked.groupBy("bucket").applyInArrow(lambda t: _pass_2(t, width), _RANGES)
+    more = asked.groupBy("bucket").applyInArrow(lambda key, t: (_pass_2_dealt if key[0].as_py() >= n else _pass_2)(t, width), _RANGES)
     more = more.groupBy("id", "tag").agg(F.collect_list("ranges").alias("more"))
     kind = source.schema["rest"].dataType.simpleString()
     return full.join(more, ["id", "tag"], "left").select("doc_id", "text", "ranges", "more", "rest").mapInArrow(_removed, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, text string, rest {kind}")
