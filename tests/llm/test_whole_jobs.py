@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from tests.llm.test_text_operators import brute_dedup, overlapping, sorted_rows
-from tidemark.llm import suffix_dedup
+from tidemark.llm import language, suffix_dedup
 
 CUT = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -36,3 +36,19 @@ def test_suffix_dedup_groups_stay_small():
         return np.unique(suffix_dedup._joined(sent, 0)["gram"], return_counts=True)[1].max()
 
     assert most(400) <= 16 and most(40) <= 16
+
+
+def test_every_language_is_learned(spark):
+    """More languages than the 64 that were learned once; each has words of its own."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    words = {f"l{k:02}": [word() for _ in range(6)] for k in range(80)}
+    rows = [(i, " ".join(r.choices(words[lang], k=12)), lang) for i, lang in enumerate(sorted(words) * 12)]
+    got = {p["doc_id"]: p["lang_pred"] for p in language.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [got[i] for i, _, _ in rows] == [lang for _, _, lang in rows]
+
+
+def test_without_labels_only_texts_without_letters_go(spark):
+    rows = [(1, "some text", None), (2, "123 --", None), (3, None, None), (4, "日本", None)]
+    kept = language.keep(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(x["doc_id"] for x in kept.collect()) == [1, 4]

@@ -5,13 +5,14 @@ languages. A word that the model has not seen backs off to its characters: it is
 that the model knows, from its start on, each step shorter counting less. A text's evidence is its mean over words, taken
 for at most EVIDENCE words, so long texts don't become certain of anything.
 
-The model is fitted on a bounded sample: at most about SAMPLE documents of each of the LANGUAGES most frequent
-languages, chosen by a hash of the doc_id, from the rows whose crc32(doc_id) modulo 3 is not 1. It keeps the
-most frequent WORDS words and GRAMS n-grams of each language, so it is small enough to broadcast.
+The model is fitted on a bounded sample: at most about SAMPLE documents of each language that any
+row has, chosen by a hash of the doc_id, from the rows whose crc32(doc_id) modulo 3 is not 1. It keeps the
+most frequent WORDS words and GRAMS n-grams of each language as counts, so it grows in proportion to the number
+of languages only; the evidence of an item for all of them is worked out when a text has it.
 
 Defined cases: text that is null or has no letter is `und` with score 0; text with letters that the model
 knows nothing of gets the most frequent language with the score of a guess; without labelled rows everything
-is `und`; other columns are ignored; a null doc_id is never learned from; an empty table gives no rows.
+is `und`, and keep() drops only texts that are null or have no letter; other columns are ignored; a null doc_id is never learned from; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ from pyspark.sql import functions as F
 from .chunks import ChunkSums
 from .common import fold, prepare
 
-SAMPLE, LANGUAGES, WORDS, GRAMS, LONGEST, EVIDENCE = 2_000, 64, 20_000, 20_000, 4, 25
-#: Unseen words whose evidence a worker remembers.
-REMEMBERED = 300_000
+SAMPLE, WORDS, GRAMS, LONGEST, EVIDENCE = 2_000, 20_000, 20_000, 4, 25
+#: Numbers of the evidence that a worker remembers, of words and of n-grams each.
+REMEMBERED = 1_200_000
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -40,29 +41,50 @@ class Model:
 
     def __init__(self, languages: list[str], words: dict[str, dict[str, int]], grams: dict[str, dict[str, int]]):
         self.languages = languages
-        self.words, self.grams = self._evidence(words), self._evidence(grams)
+        self.words, self.grams = words, grams
+        self.of_words, self.of_grams = self._rest(words), self._rest(grams)
         self.seen: dict[str, list[float]] = {}
+        self.seen_grams: dict[str, list[float]] = {}
+        self.most = REMEMBERED // max(1, len(languages))
 
-    def _evidence(self, counts: dict[str, dict[str, int]]) -> dict[str, list[float]]:
-        """Item to its log frequency in each language less the mean; items of one length share their totals."""
-        total: dict[tuple[int, str], int] = {}
+    def _rest(self, counts: dict[str, dict[str, int]]) -> tuple[bool, dict[int, np.ndarray]]:
+        """Whether items of one length share their totals, or all do; by length the log of each language's total."""
+        total: dict[int, dict[str, int]] = {}
         kinds: dict[int, int] = {}
-        size = (lambda g: len(g)) if counts and max(map(len, counts)) <= LONGEST else (lambda g: 0)
+        by_size = bool(counts) and max(map(len, counts)) <= LONGEST
         for g, by in counts.items():
-            kinds[size(g)] = kinds.get(size(g), 0) + 1
+            k = len(g) if by_size else 0
+            kinds[k] = kinds.get(k, 0) + 1
+            of = total.setdefault(k, {})
             for lang, c in by.items():
-                total[size(g), lang] = total.get((size(g), lang), 0) + c
-        out = {}
-        for g, by in counts.items():
-            k = size(g)
-            v = np.array([math.log((by.get(lang, 0) + 0.3) / (total.get((k, lang), 0) + 0.3 * kinds[k])) for lang in self.languages])
-            out[g] = np.clip(v - v.mean(), -6, 6).tolist()
-        return out
+                of[lang] = of.get(lang, 0) + c
+        return by_size, {k: np.array([total[k].get(lang, 0) + 0.3 * n for lang in self.languages]) for k, n in kinds.items()}
+
+    def _evidence(self, item: str, by: dict[str, int], rest: tuple[bool, dict[int, np.ndarray]]) -> list[float]:
+        """An item's log frequency in each language less the mean."""
+        whole = rest[1][len(item) if rest[0] else 0]
+        v = np.array([math.log((by.get(lang, 0) + 0.3) / t) for lang, t in zip(self.languages, whole.tolist(), strict=True)])
+        return np.clip(v - v.mean(), -6, 6).tolist()
+
+    def gram(self, g: str) -> list[float] | None:
+        if (got := self.seen_grams.get(g)) is not None or (by := self.grams.get(g)) is None:
+            return got
+        v = self._evidence(g, by, self.of_grams)
+        if len(self.seen_grams) < self.most:
+            self.seen_grams[g] = v
+        return v
 
     def word(self, w: str) -> list[float]:
-        if (got := self.words.get(w)) is not None or (got := self.seen.get(w)) is not None:
+        if (got := self.seen.get(w)) is not None:
             return got
-        s, find, i, pieces = f"^{w}$", self.grams.get, 0, 0
+        v = self._evidence(w, by, self.of_words) if (by := self.words.get(w)) is not None else self._cut(w)
+        if len(self.seen) < self.most:
+            self.seen[w] = v
+        return v
+
+    def _cut(self, w: str) -> list[float]:
+        """A word's evidence by its n-grams."""
+        s, find, i, pieces = f"^{w}$", self.gram, 0, 0
         v, n = [0.0] * len(self.languages), len(s)
         while i < n:
             weight = 1.0
@@ -73,10 +95,7 @@ class Model:
                     break
                 weight *= 0.6
             i += k
-        v = [min(6.0, max(-6.0, 2 * a / pieces)) for a in v] if pieces else v
-        if len(self.seen) < REMEMBERED:
-            self.seen[w] = v
-        return v
+        return [min(6.0, max(-6.0, 2 * a / pieces)) for a in v] if pieces else v
 
     def chunk(self, chunk: str) -> list[float]:
         found = _WORD.findall(chunk.lower())
@@ -88,11 +107,11 @@ class Model:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """The model from the labelled rows of docs (doc_id, text, lang) that are not held out."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 1))
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not found:
         return Model([], {}, {})
-    share = F.create_map(*[x for r in found for x in (F.lit(r["lang"]), F.lit(sample / r["count"]))])
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
+    share = docs.sparkSession.createDataFrame([(r["lang"], sample / r["count"]) for r in found], "lang string, share double")
+    chosen = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.col("share") * 1_000_003)
     words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("item")).groupBy("lang", "item").agg(F.count("*").alias("n"))
     words = words.persist()
     marked = words.select("lang", "n", F.concat(F.lit("^"), F.col("item"), F.lit("$")).alias("w"))
@@ -142,6 +161,9 @@ def _kept(batches: Iterator[pa.RecordBatch], shared, least: float) -> Iterator[p
     sums = ChunkSums(model.chunk, len(model.languages) + 1)
     for b in batches:
         pred, score = _guesses(sums, model, [x or "" for x in b.column("text").cast(pa.string()).to_pylist()])
+        if not model.languages:
+            yield b.filter(pa.array([any(map(str.isalpha, x or "")) for x in b.column("text").cast(pa.string()).to_pylist()], pa.bool_()))
+            continue
         yield b.filter(pa.array([p != UNDETERMINED and s >= least for p, s in zip(pred, score, strict=True)], pa.bool_()))
 
 
@@ -155,7 +177,10 @@ def predict(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Model | None = None, least: float = 0.0) -> DataFrame:
-    """The rows of docs whose language is determined, with a score of at least `least`; all columns as they are."""
+    """The rows of docs whose language is determined, with a score of at least `least`; all columns as they are.
+
+    By default that drops texts that are null or have no letter, and no others; `least` is the evidence, the
+    probability of the best language, below which a model drops more. Without a model `least` has no effect."""
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
     return docs.mapInArrow(lambda it: _kept(it, shared, least), docs.schema)
