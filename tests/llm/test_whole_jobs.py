@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from tests.llm.test_text_operators import brute_dedup, overlapping, sorted_rows
-from tidemark.llm import language, suffix_dedup
+from tidemark.llm import fingerprint, language, suffix_dedup
 
 CUT = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -52,3 +52,13 @@ def test_without_labels_only_texts_without_letters_go(spark):
     rows = [(1, "some text", None), (2, "123 --", None), (3, None, None), (4, "日本", None)]
     kept = language.keep(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert sorted(x["doc_id"] for x in kept.collect()) == [1, 4]
+
+
+def test_order_minhash_of_unspaced_text(spark):
+    r = random.Random(6)
+    rows = [(x, "新" + x, x[:300] + "y" + x[300:], "".join(r.choices("いろは", k=900))) for x in ("".join(r.choices("天地玄黄宇宙洪荒😀日月", k=900)), "".join(r.choices("abcdef=/", k=900)))]
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string")
+    for c in "abcd":
+        df = fingerprint.add_fingerprint(df, c, f"f{c}")
+    for x in df.select(*[fingerprint.likeness("fa", f"f{c}").alias(c) for c in "bcd"]).collect():
+        assert x["b"] > 0.8 and x["c"] > 0.6 and x["d"] < 0.1

@@ -1,6 +1,8 @@
 """Order MinHash fingerprints, in DataFrame and SQL functions only.
 
-A text's tokens are runs of at most TOKEN characters without white space; its k-mers are K tokens in a row,
+A text's tokens are runs of at most TOKEN characters without white space. Of runs of more than LONG characters
+(text without spaces), where such cuts would all move with one inserted character, the tokens are the TOKEN
+characters from each position on; in shorter ones an edit moves the cuts to the run's end at most. Its k-mers are K tokens in a row,
 numbered by their occurrence in the text, so repeats count. A numbered k-mer's hash falls in one of SLOTS
 slots; of each slot the TUPLE smallest are selected, put back in text order, and hashed as a tuple. So two
 texts share a slot's value where the same k-mers stand in the same order there: the share falls both with
@@ -24,17 +26,23 @@ from pyspark.sql import functions as F
 
 from .common import materialise, partitions_of, texts
 
-K, SLOTS, TUPLE, TOKEN = 3, 64, 2, 12
+K, SLOTS, TUPLE, TOKEN, LONG = 3, 64, 2, 12, 64
 _PLACE = 24
 _LOW = (1 << _PLACE) - 1
 _SLOT_SHIFT = 64 - SLOTS.bit_length() + 1
 
 
+def _tokens(text: str) -> str:
+    plain = lambda x: f"regexp_extract_all({x}, '\\\\S{{1,{TOKEN}}}', 0)"
+    runs = f"transform(regexp_extract_all({text}, '\\\\S+', 0), r -> if(length(r) > {LONG}, regexp_extract_all(r, '(?=(\\\\S{{{TOKEN}}}))\\\\S', 1), {plain('r')}))"
+    return f"if({text} rlike '(?<!\\\\S)\\\\S{{{LONG + 1}}}', flatten({runs}), {plain(text)})"
+
+
 def add_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     """df with the column `name`: an array of longs, one for each filled slot, in order of the slots."""
     a, b, c, d, e = (f"_{name}_{x}" for x in "abcde")
     follow = ", ".join(f"get(h, i + {j})" for j in range(1, K))
-    df = df.withColumn(a, F.expr(f"sort_array(transform(array(transform(regexp_extract_all({text}, '\\\\S{{1,{TOKEN}}}', 0), t -> xxhash64(t))), h -> transform(slice(h, 1, if(size(h) < {K}, 1, size(h) - {K - 1})), (x, i) -> (xxhash64(x, {follow}) & {~_LOW}L) | least(i, {_LOW})))[0])"))
+    df = df.withColumn(a, F.expr(f"sort_array(transform(array(transform({_tokens(text)}, t -> xxhash64(t))), h -> transform(slice(h, 1, if(size(h) < {K}, 1, size(h) - {K - 1})), (x, i) -> (xxhash64(x, {follow}) & {~_LOW}L) | least(i, {_LOW})))[0])"))
     # the first occurrence of each k-mer, and the others, numbered within their run
     df = df.withColumn(b, F.expr(f"filter({a}, (x, i) -> i > 0 and shiftright(x, {_PLACE}) = shiftright(get({a}, i - 1), {_PLACE}))"))
     first = f"transform(filter({a}, (x, i) -> i = 0 or shiftright(x, {_PLACE}) <> shiftright(get({a}, i - 1), {_PLACE})), x -> (xxhash64(shiftright(x, {_PLACE}), 0) & {~_LOW}L) | (x & {_LOW}L))"
