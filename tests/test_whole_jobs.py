@@ -1,6 +1,7 @@
 """Operators and queries that must do the whole job: nothing cut away by ids, sizes or inner joins."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -82,3 +83,17 @@ def test_signals_together_and_sustained(spark):
     dev = days(spark, ("two", "a", [2.5] * 3), ("two", "b", [2.2] * 4), ("one", "a", [2.5] * 5), ("weak", "a", [1.9] * 9), ("weak", "b", [1.9] * 9)).withColumn("z", F.col("value"))
     assert [(r["user_id"], r["signals"], r["longest"]) for r in insight.multi_signal(dev, str(TARGET)).collect()] == [("two", 2, 4)]
     assert [(r["user_id"], r["length"]) for r in insight.single_sustained(dev, str(TARGET)).collect()] == [("one", 5)]
+
+
+def test_sibling_expansion_counts_groups_larger_than_most(spark):
+    r = random.Random(7)
+    rows = [(g, f"m{i:02}") for g in "abcd" for i in range(30) if r.random() < 0.5]
+    of = {}
+    for g, m in rows:
+        of.setdefault(m, set()).add(g)
+    want = set()
+    for a in of:
+        near = sorted((1 if len(of[a] & of[b]) >= 2 else 2, b) for b in of if b != a and of[a] & of[b])
+        want |= {(a, b, d) for d, b in near[:4]}
+    got = graph.sibling_expansion(spark.createDataFrame(rows, "g string, m string"), "g", "m", 4).collect()
+    assert {(x["a"], x["b"], x["distance"]) for x in got} == want and len(got) == len(want)
