@@ -1,25 +1,62 @@
-"""What the training-data operators share: shipping the package, shared folders, Arrow batches."""
+"""What the training-data operators share: shipping the package, shared folders, what a Python worker keeps."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
+from functools import cache
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch. Texts may be long, so batches are small and a task holds one at a time.
-BATCH_ROWS = 512
-
+#: Number of the C library's setting; a fixed value.
+_M_MMAP_THRESHOLD = -3
 _shipped: dict[str, str] = {}
+_state: list = [None, None]
+
+
+def worker_state(key: tuple, make: Callable):
+    """What a Python worker keeps from one task to the next: one operator's tables. Another operator's take their place,
+    as Spark's workers serve many stages and their memory would add up."""
+    if _state[0] != key:
+        release()
+        _state[:] = key, make()
+    return _state[1]
+
+
+def release() -> None:
+    """Drop what the worker keeps, and give freed memory back to the system: operators that keep nothing begin so."""
+    if _state[0] is not None:
+        _state[:] = None, None
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    _allocator()
+
+
+@cache
+def _allocator() -> None:
+    """Let the C library return large arrays to the system as soon as they are freed, where it can be told so."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).mallopt(_M_MMAP_THRESHOLD, 1 << 20)
+
+
+#: Bytes of an Arrow batch, where the session leaves Spark's default of 64 MB: tasks hold several copies of a batch.
+BATCH_BYTES, _DEFAULT = 4 << 20, 64 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Send this package to the executors once a session and bound the rows of an Arrow batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Send this package to the executors once a session; bound the bytes of an Arrow batch if the session does not."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(setting).rstrip("bB") == str(_DEFAULT):
+        spark.conf.set(setting, f"{BATCH_BYTES}b")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -33,11 +70,14 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder name below the cluster's shared checkpoint folder (a temporary one where none is set)."""
+    """A new folder name below the cluster's shared checkpoint folder. Only a local session without one gets a temporary
+    folder; on a cluster its executors could not read each other's files there, so that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidemark-shared-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -65,10 +105,10 @@ def fold(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % 3
 
 
-#: Ids of 8 bytes that a join may broadcast; it is checked, and more are joined by a shuffle.
+#: Rows of some ids of 8 or 16 bytes that a join may broadcast; it is checked, and more are joined by a shuffle.
 MOST_BROADCAST_IDS = 2_000_000
 
 
-def join_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+def join_ids(df: DataFrame, ids: DataFrame, key: str | list[str], how: str) -> DataFrame:
     """df joined with a written table of ids: by broadcast while it is small, so df need not be shuffled."""
     return df.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST_IDS else ids, key, how)

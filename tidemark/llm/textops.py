@@ -19,8 +19,8 @@ _powers = np.ones(1, np.uint64)
 _inverse = np.ones(1, np.uint64)
 
 #: ASCII white space: the words of the shingle operators end there.
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def _grow(n: int) -> None:
@@ -42,20 +42,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def prefix_sums(raw: np.ndarray) -> np.ndarray:
-    """P with P[j] - P[i] the weighted sum of bytes i..j-1."""
-    n = len(raw)
+def value_sums(values: np.ndarray) -> np.ndarray:
+    """P with P[j] - P[i] the weighted sum of values i..j-1."""
+    n = len(values)
     _grow(n)
     out = np.zeros(n + 1, np.uint64)
-    np.cumsum(_CODES[raw] * _powers[:n], out=out[1:])
+    np.cumsum(values * _powers[:n], out=out[1:])
     return out
 
 
+def prefix_sums(raw: np.ndarray) -> np.ndarray:
+    """The same of the codes of bytes."""
+    return value_sums(_CODES[raw])
+
+
 def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of the substrings [start, end), equal for equal strings wherever they stand."""
     return mix((sums[end] - sums[start]) * _inverse[start] + (end - start).astype(np.uint64))
 
 
+def changed_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """The same if the last value of each were higher by `more`."""
+    return mix((sums[end] - sums[start]) * _inverse[start] + more * _powers[end - start - 1] + (end - start).astype(np.uint64))
+
+
 def window_hashes(sums: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all windows of one width, by start."""
     n = len(sums) - width
@@ -88,7 +98,7 @@ def words(raw: np.ndarray, ends: np.ndarray, lower: bool = True) -> tuple[np.nda
     """Hashes of the words of all rows of a run, and how many words precede each row (rows + 1 numbers)."""
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
-    free = _SPACE[raw]
+    free = SPACE[raw]
     start = ~free
     start[1:] &= free[:-1] | False
     first = ends[:-1][ends[:-1] < ends[1:]]
