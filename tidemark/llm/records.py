@@ -10,11 +10,13 @@ record, the doc_id, the offset of the record and the number of ids.
 
 Shards are written by the tasks through Arrow's file systems, under names of their own attempt; the manifest
 that the write returns names the shards of the attempts that succeeded, so a repeated task leaves nothing
-that is read. Readers check every checksum.
+that is read. It numbers the writing tasks, which hold ranges of doc_ids in order, and the shards of each, so
+records of one doc_id that run over a shard's end keep their order. Readers check every checksum.
 
-Defined cases: null text is empty: its record holds the end id alone; rows that share a doc_id follow each
-other in the order of their texts; null doc_ids come first, stored as the least 64-bit integer; other columns
-are ignored; an empty table gives no shards and no rows.
+Defined cases: null text is empty: its record holds the end id alone; rows that share a doc_id, and repeated
+rows, each give a record, in the order of their texts; null doc_ids come first, stored as the least 64-bit
+integer; a text of any length is one record, held in memory by one task; other columns are ignored, whatever
+their names; an empty table gives no shards and no rows.
 """
 
 from __future__ import annotations
@@ -26,16 +28,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import textops
 from .bpe import ByteEncoder
-from .common import materialise, prepare, shared_dir, texts
+from .common import materialise, prepare, shared_dir, texts, worker_state
 
 #: Bytes after which a shard is closed.
 SHARD = 64 << 20
 _NONE = -(2**63)
-_MANIFEST = "first_id long, shard string, n_records long, n_tokens long, n_bytes long"
+_MANIFEST = "part long, number long, first_id long, shard string, n_records long, n_tokens long, n_bytes long"
 
 
 def masked(data: bytes) -> int:
@@ -45,11 +49,11 @@ def masked(data: bytes) -> int:
 
 def frame(payload: bytes) -> bytes:
     head = struct.pack("<Q", len(payload))
-    return b"".join((head, struct.pack("<I", masked(head)), payload, struct.pack("<I", masked(payload))))
+    return b"%b%b%b%b" % (head, struct.pack("<I", masked(head)), payload, struct.pack("<I", masked(payload)))
 
 
 def payload(doc_id: int, ids: np.ndarray, width: int) -> bytes:
-    return struct.pack("<qB", doc_id, width) + ids.astype(f"<u{width}").tobytes()
+    return struct.pack("<qB", doc_id, width) + ids.astype(f"<u{width}", copy=False).tobytes()
 
 
 def parse(data: bytes) -> tuple[int, np.ndarray]:
@@ -78,7 +82,7 @@ def _open(uri: str):
 
 
 class LibraryEncoder(ByteEncoder):
-    """Ids by the tokenizers library, asked once for each chunk of text that a worker has not seen.
+    """Ids by the tokenizers library, asked once for each chunk of text that a worker does not remember.
 
     Chunks are handed over together, one a line: the split pattern always cuts at a line end that stands
     between other characters, and its id tells the chunks apart."""
@@ -89,29 +93,19 @@ class LibraryEncoder(ByteEncoder):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.path = path
-        self.chunks: dict[str, bytes | None] = {}
-        added = self.library.get_added_tokens_decoder()
-        self.specials = None
-        if added:
-            import regex
-
-            self.specials = regex.compile("|".join(regex.escape(t.content) for t in added.values()))
+        self._start({t.content: i for i, t in self.library.get_added_tokens_decoder().items()})
         self.line = self.library.encode("\n", add_special_tokens=False).ids[0]
-        self.line_bytes = np.array([self.line], "<u4").tobytes()
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+    def _ids(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
 
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(pieces)
+    def _encode_pieces(self, pieces: list[str]) -> list[list[int]]:
+        out: list[list[int]] = [[]] * len(pieces)
         simple: dict[bool, list[int]] = {True: [], False: []}
         for i, p in enumerate(pieces):
-            if not p:
-                continue
             q = p[1:] if p[0] in "\n " else p
             if not q or "\n" in q or q[0].isspace() or q[-1].isspace():
-                out[i] = self._ids(p).tobytes()
+                out[i] = self._ids(p)
             else:
                 simple[p[0] == " "].append(i)
         for spaced, at in simple.items():
@@ -119,28 +113,20 @@ class LibraryEncoder(ByteEncoder):
                 part = at[k : k + 4096]
                 # chunks after a space keep it only if it does not follow the line end: each gets a letter before it
                 ids = self._ids("\n".join(("x" + pieces[i]) if spaced else pieces[i].lstrip("\n") for i in part))
-                raw, cut = ids.tobytes(), np.flatnonzero(ids == self.line) * 4
-                starts, ends = [0, *(cut + 4).tolist()], [*cut.tolist(), len(raw)]
-                for i, a, z in zip(part, starts, ends, strict=True):
-                    out[i] = raw[a + 4 : z] if spaced else self.line_bytes + raw[a:z] if pieces[i][0] == "\n" else raw[a:z]
+                low = 0
+                for i, high in zip(part, [*np.flatnonzero(np.array(ids) == self.line).tolist(), len(ids)], strict=True):
+                    out[i] = ids[low + 1 : high] if spaced else [self.line, *ids[low:high]] if pieces[i][0] == "\n" else ids[low:high]
+                    low = high + 1
         return out
 
-    def _whole(self, text: str) -> bytes:
-        return self._ids(text).tobytes()
-
-
-_encoders: dict[str, LibraryEncoder] = {}
-
 
 def _encoder(path: str) -> LibraryEncoder:
-    if path not in _encoders:
-        _encoders[path] = LibraryEncoder(path)
-    return _encoders[path]
+    return worker_state(("records", path), lambda: LibraryEncoder(path))
 
 
 class _Shard:
-    def __init__(self, folder: str):
-        self.name = f"part-{uuid.uuid4().hex}"
+    def __init__(self, folder: str, part: int, number: int):
+        self.name, self.part, self.number = f"part-{uuid.uuid4().hex}", part, number
         files, path = _open(folder)
         files.create_dir(path, recursive=True)
         self.files, self.path = files, f"{path}/{self.name}"
@@ -159,37 +145,42 @@ class _Shard:
         table = np.array(self.index, "<i8")
         with self.files.open_output_stream(f"{self.path}.idx") as f:
             f.write(table.tobytes())
-        return pa.RecordBatch.from_arrays([pa.array([self.index[0][0]], pa.int64()), pa.array([self.name]), pa.array([len(table)], pa.int64()), pa.array([int(table[:, 2].sum())], pa.int64()), pa.array([self.at], pa.int64())], ["first_id", "shard", "n_records", "n_tokens", "n_bytes"])
+        row = {"part": self.part, "number": self.number, "first_id": self.index[0][0], "shard": self.name, "n_records": len(table), "n_tokens": int(table[:, 2].sum()), "n_bytes": self.at}
+        return pa.RecordBatch.from_pydict({k: pa.array([v]) for k, v in row.items()})
 
 
-def _written(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+def _written(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: int, shard_bytes: int) -> Iterator[pa.RecordBatch]:
     e = _encoder(path)
     width = 2 if max(e.library.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-    end = np.array([end_id], "<u4")
-    shard = None
+    part, number, shard = TaskContext.get().partitionId(), 0, None
     for b in batches:
-        for at in range(0, b.num_rows, 64):
-            part = b.slice(at, 64)
-            for doc_id, ids in zip(part.column("id").to_pylist(), e.encode_batch(part.column("text").to_pylist()), strict=True):
-                shard = shard or _Shard(folder)
-                shard.add(doc_id, np.concatenate((np.frombuffer(ids, "<u4"), end)), width)
-                if shard.at >= SHARD:
+        for row, last, raw, ends in textops.slices(b.column("text")):
+            ids, at = e.encode_run(raw, ends)
+            n = last - row
+            # the end id goes behind each text's ids
+            ids = np.insert(ids.astype(f"<u{width}"), at[1:], end_id)
+            at = at + np.arange(n + 1)
+            for doc_id, x, y in zip(b.column("id").slice(row, n).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                shard = shard or _Shard(folder, part, number)
+                shard.add(doc_id, ids[x:y], width)
+                if shard.at >= shard_bytes:
                     yield shard.close()
-                    shard = None
+                    shard, number = None, number + 1
     if shard:
         yield shard.close()
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None) -> tuple[str, DataFrame]:
+def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, shard_bytes: int = SHARD) -> tuple[str, DataFrame]:
     """Encode every text, append end_id, and write shards below folder in the order of doc_id.
 
-    Returns the folder and its manifest: first_id, shard, n_records, n_tokens, n_bytes, kept beside the shards."""
+    Returns the folder and its manifest: part, number (the order of the shards), first_id, shard, n_records, n_tokens,
+    n_bytes, kept beside the shards."""
     spark = docs.sparkSession
     prepare(spark)
     folder = folder or shared_dir(spark, "records")
     source = texts(docs).select(F.coalesce("doc_id", F.lit(_NONE)).alias("id"), "text")
     ordered = source.repartitionByRange("id").sortWithinPartitions("id", "text")
-    return folder, materialise(ordered.mapInArrow(lambda it: _written(it, folder, tokenizer, end_id), _MANIFEST), "manifest")
+    return folder, materialise(ordered.mapInArrow(lambda it: _written(it, folder, tokenizer, end_id, shard_bytes), _MANIFEST), "manifest")
 
 
 def _read(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
@@ -200,8 +191,7 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordB
                 rows, start = [], base
                 while (data := read_frame(source)) is not None:
                     doc_id, ids = parse(data)
-                    wide = ids.astype("<u4")
-                    rows.append((None if doc_id == _NONE else doc_id, start, len(ids), zlib.crc32(wide.tobytes())))
+                    rows.append((None if doc_id == _NONE else doc_id, start, len(ids), zlib.crc32(ids.astype("<u4"))))
                     start += len(ids)
                     if len(rows) == 4096:
                         yield _rows(rows)
@@ -217,14 +207,12 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 def read(folder: str, manifest: DataFrame) -> DataFrame:
     """Rows (doc_id, start, n_tokens, ids_crc32) from the shards; start: ids of all records before.
 
-    Shards are few: one for each writing task and SHARD bytes; only their totals are ordered together."""
-    spark = manifest.sparkSession
-    total, rows = 0, []
-    for r in manifest.select("first_id", "shard", "n_tokens").orderBy("first_id", "shard").toLocalIterator():
-        rows.append((r["shard"], total))
-        total += r["n_tokens"]
-    bases = spark.createDataFrame(rows, "shard string, base long").repartition(max(1, len(rows)))
-    return bases.mapInArrow(lambda it: _read(it, folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    Sums run over the shards of a part and over the parts' totals: a row for each writing task meets in one task."""
+    prepare(manifest.sparkSession)
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).select("part", before(Window.orderBy("part")).alias("first"))
+    bases = manifest.withColumn("base", before(Window.partitionBy("part").orderBy("number"))).join(parts, "part").select("shard", (F.col("first") + F.col("base")).alias("base"))
+    return bases.repartition(max(1, manifest.count()), "shard").mapInArrow(lambda it: _read(it, folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_at(folder: str, shard: str, position: int) -> tuple[int, np.ndarray]:
