@@ -3,105 +3,124 @@
 Every word gives evidence for each language: the log of its smoothed frequency there, less the mean over the
 languages. A word that the model has not seen backs off to its characters: it is cut into the longest n-grams
 that the model knows, from its start on, each step shorter counting less. A text's evidence is its mean over words, taken
-for at most EVIDENCE words, so long texts don't become certain of anything.
+for at most EVIDENCE words, so long texts don't become certain of anything. Words are runs of letters.
 
 The model is fitted on a bounded sample: at most about SAMPLE documents of each language that any
-row has, chosen by a hash of the doc_id, from the rows whose crc32(doc_id) modulo 3 is not 1. It keeps the
-most frequent WORDS words and GRAMS n-grams of each language as counts, so it grows in proportion to the number
-of languages only; the evidence of an item for all of them is worked out when a text has it.
-
-Defined cases: text that is null or has no letter is `und` with score 0; text with letters that the model
-knows nothing of gets the most frequent language with the score of a guess; without labelled rows everything
-is `und`, and keep() drops only texts that are null or have no letter; other columns are ignored; a null doc_id is never learned from; an empty table gives no rows.
+row has, chosen by a hash of the doc_id, from the rows whose crc32(doc_id) modulo 3 is not 1. Of each language it
+keeps the WORDS words and GRAMS n-grams that are most frequent in the sample and occur there more than once (one
+occurrence is no estimate of a frequency). The counts are sparse, so the model grows in proportion to the number of
+languages; the evidence for all of them is worked out for the items of the new chunks of a run of texts.
+
+Defined cases: text that is null or has no letter (digits, numerals, signs) is `und` with score 0; text with letters
+that the model knows nothing of gets the most frequent language with the score of a guess; of equally likely languages
+the more frequent one, then the first by name is taken; without labelled rows everything is `und`, and keep() drops
+only texts that are null or have no letter; texts of any length are read whole, in runs of about 2 MB; rows that
+share a doc_id, and repeated rows, each give a row; a null doc_id is never learned from; other columns are ignored,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import math
-import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import ChunkSums
-from .common import fold, prepare
+from . import textops
+from .chunks import ChunkTable, Matrix, row_sums
+from .common import fold, prepare, worker_state
 
 SAMPLE, WORDS, GRAMS, LONGEST, EVIDENCE = 2_000, 20_000, 20_000, 4, 25
-#: Numbers of the evidence that a worker remembers, of words and of n-grams each.
-REMEMBERED = 1_200_000
 UNDETERMINED = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}+")
+#: Numbers of a dense block of evidence.
+_BLOCK = 1 << 18
+
+
+class Counts:
+    """Items by language, sparse. Items of one kind share the languages' totals: all words are one kind, and n-grams of
+    a length are (by_length)."""
+
+    def __init__(self, counts: dict[str, dict[str, int]], languages: list[str], by_length: bool):
+        at = {lang: i for i, lang in enumerate(languages)}
+        self.row = {item: i for i, item in enumerate(counts)}
+        self.kind = np.array([len(item) if by_length else 0 for item in counts], np.int8)
+        size = np.array([len(x) for x in counts.values()], np.int64)
+        self.start = np.concatenate(([0], np.cumsum(size)))
+        self.lang = np.array([at[lang] for x in counts.values() for lang in x], np.int32)
+        n = np.array([c for x in counts.values() for c in x.values()], np.float64)
+        kinds = LONGEST + 1
+        total = np.zeros((kinds, len(languages)))
+        np.add.at(total, (np.repeat(self.kind, size), self.lang), n)
+        total += 0.3 * np.bincount(self.kind, minlength=kinds)[:, None]
+        self.log_total = np.log(np.maximum(total, 1e-300))
+        self.log_count = np.log(n + 0.3)
+
+    def evidence(self, rows: np.ndarray) -> np.ndarray:
+        """Log frequencies of items in each language less their mean, within 6."""
+        size = self.start[rows + 1] - self.start[rows]
+        at = np.repeat(self.start[rows] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        v = np.full((len(rows), self.log_total.shape[1]), np.log(0.3))
+        v[np.repeat(np.arange(len(rows)), size), self.lang[at]] = self.log_count[at]
+        v -= self.log_total[self.kind[rows]]
+        return np.clip(v - v.mean(axis=1, keepdims=True), -6, 6)
 
 
 class Model:
     """Evidence of words and n-grams; languages in order of their frequency."""
 
     def __init__(self, languages: list[str], words: dict[str, dict[str, int]], grams: dict[str, dict[str, int]]):
-        self.languages = languages
-        self.words, self.grams = words, grams
-        self.of_words, self.of_grams = self._rest(words), self._rest(grams)
-        self.seen: dict[str, list[float]] = {}
-        self.seen_grams: dict[str, list[float]] = {}
-        self.most = REMEMBERED // max(1, len(languages))
-
-    def _rest(self, counts: dict[str, dict[str, int]]) -> tuple[bool, dict[int, np.ndarray]]:
-        """Whether items of one length share their totals, or all do; by length the log of each language's total."""
-        total: dict[int, dict[str, int]] = {}
-        kinds: dict[int, int] = {}
-        by_size = bool(counts) and max(map(len, counts)) <= LONGEST
-        for g, by in counts.items():
-            k = len(g) if by_size else 0
-            kinds[k] = kinds.get(k, 0) + 1
-            of = total.setdefault(k, {})
-            for lang, c in by.items():
-                of[lang] = of.get(lang, 0) + c
-        return by_size, {k: np.array([total[k].get(lang, 0) + 0.3 * n for lang in self.languages]) for k, n in kinds.items()}
-
-    def _evidence(self, item: str, by: dict[str, int], rest: tuple[bool, dict[int, np.ndarray]]) -> list[float]:
-        """An item's log frequency in each language less the mean."""
-        whole = rest[1][len(item) if rest[0] else 0]
-        v = np.array([math.log((by.get(lang, 0) + 0.3) / t) for lang, t in zip(self.languages, whole.tolist(), strict=True)])
-        return np.clip(v - v.mean(), -6, 6).tolist()
-
-    def gram(self, g: str) -> list[float] | None:
-        if (got := self.seen_grams.get(g)) is not None or (by := self.grams.get(g)) is None:
-            return got
-        v = self._evidence(g, by, self.of_grams)
-        if len(self.seen_grams) < self.most:
-            self.seen_grams[g] = v
-        return v
-
-    def word(self, w: str) -> list[float]:
-        if (got := self.seen.get(w)) is not None:
-            return got
-        v = self._evidence(w, by, self.of_words) if (by := self.words.get(w)) is not None else self._cut(w)
-        if len(self.seen) < self.most:
-            self.seen[w] = v
-        return v
-
-    def _cut(self, w: str) -> list[float]:
-        """A word's evidence by its n-grams."""
-        s, find, i, pieces = f"^{w}$", self.gram, 0, 0
-        v, n = [0.0] * len(self.languages), len(s)
+        self.languages, self.name = languages, uuid.uuid4().hex
+        self.words, self.grams = Counts(words, languages, False), Counts(grams, languages, True)
+
+    def _cut(self, w: str) -> list[tuple[int, float]]:
+        """The longest known n-grams of a word, from its start on, with their weights."""
+        s, find, i, out = f"^{w}$", self.grams.row.get, 0, []
+        n = len(s)
         while i < n:
             weight = 1.0
             for k in range(min(LONGEST, n - i), 0, -1):
                 if (row := find(s[i : i + k])) is not None:
-                    v = [a + weight * b for a, b in zip(v, row, strict=True)]
-                    pieces += 1
+                    out.append((row, weight))
                     break
                 weight *= 0.6
             i += k
-        return [min(6.0, max(-6.0, 2 * a / pieces)) for a in v] if pieces else v
+        return out
 
-    def chunk(self, chunk: str) -> list[float]:
-        found = _WORD.findall(chunk.lower())
-        if len(found) == 1:
-            return [*self.word(found[0]), 1]
-        return [*map(sum, zip(*map(self.word, found), strict=True)), len(found)] if found else [0.0] * (len(self.languages) + 1)
+    def evidence(self, words: list[str]) -> np.ndarray:
+        """The evidence of each word, by its own counts or those of its n-grams."""
+        out = np.zeros((len(words), len(self.languages)))
+        step = max(1, _BLOCK // max(1, len(self.languages)))
+        for low in range(0, len(words), step):
+            part = words[low : low + step]
+            rows = np.array([self.words.row.get(w, -1) for w in part], np.int64)
+            known = np.flatnonzero(rows >= 0)
+            out[low + known] = self.words.evidence(rows[known])
+            pieces = [(i, *p) for i in np.flatnonzero(rows < 0).tolist() for p in self._cut(part[i])]
+            if pieces:
+                owner, found, weight = (np.array(x) for x in zip(*pieces, strict=True))
+                v = np.zeros((len(part), len(self.languages)))
+                np.add.at(v, owner, self.grams.evidence(found) * weight[:, None])
+                n = np.bincount(owner, minlength=len(part))
+                cut = np.flatnonzero(n)
+                out[low + cut] = np.clip(2 * v[cut] / n[cut, None], -6, 6)
+        return out
+
+    def chunks(self, chunks: list[str]) -> tuple[np.ndarray]:
+        """Of each chunk the sum of its words' evidence, and their number."""
+        found = [_WORD.findall(c.lower()) for c in chunks]
+        distinct = {w: i for i, w in enumerate(dict.fromkeys(w for x in found for w in x))}
+        evidence = self.evidence(list(distinct))
+        out = np.zeros((len(chunks), len(self.languages) + 1))
+        owner = np.repeat(np.arange(len(chunks)), [len(x) for x in found])
+        np.add.at(out[:, :-1], owner, evidence[[distinct[w] for x in found for w in x]])
+        out[:, -1] = np.bincount(owner, minlength=len(chunks))
+        return (out,)
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
@@ -130,41 +149,41 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return model
 
 
-def _guesses(sums: ChunkSums, model: Model, batch: list[str]) -> tuple[list[str], list[float]]:
-    n = len(model.languages)
-    v = sums.sums(batch)
-    count = np.maximum(v[:, n], 1)
-    e = v[:, :n] * (np.minimum(count, EVIDENCE) / count)[:, None]
-    pred, score = [], []
-    for i, text in enumerate(batch):
-        if not n or (v[i, n] == 0 and not any(map(str.isalpha, text))):
-            pred.append(UNDETERMINED)
-            score.append(0.0)
-            continue
-        p = np.exp(e[i] - e[i].max())
-        k = int(p.argmax())
-        pred.append(model.languages[k])
-        score.append(float(p[k] / p.sum()))
-    return pred, score
+def _guesses(column: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
+    """The language and score of each text."""
+    n, pred, score = len(model.languages), [], []
+    table = worker_state(("language", model.name), lambda: ChunkTable(model.chunks, Matrix(n + 1)))
+    for _, _, raw, ends in textops.slices(column):
+        v = row_sums(table, raw, ends)
+        count = np.maximum(v[:, n], 1)
+        e = v[:, :n] * (np.minimum(count, EVIDENCE) / count)[:, None]
+        if n:
+            p = np.exp(e - e.max(axis=1, keepdims=True))
+            best = p.argmax(axis=1)
+            sure = p[np.arange(len(p)), best] / p.sum(axis=1)
+        else:
+            best, sure = np.zeros(len(v), np.int64), np.zeros(len(v))
+        letters = v[:, n] > 0
+        pred += [model.languages[k] if known and n else UNDETERMINED for k, known in zip(best.tolist(), letters.tolist(), strict=True)]
+        score.append(np.where(letters, sure, 0.0))
+    return pred, np.concatenate(score) if score else np.zeros(0)
 
 
 def _predicted(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    model: Model = shared.value
-    sums = ChunkSums(model.chunk, len(model.languages) + 1)
     for b in batches:
-        pred, score = _guesses(sums, model, [x or "" for x in b.column("text").to_pylist()])
+        pred, score = _guesses(b.column("text"), shared.value)
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
 
 def _kept(batches: Iterator[pa.RecordBatch], shared, least: float) -> Iterator[pa.RecordBatch]:
     model: Model = shared.value
-    sums = ChunkSums(model.chunk, len(model.languages) + 1)
     for b in batches:
-        pred, score = _guesses(sums, model, [x or "" for x in b.column("text").cast(pa.string()).to_pylist()])
-        if not model.languages:
-            yield b.filter(pa.array([any(map(str.isalpha, x or "")) for x in b.column("text").cast(pa.string()).to_pylist()], pa.bool_()))
-            continue
-        yield b.filter(pa.array([p != UNDETERMINED and s >= least for p, s in zip(pred, score, strict=True)], pa.bool_()))
+        text = b.column("text").cast(pa.large_string())
+        if model.languages:
+            pred, score = _guesses(text, model)
+            yield b.filter(pa.array([p != UNDETERMINED and s >= least for p, s in zip(pred, score.tolist(), strict=True)], pa.bool_()))
+        else:
+            yield b.filter(pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False))
 
 
 def predict(docs: DataFrame, model: Model | None = None) -> DataFrame:
