@@ -8,35 +8,41 @@ counts, which both classes share. A rare expression that neither class has seen
 and inflected or misspelt forms of a known one still meet its n-grams.
 
 The models are fitted on a bounded sample: at most about SAMPLE labelled documents of each class, chosen by a
-hash of the doc_id, from the rows whose crc32(doc_id) modulo 3 is not 1. FIT percent of them give the counts,
-the others the logistic curve that turns evidence into a score from 0 to 1.
+hash of the doc_id, from the rows whose crc32(doc_id) modulo 3 is not 1. FIT percent of them give the counts, of
+all their words, the others the logistic curve that turns evidence into a score from 0 to 1.
+
+Scoring needs the ratio of the two models only. Of an n-gram that neither class has, both step down to the same
+shared distribution, so the ratio depends on the characters before the last one alone. So the tasks get two sorted
+arrays: the log ratio of each n-gram of the sample, and of each beginning of one.
 
 Defined cases: null and empty texts have no evidence and get the score of the curve there; without labels of
 both classes every score is the share of toxic labels (0 without labels); labels that are null are ignored;
-a doc_id with several labels is toxic if one says so; other columns are ignored; an empty table gives no rows.
+a doc_id with several labels is toxic if one says so; scores of the threshold itself count as toxic; rows that share
+a doc_id, and repeated rows, each give a row; texts of any length are read whole, in runs of about 2 MB; other columns
+are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
-import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkSums
-from .common import fold, materialise, prepare
+from . import textops
+from .chunks import ChunkTable, Matrix, row_sums
+from .common import fold, materialise, prepare, worker_state
 
-SAMPLE, FIT, ORDER, DISCOUNT, WORD_TYPES, THRESHOLD = 2_000, 70, 6, 0.75, 400_000, 0.7
+SAMPLE, FIT, ORDER, DISCOUNT, THRESHOLD = 2_000, 70, 6, 0.75, 0.7
 #: The toxic model takes so large a part of its words from its own counts, the rest as ordinary text does.
 SHARE = 0.02
-#: n-grams whose ratio a worker remembers.
-REMEMBERED = 400_000
-_WORD = re.compile(r"\w+")
+_WORD = regex.compile(r"[\p{L}\p{N}_]+")
 
 
 class KneserNey:
@@ -62,22 +68,17 @@ class KneserNey:
         self.before: dict[str, int] = defaultdict(int)
         self.before_total: dict[str, int] = defaultdict(int)
         self.before_kinds: dict[str, int] = defaultdict(int)
-        level = types
-        while level:
-            shorter = set()
-            for g in level:
-                if len(g) > 1:
-                    r = g[1:]
-                    self.before[r] += 1
-                    shorter.add(r)
-            level = {g for g in shorter if len(g) > 1}
+        by_length: list[set[str]] = [{g for g in types if len(g) == k} for k in range(order + 1)]
+        for k in range(order, 1, -1):  # long ones first: what stands before a shorter one counts once
+            for g in by_length[k]:
+                self.before[g[1:]] += 1
+                by_length[k - 1].add(g[1:])
         for r, n in self.before.items():
             self.before_total[r[:-1]] += n
             self.before_kinds[r[:-1]] += 1
         self.own, self.total, self.kinds = [dict(x) for x in own], [dict(x) for x in total], [dict(x) for x in kinds]
         self.before, self.before_total, self.before_kinds = dict(self.before), dict(self.before_total), dict(self.before_kinds)
         self.floor = 1 / 256
-        self.known: dict[str, float] = {}
 
     def shared(self, h: str, x: str) -> float:
         n = self.before_total.get(h)
@@ -93,38 +94,92 @@ class KneserNey:
         p = [(max(self.own[c].get(g, 0) - DISCOUNT, 0) + DISCOUNT * self.kinds[c][h] * lower) / n if (n := self.total[c].get(h)) else lower for c in (0, 1)]
         return math.log(p[1] / p[0])
 
+    def _context(self, h: str) -> float:
+        """The same of an n-gram that neither class has: what each class leaves to the shared distribution after h."""
+        left = [DISCOUNT * self.kinds[c][h] / n if (n := self.total[c].get(h)) else 1.0 for c in (0, 1)]
+        return math.log(left[1] / left[0])
+
+    def tables(self) -> tuple[dict[str, float], dict[str, float]]:
+        """Log ratios of the n-grams that a class has, and of the beginnings of others."""
+        return {g: self._step(g) for g in self.own[0] | self.own[1]}, {h: self._context(h) for h in self.total[0] | self.total[1]}
+
+
+def _gram_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of stretches of code points."""
+    return textops.span_hashes(textops.value_sums(textops.mix(codes.astype(np.uint64) + np.uint64(1))), start, end)
+
+
+def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of words with their borders marked, one after the other, and where each ends."""
+    marked = [f"^{w}$" for w in words]
+    return np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32), np.cumsum([len(w) for w in marked], dtype=np.int64)
+
+
+class Ratios:
+    """Log-likelihood ratios of words under the toxic mixture and the ordinary model."""
+
+    def __init__(self, words: dict[str, tuple[float, float]], order: int = ORDER):
+        self.order = order
+        self.grams, self.contexts = map(self._sorted, KneserNey(words, order).tables())
+
+    @staticmethod
+    def _sorted(table: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+        codes = np.frombuffer("".join(table).encode("utf-32-le", "surrogatepass"), np.uint32)
+        end = np.cumsum([len(g) for g in table], dtype=np.int64)
+        keys = _gram_hashes(codes, np.concatenate(([0], end[:-1])) if len(end) else end, end)
+        order = np.argsort(keys)
+        return keys[order], np.fromiter(table.values(), np.float32, len(table))[order]
+
+    @staticmethod
+    def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, other: np.ndarray | float) -> np.ndarray:
+        if not len(table[0]):
+            return np.zeros(len(keys)) + other
+        at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
+        return np.where(table[0][at] == keys, table[1][at], other)
+
+    def of(self, words: list[str]) -> np.ndarray:
+        if not words:
+            return np.zeros(0)
+        codes, end = _codes(words)
+        begin = np.concatenate(([0], end[:-1]))
+        word = np.repeat(np.arange(len(words)), end - begin)
+        last = np.arange(len(codes))
+        first = np.maximum(last + 1 - self.order, begin[word])
+        on = last > begin[word]  # a step for each character after the first
+        sums = textops.value_sums(textops.mix(codes.astype(np.uint64) + np.uint64(1)))
+        first, last, word = first[on], last[on], word[on]
+        v = self._find(self.grams, textops.span_hashes(sums, first, last + 1), self._find(self.contexts, textops.span_hashes(sums, first, last), 0.0))
+        out = np.bincount(word, v, len(words))
+        return np.log1p(SHARE * np.expm1(np.minimum(out, 300.0)))
+
     def ratio(self, word: str) -> float:
-        """The log-likelihood of a word under the toxic mixture less that under the ordinary model."""
-        s, out, order, known = f"^{word}$", 0.0, self.order, self.known
-        for i in range(1, len(s)):
-            g = s[max(0, i + 1 - order) : i + 1]
-            v = known.get(g)
-            if v is None:
-                v = self._step(g)
-                if len(known) < REMEMBERED:
-                    known[g] = v
-            out += v
-        return math.log1p(SHARE * (math.exp(min(out, 300.0)) - 1))
+        return float(self.of([word])[0])
 
 
 class Model:
-    def __init__(self, ratios: KneserNey | None, slope: float, offset: float):
-        self.ratios, self.slope, self.offset = ratios, slope, offset
+    def __init__(self, ratios: Ratios | None, slope: float, offset: float):
+        self.ratios, self.slope, self.offset, self.name = ratios, slope, offset, uuid.uuid4().hex
+
+    def chunks(self, chunks: list[str]) -> tuple[np.ndarray]:
+        """Of each chunk the sum of its words' log ratios, and their number."""
+        found = [_WORD.findall(c.lower()) for c in chunks]
+        owner = np.repeat(np.arange(len(chunks)), [len(x) for x in found])
+        v = self.ratios.of([w for x in found for w in x]) if self.ratios else np.zeros(len(owner))
+        return (np.stack((np.bincount(owner, v, len(chunks)), np.bincount(owner, minlength=len(chunks))), axis=1),)
 
-    def chunk(self, chunk: str) -> list[float]:
-        found = _WORD.findall(chunk.lower())
-        return [sum(map(self.ratios.ratio, found)) if self.ratios else 0.0, len(found)]
+    def evidence(self, column: pa.Array) -> np.ndarray:
+        """The mean log ratio of each text's words."""
+        table = worker_state(("toxicity", self.name), lambda: ChunkTable(self.chunks, Matrix(2)))
+        sums = np.concatenate([np.zeros((0, 2)), *(row_sums(table, raw, ends) for _, _, raw, ends in textops.slices(column))])
+        return sums[:, 0] / np.maximum(sums[:, 1], 1)
 
-    def score(self, sums: np.ndarray) -> np.ndarray:
-        z = self.slope * sums[:, 0] / np.maximum(sums[:, 1], 1) + self.offset
-        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+    def score(self, evidence: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * evidence + self.offset, -500, 500)))
 
 
 def _evidence(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    sums = ChunkSums(shared.value.chunk, 2)
     for b in batches:
-        v = sums.sums([t or "" for t in b.column("text").to_pylist()])
-        yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(v[:, 0] / np.maximum(v[:, 1], 1))], ["toxic", "evidence"])
+        yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(shared.value.evidence(b.column("text")), pa.float64())], ["toxic", "evidence"])
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -157,8 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = materialise(rows.join(F.broadcast(chosen), "doc_id"), "labelled")
     counting = F.pmod(F.hash("doc_id", F.lit("counts")), F.lit(100)) < FIT
     counts = rows.where(counting).select("toxic", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("w")).groupBy("w").agg(F.count_if(F.col("toxic") == 0).alias("a"), F.count_if(F.col("toxic") == 1).alias("b"))
-    words = {r["w"]: (r["a"], r["b"]) for r in counts.orderBy(F.desc(F.col("a") + F.col("b")), "w").limit(WORD_TYPES).collect() if len(r["w"]) <= 64}
-    ratios = KneserNey(words)
+    ratios = Ratios({r["w"]: (r["a"], r["b"]) for r in counts.toLocalIterator()})
     shared = spark.sparkContext.broadcast(Model(ratios, 0, 0))
     seen = rows.where(~counting).select("toxic", "text").mapInArrow(lambda it: _evidence(it, shared), "toxic int, evidence double").collect()
     shared.unpersist()
@@ -173,9 +227,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def _scored(batches: Iterator[pa.RecordBatch], shared, threshold: float) -> Iterator[pa.RecordBatch]:
     model: Model = shared.value
-    sums = ChunkSums(model.chunk, 2)
     for b in batches:
-        s = model.score(sums.sums([t or "" for t in b.column("text").to_pylist()]))
+        s = model.score(model.evidence(b.column("text")))
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
 
