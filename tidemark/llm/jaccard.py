@@ -12,16 +12,20 @@ A document's set holds its distinct k-word shingles. Two documents link when den
   Single shingles as keys would give lists as long as the commonest phrase is frequent; whole blocks don't.
 * B is the boundary with the least number of keys over the sizes that occur.
 
-Lists give candidates: first every member with the smallest of its list, verified on whole sets. Members of
-a list that are in different components afterwards go through a second, finer scan: their shingles are put
+Lists give candidates: first every member with the smallest of its list, verified on whole sets. A list of HOT
+members or more within a task sends only its smallest one on: the others are tied to that one there, once for all
+such lists, so a list that a third of the documents share stays spread out. Members of a list that are in different components afterwards go through a second, finer scan: their shingles are put
 in order, the rarest among them first, and a list holds, for one shingle and two ranges of sizes, the sets
 that have it early enough for the overlap that such sizes need. There every member is verified with the one
 of fewest shingles of its own, and what then is in different components pair by pair, so no link is lost,
 while a large group of near copies never becomes all its pairs. Components come from star contraction.
 
 Defined cases: null text, or text without words, has an empty set, links with nothing and is its own
-component; fewer words than k make one shingle of the whole sequence; rows that share a doc_id count as one
-document for links (by the smallest set), and each keeps its row; other columns are ignored; an empty table gives no rows.
+component; fewer words than k make one shingle of the whole sequence; rows that share a doc_id are told apart by
+their sets, and each gets the component of its own; repeated rows are equal sets and each keeps its row; a row
+without a doc_id gets the component of an equal set that has one, else none; texts of any length are read whole, in runs
+of about 2 MB; other columns are ignored, whatever their names; an empty table gives no rows. keep_one() keeps rows
+whose doc_id is the smallest of their component, and rows without a doc_id or without words.
 """
 
 from __future__ import annotations
@@ -36,17 +40,23 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import join_ids, materialise, partitions_of, prepare, texts
+from .common import join_ids, materialise, partitions_of, prepare, release, texts
 
 #: Sets of more shingles are always heavy.
 LIGHT_MOST = 40
 #: Sketches count shingles in 2**SKETCH_BITS ranges of their hashes.
 SKETCH_BITS = 10
 #: Postings that a task holds before it hands them on.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
+#: Members of a list in what a task holds, from which it is tied together there.
+HOT = 64
 #: Sets that a task remembers, so that equal sets post once a task.
 SEEN = 200_000
-_FEATURES = "doc_id long, n_shingles long, set_key binary"
+_FEATURES = "doc_id long, tag long, n_shingles long, set_key binary"
+#: A list's key and a member, the 128 bits of its set_key; of a list whose members are tied, the member they are tied to.
+_POSTING = np.dtype([("key", "<u8"), ("hi", "<u8"), ("lo", "<u8")])
+#: A member and the one that it is tied to.
+_TIE = np.dtype([("center_hi", "<u8"), ("center_lo", "<u8"), ("hi", "<u8"), ("lo", "<u8")])
 
 
 class Sizes:
@@ -143,6 +153,7 @@ def _block_keys(h: np.ndarray, sums: np.ndarray, k: int, m: int, spare: int) ->
 
 
 def _features(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    release()
     for b in batches:
         size, key = [], []
         for _, _, raw, ends in textops.slices(b.column("text")):
@@ -150,43 +161,62 @@ def _features(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
             size.append(np.diff(at))
             key += [xxhash.xxh3_128_digest(h[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
         n = np.concatenate(size) if size else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary())], ["doc_id", "n_shingles", "set_key"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tag"), pa.array(n, pa.int64()), pa.array(key, pa.binary())], ["doc_id", "tag", "n_shingles", "set_key"])
 
 
-def _postings(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, light: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, keys, docs): the keys of a bucket and whose they are, as little-endian 64-bit integers."""
+def _postings(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, light: int, buckets: int, hot: int = HOT) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, postings, ties, tied) of the keys of all sets, bucket by bucket; tied: lists with their members' center."""
+    release()
     z = Sizes(num, den, light)
-    keys: list[np.ndarray] = []
-    docs: list[np.ndarray] = []
+    held: dict[bytes, np.ndarray] = {}  # keys by set
     seen: set[bytes] = set()
-    held = 0
+    size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        if not keys:
+        if not held:
             return
-        a, d = np.concatenate(keys), np.concatenate(docs)
-        b = (a % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(b, kind="stable")
-        a, d, b = a[order], d[order], b[order]
-        cut = np.flatnonzero(np.diff(b)) + 1
-        edges = list(zip([0, *cut], [*cut, len(a)], strict=True))
-        for i in range(0, len(edges), 256):
-            part = edges[i : i + 256]
-            yield pa.RecordBatch.from_arrays([pa.array([b[x] for x, _ in part], pa.int32()), pa.array([a[x:y].tobytes() for x, y in part], pa.binary()), pa.array([d[x:y].tobytes() for x, y in part], pa.binary())], ["bucket", "keys", "docs"])
-        keys.clear()
-        docs.clear()
+        # sets in order, then a stable sort by key: members of a list are in order, too
+        marks = sorted(held)
+        keys = np.concatenate([held[m] for m in marks])
+        owner = np.repeat(np.arange(len(marks)), [len(held[m]) for m in marks])
+        held.clear()
+        order = np.argsort(keys, kind="stable")
+        keys, owner = keys[order], owner[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+        x = np.empty(int(new.sum()), _POSTING)
+        names = np.frombuffer(b"".join(marks), ">u8").reshape(-1, 2)[owner[new]]
+        x["key"], x["hi"], x["lo"] = keys[new], names[:, 0], names[:, 1]
+        head = np.ones(len(x), bool)
+        head[1:] = x["key"][1:] != x["key"][:-1]
+        start = np.flatnonzero(head)
+        count = np.diff(np.append(start, len(x)))
+        member = np.repeat(count >= hot, count) & ~head
+        owner = owner[new]
+        pair = np.unique(owner[np.repeat(start, count)[member]] * len(marks) + owner[member])
+        every = np.frombuffer(b"".join(marks), ">u8").reshape(-1, 2)
+        ties, tied = np.empty(len(pair), _TIE), x[start[count >= hot]]
+        for (a, b), side in ((("center_hi", "center_lo"), pair // len(marks)), (("hi", "lo"), pair % len(marks))):
+            ties[a], ties[b] = every[side, 0], every[side, 1]
+        x = x[~member]
+        of = lambda v: v % np.uint64(buckets)
+        rows = [*_blobs(x, of(x["key"]), 1), *_blobs(ties, of(ties["lo"]), 2), *_blobs(tied, of(tied["key"]), 3)]
+        for i in range(0, len(rows), 256):
+            bucket, *blobs = zip(*rows[i : i + 256], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *(pa.array(v, pa.binary()) for v in blobs)], ["bucket", "postings", "ties", "tied"])
 
     for b in batches:
-        ids = b.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
+        known = b.column("doc_id").is_valid().to_pylist()
         for row, _, raw, ends in textops.slices(b.column("text")):
             h, at = textops.shingle_sets(raw, ends, k)
             sums = np.zeros(len(h) + 1, np.uint64)
             np.cumsum(textops.mix(h), out=sums[1:])
             for r, (i, j) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
                 own = h[i:j]
-                if i == j or b.column("doc_id")[row + r].as_py() is None:
+                if i == j or not known[row + r]:
                     continue
-                if (mark := xxhash.xxh3_64_digest(own)) in seen:
+                mark = xxhash.xxh3_128_digest(own)
+                if mark in seen:
                     continue
                 if len(seen) >= SEEN:
                     seen.clear()
@@ -195,64 +225,89 @@ def _postings(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, lig
                 new = [_block_keys(own, sums[i : j + 1], c, *z.blocks(c)) for c in z.classes(s)]
                 if s <= light:
                     new.append(_subset_keys(own, z.subset_sizes(s, light)))
-                new = np.concatenate(new) if new else np.zeros(0, np.uint64)
-                keys.append(new)
-                docs.append(np.full(len(new), ids[row + r], np.int64))
-                held += len(new)
-            if held >= FLUSH:
+                if not new:
+                    continue
+                held[mark] = np.concatenate(new)
+                size += len(held[mark])
+            if size >= FLUSH:
                 yield from flush()
-                held = 0
+                size = 0
     yield from flush()
 
 
+def _blobs(x: np.ndarray, bucket: np.ndarray, place: int) -> Iterator[tuple]:
+    """(bucket, postings, ties, tied) of the buckets that occur, x in the place of one of them."""
+    order = np.argsort(bucket, kind="stable")
+    x, bucket = x[order], bucket[order]
+    edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(x)]
+    for i, j in zip(edges[:-1], edges[1:], strict=True):
+        if i < j:
+            yield (int(bucket[i]), *(x[i:j].tobytes() if k == place else None for k in (1, 2, 3)))
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The different rows, in order of their fields."""
+    x = x[np.lexsort([x[f] for f in reversed(x.dtype.names)])]
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return x[new]
+
+
+def _names(x: np.ndarray, hi: str, lo: str) -> pa.Array:
+    raw = np.stack((x[hi], x[lo]), axis=1).astype(">u8").tobytes()
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(x), [None, pa.py_buffer(raw)]).cast(pa.binary())
+
+
 def _lists(bucket: pa.Table) -> pa.Table:
-    """Inverted lists of a bucket with two documents or more, each once: (list_id, center, doc), center the smallest."""
-    a = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_buffer(), np.uint64) for x in bucket.column("keys"))])
-    d = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x.as_buffer(), np.int64) for x in bucket.column("docs"))])
-    order = np.argsort(a)
-    a, d = a[order], d[order]
-    same = np.zeros(len(a), bool)
-    same[1:] = a[1:] == a[:-1]
-    member = same.copy()
-    member[:-1] |= same[1:]
-    a, d = a[member], d[member]
-    order = np.lexsort((d, a))
-    a, d = a[order], d[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (d[1:] != d[:-1])
-    a, d = a[new], d[new]
-    head = np.ones(len(a), bool)
-    head[1:] = a[1:] != a[:-1]
+    """Inverted lists of a bucket with two sets or more, each once: (list_id, center, member), center the smallest. Ties
+    have no list_id, and lists with tied members no member."""
+    x, ties, tied = (np.frombuffer(b"".join(v for v in bucket.column(c).to_pylist() if v), d) for c, d in (("postings", _POSTING), ("ties", _TIE), ("tied", _POSTING)))
+    order = np.argsort(x["key"], kind="stable")
+    key = x["key"][order]
+    twice = np.zeros(len(key), bool)
+    twice[1:] = key[1:] == key[:-1]
+    twice[:-1] |= twice[1:].copy()
+    x = _distinct(x[order[twice]])  # most keys have one member and end here
+    head = np.ones(len(x), bool)
+    head[1:] = x["key"][1:] != x["key"][:-1]
     start = np.flatnonzero(head)
-    size = np.diff(np.append(start, len(a)))
+    size = np.diff(np.append(start, len(x)))
     seen: set[bytes] = set()
     keep = np.zeros(len(start), bool)
-    for i, (s, n) in enumerate(zip(start.tolist(), size.tolist(), strict=True)):
-        if n > 1 and (mark := xxhash.xxh3_64_digest(d[s : s + n])) not in seen:
+    with_ties = np.isin(x["key"][start], tied["key"])
+    sets = np.ascontiguousarray(np.stack((x["hi"], x["lo"]), axis=1))
+    for i in np.flatnonzero(size > 1).tolist():
+        if with_ties[i]:
+            keep[i] = True
+        elif (mark := xxhash.xxh3_128_digest(sets[start[i] : start[i] + size[i]])) not in seen:
             seen.add(mark)
             keep[i] = True
     rows = np.repeat(keep, size)
-    center = np.repeat(d[start], size)
-    return pa.table({"list_id": a[rows].view(np.int64), "center": center[rows], "doc": d[rows]})
+    found, center = x[rows], x[np.repeat(start, size)[rows]]
+    ties, tied = _distinct(ties), _distinct(tied)
+    none = pa.nulls(len(tied), pa.binary())
+    return pa.table({"list_id": pa.concat_arrays([pa.array(found["key"].view(np.int64)), pa.nulls(len(ties), pa.int64()), pa.array(tied["key"].view(np.int64))]), "center": pa.concat_arrays([_names(center, "hi", "lo"), _names(ties, "center_hi", "center_lo"), _names(tied, "hi", "lo")]), "member": pa.concat_arrays([_names(found, "hi", "lo"), _names(ties, "hi", "lo"), none])})
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Sets of the wanted rows, with a sketch each: how many shingles fall in each of SKETCH ranges."""
+    release()
     for b in batches:
         for row, last, raw, ends in textops.slices(b.column("text")):
             h, at = textops.shingle_sets(raw, ends, k)
             out: list[tuple] = []
-            for doc, want, i, j in zip(b.column("doc_id").slice(row, last - row).to_pylist(), b.column("set_key").slice(row, last - row).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+            for name, want, i, j in zip(b.column("set_id").slice(row, last - row).to_pylist(), b.column("set_key").slice(row, last - row).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                 own = h[i:j]
                 if xxhash.xxh3_128_digest(own) == want:
                     sketch = np.minimum(np.bincount((own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS), 255).astype(np.uint8)
-                    out.append((doc, j - i, sketch.tobytes(), own.tobytes()))
+                    out.append((name, j - i, sketch.tobytes(), own.tobytes()))
             cols = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=True)], ["doc_id", "size", "sketch", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=True)], ["set_id", "size", "sketch", "shingles"])
 
 
 def _possible(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Pairs whose sketches allow the overlap that a link needs: no set shares more of a range than either has there."""
+    release()
     for b in batches:
         keep = []
         for x, y, m, n in zip(b.column("sketch_a"), b.column("sketch_b"), b.column("size_a").to_pylist(), b.column("size_b").to_pylist(), strict=True):
@@ -265,6 +320,7 @@ def _possible(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator
 
 
 def _verified(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    release()
     for b in batches:
         keep = []
         for x, y in zip(b.column("shingles_a"), b.column("shingles_b"), strict=True):
@@ -277,6 +333,7 @@ def _verified(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for b in batches:
         for at in range(0, b.num_rows, 64):
             part = b.slice(at, 64)
@@ -297,6 +354,7 @@ _KEYS = "shingle long, low int, high int, doc long, size long, place long, alone
 
 def _early(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Lists of each set: its shingles in rarest-first order, as far as a partner's size lets the first common one stand."""
+    release()
     z = Sizes(num, den)
     for b in batches:
         rows: list[tuple] = []
@@ -338,27 +396,34 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, buckets: int | None = None) -> DataFrame:
+def join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, buckets: int | None = None, hot: int = HOT) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one for each row of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    prepare(spark)
+    return _components_of_rows(docs, words, num, den, buckets, hot).drop("tag")
+
+
+def _components_of_rows(docs: DataFrame, words: int, num: int, den: int, buckets: int | None = None, hot: int = HOT) -> DataFrame:
+    """The same with tag, a hash of the row's text."""
+    prepare(docs.sparkSession)
     source = texts(docs)
-    n_buckets = min(4096, max(16, buckets or 2 * partitions_of(source)))
-    features = materialise(source.mapInArrow(lambda it: _features(it, words), _FEATURES), "sets")
-    classes = materialise(features.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
+    # buckets are groups in a task's memory, so their number follows the input
+    n_buckets = max(16, buckets or 2 * partitions_of(source))
+    features = materialise(source.withColumn("tag", F.xxhash64("text")).mapInArrow(lambda it: _features(it, words), _FEATURES), "sets")
+    full = features.where("n_shingles > 0")
+    # sets get a number each once they are written, and go by it from there on
+    classes = materialise(full.groupBy("set_key").agg(F.min("doc_id").alias("doc_id")).withColumn("set_id", F.monotonically_increasing_id()), "classes")
     light = choose_boundary({r[0]: r[1] for r in features.where(F.col("n_shingles").between(1, LIGHT_MOST * den // num + 1)).groupBy("n_shingles").count().collect()}, num, den)
-    posted = source.mapInArrow(lambda it: _postings(it, words, num, den, light, n_buckets), "bucket int, keys binary, docs binary")
-    lists = posted.groupBy("bucket").applyInArrow(_lists, "list_id long, center long, doc long")
-    of = materialise(features.where("n_shingles > 0").join(classes, "set_key").select("doc_id", "n_shingles", "rep"), "members")
-    rep = of.select("doc_id", "rep")
-    lists = materialise(lists, "lists")
-    named = lists.join(rep.select(F.col("doc_id").alias("doc"), F.col("rep").alias("b")), "doc").join(rep.select(F.col("doc_id").alias("center"), F.col("rep").alias("a")), "center").select("list_id", "a", "b")
-    named = materialise(named.where("b is not null and a is not null"), "lists")
+    posted = source.mapInArrow(lambda it: _postings(it, words, num, den, light, n_buckets, hot), "bucket int, postings binary, ties binary, tied binary")
+    lists = materialise(posted.groupBy("bucket").applyInArrow(_lists, "list_id long, center binary, member binary"), "lists")
+    number = classes.select("set_key", "set_id")
+    named = lists.join(number.select(F.col("set_key").alias("member"), F.col("set_id").alias("b")), "member", "left").join(number.select(F.col("set_key").alias("center"), F.col("set_id").alias("a")), "center").select("list_id", "a", "b")
+    named = materialise(named, "lists")
     edges = named.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges = materialise(edges, "candidates")
-    wanted = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(features.groupBy("doc_id").agg(F.min("set_key").alias("set_key")), "doc_id")
-    sets = materialise(join_ids(source, materialise(wanted, "wanted"), "doc_id", "inner").mapInArrow(lambda it: _sets(it, words), "doc_id long, size long, sketch binary, shingles binary"), "shingles")
-    side = lambda x, *columns: sets.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+    wanted = edges.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(classes, "set_id")
+    # a doc_id may have several texts: of those only the one of the wanted set stays
+    sets = join_ids(source, materialise(wanted, "wanted"), "doc_id", "inner").mapInArrow(lambda it: _sets(it, words), "set_id long, size long, sketch binary, shingles binary")
+    sets = materialise(sets, "shingles")
+    side = lambda x, *columns: sets.select(F.col("set_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
 
     def verified(pairs: DataFrame) -> DataFrame:
         brief = pairs.join(side("b", "size", "sketch"), "b").join(side("a", "size", "sketch"), "a").where(f"least(size_a, size_b) * {den} >= greatest(size_a, size_b) * {num}")
@@ -367,13 +432,21 @@ def join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, buckets
         return materialise(full.mapInArrow(lambda it: _verified(it, num, den), "a long, b long").distinct(), "links")
 
     links = verified(edges)
-    # a list whose members all link with its smallest one is settled; the others go on
-    settled = links.withColumn("linked", F.lit(True))
-    failed = named.where("a <> b").select("list_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(settled, ["a", "b"], "left").groupBy("list_id").agg(F.count("*").alias("n"), F.count_if(F.col("linked").isNull()).alias("failed")).where("failed > 0 and n > 1").select("list_id")
-    open_ = materialise(named.join(failed, "list_id").select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "open")
-    found = components(links) if open_.isEmpty() else _second_scan(open_, sets.select(F.col("doc_id").alias("doc"), "shingles"), edges, links, verified, num, den)
-    named_of = features.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").select("doc_id", "n_shingles", "rep")
-    return named_of.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    # a list whose members all link with its smallest one, and theirs with them, is settled; the others go on
+    linked = links.withColumn("linked", F.lit(True))
+    missed = named.where("a <> b").select("list_id", F.col("a").alias("center"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(linked, ["a", "b"], "left").where("linked is null")
+    missed = materialise(missed.select("list_id", F.when(F.col("list_id").isNull(), F.col("center")).alias("center")).distinct(), "missed")
+    ties, tied = named.where("list_id is null").select("a", "b"), named.where("b is null").select("list_id", "a")
+    failed = missed.where("list_id is not null").select("list_id").union(tied.join(missed.where("list_id is null").select(F.col("center").alias("a")), "a").select("list_id")).distinct()
+    failed = materialise(failed, "failed")
+    members = named.where("b is not null").join(failed, "list_id").select(F.explode(F.array("a", "b")).alias("doc"))
+    centers = tied.join(failed, "list_id").select("a").distinct()
+    open_ = materialise(members.union(centers.select("a")).union(ties.join(centers, "a").select("b")).distinct(), "open")
+    found = components(links) if open_.isEmpty() else _second_scan(open_, sets.select(F.col("set_id").alias("doc"), "shingles"), edges, links, verified, num, den)
+    named_of = classes.select("set_key", "doc_id", "set_id").join(found.select(F.col("node").alias("set_id"), "component"), "set_id", "left")
+    smallest = named_of.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("smallest"))
+    of = named_of.join(smallest, "component", "left").select("set_key", F.coalesce("smallest", "doc_id").alias("component_id"))
+    return features.join(of, "set_key", "left").select("doc_id", "tag", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _second_scan(open_: DataFrame, sets: DataFrame, edges: DataFrame, links: DataFrame, verified: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
@@ -408,6 +481,8 @@ def _second_scan(open_: DataFrame, sets: DataFrame, edges: DataFrame, links: Dat
 
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The documents of docs that have the smallest doc_id of their component; all columns of docs."""
-    out = join(docs, words, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias("_out")).distinct()
-    key = docs.withColumn("_out", F.col("doc_id").cast("long"))
-    return join_ids(key, materialise(out, "copies"), "_out", "left_anti").select(*docs.columns)
+    out = _components_of_rows(docs, words, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias("out_id"), F.col("tag").alias("out_tag")).distinct()
+    out = materialise(out, "copies")
+    # the columns of docs travel in one struct, so their names can't clash with ours
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("out_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("out_tag"))
+    return join_ids(rows, out, ["out_id", "out_tag"], "left_anti").select("row.*")
