@@ -1,26 +1,30 @@
 """Suffix-array dedup: remove every byte that a repeated window of `width` bytes covers.
 
-Suffixes are ordered only to depth `width`, by most-significant-digit passes; after the last pass the equal
-groups are exactly the repeated windows. Sorting every suffix of the corpus would move width-deep suffixes
-for each byte, so the first digit of a window is its anchor: the leftmost smallest of the scrambled
-half-width grams in it. Equal windows have the same anchor at the same offset, wherever they stand, so:
-
-* pass 1 groups by the anchor gram, its next digit being the hash of the whole stretch of text that the
-  windows around one anchor cover (a chunk). A gram that occurs once leaves: its windows are singletons. Of
-  chunks that occur again, every window is repeated.
-* pass 2 orders down to depth `width` what pass 1 leaves open: grams around which different chunks stand.
-  One copy of each such chunk is sent as text, and the windows of all chunks of a gram are compared.
+Suffixes are ordered only to depth `width`, by most-significant-digit passes: each pass orders the suffixes of a
+group by the next digit and drops those that are alone with theirs; the equal groups after the last pass are exactly
+the repeated windows. The first passes are Spark's, the others run on bytes within a task.
+
+* Sorting every suffix of the corpus would move width-deep suffixes for each byte, so the first digit of a window is
+  its anchor: the leftmost smallest of the scrambled half-width grams in it. Equal windows have the same anchor at the
+  same offset, wherever they stand. The second digit is the hash of the whole stretch of text that the windows
+  around one anchor cover (a chunk). A gram that occurs once leaves: its windows are alone. Of chunks that occur
+  again, every window is repeated.
+* What that leaves open are grams around which different chunks stand. One copy of each such chunk is sent as text,
+  and the windows of all chunks of a gram go through passes of 8 bytes each, to depth `width`: what stays together is
+  equal byte by byte.
   A gram with many chunks (a footer between different neighbours) would be a group without bound, so its
-  chunks don't stay together: their windows are dealt by the windows' own hashes.
+  chunks don't stay together: their windows are dealt by gram and hash, 128 bits in all, instead of being sent as text.
 
 Pass 1 aggregates in the map task first: of a chunk that occurs often there, one occurrence goes on, and the
 others are already known to be repeated. So a passage that a third of the documents hold stays spread out. Of
 a gram around which many different chunks stand there, only a mark goes to its bucket. Windows that are dealt
 by their hashes are aggregated in the map task in the same way.
 
-Defined cases: null text is empty; texts shorter than the width keep all bytes but can't lose any; matches
-don't cross documents; rows that share a doc_id are documents of their own (the text's hash tells them
-apart; equal rows repeat each other); an empty table gives no rows.
+Defined cases: null text is empty; texts shorter than the width keep all bytes but can't lose any; texts of any
+length are read whole, in pieces of about 1 MB that overlap by a window; matches don't cross documents; rows that
+share a doc_id are documents of their own (the text's hash tells them apart; equal rows repeat each other, so both
+lose their windows: no occurrence is the first); other columns are ignored by dedup() and kept by clean(), whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import materialise, partitions_of, prepare
+from .common import materialise, partitions_of, prepare, release
 
 #: Bytes of postings that a task holds before it hands them on.
 FLUSH = 24 << 20
@@ -51,7 +55,7 @@ _ROW = np.dtype([("id", "<i8"), ("tag", "<i4")])
 #: One occurrence of a chunk; a negative count: already known to be repeated; none: a mark that the gram is hot.
 _POSTING = np.dtype([("gram", "<u8"), ("chunk", "<u8"), ("id", "<i8"), ("tag", "<i4"), ("start", "<i4"), ("count", "<i2")])
 #: A window that is dealt out: SINGLE, REPEATED (sent on only for others to be compared with) or KNOWN (only to be removed).
-_WINDOW = np.dtype([("hash", "<u8"), ("id", "<i8"), ("tag", "<i4"), ("start", "<i4"), ("state", "<i1")])
+_WINDOW = np.dtype([("gram", "<u8"), ("hash", "<u8"), ("id", "<i8"), ("tag", "<i4"), ("start", "<i4"), ("state", "<i1")])
 SINGLE, REPEATED, KNOWN = range(3)
 _RANGES = "id long, tag int, ranges binary, asked binary"
 
@@ -121,20 +125,22 @@ def _batches(rows: list[tuple], schema: list[tuple[str, pa.DataType]], size: int
 _SENT = [("bucket", pa.int32()), ("kind", pa.int32()), ("postings", pa.binary())]
 
 
-def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each key, whether it is the first of its value, and how many have the value."""
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    head = np.ones(len(k), bool)
-    head[1:] = k[1:] != k[:-1]
-    size = np.diff(np.append(np.flatnonzero(head), len(k)))
-    first, count = np.zeros(len(k), bool), np.zeros(len(k), np.int64)
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of keys, whether it is the first of its values, and how many have the values."""
+    order = np.lexsort(keys) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+    head = np.ones(len(order), bool)
+    head[1:] = False
+    for k in keys:
+        head[1:] |= k[order[1:]] != k[order[:-1]]
+    size = np.diff(np.append(np.flatnonzero(head), len(order)))
+    first, count = np.zeros(len(order), bool), np.zeros(len(order), np.int64)
     first[order], count[order] = head, np.repeat(size, size)
     return first, count
 
 
 def _chunk_postings(batches: Iterator[pa.RecordBatch], width: int, buckets: int, hot: int = HOT) -> Iterator[pa.RecordBatch]:
     """Every chunk of the texts. kind 0 goes to its gram's bucket; kind 1 is known to be repeated; kind 2 has a hot gram."""
+    release()
     held: list[np.ndarray] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -208,6 +214,7 @@ def _spans(postings: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
 
 def _pass_1(bucket: pa.Table, width: int, hot: int = HOT) -> pa.Table:
     """Ranges of repeated chunks; one occurrence of each chunk whose gram stands in other chunks, too, is asked for."""
+    release()
     x, known, dealt = (_joined(bucket, kind) for kind in range(3))
     marks = np.unique(x["gram"][x["count"] == 0])
     x = x[x["count"] != 0]
@@ -241,6 +248,7 @@ def _pass_1(bucket: pa.Table, width: int, hot: int = HOT) -> pa.Table:
 
 def _asked_chunks(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """The chunks that are asked for, with their text, to the bucket of their gram; windows to be dealt out to others."""
+    release()
     rows: list[tuple] = []
     windows: list[np.ndarray] = []
     size = 0
@@ -258,7 +266,7 @@ def _asked_chunks(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -
             raw = np.frombuffer(text, np.uint8)
             apart = np.abs(a[:, 1]) > _DEALT
             if apart.any():
-                windows.append(_windows_of(raw, a[apart], own, tag, width))
+                windows.append(_windows_of(raw, a[apart], _anchor_of(raw, a[apart, 0], width), own, tag, width))
                 size += windows[-1].nbytes
                 a = a[~apart]
                 if not len(a):
@@ -276,13 +284,13 @@ def _asked_chunks(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -
     yield from flush()
 
 
-def _windows_of(raw: np.ndarray, asked: np.ndarray, own: int, tag: int, width: int) -> np.ndarray:
+def _windows_of(raw: np.ndarray, asked: np.ndarray, gram: np.ndarray, own: int, tag: int, width: int) -> np.ndarray:
     """The windows of a text's chunks that are dealt out."""
     n = np.abs(asked[:, 1]) - _DEALT
     at = np.repeat(asked[:, 0] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
     x = np.empty(len(at), _WINDOW)
     x["hash"] = textops.span_hashes(textops.prefix_sums(raw), at, at + width)
-    x["id"], x["tag"], x["start"], x["state"] = own, tag, at, np.repeat(np.where(asked[:, 1] < 0, REPEATED, SINGLE), n)
+    x["gram"], x["id"], x["tag"], x["start"], x["state"] = np.repeat(gram, n), own, tag, at, np.repeat(np.where(asked[:, 1] < 0, REPEATED, SINGLE), n)
     return x
 
 
@@ -291,7 +299,7 @@ def _dealt(held: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
     if not held:
         return
     x = np.concatenate(held)
-    first, size = _runs(x["hash"])
+    first, size = _runs(x["hash"], x["gram"])
     known = x[(size > 1) & (x["state"] == SINGLE)]
     known["state"] = KNOWN
     x["state"] = np.where(size > 1, REPEATED, x["state"])
@@ -345,7 +353,7 @@ def _pass_2_dealt(bucket: pa.Table, width: int) -> pa.Table:
     """Byte ranges of the windows of a bucket that are repeated."""
     x = np.frombuffer(b"".join(v.as_py() for v in bucket.column("postings")), _WINDOW)
     known, x = x[x["state"] == KNOWN], x[x["state"] != KNOWN]
-    x = np.concatenate((known, x[(_runs(x["hash"])[1] > 1) & (x["state"] == SINGLE)]))
+    x = np.concatenate((known, x[(_runs(x["hash"], x["gram"])[1] > 1) & (x["state"] == SINGLE)]))
     x = x[np.lexsort((x["start"], x["tag"], x["id"]))]
     # windows that touch make one range
     head = np.ones(len(x), bool)
@@ -354,22 +362,36 @@ def _pass_2_dealt(bucket: pa.Table, width: int) -> pa.Table:
     return _by_row(_spans(x[head], x["start"][head], x["start"][last] + width), np.zeros(0, _SPAN))
 
 
+def repeated(text: np.ndarray, begin: np.ndarray, group: np.ndarray, width: int) -> np.ndarray:
+    """Which windows have an equal one in their group: most-significant-digit passes over 8 bytes each, to depth width."""
+    step = min(8, width)
+    out, live = np.zeros(len(begin), bool), np.arange(len(begin))
+    # the 8 bytes from each position on, as a number; the last digit may overlap the one before
+    digits = np.ndarray(max(0, len(text) - 7), ">u8", np.ascontiguousarray(text), strides=(1,)) if step == 8 else None
+    for depth in range(0, width, step):
+        at = begin[live] + min(depth, width - step)
+        digit = digits[at].astype(np.uint64) if step == 8 else np.frombuffer(b"".join(text[a : a + step].tobytes().ljust(8, b"\0") for a in at.tolist()), ">u8").astype(np.uint64)
+        order = np.lexsort((digit, group))
+        d, g = digit[order], group[order]
+        head = np.ones(len(order), bool)
+        head[1:] = (d[1:] != d[:-1]) | (g[1:] != g[:-1])
+        stay = ~(head & np.append(head[1:], True))
+        live, group = live[order[stay]], (np.cumsum(head) - 1)[stay]
+        if not len(live):
+            break
+    out[live] = True
+    return out
+
+
 def _windows(x: np.ndarray, at: np.ndarray, text: np.ndarray, width: int) -> np.ndarray:
     n = np.abs(x["count"].astype(np.int64))
     length = n + width - 1
     here = np.cumsum(length) - length
     text = text[np.repeat(at - here, length) + np.arange(int(length.sum()))]
-    sums = textops.prefix_sums(text)
     owner = np.repeat(np.arange(len(n)), n)
     begin = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(here, n)
-    h = textops.span_hashes(sums, begin, begin + width)
-    order = np.argsort(h)
-    k = h[order]
-    same = np.zeros(len(k), bool)
-    same[1:] = k[1:] == k[:-1]
-    same[:-1] |= same[1:].copy()
-    hit = np.zeros(len(k), bool)
-    hit[order] = same
+    _, gram = np.unique(x["gram"], return_inverse=True)
+    hit = repeated(text, begin, gram[owner], width)
     hit &= (x["count"] > 0)[owner]
     edge = np.diff(np.concatenate(([False], hit, [False])).astype(np.int8))
     turn = np.zeros(len(hit) + 1, bool)
@@ -383,6 +405,7 @@ def _windows(x: np.ndarray, at: np.ndarray, text: np.ndarray, width: int) -> np.
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cut the covered ranges out."""
+    release()
     for b in batches:
         out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept", "sha", "text")}
         for t, *found in zip(b.column("text").to_pylist(), b.column("ranges"), b.column("more"), strict=True):
@@ -415,7 +438,8 @@ def dedup(docs: DataFrame, width: int = 200, buckets: int | None = None, carry:
     # the other columns travel in one struct, so their names can't clash with ours
     rest = F.struct(*[docs[c] for c in others]) if others else F.lit(None).cast("int")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), rest.alias("rest")).select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.hash("text").alias("tag"), "text", "rest")
-    n = min(4096, max(16, buckets or 2 * partitions_of(source)))
+    # buckets are groups in a task's memory, so their number follows the input
+    n = max(16, buckets or 2 * partitions_of(source))
     posted = source.select("id", "tag", "text").mapInArrow(lambda it: _chunk_postings(it, width, n, hot), "bucket int, kind int, postings binary")
     found = posted.groupBy("bucket").applyInArrow(lambda t: _pass_1(t, width, hot), _RANGES)
     found = materialise(found.groupBy("id", "tag").agg(F.collect_list("ranges").alias("ranges"), F.collect_list("asked").alias("asked")), "ranges")
