@@ -6,9 +6,11 @@ potential between parent and child is the chance of the child's label given the
 tag. Sum-product messages, first from the leaves up, then from the root down, give each node's marginal of
 being content; the text of a node is kept where it is above one half.
 
-The potentials are counted on labelled pages. The tables have none, so `labelled_pages` writes them: layouts
-of articles in varied containers between menus, headers, notices, adverts, forms, sidebars, reader comments
-and footers, each element marked. Callers may fit on labelled pages of their own.
+The potentials are counted on labelled pages: html whose elements carry label="1" (content) or label="0", an
+unmarked one having its parent's. `fit` counts them from a table of such pages, of which it takes a bounded sample.
+The tables here have none, so without a model of the caller's own `labelled_pages` writes them: layouts of articles in
+varied containers between menus, headers, notices, adverts, forms, sidebars, reader comments and footers. Its names of
+classes are what web authors call these things; a test holds pages against it that were written apart from it.
 
 Blocks: text between the borders of block elements is one block; its character references are decoded, its
 runs of white space (a line break element is one) become a space, and it is trimmed. Blocks with text are
@@ -16,8 +18,9 @@ joined in page order by line feeds.
 
 Defined cases: null or empty html gives an empty text; broken html is read as far as it goes: an element that
 is not closed ends with its parent or with what implies its end, stray end tags are passed over, an unclosed
-comment or script takes the rest of the page; rows that share a page_id each give a row; other columns are
-ignored; an empty table gives no rows.
+comment, script or tag takes the rest of the page; a text whose chance is exactly one half is left out; pages of any
+length and depth are read whole, in time in proportion to their length; rows that share a page_id, and repeated rows,
+each give a row; other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +39,9 @@ from pyspark.sql import functions as F
 
 from .common import prepare
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: What starts a tag, comment, marked section or declaration, and what can end a tag or begin a quoted value in it.
+_OPEN = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_STOP = re.compile(r">|=\s*([\"'])")
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: The most that one feature of a text may count, in log odds; names of elements may count 5.
 TEXT_WEIGHT = 0.7
@@ -47,6 +52,7 @@ RAW = frozenset("script style textarea title noscript template iframe xmp noembe
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 #: Elements whose start ends an open one of these, up to the elements that hold it.
 ENDS = {"li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select", "datalist")), "tbody": (("tbody", "thead", "tfoot", "tr", "td", "th"), ("table",)), "thead": (("tbody", "thead", "tfoot"), ("table",)), "tfoot": (("tbody", "thead", "tfoot", "tr", "td", "th"), ("table",)), "body": (("head",), ("html",))}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that an open paragraph can stay open in.
 P_SCOPE = frozenset("button td th caption object table html".split())
 
@@ -58,47 +64,91 @@ class Node:
         self.tag, self.attributes, self.parent, self.text, self.links = tag, attributes, parent, text, False
 
 
+class _Stack:
+    """The open elements, with the places of each tag, so the innermost of some tags is found without a search."""
+
+    def __init__(self):
+        self.nodes, self.tags = [0], ["#root"]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, node: int, tag: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+        self.tags.append(tag)
+
+    def innermost(self, tags: Iterable[str]) -> int:
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def close(self, tags: Iterable[str], holders: Iterable[str] = ()) -> None:
+        """End the innermost element of the tags and all in it, unless a holder stands between."""
+        at = self.innermost(tags)
+        if not at or at < self.innermost(holders):
+            return
+        for tag in self.tags[at:]:
+            self.places[tag].pop()
+        del self.nodes[at:], self.tags[at:]
+
+
+def _tag_end(page: str, at: int, missing: set[str]) -> int:
+    """The place of the > that ends a tag, quoted values passed over; -1 without one. missing: quotes known not to follow."""
+    while m := _STOP.search(page, at):
+        if not m[1]:
+            return m.start()
+        at = m.end()
+        if m[1] not in missing:
+            close = page.find(m[1], at)
+            if close >= 0:
+                at = close + 1
+            else:
+                missing.add(m[1])  # an open quote: the tag ends at the next >
+    return -1
+
+
 def parse(page: str) -> list[Node]:
-    """Nodes in page order, so parents stand before children; texts are nodes of the tag #text."""
+    """Nodes in page order, so parents stand before children; texts are nodes of the tag #text, their references decoded.
+
+    Every step moves on in the page or closes elements that were opened once, so the time is linear in its length."""
     nodes = [Node("#root", "", -1)]
-    stack = [0]
-    at, size = 0, len(page)
+    stack = _Stack()
+    at, size, missing = 0, len(page), set()
 
     def text(part: str) -> None:
         if part:
-            nodes.append(Node("#text", "", stack[-1], part))
+            nodes.append(Node("#text", "", stack.nodes[-1], entities.unescape(part) if "&" in part else part))
 
-    def close(names: Iterable[str], holders: Iterable[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            tag = nodes[stack[i]].tag
-            if tag in names:
-                del stack[i:]
-                return
-            if tag in holders:
-                return
+    def after(mark: str, start: int) -> tuple[int, int]:
+        found = page.find(mark, start)
+        return (found, found + len(mark)) if found >= 0 else (size, size)
 
     while at < size:
-        m = _TOKEN.search(page, at)
+        m = _OPEN.search(page, at)
         if not m:
             text(page[at:])
             break
         text(page[at : m.start()])
-        at = m.end()
         if not m[2]:
-            if m[0].startswith("<![CDATA["):
-                text(m[0][9:].removesuffix("]]>"))
+            if m[0] == "<!--":
+                at = after("-->", m.end())[1]
+            elif m[0] == "<![CDATA[":
+                end, at = after("]]>", m.end())
+                nodes.append(Node("#text", "", stack.nodes[-1], page[m.end() : end]))
+            else:
+                at = after(">", m.end())[1]
             continue
-        tag = m[2].lower()
+        end = _tag_end(page, m.end(), missing)
+        if end < 0:
+            break  # a tag without an end takes the rest of the page
+        at, tag, attributes = end + 1, m[2].lower(), page[m.end() : end]
         if m[1]:
-            close((tag,), ())
+            stack.close((tag,))
             continue
         if tag in BLOCK:
-            close(("p",), P_SCOPE)
+            stack.close(("p",), P_SCOPE)
         if tag in ENDS:
-            close(*ENDS[tag])
-        if tag[0] == "h" and tag[1:] in "123456" and nodes[stack[-1]].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            stack.pop()
-        nodes.append(Node(tag, m[3], stack[-1]))
+            stack.close(*ENDS[tag])
+        if tag in HEADINGS and stack.tags[-1] in HEADINGS:
+            stack.close((stack.tags[-1],))
+        nodes.append(Node(tag, attributes, stack.nodes[-1]))
         if tag in VOID:
             continue
         if tag in RAW:
@@ -107,8 +157,8 @@ def parse(page: str) -> list[Node]:
             nodes[-1].text = page[at : end.start() if end else size]
             at = (page.find(">", end.start()) + 1 or size) if end else size
             continue
-        if not m[3].endswith("/"):
-            stack.append(len(nodes) - 1)
+        if not attributes.endswith("/"):
+            stack.push(len(nodes) - 1, tag)
     return nodes
 
 
@@ -215,7 +265,7 @@ class Model:
 
         def flush() -> None:
             if held:
-                if t := " ".join(entities.unescape("".join(held)).split()):
+                if t := " ".join("".join(held).split()):
                     blocks.append(t)
                 held.clear()
 
@@ -297,12 +347,25 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[str]:
             body.append(boilerplate("bottom"))
         article = f'<{tag} {name} label="1">{"".join(body)}</{tag}>'
         for _ in range(r.choice([0, 0, 1, 2])):
-            article = f'<{r.choice(["div", "section", "main"])} {r.choice(["", chr(99) + "lass=" + chr(34) + r.choice(["wrapper", "container", "page", "row", "layout"]) + chr(34)])} label="0">{"".join(boilerplate("any") for _ in range(r.choice([0, 0, 1])))}{article}{"".join(boilerplate("any") for _ in range(r.choice([0, 0, 1])))}</div>'
+            article = f'<{r.choice(["div", "section", "main"])} {r.choice(["", f'class="{r.choice(["wrapper", "container", "page", "row", "layout"])}"'])} label="0">{"".join(boilerplate("any") for _ in range(r.choice([0, 0, 1])))}{article}{"".join(boilerplate("any") for _ in range(r.choice([0, 0, 1])))}</div>'
         head = f"<head><title>{words(2, 6)}</title><style>p{{}}</style><script>var a = 1;</script></head>"
         out.append(f"<!DOCTYPE html><html>{head}<body>{''.join(boilerplate('top') for _ in range(r.randint(0, 4)))}{article}{''.join(boilerplate('bottom') for _ in range(r.randint(0, 4)))}</body></html>")
     return out
 
 
+#: Labelled pages that a model is fitted on at most, about.
+SAMPLE = 5_000
+
+
+def fit(pages: DataFrame, sample: int = SAMPLE) -> Model:
+    """A model from labelled pages (html): all of them, or a sample of about `sample` chosen by a hash of the html."""
+    rows = pages.select(F.col("html").cast("string").alias("html")).where("html is not null")
+    n = rows.count()
+    if n > sample:
+        rows = rows.where(F.pmod(F.xxhash64("html"), F.lit(1_000_003)) < sample / n * 1_000_003)
+    return Model(sorted(r["html"] for r in rows.toLocalIterator()))
+
+
 def _extracted(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     model: Model = shared.value
     for b in batches:
