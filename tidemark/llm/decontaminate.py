@@ -6,11 +6,14 @@ looked through by the benchmark's own vocabulary: a word outside it ends a run,
 are hashed and looked up; a hit is verified word by word against the item.
 
 The set is broadcast only while it has at most MOST_WINDOWS windows, which is checked. A larger benchmark is
-split by item into parts of that size, each a pass of its own over the documents.
+split into parts of that size, a long item too, each part a pass of its own over the documents; the driver holds a
+part and a partition of items at a time.
 
 Defined cases: null text or an item without words has no words and no windows; an item counts once however
 often it occurs; rows of the benchmark that share an item_id count as one item; rows of the documents that
-share a doc_id each give a row; other columns are ignored; an empty benchmark hits nothing.
+share a doc_id, and repeated rows, each give a row; a text of any length is read whole by one task; of items with
+the same words each counts; other columns are ignored by hits() and kept by remove_documents(), whatever their names;
+an empty table gives no rows, an empty benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -23,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, prepare, texts
+from .common import materialise, prepare, release, texts
 
 #: Windows of a broadcast set: about 100 MB.
 MOST_WINDOWS = 500_000
+#: Windows of a text that are hashed at a time.
+_BLOCK = 1 << 16
 #: Separators become spaces and A-Z are lowered.
 _TABLE = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 0x80 or chr(b).isascii() and chr(b).isalnum() else 32 for b in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -80,17 +85,20 @@ class Benchmark:
             at = np.flatnonzero(known[size:] - known[:-size] == size) if n >= size else np.zeros(0, np.int64)
             if not len(at):
                 continue
-            h = self._hash(ids[at[:, None] + np.arange(size)].astype(np.uint64))
-            where = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            for p in at[hashes[where] == h].tolist():
-                if (of := self.windows[size].get(tuple(ids[p : p + size].tolist()))) is not None:
-                    hit[p : p + size] = True
-                    items.update(of)
+            for low in range(0, len(at), _BLOCK):
+                part = at[low : low + _BLOCK]
+                h = self._hash(ids[part[:, None] + np.arange(size)].astype(np.uint64))
+                where = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                for p in part[hashes[where] == h].tolist():
+                    if (of := self.windows[size].get(tuple(ids[p : p + size].tolist()))) is not None:
+                        hit[p : p + size] = True
+                        items.update(of)
         return hit, items
 
 
 def _marked(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     """Add the words that one part of the benchmark hits, as a bit each, and the items found in it."""
+    release()
     part: Benchmark = shared.value
     for b in batches:
         bits, names = [], []
@@ -105,6 +113,7 @@ def _marked(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
 
 def _digested(batches: Iterator[pa.RecordBatch], shared, cut: bool) -> Iterator[pa.RecordBatch]:
     """The last part of the benchmark, and what all parts have found."""
+    release()
     part: Benchmark = shared.value
     for b in batches:
         out: dict[str, list] = {c: [] for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")}
@@ -138,15 +147,18 @@ def _without(text: str, hit: np.ndarray) -> str:
 
 
 def _parts(benchmark: DataFrame, width: int) -> Iterator[Benchmark]:
-    """The benchmark in parts of at most MOST_WINDOWS windows and one item, read item by item."""
+    """The benchmark in parts of at most MOST_WINDOWS windows, read item by item."""
     items, n = [], 0
     for r in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).where("i is not null and t is not null").orderBy("i").toLocalIterator():
-        size = len(words(r["t"]))
-        if items and n + size > MOST_WINDOWS and r["i"] != items[-1][0]:
-            yield Benchmark(items, width)
-            items, n = [], 0
-        items.append((r["i"], r["t"]))
-        n += size
+        w = words(r["t"])
+        for at in range(0, max(1, len(w) - width + 1), MOST_WINDOWS):
+            piece = w[at : at + MOST_WINDOWS + width - 1]
+            size = max(1, len(piece) - width + 1)
+            if items and n + size > MOST_WINDOWS:
+                yield Benchmark(items, width)
+                items, n = [], 0
+            items.append((r["i"], b" ".join(piece).decode("utf-8", "surrogatepass")))
+            n += size
     yield Benchmark(items, width)
 
 
@@ -172,6 +184,7 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, width: int = 10) ->
     prepare(spark)
 
     def kept(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+        release()
         part: Benchmark = shared.value
         for b in batches:
             yield b.filter(pa.array([not part.find(words(t or ""))[0].any() for t in b.column("text").cast(pa.string()).to_pylist()], pa.bool_()))
