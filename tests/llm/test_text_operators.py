@@ -44,7 +44,7 @@ def test_toxicity_odd(spark, odd, none):
 
 
 def test_shared_backoff_keeps_unseen_words_even():
-    m = toxicity.KneserNey({"good": (5, 5), "bad": (0, 9), "fine": (9, 0)})
+    m = toxicity.Ratios({"good": (5, 5), "bad": (0, 9), "fine": (9, 0)})
     assert m.ratio("bad") > 1 > m.ratio("zzzz") and abs(m.ratio("zzzz")) < 0.5 and m.ratio("fine") < 0
 
 
@@ -67,7 +67,8 @@ def test_language_odd(odd, none):
 
 def test_language_backs_off_to_characters():
     m = language.Model(["en", "de"], {"the": {"en": 9}, "und": {"de": 9}}, {"sch": {"de": 9}, "ing": {"en": 9}, "s": {"en": 5, "de": 5}})
-    assert m.word("the")[0] > m.word("the")[1] and m.word("geschenk")[1] > m.word("geschenk")[0] and m.word("walking")[0] > m.word("walking")[1]
+    the, geschenk, walking = m.evidence(["the", "geschenk", "walking"])
+    assert the[0] > the[1] and geschenk[1] > geschenk[0] and walking[0] > walking[1]
 
 
 # --- 2: Order MinHash -------------------------------------------------------------------------------------
@@ -173,9 +174,10 @@ def test_token_counts_are_the_library(rows):
     assert [c.count(x) for x in texts] == [len(x.ids) for x in t.encode_batch(texts, add_special_tokens=False)]
     for x in texts[:150] + [rows[0][1][:120]]:
         assert c.text_prefixes(x) == [len(e.ids) for e in t.encode_batch([x[:i] for i in range(len(x) + 1)], add_special_tokens=False)]
-    for x in [rows[0][1][:400]]:
-        ends, n = c.boundaries(x)
-        assert c.fit(x, n[5]) == ends[5] and c.fit(x, 10**6) == len(x) and c.fit(x, 0) == 0
+    for x in texts[:60] + [rows[0][1][:120]]:
+        n = c.text_prefixes(x)
+        for budget in (0, 1, 5, 10**6):
+            assert c.fit(x, budget) == max(i for i, k in enumerate(n) if k <= budget)
 
 
 def test_token_counts_odd(odd, none):
