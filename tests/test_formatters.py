@@ -53,3 +53,25 @@ def test_genotypes(spark):
     lines = ["# comment", "# rsid\tchromosome\tposition\tgenotype", "rs1\t1\t100\tAA", "rs2 1 200 CT", "rs3\t1\tx\tAA", ""]
     got = f.genotypes(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
     assert [tuple(r) for r in got] == [("rs1", "1", 100, "AA"), ("rs2", "1", 200, "CT")]
+
+
+def test_ingestion_normalises_names_and_units(spark):
+    rows = [("u", "Theta.X", "BLOODGLUCOSES", 0, "mmol/L", 5.5, "UTC"), ("u", "apple_health", "oxygenSaturations", 0, "%", 0.97, "UTC"), ("u", "a", "unknown", 0, "zz", 3.0, "UTC"), ("u", "a", "bodyMasss", 0, "lb", 220.462, "UTC")]
+    got = {r["indicator"]: (round(r["num"], 4), r["task_id"], r["source"]) for r in f.to_readings(spark.createDataFrame(rows, "user_id string, source string, type string, time_ms long, unit string, value double, timezone string"), F.current_timestamp()).collect()}
+    assert got == {"bloodGlucoses": (99.1001, None, "theta.x"), "oxygenSaturations": (97.0, None, "apple_health"), "unknown": (3.0, None, "a"), "bodyMasss": (100.0, None, "a")}
+
+
+def test_apple_statistics(spark):
+    p = {"statistics": [{"type": "STEPS", "grouping": "daily", "dateFrom": 1735693200000, "dateTo": 1735779599000, "timezone": "America/New_York", "sum": 9000, "average": 3.5}, {"type": "NOT_KNOWN", "grouping": "daily", "sum": 1}, {"type": "HEART_RATE", "grouping": "yearly", "average": 60}]}
+    got = {r["indicator"]: (r["value"], str(r["start_time"])) for r in f.apple_statistics(spark.createDataFrame([("u", json.dumps(p))], "user_id string, payload string")).collect()}
+    assert got == {"dailyTotalSteps": (9000.0, "2024-12-31 20:00:00"), "dailyAvgSteps": (3.5, "2024-12-31 20:00:00")}
+
+
+def test_times_and_components(spark):
+    from tidemark.functions import scalars
+
+    cases = {"2026-03-06": "2026-03-05 16:00:00", "2026-03-06T00:00:00Z": "2026-03-05 16:00:00", "2026-03-06T10:00:00Z": "2026-03-06 10:00:00", "2026-03-06T10:00:00+02:00": "2026-03-06 08:00:00", "2026-03-06T10:00:00": "2026-03-06 10:00:00"}
+    got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", scalars.smart_time(F.col("t"), F.lit("Asia/Shanghai")).cast("string").alias("u"))
+    assert {r["t"]: r["u"] for r in got.collect()} == cases
+    row = spark.range(1).select(scalars.component_base(F.lit("Glucose^2H post 75 g/L")).alias("a"), scalars.component_base(F.lit("Cells.CD3+/100 cells")).alias("b"), scalars.zone_of(F.lit(28800)).alias("z"), scalars.zone_of(F.lit(1)).alias("o")).first()
+    assert (row["a"], row["b"], row["z"], row["o"]) == ("glucose", "cells", "Asia/Shanghai", "UTC")

@@ -127,15 +127,53 @@ def test_extreme_value_flags(spark):
 
 
 def test_stream_recomputes_late_days(spark, tmp_path):
-    schema = "user_id string, indicator string, source string, time timestamp, num decimal(14,2), timezone string, task_id string, update_time timestamp"
-    a = incremental.Table(spark, str(tmp_path / "readings"), schema)
-    b = incremental.Table(spark, str(tmp_path / "summaries"), "user_id string, indicator string, start_time timestamp, end_time timestamp, value double")
+    kept, made = incremental.tables(spark, str(tmp_path / "tables"))
     landing = str(tmp_path / "in")
 
     def feed(rows):
         readings(spark, rows).drop("event_id").coalesce(1).write.mode("append").parquet(landing)
-        incremental.start(spark.readStream.schema(schema).parquet(landing), a, b, str(tmp_path / "cp")).awaitTermination(120)
-        return {(r["indicator"], str(r["start_time"])): r["value"] for r in b.read().collect()}
+        incremental.start(spark.readStream.schema(incremental.READINGS).parquet(landing), kept, made, str(tmp_path / "cp")).awaitTermination(120)
+        return {(r["indicator"], str(r["start_time"])): r["value"] for r in made.rows().collect()}
 
-    assert feed([("steps", "2025-01-01 10:00:00", 5, None)]) == {("dailyTotalSteps.apple_health", "2025-01-01 00:00:00"): 5.0}
-    assert feed([("steps", "2025-01-02 10:00:00", 7, None), ("steps", "2025-01-01 09:00:00", 2, None)])["dailyTotalSteps.apple_health", "2025-01-01 00:00:00"] == 7.0
+    first = ("dailyTotalSteps.apple_health", "2025-01-01 00:00:00")
+    assert feed([("steps", "2025-01-01 10:00:00", 5, None)]) == {first: 5.0}
+    assert feed([("steps", "2025-01-02 10:00:00", 7, None), ("steps", "2025-01-01 09:00:00", 2, None)]) == {first: 7.0, (first[0], "2025-01-02 00:00:00"): 7.0}
+    # a day whose readings are all filtered afterwards has no summary left
+    assert feed([("steps", "2025-01-02 10:00:00", 7, "filtered_out_of_range")]) == {first: 7.0}
+    assert kept.rows().count() == 3
+
+
+def test_taxonomy_of_any_depth(spark):
+    chain = [(f"n{i}", f"n{i + 1}") for i in range(150)] + [("x", "y"), ("y", "x")]
+    found = graph.ancestors(spark, spark.createDataFrame(chain, "node string, parent string"))
+    by = {(r["node"], r["ancestor"]): r["depth"] for r in found.collect()}
+    assert len(by) == 150 * 151 // 2 + 2 and by["n0", "n150"] == 150 and by["x", "y"] == 1
+    assert graph.descendants(found, spark.createDataFrame([("n150",)], "node string")).count() == 150
+
+
+def test_upsert_fills_nulls(spark):
+    old = spark.createDataFrame([(1, 1, 7), (2, 1, None)], "k int, v int, code int")
+    new = spark.createDataFrame([(1, 2, None), (2, 2, 9), (3, 2, None)], "k int, v int, code int")
+    assert sorted(map(tuple, mapping.upsert(old, new, ["k"], ["v", "code"], filled=["code"]).collect())) == [(1, 2, 7), (2, 2, 9), (3, 2, None)]
+
+
+def test_older_names_of_inputs_come_first(spark):
+    rows = [("u", dt.date(2025, 1, 1), t, "vital.garmin", v) for t, v in (("dailyMaxHeartRates", 150.0), ("daily_stats_heartRatesMax", 140.0), ("dailyMinHeartRates", 50.0))]
+    got = derived.derive(spark.createDataFrame(rows, "user_id string, day date, target string, source string, value double")).collect()
+    assert {(r["indicator"], r["value"]) for r in got} == {("derivedHrRange", 90.0)}
+
+
+def test_derived_formulas(spark):
+    """Every second-level rule by hand."""
+    day = {"dailyTotalSleepAnalysis_Asleep(Total)": 400.0, "dailyTotalSleepAnalysis_InBed": 500.0, "dailyTotalSleepAnalysis_Asleep(Deep)": 100.0, "dailyTotalSleepAnalysis_Asleep(REM)": 80.0, "dailyTotalSleepAnalysis_Asleep(Core)": 220.0, "dailyTotalSleepAnalysis_Awake": 100.0, "dailyMaxHeartRates": 150.0, "dailyMinHeartRates": 50.0, "dailyAvgRestingHeartRates": 60.0, "dailyAvgWalkingHeartRates": 95.0, "dailyTotalWalkingRunningDistances": 5000.0, "dailyTotalSteps": 8000.0, "dailyTotalExerciseMinutes": 72.0, "dailyStddevBloodGlucoses": 20.0, "dailyAvgBloodGlucoses": 100.0}
+    rows = [("u", dt.date(2025, 1, 1), t, "vital.garmin", v) for t, v in day.items()]
+    got = {r["indicator"]: r["value"] for r in derived.derive(spark.createDataFrame(rows, "user_id string, day date, target string, source string, value double")).collect()}
+    assert got == {"derivedSleepEfficiency": 80.0, "derivedDeepSleepRatio": 25.0, "derivedRemSleepRatio": 20.0, "derivedLightSleepRatio": 55.0, "derivedAwakeRatio": 20.0, "derivedHrRange": 100.0, "derivedHrReserve": 90.0, "derivedWalkingHrElevation": 35.0, "derivedStepEfficiency": 0.63, "derivedActivityMinutesRatio": 5.0, "derivedBloodGlucoseCV": 20.0}
+
+
+def test_hypo_details(spark):
+    rows = [("2025-01-01 01:00:00", 65), ("2025-01-01 01:20:00", 60), ("2025-01-01 02:00:00", 90), ("2025-01-02 02:00:00", 90)]
+    df = readings(spark, [("bloodGlucoses", t, v, None) for t, v in rows])
+    assert [r["details"] for r in clinical.hypo_details(df).orderBy("day").collect()] == ['[{"start":"01:00","minutes":20,"nadir":60.0}]', "[]"]
+    named = {(r["indicator"], str(r["day"])): r["value"] for r in clinical.special_summaries(df).collect()}
+    assert named["dailyHypoEventCountBloodGlucoses.apple_health", "2025-01-01"] == "1" and named["dailyTimeOfMaxBloodGlucoses.apple_health", "2025-01-01"] == "02:00"

@@ -20,9 +20,9 @@ def test_token_bridges_reach_every_part(spark):
 def test_whole_tables_are_read(spark):
     q = catalog.queries()
     suppliers = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_suppkey").distinct().count()
-    assert q["running_sum_peers_whole"](spark, SF).select("l_suppkey").distinct().count() == suppliers
+    assert q["running_sum_peers"](spark, SF).select("l_suppkey").distinct().count() == suppliers
     ordered = spark.read.parquet(f"{SF}/orders.parquet").select("o_custkey").distinct().count()
-    assert q["set_operations_whole"](spark, SF).where(F.col("kind") == "ordered").count() == ordered
+    assert q["set_operations"](spark, SF).where(F.col("kind") == "ordered").count() == ordered
 
 
 def test_coverage_keeps_gaps(spark):
@@ -50,7 +50,7 @@ def days(spark, *series):
 
 def test_trends_must_be_large_and_to_the_worse(spark):
     up, down, flat = [60 + i * 0.4 for i in range(29)], [80 - i * 0.4 for i in range(29)], [60 + i * 0.1 for i in range(29)]
-    v = days(spark, ("up", "heartRates", up), ("down", "heartRates", down), ("flat", "heartRates", flat), ("noisy", "heartRates", up), ("other", "x", up), ("thin", "bodyFat", down))
+    v = days(spark, ("up", "heartRate", up), ("down", "heartRate", down), ("flat", "heartRate", flat), ("noisy", "heartRate", up), ("other", "x", up), ("thin", "bodyFat", down))
     base = v.select("user_id", "category").distinct().withColumn("sigma", F.when(F.col("user_id") == "noisy", 10.0).otherwise(4.0))
     got = {r["user_id"]: (round(r["total"], 3), r["severity"]) for r in insight.trend_findings(v, base, str(TARGET)).collect()}
     assert got == {"up": (11.2, "moderate"), "thin": (-11.2, "mild")}
@@ -67,22 +67,48 @@ def test_weekday_pattern_needs_days_of_both_kinds(spark):
 
 def test_glucose_runs_up_to_the_target(spark):
     z = {"long": [0, 0, *[2.5] * 7], "short": [0, 0, 0, *[2.5] * 6], "over": [*[2.5] * 8, 0], "mild": [*[1.6] * 9]}
-    dev = days(spark, *[(u, "bloodGlucoses", v) for u, v in z.items()], ("steps", "steps", [3] * 9)).withColumn("z", F.col("value"))
+    dev = days(spark, *[(u, "bloodGlucose", v) for u, v in z.items()], ("steps", "steps", [3] * 9)).withColumn("z", F.col("value"))
     assert {r["user_id"]: (r["length"], r["severity"]) for r in insight.glucose(dev, str(TARGET)).collect()} == {"long": (7, "moderate"), "mild": (9, "mild")}
 
 
-def test_registered_thresholds_are_the_surveyed_ones(spark):
-    """Days without enough coverage have no glucose indicator; weak signals are no findings."""
-    q = catalog.queries()
-    assert q["gmi_14d"](spark, SF).where("gmi is not null and kept * interval < 0.7 * 14 * 1440").count() == 0
-    assert q["insight_multi_signal"](spark, SF).where("signals < 2 or longest < 3 or peak < 2").count() == 0
-    assert q["insight_single_sustained"](spark, SF).where("length < 5").count() == 0
+def test_gmi_needs_coverage(spark):
+    """Days without enough coverage have no glucose indicator."""
+    assert catalog.queries()["gmi_14d"](spark, SF).where("gmi is not null and kept * interval < 0.7 * 14 * 1440").count() == 0
 
 
 def test_signals_together_and_sustained(spark):
-    dev = days(spark, ("two", "a", [2.5] * 3), ("two", "b", [2.2] * 4), ("one", "a", [2.5] * 5), ("weak", "a", [1.9] * 9), ("weak", "b", [1.9] * 9)).withColumn("z", F.col("value"))
-    assert [(r["user_id"], r["signals"], r["longest"]) for r in insight.multi_signal(dev, str(TARGET)).collect()] == [("two", 2, 4)]
-    assert [(r["user_id"], r["length"]) for r in insight.single_sustained(dev, str(TARGET)).collect()] == [("one", 5)]
+    series = [("two", "heartRate", [0, 2.5, 3.2, 2.5]), ("two", "hrv", [-2.2] * 4), ("up", "hrv", [5] * 9), ("up", "heartRate", [5] * 9), ("apart", "heartRate", [2.5] * 3 + [0] * 3), ("apart", "spo2", [0] * 3 + [-2.5] * 3), ("weak", "heartRate", [1.9] * 9), ("weak", "hrv", [-1.9] * 9)]
+    dev = days(spark, *series).withColumn("z", F.col("value")).withColumn("mean", F.lit(0.0))
+    assert [(r["user_id"], r["signals"], r["run"], r["peak"], r["severity"]) for r in insight.multi_signal(dev, str(TARGET)).collect()] == [("two", 2, 3, 2.5, "mild")]
+    series = [("one", "heartRate", [0, *[2.6] * 5]), ("short", "heartRate", [2.6] * 4), ("low", "hrv", [-3.1] * 6), ("chronic", "hrv", [3.0] * 20), ("worse", "hrv", [3.0] * 13 + [4.0] * 7), ("thin", "weight", [5.5] * 6), ("slow", "weight", [2.9] * 9)]
+    dev = days(spark, *series).withColumn("z", F.col("value")).withColumn("mean", F.lit(0.0))
+    got = {r["user_id"]: (r["run"], r["severity"]) for r in insight.single_sustained(dev, str(TARGET)).collect()}
+    assert got == {"one": (5, "mild"), "low": (6, "moderate"), "worse": (20, "severe"), "thin": (6, "severe")}
+
+
+def test_recovery(spark):
+    fall = [0.0] * 5 + [8 - i * 0.4 for i in range(16)] + [1.0] * 2
+    dev = days(spark, ("back", "heartRate", fall), ("still", "heartRate", [0, *[5.0] * 12]), ("hrv", "hrv", fall), ("calm", "heartRate", [1.0] * 30)).withColumn("z", F.col("value")).withColumn("sigma", F.lit(1.0))
+    assert [(r["user_id"], r["peak"], r["now"], r["days"]) for r in insight.recovery(dev, str(TARGET)).collect()] == [("back", 8.0, 1.0, 18)]
+
+
+def test_categories_take_the_first_alias(spark):
+    rows = [("u", n) for n in ("heartRates", "dailyAvgHeartRates.oura", "dailyAvgHeartRates.apple_health", "stepsX", "dailyTotalSteps", "dailyTotalSteps.a", "weight")] + [("v", "heartRates.b")]
+    got = {(r["user_id"], r["category"]): r["indicator"] for r in insight.resolve_categories(spark.createDataFrame(rows, "user_id string, indicator string")).collect()}
+    assert got == {("u", "heartRate"): "dailyAvgHeartRates.apple_health", ("u", "steps"): "dailyTotalSteps", ("u", "weight"): "weight", ("v", "heartRate"): "heartRates.b"}
+
+
+def test_tags_gates_and_cooldown(spark):
+    base = spark.createDataFrame([("u", "bmi", 8, 29.0), ("u", "heartRate", 20, 95.0), ("w", "heartRate", 13, 40.0), ("x", "bloodGlucose", 9, 101.0)], "user_id string, category string, n long, mean double")
+    assert sorted(map(tuple, insight.tags(base).collect())) == [("u", "cardiac_risk"), ("u", "obesity"), ("x", "pre_diabetes")]
+    dense = spark.createDataFrame([("u", "heartRate", 15), ("w", "heartRate", 9)], "user_id string, category string, n long")
+    got = {(r["user_id"], r["recipe"]) for r in insight.matched(base, dense).collect()}
+    assert ("u", "recovery_trend") in got and ("w", "recovery_trend") not in got and ("x", "long_term_trend") in got
+    v = days(spark, ("old", "steps", [1] * 9)).withColumn("day", F.date_sub("day", 8))
+    assert insight.fresh(v, str(TARGET)).count() == 0 and insight.fresh(v, str(TARGET), 8).count() == 9
+    found = spark.createDataFrame([("u", "recovery_trend", TARGET), ("u", "multi_signal_deterioration", TARGET)], "user_id string, recipe string, target date")
+    past = spark.createDataFrame([("u", "recovery_trend", TARGET - dt.timedelta(days=6)), ("u", "multi_signal_deterioration", TARGET - dt.timedelta(days=3))], "user_id string, recipe string, target date")
+    assert [r["recipe"] for r in insight.cooled_down(found, past).collect()] == ["multi_signal_deterioration"]
 
 
 def test_sibling_expansion_counts_groups_larger_than_most(spark):

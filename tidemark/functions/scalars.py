@@ -98,6 +98,37 @@ def vendor_time(text: Column) -> Column:
     return F.when(n.isNotNull(), F.when(n <= 1e10, F.timestamp_micros((n * 1_000_000).cast("long"))).otherwise(F.timestamp_micros((n * 1000).cast("long")))).otherwise(F.try_to_timestamp(text))
 
 
+#: Zones that fixed offsets in seconds stand for.
+OFFSETS = {28800: "Asia/Shanghai", 32400: "Asia/Tokyo", 19800: "Asia/Kolkata", 25200: "Asia/Bangkok", 21600: "Asia/Dhaka", 14400: "Asia/Dubai", 10800: "Asia/Riyadh", 0: "UTC", 3600: "Europe/London", 7200: "Europe/Berlin", -18000: "America/New_York", -21600: "America/Chicago", -25200: "America/Denver", -28800: "America/Los_Angeles", -14400: "America/Halifax", -10800: "America/Sao_Paulo", 36000: "Australia/Sydney", 43200: "Pacific/Auckland"}
+
+
+def zone_of(offset: Column) -> Column:
+    """The zone of an offset in seconds, UTC for others and none."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in OFFSETS.items() for x in kv]), offset.cast("int")), F.lit("UTC"))
+
+
+def smart_time(text: Column, zone: Column) -> Column:
+    """ISO text to a UTC timestamp: an offset of its own counts; a date, or midnight without one, is local to the zone; else UTC."""
+    offset = F.regexp_extract(text, r"T.*([+-]\d{2}:\d{2})$", 1)
+    plain = F.regexp_replace(text, r"(Z|[+-]\d{2}:\d{2})$", "")
+    naive = F.coalesce(F.try_to_timestamp(F.when(text.contains("T"), plain).otherwise(text)))
+    midnight = F.date_format(naive, "HH:mm:ss") == "00:00:00"
+    own = F.when(~offset.isin("", "+00:00", "-00:00"), offset)
+    return F.when(own.isNotNull(), F.to_utc_timestamp(naive, own)).when(midnight, F.to_utc_timestamp(naive, zone)).otherwise(naive)
+
+
+def widened(start: Column, end: Column) -> tuple[Column, Column]:
+    """A day more on either side of a window: from the start of the day before to the end of the day after."""
+    day = F.expr("INTERVAL 1 DAY")
+    return F.date_trunc("day", start - day), F.date_trunc("day", end + day) + F.expr("INTERVAL 86399 SECONDS")
+
+
+def component_base(component: Column) -> Column:
+    """A component's name without what follows a caret (within brackets to their end) and its parts behind . and /."""
+    text = F.regexp_replace(component, r"\^[^()]*?(?=\))", "")
+    return F.lower(F.trim(F.regexp_extract(F.substring_index(text, "^", 1), r"^([^./]*)", 1)))
+
+
 def calendar_range(name: Column, time: Column) -> tuple[Column, Column]:
     """Start and end that a summary's name gives its time: day, week from Monday, hour, or the moment itself."""
     low = F.lower(name)

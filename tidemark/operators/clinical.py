@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import registry
+from tidemark.operators import daily
 from tidemark.operators.daily import KEYS, with_day
 from tidemark.sources.readings import not_filtered
 
@@ -77,3 +79,28 @@ def sleep_onset(df: DataFrame, asleep: str = "oxygenSaturations", most_minutes:
     out = g.groupBy("user_id", "night").agg(F.first("bed").alias("bed"), F.min(F.when((F.col("indicator") == asleep) & (F.col("time") > F.col("bed")), F.col("time"))).alias("asleep"))
     minutes = (F.unix_micros("asleep") - F.unix_micros("bed")) / F.lit(60_000_000)
     return out.where((minutes > 0) & (minutes <= most_minutes)).select("user_id", "night", F.round(minutes, 2).alias("latency"))
+
+
+def hypo_details(df: DataFrame, **kw) -> DataFrame:
+    """The episodes of each day with glucose readings as JSON, [] without any."""
+    days = _good(df, "bloodGlucoses").select(*KEYS).distinct()
+    e = hypo_events(df, **kw).groupBy(*KEYS).agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.col("at_time").alias("start"), "minutes", "nadir")))).alias("details"))
+    return days.join(e, KEYS, "left").select("user_id", "source", "day", F.coalesce("details", F.lit("[]")).alias("details"))
+
+
+def special_summaries(df: DataFrame) -> DataFrame:
+    """Long summary rows (user_id, indicator, day, value as text) of the methods that aren't plain numbers of one grouping."""
+    name = lambda method, of: F.concat(F.lit(registry.target(method, of) + "."), F.regexp_replace(F.coalesce("source", F.lit("unknown")), r"^vital\.", ""))
+    glucose = df.where("indicator = 'bloodGlucoses'")
+    times = daily.aggregate(glucose, ["time_of_max", "time_of_min"])
+    hypo = hypo_summary(df)
+    parts = [times.select("user_id", name(m, "bloodGlucoses").alias("indicator"), "day", F.col(m).alias("value")) for m in ("time_of_max", "time_of_min")]
+    parts += [hypo.select("user_id", name(m, "bloodGlucoses").alias("indicator"), "day", F.col(c).cast("string").alias("value")) for m, c in (("hypo_event_count", "event_count"), ("hypo_event_times", "event_times"))]
+    parts.append(hypo_details(df).select("user_id", name("hypo_event_details", "bloodGlucoses").alias("indicator"), "day", F.col("details").alias("value")))
+    parts.append(gmi(df).select("user_id", name("gmi_14d", "bloodGlucoses").alias("indicator"), "day", F.col("gmi").cast("string").alias("value")))
+    for method, of, found, day, value in (("morning_hr_jump", "heartRates", morning_jump(df), "day", "jump"), ("nighttime_resting_hr", "heartRates", night_resting(df), "day", "resting"), ("sleep_onset_latency", "sleepAnalysis_InBed", sleep_onset(df), "night", "latency")):
+        parts.append(found.select("user_id", F.lit(registry.target(method, of)).alias("indicator"), F.col(day).alias("day"), F.round(value, 2).cast("string").alias("value")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.where("value is not null")

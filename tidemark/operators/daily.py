@@ -35,7 +35,8 @@ def with_day(df: DataFrame) -> DataFrame:
 
 
 def method_column(method: str, num: Column, time: Column, local: Column) -> Column:
-    """The aggregate of a method's name; rounding is half up on decimals, as SQL does it."""
+    """The aggregate of a method's name; rounding is half up on decimals, as SQL does it. Of readings of one moment the
+    smallest is the first and the largest the last."""
     number = num.cast("double")
     if method in CUSTOM:
         return CUSTOM[method](num, time)
@@ -45,7 +46,7 @@ def method_column(method: str, num: Column, time: Column, local: Column) -> Colu
         return F.round((F.lit(100) * F.count_if(hit)).cast("decimal(20,6)") / F.count("*").cast("decimal(20,0)"), 2).cast("double")
     simple = {
         "avg": lambda: F.round(F.avg(num), 2), "max": lambda: F.round(F.max(num), 2), "min": lambda: F.round(F.min(num), 2), "sum": lambda: F.round(F.sum(num), 2), "total": lambda: F.round(F.sum(num), 2), "count": lambda: F.count("*"),
-        "stddev": lambda: F.round(F.stddev_samp(number), 2), "variance": lambda: F.round(F.var_samp(number), 2), "last": lambda: F.max_by(num, time), "first": lambda: F.min_by(num, time),
+        "stddev": lambda: F.round(F.stddev_samp(number), 2), "variance": lambda: F.round(F.var_samp(number), 2), "last": lambda: F.max_by(num, F.struct(time, num)), "first": lambda: F.min_by(num, F.struct(time, num)),
         "median": lambda: F.round(F.percentile(number, F.lit(0.5)), 6), "p95": lambda: F.round(F.percentile(number, F.lit(0.95)), 6),
     }
     if method in simple:

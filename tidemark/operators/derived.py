@@ -29,6 +29,16 @@ RULES: dict[str, tuple[tuple[str, ...], Callable[..., Column]]] = {
 }
 
 
+#: Older names of inputs, which come before all sources.
+LEGACY = {
+    "dailyTotalSleepAnalysis_Asleep(Total)": "daily_stats_sleepAnalysis_Asleep(Total)Sum", "dailyTotalSleepAnalysis_InBed": "daily_stats_sleepAnalysis_InBedSum", "dailyTotalSleepAnalysis_Asleep(Deep)": "daily_stats_sleepAnalysis_Asleep(Deep)Sum",
+    "dailyTotalSleepAnalysis_Asleep(REM)": "daily_stats_sleepAnalysis_Asleep(REM)Sum", "dailyTotalSleepAnalysis_Asleep(Core)": "daily_stats_sleepAnalysis_Asleep(Core)Sum", "dailyTotalSleepAnalysis_Awake": "daily_stats_sleepAnalysis_AwakeSum",
+    "dailyMaxHeartRates": "daily_stats_heartRatesMax", "dailyMinHeartRates": "daily_stats_heartRatesMin", "dailyAvgHeartRates": "daily_stats_heartRatesAvg", "dailyAvgRestingHeartRates": "daily_stats_restingHeartRatesAvg", "dailyAvgWalkingHeartRates": "daily_stats_walkingHeartRatesAvg",
+    "dailyTotalSteps": "daily_stats_stepsSum", "dailyTotalWalkingRunningDistances": "daily_stats_walkingRunningDistancesSum", "dailyTotalExerciseMinutes": "daily_stats_exerciseMinutesSum", "dailyAvgHrvDatas": "daily_stats_hrvDatasAvg",
+    "dailyAvgRespiratoryRates": "daily_stats_respiratoryRatesAvg", "dailyAvgOxygenSaturations": "daily_stats_oxygenSaturationsAvg", "dailyMinOxygenSaturations": "daily_stats_oxygenSaturationsMin",
+}
+
+
 def inputs_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(name, i) for name, (names, _) in RULES.items() for i in names], "derived string, input string")
 
@@ -41,10 +51,14 @@ def priority(source: Column) -> Column:
 
 
 def derive(summaries: DataFrame) -> DataFrame:
-    """Rows (user_id, day, indicator, value) from summaries (user_id, day, target, source, value): the source with the
-    best priority gives an input, of equal ones the larger value; days without all inputs of a rule give none."""
+    """Rows (user_id, day, indicator, value) from summaries (user_id, day, target, source, value): an older name gives an
+    input, else the source with the best priority, of equal ones the larger value; days without all inputs of a rule give
+    none."""
     inputs = sorted({i for names, _ in RULES.values() for i in names})
-    w = Window.partitionBy("user_id", "day", "target").orderBy(priority(F.col("source")), F.desc("value"), "source")
+    older = F.create_map(*[F.lit(x) for new, old in LEGACY.items() for x in (old, new)])
+    named = F.try_element_at(older, F.col("target"))
+    summaries = summaries.select("user_id", "day", F.coalesce(named, "target").alias("target"), "source", "value", F.when(named.isNotNull(), 0).otherwise(priority(F.col("source"))).alias("rank"))
+    w = Window.partitionBy("user_id", "day", "target").orderBy("rank", F.desc("value"), "source")
     best = summaries.where(F.col("target").isin(inputs) & (F.col("value") >= 0)).withColumn("_r", F.row_number().over(w)).where("_r = 1")
     wide = best.groupBy("user_id", "day").pivot("target", inputs).agg(F.first("value"))
     made = F.array(*[F.struct(F.lit(name).alias("indicator"), F.round(formula(*[F.col(f"`{i}`") for i in names]), 2).alias("value")) for name, (names, formula) in RULES.items()])

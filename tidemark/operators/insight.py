@@ -1,26 +1,102 @@
-"""Insights: baselines that freeze on excursions, density, and six recipes (without tags) over a user's daily values.
+"""Insights: categories, baselines that freeze on excursions, density, tags, and six recipes over daily values.
 
 A user's category has one value a day, so its history within the lookback is a bounded array: baselines fold
 over it within the row, and the recipes read the folded days. No group is larger than the lookback."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["user_id", "category"]
 
+#: The names that stand for a category, the first one that a user has being taken.
+ALIASES = {
+    "heartRate": ["dailyAvgRestingHeartRates", "dailyAvgHeartRates", "RestingHeartRate-RHR", "DailyAverageHeartRate", "restingHeartRates", "heartRates", "daily_stats_restingHeartRatesAvg", "daily_stats_heartRatesAvg"],
+    "heartRateExercise": ["dailyAvgWalkingHeartRates", "AverageHeartRateDuringExercise", "MaxHeartRateDuringExercise", "walkingHeartRates", "daily_stats_walkingHeartRatesAvg"],
+    "sleepDeep": ["dailyTotalSleepAnalysis_Asleep(Deep)", "DeepSleepPercentage", "DeepSleepDuration", "sleepAnalysis_Asleep(Deep)", "daily_stats_sleepAnalysis_Asleep(Deep)Sum"],
+    "sleepTotal": ["dailyTotalSleepAnalysis_Asleep(Total)", "dailyTotalSleepAnalysis_InBed", "DailySleepDuration", "sleepAnalysis_Asleep(Total)", "sleepAnalysis_InBed", "daily_stats_sleepAnalysis_Asleep(Total)Sum"],
+    "sleepLight": ["dailyTotalSleepAnalysis_Asleep(Core)", "LightSleepPercentage", "LightSleepDuration", "sleepAnalysis_Asleep(Core)", "daily_stats_sleepAnalysis_Asleep(Core)Sum"],
+    "sleepRem": ["dailyTotalSleepAnalysis_Asleep(REM)", "REMSleepPercentage", "REMSleepDuration", "sleepAnalysis_Asleep(REM)", "daily_stats_sleepAnalysis_Asleep(REM)Sum"],
+    "sleepAwake": ["dailyTotalSleepAnalysis_Awake", "sleepAnalysis_Awake"],
+    "sleepEfficiency": ["dailyAvgSleepEfficiency", "SleepEfficiency", "derivedSleepEfficiency"],
+    "steps": ["dailyTotalSteps", "DailyStepCount", "steps", "daily_stats_stepsSum"],
+    "exerciseDuration": ["dailyTotalExerciseMinutes", "DailyExerciseDuration", "exerciseMinutes", "daily_stats_exerciseMinutesSum"],
+    "activeCalories": ["ActiveCalories", "ActivityEnergyExpenditure-AEE", "activeCalories"],
+    "distance": ["dailyTotalWalkingRunningDistances", "DailyDistance", "daily_stats_walkingRunningDistancesSum"],
+    "hrv": ["dailyAvgHrvDatas", "HeartRateVariability-HRV", "HRV-RMSSD", "hrvRMSSD", "hrvDatas", "daily_stats_hrvDatasAvg"],
+    "bloodGlucose": ["dailyAvgBloodGlucoses", "FastingBloodGlucose-FBG", "bloodGlucoses", "daily_stats_bloodGlucosesAvg"],
+    "hba1c": ["EstimatedHbA1c-eA1C"],
+    "glucoseTAR": ["dailyTir70180BloodGlucoses", "GlucoseAboveRange-TAR"],
+    "glucoseTBR": ["dailyPctBelow70BloodGlucoses", "GlucoseBelowRange-TBR"],
+    "bpSystolic": ["dailyAvgSystolicPressures", "dailyMaxSystolicPressures", "24-HourAverageSystolicBP", "DaytimeAverageSystolicBP", "systolicPressures", "bloodPressureSystolics", "daily_stats_systolicPressuresAvg", "daily_stats_bloodPressureSystolicsAvg"],
+    "bpDiastolic": ["dailyAvgDiastolicPressures", "dailyMaxDiastolicPressures", "24-HourAverageDiastolicBP", "DaytimeAverageDiastolicBP", "diastolicPressures", "bloodPressureDiastolics", "daily_stats_diastolicPressuresAvg", "daily_stats_bloodPressureDiastolicsAvg"],
+    "stress": ["DailyStressScore", "stressLevel"],
+    "bodyBattery": ["BodyBattery"],
+    "spo2": ["dailyAvgOxygenSaturations", "dailyMinOxygenSaturations", "DailyMinSpO2", "oxygenSaturations", "daily_stats_oxygenSaturationsAvg"],
+    "respiratoryRate": ["dailyAvgRespiratoryRates", "AverageRespiratoryRate", "respiratoryRates", "daily_stats_respiratoryRatesAvg"],
+    "weight": ["dailyLastBodyMasss", "BodyWeight", "bodyMasss", "weight", "daily_stats_bodyMasssLast"],
+    "bmi": ["dailyLastBmis", "BodyMassIndex-BMI"],
+    "bodyFat": ["BodyFatPercentage-BFP", "bodyFatPercentages"],
+    "visceralFat": ["VisceralFatLevel-VFL", "visceralFat"],
+    "crf": ["vo2Maxs", "CardiorespiratoryFitness-CRF"],
+    "temperature": ["BasalBodyTemperature-BBT", "bodyTemperatures", "wristTemperatures", "temperatureDelta"],
+}
 #: Of a trend the least change a week and in all, and the direction that is worse (0: both). Glucose in mg/dL.
 TRENDS = {
-    "heartRates": (1.5, 6.0, 1), "sleepDeep": (1.5, 5.0, -1), "bloodGlucoses": (0.2 * 18.0182, 0.5 * 18.0182, 1), "weight": (0.8, 3.0, 0), "bmi": (0.3, 1.0, 0),
+    "heartRate": (1.5, 6.0, 1), "sleepDeep": (1.5, 5.0, -1), "bloodGlucose": (0.2 * 18.0182, 0.5 * 18.0182, 1), "weight": (0.8, 3.0, 0), "bmi": (0.3, 1.0, 0),
     "bodyFat": (0.8, 3.0, 0), "bpSystolic": (2.5, 8.0, 1), "steps": (1500.0, 4000.0, -1), "hrv": (3.0, 10.0, -1),
 }
-SLOW = ["weight", "bmi", "bodyFat"]
+#: Directions that are bad, and the least change of what changes slowly.
+BAD = {"heartRate": 1, "sleepDeep": -1, "hrv": -1, "bloodGlucose": 1, "stress": 1, "spo2": -1, "steps": -1, "bpSystolic": 1}
+SLOW = {"weight": 3.0, "bodyFat": 3.0, "bmi": 1.5, "bodyMass": 3.0, "leanBodyMass": 2.0, "visceralFat": 2.0}
+#: Tags with their category, condition on the mean, and least days. Glucose in mg/dL.
+TAGS = [("obesity", "bmi", "> 28", 7), ("pre_diabetes", "bloodGlucose", f"> {5.6 * 18.0182}", 7), ("athlete", "heartRate", "< 50", 14), ("cardiac_risk", "heartRate", "> 90", 14), ("hypertension", "bpSystolic", "> 130", 7)]
+#: Recipes with the category that they need, the least days of it in the last two weeks, days between two findings.
+RECIPES = [("multi_signal_deterioration", "heartRate", 14, 3), ("single_sustained_anomaly", None, 14, 7), ("long_term_trend", None, 21, 14), ("recovery_trend", "heartRate", 14, 7), ("weekday_weekend_pattern", "steps", 21, 30), ("glucose_control", "bloodGlucose", 14, 7)]
+#: Fixed value: the recipe whose findings are never saved.
+DEMOTED = "single_sustained_anomaly"
+
+
+def _date(text: str) -> Column:
+    return F.lit(text).cast("date")
+
+
+def resolve_categories(names: DataFrame) -> DataFrame:
+    """(user_id, category, indicator) from the indicators that users have: the first alias that one stands for, by its
+    own name before a name with a source behind a dot; of several such names the first one."""
+    rows = [(c, i, a) for c, aliases in ALIASES.items() for i, a in enumerate(aliases)]
+    alias = names.sparkSession.createDataFrame(rows, "category string, rank int, alias string")
+    found = names.select("user_id", "indicator").distinct().withColumn("alias", F.substring_index("indicator", ".", 1)).join(F.broadcast(alias), "alias")
+    first = F.min_by("indicator", F.struct("rank", F.col("indicator") != F.col("alias"), "indicator"))
+    return found.groupBy("user_id", "category").agg(first.alias("indicator"))
+
+
+def categorised(values: DataFrame) -> DataFrame:
+    """Daily values (user_id, indicator, day, value) as (user_id, category, day, value)."""
+    return values.join(resolve_categories(values), ["user_id", "indicator"]).select(*KEY, "day", "value")
+
 
+def fresh(values: DataFrame, target: str, days: int = 7) -> DataFrame:
+    """The values of users whose newest one is at most so many days before the target."""
+    newest = values.where(F.col("day") <= _date(target)).groupBy("user_id").agg(F.max("day").alias("newest")).where(F.col("newest") >= F.date_sub(_date(target), days))
+    return values.join(newest.select("user_id"), "user_id", "left_semi")
 
-def histories(values: DataFrame) -> DataFrame:
-    """(user_id, category, days) with days an array of (day, value) in order, from (user_id, category, day, value)."""
-    return values.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("day", "value"))).alias("days"))
+
+def tags(base: DataFrame) -> DataFrame:
+    """(user_id, tag) that baselines imply."""
+    rows = [F.when((F.col("category") == c) & F.expr(f"mean {condition}") & (F.col("n") >= days), F.lit(tag)) for tag, c, condition, days in TAGS]
+    return base.select("user_id", F.explode(F.array_compact(F.array(*rows))).alias("tag"))
+
+
+def matched(base: DataFrame, dense: DataFrame, least: int = 7) -> DataFrame:
+    """(user_id, recipe) that a user's data allow: a needed category has a baseline of enough days and is dense enough.
+
+    The pattern of weekdays needs 21 days of the last 15 that density counts, so it never matches, as surveyed."""
+    recipes = F.array(*[F.struct(F.lit(n).alias("recipe"), F.lit(c).cast("string").alias("category"), F.lit(d).alias("days")) for n, c, d, _ in RECIPES])
+    asked = base.where(F.col("n") >= least).select("user_id").distinct().select("user_id", F.explode(recipes).alias("r")).select("user_id", "r.*")
+    have = base.where(F.col("n") >= least).select(*KEY).join(dense.select(*KEY, F.col("n").alias("have")), KEY)
+    return asked.join(have, KEY, "left").where(F.col("category").isNull() | (F.col("have") >= F.col("days"))).select("user_id", "recipe")
 
 
 def baselines(values: DataFrame, alpha: float = 0.1, freeze_at: float = 2.0, freeze_after: int = 3, thaw_at: float = 1.0, thaw_after: int = 7, least: int = 3) -> DataFrame:
@@ -29,10 +105,10 @@ def baselines(values: DataFrame, alpha: float = 0.1, freeze_at: float = 2.0, fre
     Mean and deviation start from the earliest max(n / 3, 7) values; the deviation (1 where it is 0) stays. Not
     frozen, a value beyond freeze_at deviations counts, and freeze_after in a row freeze; another one moves the
     mean. Frozen, thaw_after values in a row within thaw_at deviations thaw and move it."""
-    h = histories(values).where(F.size("days") >= least)
-    h = h.withColumn("seed", F.expr("transform(slice(days, 1, least(size(days), greatest(size(days) div 3, 7))), x -> x.value)"))
-    h = h.withColumn("m0", F.expr("aggregate(seed, 0D, (a, x) -> a + x) / size(seed)"))
-    h = h.withColumn("s0", F.expr("sqrt(aggregate(seed, 0D, (a, x) -> a + (x - m0) * (x - m0)) / size(seed))")).withColumn("s", F.expr("if(s0 = 0, 1D, s0)"))
+    w = Window.partitionBy(*KEY)
+    v = values.withColumn("r", F.row_number().over(w.orderBy("day"))).withColumn("n", F.count("*").over(w)).where(F.col("n") >= least)
+    early = F.when(F.col("r") <= F.least("n", F.greatest(F.floor(F.col("n") / 3), F.lit(7))), F.col("value"))
+    h = v.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("day", "value"))).alias("days"), F.avg(early).alias("m0"), F.stddev_pop(early).alias("s0")).withColumn("s", F.expr("if(s0 = 0, 1D, s0)"))
     z = "abs(x.value - a.mean) / s"
     moved = f"a.mean + {alpha} * (x.value - a.mean)"
     step = f"""CASE
@@ -64,15 +140,33 @@ def density(values: DataFrame, target: str, days: int = 14) -> DataFrame:
 
 
 def multi_signal(dev: DataFrame, target: str, least_z: float = 2.0, signals: int = 2, run: int = 3, window: int = 10) -> DataFrame:
-    """Users with several categories away for some days in a row within the last days."""
-    recent = dev.where(F.col("day").between(F.date_sub(F.lit(target).cast("date"), window), F.lit(target).cast("date")))
-    r = runs(recent, least_z).where(F.col("length") >= run)
-    out = r.groupBy("user_id").agg(F.countDistinct("category").alias("signals"), F.max("length").alias("longest"), F.max("peak").alias("peak")).where(F.col("signals") >= signals)
-    return out.withColumn("severity", F.when((F.col("peak") >= 4) | (F.col("longest") >= 7), "severe").when((F.col("peak") >= 3) | (F.col("longest") >= 5), "moderate").otherwise("mild"))
-
-
-def single_sustained(dev: DataFrame, target: str, least_z: float = 2.5, run: int = 5) -> DataFrame:
-    return runs(dev, least_z).where((F.col("stop") == F.lit(target).cast("date")) & (F.col("length") >= run))
+    """Users with several categories on their bad side on the same days, for some days in a row within the last ones.
+
+    Of the longest run, of equal ones the latest, the signals and their greatest distance are those of its first day."""
+    bad = F.create_map(*[F.lit(x) for kv in BAD.items() for x in kv])
+    away = dev.where(F.col("day").between(F.date_sub(_date(target), window - 1), _date(target)) & (F.col("z") * F.try_element_at(bad, F.col("category")) >= least_z))
+    per = away.groupBy("user_id", "day").agg(F.count("*").alias("signals"), F.max(F.round(F.abs("z"), 2)).alias("peak")).where(F.col("signals") >= signals)
+    per = per.withColumn("island", F.date_sub("day", F.row_number().over(Window.partitionBy("user_id").orderBy("day"))))
+    out = per.groupBy("user_id", "island").agg(F.count("*").alias("run"), F.min_by(F.struct("signals", "peak"), "day").alias("first"), F.max("day").alias("stop")).where(F.col("run") >= run)
+    out = out.groupBy("user_id").agg(F.max_by(F.struct("run", "first.signals", "first.peak"), F.struct("run", "stop")).alias("r")).select("user_id", "r.*")
+    return out.withColumn("severity", F.when((F.col("peak") >= 4) | (F.col("run") >= 7), "severe").when((F.col("peak") >= 3) | (F.col("run") >= 5), "moderate").otherwise("mild"))
+
+
+def single_sustained(dev: DataFrame, target: str, least_z: float = 2.5, run: int = 5, slow_z: float = 5.0, window: int = 30, stable: int = 14, worse: float = 1.1) -> DataFrame:
+    """Each user's category that has been away for the most days in a row up to the target; ties go to the first by name.
+
+    A run of more than `stable` days whose last week is not worse than the one before it is chronic and left out. What
+    changes slowly must be farther away, and by a least amount. Distance and amount are those of the run's first day."""
+    slow = F.create_map(*[F.lit(x) for kv in SLOW.items() for x in kv])
+    amount = F.try_element_at(slow, F.col("category"))
+    d = dev.where(F.col("day").between(F.date_sub(_date(target), window - 1), _date(target)) & (F.abs("z") >= F.when(amount.isNotNull(), slow_z).otherwise(least_z)))
+    d = d.withColumn("r", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("day")))).where(F.datediff(_date(target), "day") == F.col("r") - 1)
+    z = F.abs("z")
+    r = d.groupBy(*KEY).agg(F.count("*").alias("run"), F.avg(F.when(F.col("r") <= 7, z)).alias("recent"), F.avg(F.when(F.col("r").between(8, 14), z)).alias("earlier"), F.max_by(z, "r").alias("first"), F.max_by(F.abs(F.round("value", 2) - F.col("mean")), "r").alias("change"))
+    r = r.where((F.col("run") >= run) & ~((F.col("run") > stable) & (F.col("recent") <= F.col("earlier") * worse)))
+    r = r.withColumn("_r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("run"), "category"))).where((F.col("_r") == 1) & (amount.isNull() | (F.col("change") >= amount)))
+    sigma = F.round("first", 2)
+    return r.select(*KEY, "run", sigma.alias("distance"), F.when((sigma >= 4) | (F.col("run") >= 10), "severe").when((sigma >= 3) | (F.col("run") >= 7), "moderate").otherwise("mild").alias("severity"))
 
 
 def trend(values: DataFrame, target: str, days: int = 28, least: int = 14) -> DataFrame:
@@ -81,7 +175,7 @@ def trend(values: DataFrame, target: str, days: int = 28, least: int = 14) -> Da
     v = values.where((F.col("day") < end) & (F.col("day") >= F.date_sub(end, days))).withColumn("week", F.floor(F.datediff("day", F.date_sub(end, days)) / 7).cast("int"))
     per = v.groupBy(*KEY, "week").agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
     out = per.groupBy(*KEY).agg(F.regr_slope("mean", "week").alias("slope"), F.sum("n").alias("n"), F.count("*").alias("weeks"))
-    return out.where((F.col("n") >= least) & (F.col("weeks") >= 3)).select(*KEY, F.round("slope", 6).alias("slope"), "n", "weeks")
+    return out.where((F.col("n") >= least) & (F.col("weeks") >= 3)).select(*KEY, "slope", "n", "weeks")
 
 
 def trend_findings(values: DataFrame, base: DataFrame, target: str, least_sigma: float = 1.5, weeks: int = 4) -> DataFrame:
@@ -91,17 +185,23 @@ def trend_findings(values: DataFrame, base: DataFrame, target: str, least_sigma:
     t = t.withColumn("total", F.col("slope") * weeks).withColumn("change", F.abs("total") / F.col("sigma"))
     t = t.where((F.abs("slope") >= F.col("rule.week")) & (F.abs("total") >= F.col("rule.total")) & ((F.col("rule.way") == 0) | (F.signum("slope") == F.col("rule.way"))) & (F.col("change") >= least_sigma))
     t = t.withColumn("_r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("change"), "category"))).where("_r = 1")
-    slow = F.col("category").isin(SLOW)
+    slow = F.col("category").isin("weight", "bmi", "bodyFat", "visceralFat")
     severity = F.when(F.col("change") >= F.when(slow, 5.0).otherwise(3.0), "severe").when(F.col("change") >= F.when(slow, 3.5).otherwise(2.0), "moderate").otherwise("mild")
-    return t.select(*KEY, "slope", F.round("total", 6).alias("total"), F.round("change", 6).alias("change"), severity.alias("severity"))
+    return t.select(*KEY, F.round("slope", 6).alias("slope"), F.round("total", 6).alias("total"), F.round("change", 6).alias("change"), severity.alias("severity"))
 
 
-def recovery(dev: DataFrame, target: str, window: int = 60, drop: float = 2.0) -> DataFrame:
-    """A peak of two deviations or more, and a last five days calm and well below it."""
-    end = F.lit(target).cast("date")
-    d = dev.where(F.col("day").between(F.date_sub(end, window), end))
-    out = d.groupBy(*KEY).agg(F.max("z").alias("peak"), F.avg(F.when(F.col("day") > F.date_sub(end, 5), F.col("z"))).alias("now"))
-    return out.where((F.col("peak") >= 2) & (F.abs("now") < 0.8) & (F.col("peak") - F.col("now") >= drop))
+def recovery(dev: DataFrame, target: str, window: int = 60, days: int = 5, peak: float = 2.0, share: float = 0.8) -> DataFrame:
+    """Users whose heart rate comes back from a peak of two deviations: its last days are well below the days before them.
+
+    The peak, of equal ones the latest, must be two deviations above the last value; a last value at the baseline counts
+    only after a peak of three."""
+    d = dev.where((F.col("category") == "heartRate") & F.col("day").between(F.date_sub(_date(target), window - 1), _date(target))).withColumn("s", F.abs("z"))
+    user = Window.partitionBy("user_id")
+    d = d.withColumn("top", F.max_by(F.struct("day", "s", "value"), F.struct("s", "day")).over(user)).where(F.col("day") >= F.col("top.day"))
+    d = d.withColumn("r", F.row_number().over(user.orderBy(F.desc("day"))))
+    r = d.groupBy("user_id").agg(F.count("*").alias("days"), F.avg(F.when(F.col("r") <= days, F.col("s"))).alias("recent"), F.avg(F.when(F.col("r").between(days + 1, 2 * days), F.col("s"))).alias("earlier"), F.first("top").alias("top"), F.min_by(F.struct("s", "value"), "r").alias("now"), F.first("sigma").alias("sigma"))
+    r = r.where((F.col("top.s") >= peak) & (F.col("days") >= 2 * days) & (F.col("recent") < F.col("earlier") * share) & (F.abs(F.col("top.value") - F.col("now.value")) >= 2 * F.col("sigma")) & ~((F.col("now.s") < 0.5) & (F.col("top.s") < 3)))
+    return r.select("user_id", F.round("top.s", 2).alias("peak"), F.round("now.s", 2).alias("now"), "days")
 
 
 def weekday_pattern(values: DataFrame, target: str, days: int = 28, least: int = 20, share: float = 0.3, least_weekdays: int = 12, least_weekends: int = 4) -> DataFrame:
@@ -116,13 +216,35 @@ def weekday_pattern(values: DataFrame, target: str, days: int = 28, least: int =
 def glucose(dev: DataFrame, target: str, least_z: float = 1.5, run: int = 7, window: int = 30) -> DataFrame:
     """Users whose glucose has been high for days in a row up to the target; severity by the run's mean distance."""
     end = F.lit(target).cast("date")
-    r = runs(dev.where((F.col("category") == "bloodGlucoses") & (F.col("day") > F.date_sub(end, window))), least_z).where((F.col("stop") == end) & (F.col("length") >= run))
+    r = runs(dev.where((F.col("category") == "bloodGlucose") & (F.col("day") > F.date_sub(end, window))), least_z).where((F.col("stop") == end) & (F.col("length") >= run))
     return r.select("user_id", "length", F.round("mean", 6).alias("mean"), F.when(F.col("mean") >= 3, "severe").when(F.col("mean") >= 2, "moderate").otherwise("mild").alias("severity"))
 
 
-def cooled_down(found: DataFrame, past: DataFrame, days: int) -> DataFrame:
-    """Findings (user_id, recipe, target) without one of the same recipe in the days before."""
-    if days <= 1:
-        return found
+def cooled_down(found: DataFrame, past: DataFrame, days: int | None = None) -> DataFrame:
+    """Findings (user_id, recipe, target) without one of the same recipe in the days before: its own, or `days`."""
+    own = F.create_map(*[F.lit(x) for n, _, _, d in RECIPES for x in (n, d)])
     p = past.select(F.col("user_id").alias("_u"), F.col("recipe").alias("_r"), F.col("target").alias("_t"))
-    return found.join(p, (found.user_id == p._u) & (found.recipe == p._r) & (p._t < found.target) & (p._t > F.date_sub(found.target, days)), "left_anti")
+    span = F.lit(days) if days is not None else F.coalesce(F.try_element_at(own, F.col("recipe")), F.lit(1))
+    # a span of a day or less has no day before the target in it
+    return found.join(p, (found.user_id == p._u) & (found.recipe == p._r) & (p._t < found.target) & (p._t > F.date_sub(found.target, span)), "left_anti")
+
+
+def findings(values: DataFrame, target: str, past: DataFrame | None = None) -> DataFrame:
+    """(user_id, recipe, target, severity) of the recipes that users' data allow, without the demoted and the recent ones."""
+    v = fresh(values, target)
+    base = baselines(v).where("n >= 7")
+    dev = deviations(v, base)
+    parts = {"multi_signal_deterioration": multi_signal(dev, target), DEMOTED: single_sustained(dev, target), "long_term_trend": trend_findings(v, base, target), "recovery_trend": recovery(dev, target).withColumn("severity", F.lit("mild")), "weekday_weekend_pattern": weekday_pattern(v.where("category = 'steps'"), target).withColumn("severity", F.lit("mild")), "glucose_control": glucose(dev, target)}
+    out = None
+    for name, found in parts.items():
+        if name != DEMOTED:
+            rows = found.select("user_id", F.lit(name).alias("recipe"), _date(target).alias("target"), "severity")
+            out = rows if out is None else out.unionByName(rows)
+    out = out.join(matched(base, density(v, target)), ["user_id", "recipe"], "left_semi")
+    return out if past is None else cooled_down(out, past)
+
+
+def events(rows: DataFrame, target: str, days: int = 7) -> DataFrame:
+    """(user_id, day, type, name) of the indicators event.type.name within so many days of the target."""
+    part = F.split("indicator", "\\.")
+    return rows.where(F.col("indicator").startswith("event.") & F.to_date("time").between(F.date_sub(_date(target), days), F.date_add(_date(target), days))).select("user_id", F.to_date("time").alias("day"), F.get(part, F.lit(1)).alias("type"), F.get(part, F.lit(2)).alias("name"))

@@ -35,9 +35,28 @@ def placeholders(rows: DataFrame, known: DataFrame) -> DataFrame:
     return rows.where("fhir_id is null and indicator not in ('', 'nan')").select("indicator").distinct().join(known.select("indicator").distinct(), "indicator", "left_anti")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], values: list[str], order: str | None = None, stamp: str | None = None) -> DataFrame:
+def registry_dictionary(codes: DataFrame) -> DataFrame:
+    """(name, id) of the codes and short names of a registry (code, short_name, id) that stand for one id only."""
+    names = codes.select(F.col("code").alias("name"), "id").union(codes.select("short_name", "id"))
+    return unique_codes(names)
+
+
+def delete_by_source(rows: DataFrame, sources: list[str]) -> DataFrame:
+    """rows without those of the sources; rows without a source stay."""
+    return rows.where(F.col("source").isNull() | ~F.col("source").isin(sources))
+
+
+def genetic_lookup(variants: DataFrame, rsids: list[str] | None = None, chromosome: str | None = None, position: int | None = None, genotype: str | None = None) -> DataFrame:
+    """Variants (rsid, chromosome, position, genotype) by whatever is asked for."""
+    out = variants.where(F.col("rsid").isin(rsids)) if rsids else variants
+    for name, v in (("chromosome", chromosome), ("position", position), ("genotype", genotype)):
+        out = out.where(F.col(name) == v) if v is not None else out
+    return out
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], values: list[str], order: str | None = None, stamp: str | None = None, filled: list[str] | None = None) -> DataFrame:
     """old merged with new by keys: the last new row of a key (by `order`) wins. With stamp, a row whose values stay
-    the same keeps its old stamp. Columns: keys, values, stamp."""
+    the same keeps its old stamp. A null in the columns `filled` keeps the old value. Columns: keys, values, stamp."""
     cols = [*keys, *values, *([stamp] if stamp else [])]
     if order:
         w = Window.partitionBy(*keys).orderBy(F.desc(order))
@@ -52,7 +71,7 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], values: list[str], o
     for v in values:
         changed = changed | ~F.col(f"o.{v}").eqNullSafe(F.col(f"n.{v}"))
     out = [F.coalesce(F.col(f"n.{k}"), F.col(f"o.{k}")).alias(k) for k in keys]
-    out += [F.when(fresh, F.col(f"n.{v}")).otherwise(F.col(f"o.{v}")).alias(v) for v in values]
+    out += [(F.coalesce(F.col(f"n.{v}"), F.col(f"o.{v}")) if v in (filled or ()) else F.when(fresh, F.col(f"n.{v}")).otherwise(F.col(f"o.{v}"))).alias(v) for v in values]
     if stamp:
         out.append(F.when(fresh & (F.col("o._here").isNull() | changed), F.col(f"n.{stamp}")).otherwise(F.col(f"o.{stamp}")).alias(stamp))
     return both.select(*out)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import base_indicator
 from tidemark.sources.readings import FILTERED, not_filtered
 
 
@@ -32,10 +33,21 @@ def health(n: Column) -> Column:
 
 
 def daily_profile(df: DataFrame) -> DataFrame:
-    """A row for each day, indicator and source: counts, spread, percentiles, flags."""
-    x = F.when(not_filtered(F.col("task_id")), F.col("num").cast("double"))
-    p = [F.round(F.percentile(x, F.lit(q / 100)), 6).alias(f"p{q}") for q in (1, 5, 25, 50, 75, 95, 99)]
-    out = df.groupBy(F.date_trunc("day", "time").alias("stat_date"), "indicator", "source").agg(F.count(x).alias("n"), F.count_if(F.col("num").isNull()).alias("non_numeric"), F.count_if(F.col("task_id") == FILTERED).alias("filtered"), F.min(x).alias("low"), F.max(x).alias("high"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sigma"), *p)
+    """A row for each day, indicator and source: counts, spread, percentiles, flags.
+
+    Equal values are counted before the exact percentiles are taken, so a task keeps the different values of a day, which
+    the resolution of an indicator bounds, however many users have them."""
+    kept = F.when(not_filtered(F.col("task_id")), F.col("num"))
+    by = [F.date_trunc("day", "time").alias("stat_date"), "indicator", "source"]
+    counted = df.groupBy(*by, kept.alias("v")).agg(F.count("*").alias("c"), F.count_if(F.col("num").isNull()).alias("no"), F.count_if(F.col("task_id") == FILTERED).alias("f"))
+    v, c = F.col("v"), F.when(F.col("v").isNotNull(), F.col("c")).otherwise(0)
+    x = v.cast("double")
+    sums = [F.sum(c).alias("n"), F.sum("no").alias("non_numeric"), F.sum("f").alias("filtered"), F.min(x).alias("low"), F.max(x).alias("high"), F.sum((v * c.cast("decimal(12,0)")).cast("decimal(30,2)")).alias("s1"), F.sum((v * v * c.cast("decimal(8,0)")).cast("decimal(38,4)")).alias("s2")]
+    marks = (1, 5, 25, 50, 75, 95, 99)
+    out = counted.groupBy("stat_date", "indicator", "source").agg(*sums, F.percentile(x, F.array(*[F.lit(q / 100) for q in marks]), F.when(v.isNotNull(), F.col("c")).otherwise(1)).alias("p"))
+    n, s1 = F.col("n"), F.col("s1").cast("double")
+    out = out.withColumn("mean", F.when(n > 0, s1 / n)).withColumn("sigma", F.when(n > 1, F.sqrt(F.greatest(F.col("s2").cast("double") - s1 * s1 / n, F.lit(0.0)) / (n - 1))))
+    out = out.select("stat_date", "indicator", "source", "n", "non_numeric", "filtered", "low", "high", "mean", "sigma", *[F.round(F.get("p", F.lit(i)), 6).alias(f"p{q}") for i, q in enumerate(marks)])
     issues = flags(F.col("low"), F.col("high"), F.col("mean"), F.col("sigma"))
     return out.withColumn("issues", F.array_join(issues, ",")).withColumn("health", health(F.size(issues))).withColumn("mean", F.round("mean", 3)).withColumn("sigma", F.round("sigma", 3))
 
@@ -105,10 +117,15 @@ def user_profile(df: DataFrame, as_of: Column) -> DataFrame:
     return out.withColumn("days_since", F.datediff(F.to_date(as_of), F.to_date("latest")).cast("long")).withColumn("density", F.when(F.col("recent") >= 11, "continuous").when(F.col("recent") >= 7, "intermittent").otherwise("sparse"))
 
 
-def analyzable_pairs(profile: DataFrame, least_days: int = 7) -> DataFrame:
-    """Pairs of a user's indicators that both have enough days; at most as many as the registry has pairs."""
-    a, b = profile.alias("a"), profile.alias("b")
-    return a.join(b, (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.indicator") < F.col("b.indicator"))).where(F.least("a.days", "b.days") >= least_days).select(F.col("a.user_id").alias("user_id"), F.col("a.indicator").alias("first"), F.col("b.indicator").alias("second"), F.least("a.days", "b.days").alias("days"))
+def analyzable_pairs(profile: DataFrame, least_days: int = 14) -> DataFrame:
+    """Pairs of a user's indicators that are dense enough to be compared, and whether both have enough days for it.
+
+    Pairs of one base indicator and of two derived ones are left out; there are at most as many as the registry has pairs."""
+    dense = profile.where(F.col("density").isin("continuous", "intermittent")).select("user_id", "indicator", "days", base_indicator(F.col("indicator")).alias("base"), F.col("indicator").startswith("derived").alias("derived"))
+    a, b = dense.alias("a"), dense.alias("b")
+    pairs = a.join(b, F.expr("a.user_id = b.user_id and a.indicator < b.indicator and a.base <> b.base and not (a.derived and b.derived)"))
+    days = F.least("a.days", "b.days")
+    return pairs.select(F.col("a.user_id").alias("user_id"), F.col("a.indicator").alias("first"), F.col("b.indicator").alias("second"), days.alias("days"), (days >= least_days).alias("sufficient"))
 
 
 def coverage(df: DataFrame, rules: DataFrame) -> DataFrame:

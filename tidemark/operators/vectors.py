@@ -1,7 +1,8 @@
 """Vector search and code resolution: exact top-k by cosine over blocks, without an index and without a cross join.
 
 Queries are a stated set. While they fit MOST_QUERIES they are broadcast, and each task multiplies its Arrow
-batches of vectors with all of them, keeping the k best it has seen; more queries run in rounds of that size."""
+batches of vectors with all of them, keeps the k best it has seen, and gives them once at its end; more queries run in
+rounds of that size."""
 
 from __future__ import annotations
 
@@ -28,6 +29,16 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.where(n == 0, 1, n)
 
 
+def _best(rows: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """The k best of each query and group, ties by id."""
+    query, own, score, group = rows
+    order = np.lexsort((own, -np.round(score, 12), group, query))
+    head = np.ones(len(order), bool)
+    head[1:] = (query[order[1:]] != query[order[:-1]]) | (group[order[1:]] != group[order[:-1]])
+    place = np.arange(len(order)) - np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
+    return [c[order[place < k]] for c in rows]
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, by: str | None = None) -> DataFrame:
     """(query_id, id, score[, by]): the k nearest vectors (id, vector) of each query (query_id, vector), of each `by` if given.
 
@@ -43,21 +54,24 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, by: str | None = None)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qid, q = shared.value
+            best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]  # query, id, score, group
             for b in batches:
-                group = np.array(b.column("grp").to_pylist(), np.int64)
-                own = b.column("id").to_numpy()
-                v = _unit(np.array(b.column("vector").to_pylist(), np.float64).reshape(len(own), q.shape[1]))
-                cols: list[list[np.ndarray]] = [[], [], [], []]
+                group, own = b.column("grp").to_numpy(), b.column("id").to_numpy()
+                v = b.column("vector")
+                size = np.diff(v.offsets.to_numpy())
+                if (size != q.shape[1]).any():
+                    raise ValueError("vectors of different lengths")
+                s = _unit(v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), q.shape[1])) @ q.T
+                found = []
                 for g in np.unique(group):
                     at = np.flatnonzero(group == g)
-                    s = v[at] @ q.T
-                    n = min(k, len(at))
-                    for j in range(len(qid)):
-                        best = np.lexsort((own[at], -np.round(s[:, j], 12)))[:n]
-                        for c, x in zip(cols, (np.full(n, qid[j]), own[at[best]], s[best, j], np.full(n, g)), strict=True):
-                            c.append(x)
-                if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["query_id", "id", "score", "grp"])
+                    part = s[at]
+                    least = np.partition(part, len(at) - k, axis=0)[len(at) - k] if len(at) > k else np.full(len(qid), -np.inf)
+                    row, col = np.nonzero(part >= least - 1e-11)  # with all that tie for the last place
+                    found.append((qid[col], own[at[row]], part[row, col], np.full(len(row), g)))
+                best = _best([np.concatenate(c) for c in zip(best, *found, strict=True)], k)
+            if len(best[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in best], ["query_id", "id", "score", "grp"])
 
         source = vectors.select("id", "vector", (F.col(by).cast("long") if by else F.lit(0).cast("long")).alias("grp")).where("vector is not null")
         found = source.mapInArrow(run, "query_id long, id long, score double, grp long")
@@ -76,6 +90,27 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, by: str | None = None)
     return out
 
 
+def user_search(vectors: DataFrame, owned: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(id, score) of a user's own codes (id): the k nearest of each query, the best score over the queries."""
+    mine = vectors.join(owned.select("id").distinct(), "id", "left_semi")
+    return top_k(mine, queries, k).groupBy("id").agg(F.max("score").alias("score"))
+
+
+def unmapped_search(rows: DataFrame, vectors: DataFrame, queries: DataFrame, least: float) -> DataFrame:
+    """(id, n, score) of names without a code (id a row): how often they occur, and their best score over few queries."""
+    n = rows.where("id is not null").groupBy("id").agg(F.count("*").alias("n"))
+    asked = queries.select("vector").where("vector is not null").limit(MOST_QUERIES + 1).collect()
+    if len(asked) > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries")
+    score = F.greatest(*[cosine(F.col("vector"), F.array(*map(F.lit, map(float, r["vector"])))) for r in asked], F.lit(-1.0))
+    return vectors.join(n, "id").select("id", "n", score.alias("score")).where(F.col("score") >= least)
+
+
+def fetch_by_ids(rows: DataFrame, ids: list[int]) -> DataFrame:
+    """Count, first and last time of each user's readings of the codes."""
+    return rows.where(F.col("fhir_id").isin(ids)).groupBy("user_id", "indicator", "fhir_id").agg(F.count("*").alias("n"), F.min("time").alias("first"), F.max("time").alias("last"))
+
+
 def merged_rank(hits: DataFrame, floor: float = 0.6) -> DataFrame:
     """Best score of each id over all queries, primary hits and secondary ones above the smallest primary or the floor."""
     best = hits.groupBy("id").agg(F.max("score").alias("score"), F.bool_or("main").alias("main"))

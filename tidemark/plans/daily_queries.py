@@ -21,7 +21,7 @@ def _share(condition: str) -> str:
     return f"((2 * 10000 * CAST(count(*) FILTER (WHERE {condition}) AS HUGEINT) + count(*)) // (2 * count(*))) / 100.0"
 
 
-_NUMBER = {"avg": _half_up_avg("num"), "max": "CAST(max(num) AS DOUBLE)", "min": "CAST(min(num) AS DOUBLE)", "total": "CAST(sum(num) AS DOUBLE)", "stddev": "round(stddev_samp(CAST(num AS DOUBLE)), 2)", "last": "CAST(arg_max(num, time) AS DOUBLE)"}
+_NUMBER = {"avg": _half_up_avg("num"), "max": "CAST(max(num) AS DOUBLE)", "min": "CAST(min(num) AS DOUBLE)", "total": "CAST(sum(num) AS DOUBLE)", "stddev": "round(stddev_samp(CAST(num AS DOUBLE)), 2)", "last": "CAST(arg_max(num, (time, num)) AS DOUBLE)"}
 
 
 def _method_sql(method: str) -> str:
@@ -63,7 +63,7 @@ QUERIES = {
     "daily_avg_max_min": (_daily(["avg", "max", "min"]), f"WITH {R} SELECT user_id, indicator, source, {_day}, {_NUMBER['avg']} AS avg, CAST(max(num) AS DOUBLE) AS max, CAST(min(num) AS DOUBLE) AS min FROM good GROUP BY {GROUP}"),
     "daily_total_count": (_daily(["total", "count"]), f"WITH {R} SELECT user_id, indicator, source, {_day}, CAST(sum(num) AS DOUBLE) AS total, count(*) AS count FROM good GROUP BY {GROUP}"),
     "daily_stddev": (_daily(["stddev"]), f"WITH {R} SELECT user_id, indicator, source, {_day}, round(stddev_samp(CAST(num AS DOUBLE)), 2) AS stddev FROM good GROUP BY {GROUP}"),
-    "daily_first_last": (_daily(["first", "last"]), f"WITH {R} SELECT user_id, indicator, source, {_day}, CAST(arg_min(num, time) AS DOUBLE) AS first, CAST(arg_max(num, time) AS DOUBLE) AS last FROM good GROUP BY {GROUP}"),
+    "daily_first_last": (_daily(["first", "last"]), f"WITH {R} SELECT user_id, indicator, source, {_day}, CAST(arg_min(num, (time, num)) AS DOUBLE) AS first, CAST(arg_max(num, (time, num)) AS DOUBLE) AS last FROM good GROUP BY {GROUP}"),
     "daily_median_p95": (_daily(["median", "p95"]), f"WITH {R} SELECT user_id, indicator, source, {_day}, round(quantile_cont(CAST(num AS DOUBLE), 0.5), 6) AS median, round(quantile_cont(CAST(num AS DOUBLE), 0.95), 6) AS p95 FROM good GROUP BY {GROUP}"),
     "daily_time_of_extremes": (_daily(["time_of_max", "time_of_min"]), f"WITH {R} SELECT user_id, indicator, source, {_day}, strftime(arg_min(local_time, (-num, time)), '%H:%M') AS time_of_max, strftime(arg_min(local_time, (num, time)), '%H:%M') AS time_of_min FROM good GROUP BY {GROUP}"),
     "daily_glucose_ranges": (lambda s, d: daily.aggregate(readings(s, d).where("indicator = 'bloodGlucoses'"), ["pct_below_70", "tir_70_180", "pct_above_180", "tir_70_140"]).select("user_id", "source", F.col("day").cast("timestamp").alias("day"), "pct_below_70", "tir_70_180", "pct_above_180", "tir_70_140"), f"WITH {R} SELECT user_id, source, {_day}, " + ", ".join(f"{_method_sql(m)} AS {m}" for m in ("pct_below_70", "tir_70_180", "pct_above_180", "tir_70_140")) + f" FROM good WHERE indicator = 'bloodGlucoses' GROUP BY {GROUP}"),
@@ -76,6 +76,7 @@ QUERIES = {
     "nighttime_resting_hr": (lambda s, d: clinical.night_resting(readings(s, d), points=2).withColumn("day", F.col("day").cast("timestamp")), f"WITH {R} SELECT user_id, CAST(day AS TIMESTAMP) AS day, round(quantile_cont(CAST(num AS DOUBLE), 0.1), 4) AS resting, count(*) AS points FROM good WHERE indicator = 'heartRates' AND num BETWEEN 30 AND 220 AND hour(local_time) BETWEEN 1 AND 4 GROUP BY user_id, day HAVING count(*) >= 2"),
     "sleep_onset_latency": (lambda s, d: clinical.sleep_onset(readings(s, d)).withColumn("night", F.col("night").cast("timestamp")), f"WITH {R}, g AS (SELECT *, CAST(local_time - INTERVAL 18 HOUR AS DATE) AS night FROM good WHERE indicator IN ('sleepAnalysis_InBed', 'oxygenSaturations')), b AS (SELECT user_id, night, min(time) FILTER (WHERE indicator = 'sleepAnalysis_InBed') AS bed FROM g GROUP BY ALL), o AS (SELECT g.user_id, g.night, any_value(bed) AS bed, min(time) AS asleep FROM g JOIN b ON g.user_id = b.user_id AND g.night = b.night WHERE indicator = 'oxygenSaturations' AND time > bed GROUP BY ALL) SELECT user_id, CAST(night AS TIMESTAMP) AS night, round((epoch_us(asleep) - epoch_us(bed)) / 60000000.0, 2) AS latency FROM o WHERE (epoch_us(asleep) - epoch_us(bed)) / 60000000.0 <= 120"),
     "derived_indicators": (lambda s, d: derived.from_readings(readings(s, d)).withColumn("day", F.col("day").cast("timestamp")), None),
+    "special_summaries": (lambda s, d: clinical.special_summaries(readings(s, d)).withColumn("day", F.col("day").cast("timestamp")), None),
     "latest_per_indicator": (lambda s, d: derived.latest(readings(s, d)), f"WITH {R} SELECT user_id, indicator, time, CAST(num AS DOUBLE) AS num FROM (SELECT *, row_number() OVER (PARTITION BY user_id, indicator ORDER BY time DESC, event_id DESC) AS r FROM readings) WHERE r = 1"),
 }
 _VAL = f"WITH {VALUES_SQL}, pick AS (SELECT user_id, day, indicator, a, hi, lo, s, sd FROM (SELECT *, row_number() OVER (PARTITION BY user_id, day, indicator ORDER BY CASE source WHEN 'vital.garmin' THEN 8 WHEN 'apple_health' THEN 99 ELSE 999 END, hi DESC) AS r FROM vals) WHERE r = 1)"

@@ -33,7 +33,7 @@ _RULES = " UNION ALL ".join(f"SELECT '{i}' AS indicator, '{t}' AS target, '{u}'
 QUERIES = {
     "hourly_ingestion": (_on(q.hourly_ingestion), f"WITH {R} SELECT date_trunc('hour', time) AS stat_hour, source, count(*) AS records, count(DISTINCT user_id) AS users, count(DISTINCT indicator) AS indicators, count(*) FILTER (WHERE task_id = '{FILTERED}') AS filtered, {_PLATFORM} AS platform FROM readings GROUP BY 1, 2"),
     "changed_hours": (lambda s, d: q.changed_hours(readings(s, d), _at() - F.expr("INTERVAL 2 HOURS"), _at() - F.expr("INTERVAL 7 DAYS")), f"WITH {R} SELECT DISTINCT date_trunc('hour', time) AS stat_hour FROM readings WHERE update_time >= {_TS} - INTERVAL 2 HOUR AND time >= {_TS} - INTERVAL 7 DAY"),
-    "daily_profile": (_on(q.daily_profile), f"WITH {R}, x AS (SELECT *, {_X} AS x FROM readings), g AS (SELECT date_trunc('day', time) AS stat_date, indicator, source, count(x) AS n, count(*) FILTER (WHERE num IS NULL) AS non_numeric, count(*) FILTER (WHERE task_id = '{FILTERED}') AS filtered, min(x) AS low, max(x) AS high, avg(x) AS mean, stddev_samp(x) AS sigma, " + ", ".join(f"round(quantile_cont(x, {p / 100}), 6) AS p{p}" for p in (1, 5, 25, 50, 75, 95, 99)) + " FROM x GROUP BY 1, 2, 3), f AS (SELECT *, coalesce(sigma > 0 AND high > mean + 10 * sigma, false) AS a, coalesce(sigma > 0 AND low < mean - 10 * sigma, false) AS b FROM g) SELECT * EXCLUDE (a, b, mean, sigma), round(mean, 3) AS mean, round(sigma, 3) AS sigma, concat_ws(',', CASE WHEN a THEN 'suspicious_max' END, CASE WHEN b THEN 'suspicious_min' END) AS issues, CASE CAST(a AS INT) + CAST(b AS INT) WHEN 0 THEN 'ok' WHEN 1 THEN 'warning' ELSE 'critical' END AS health FROM f"),
+    "daily_profile": (_on(q.daily_profile), f"WITH {R}, x AS (SELECT *, {_X} AS x, CASE WHEN task_id IS NULL OR task_id <> '{FILTERED}' THEN num END AS xd FROM readings), g AS (SELECT date_trunc('day', time) AS stat_date, indicator, source, count(x) AS n, count(*) FILTER (WHERE num IS NULL) AS non_numeric, count(*) FILTER (WHERE task_id = '{FILTERED}') AS filtered, min(x) AS low, max(x) AS high, CAST(sum(xd) AS DOUBLE) / count(xd) AS mean, stddev_samp(x) AS sigma, " + ", ".join(f"round(quantile_cont(x, {p / 100}), 6) AS p{p}" for p in (1, 5, 25, 50, 75, 95, 99)) + " FROM x GROUP BY 1, 2, 3), f AS (SELECT *, coalesce(sigma > 0 AND high > mean + 10 * sigma, false) AS a, coalesce(sigma > 0 AND low < mean - 10 * sigma, false) AS b FROM g) SELECT * EXCLUDE (a, b, mean, sigma), round(mean, 3) AS mean, round(sigma, 3) AS sigma, concat_ws(',', CASE WHEN a THEN 'suspicious_max' END, CASE WHEN b THEN 'suspicious_min' END) AS issues, CASE CAST(a AS INT) + CAST(b AS INT) WHEN 0 THEN 'ok' WHEN 1 THEN 'warning' ELSE 'critical' END AS health FROM f"),
     "ingestion_stats": (_on(q.ingestion_stats), f"WITH {R} SELECT {_PLATFORM} AS platform, count(*) AS records, count(DISTINCT user_id) AS users, count(DISTINCT date_trunc('hour', time)) AS hours FROM readings GROUP BY 1"),
     "exclusion_rate": (_on(q.exclusion_rate), f"WITH {R} SELECT indicator, count(*) AS total, count(*) FILTER (WHERE task_id = '{FILTERED}') AS filtered, round(count(*) FILTER (WHERE task_id = '{FILTERED}') / count(*) * 100, 4) AS rate FROM readings GROUP BY 1"),
     "cross_source_ratio": (_on(q.cross_source_ratio), f"WITH {R}, p AS (SELECT indicator, source, CAST(max(num) AS DOUBLE) AS top FROM good GROUP BY 1, 2 HAVING max(num) > 0) SELECT indicator, count(*) AS sources, arg_max(source, (top, source)) AS high_source, arg_min(source, (top, source)) AS low_source, round(max(top) / min(top), 6) AS ratio, max(top) / min(top) > 100 AS issue FROM p GROUP BY 1 HAVING count(*) >= 2"),
@@ -45,9 +45,8 @@ QUERIES = {
     "name_consistency": (lambda s, d: q.name_clashes(readings(s, d).withColumn("indicator", F.when(F.col("event_id") % 2 == 0, F.upper("indicator")).otherwise(F.col("indicator")))), f"WITH {R}, n AS (SELECT DISTINCT CASE WHEN event_id % 2 = 0 THEN upper(indicator) ELSE indicator END AS indicator FROM readings) SELECT lower(indicator) AS folded, count(*) AS n, string_agg(indicator, ',' ORDER BY indicator) AS names FROM n GROUP BY 1 HAVING count(*) > 1"),
     "timestamp_quality": (_on(q.timestamp_quality, "2024-01-20"), f"WITH {R} SELECT source, count(*) FILTER (WHERE time < TIMESTAMP '2010-01-01') AS too_old, count(*) FILTER (WHERE time > TIMESTAMP '2024-01-22') AS in_future, count(*) AS total FROM readings GROUP BY 1"),
     "user_profile": (_on(q.user_profile, AS_OF), f"WITH {R}, p AS (SELECT user_id, indicator, count(DISTINCT CAST(time AS DATE)) AS days, count(*) AS records, max(time) AS latest, CAST(min(num) AS DOUBLE) AS low, CAST(max(num) AS DOUBLE) AS high, count(DISTINCT CAST(time AS DATE)) FILTER (WHERE CAST(time AS DATE) > CAST({_TS} AS DATE) - 14) AS recent FROM good GROUP BY 1, 2) SELECT *, datediff('day', CAST(latest AS DATE), CAST({_TS} AS DATE)) AS days_since, CASE WHEN recent >= 11 THEN 'continuous' WHEN recent >= 7 THEN 'intermittent' ELSE 'sparse' END AS density FROM p"),
-    "analyzable_pairs": (lambda s, d: q.analyzable_pairs(q.user_profile(readings(s, d), _at())), f"WITH {R}, p AS (SELECT user_id, indicator, count(DISTINCT CAST(time AS DATE)) AS days FROM good GROUP BY 1, 2) SELECT a.user_id, a.indicator AS first, b.indicator AS second, least(a.days, b.days) AS days FROM p a JOIN p b ON a.user_id = b.user_id AND a.indicator < b.indicator WHERE least(a.days, b.days) >= 7"),
-    "coverage_report": (lambda s, d: q.coverage(readings(s, d), registry.rules_table(s)).where("records > 0"), f"WITH {R}, r AS ({_RULES}), s AS (SELECT indicator, count(*) AS records, count(DISTINCT user_id) AS users FROM readings GROUP BY 1) SELECT r.indicator, target, unit, records, users FROM r JOIN s ON r.indicator = s.indicator"),
-    "coverage_report_whole": (lambda s, d: q.coverage(readings(s, d), registry.rules_table(s)), f"WITH {R}, r AS ({_RULES}), s AS (SELECT indicator, count(*) AS records, count(DISTINCT user_id) AS users FROM readings GROUP BY 1) SELECT r.indicator, target, unit, coalesce(records, 0) AS records, coalesce(users, 0) AS users FROM r LEFT JOIN s ON r.indicator = s.indicator"),
+    "analyzable_pairs": (lambda s, d: q.analyzable_pairs(q.user_profile(readings(s, d), _at())), f"WITH {R}, p AS (SELECT user_id, indicator, count(DISTINCT CAST(time AS DATE)) AS days FROM good GROUP BY 1, 2 HAVING count(DISTINCT CAST(time AS DATE)) FILTER (WHERE CAST(time AS DATE) > CAST({_TS} AS DATE) - 14) >= 7) SELECT a.user_id, a.indicator AS first, b.indicator AS second, least(a.days, b.days) AS days, least(a.days, b.days) >= 14 AS sufficient FROM p a JOIN p b ON a.user_id = b.user_id AND a.indicator < b.indicator"),
+    "coverage_report": (lambda s, d: q.coverage(readings(s, d), registry.rules_table(s)), f"WITH {R}, r AS ({_RULES}), s AS (SELECT indicator, count(*) AS records, count(DISTINCT user_id) AS users FROM readings GROUP BY 1) SELECT r.indicator, target, unit, coalesce(records, 0) AS records, coalesce(users, 0) AS users FROM r LEFT JOIN s ON r.indicator = s.indicator"),
     "coverage_observed": (lambda s, d: q.observed_targets(daily.summaries(readings(s, d)), registry.rules_table(s)), None),
     "coverage_derived": (lambda s, d: q.derived_dependencies(daily.summaries(readings(s, d)), derived.inputs_table(s)), None),
 }

@@ -1,8 +1,21 @@
-"""The Spark session of the engine: UTC, ANSI, adaptive execution."""
+"""The Spark session of the engine: UTC, ANSI, adaptive execution; checkpoints that cut lineage."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df written to the folder of spark.checkpoint.dir; only a local session without one gets a temporary folder."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="tidemark-checkpoints-"))
+    return df.checkpoint()
 
 
 def session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:

@@ -123,12 +123,34 @@ def apple(payloads: DataFrame) -> DataFrame:
     return _records(rows, "apple_health", F.filter(fields, lambda r: r["type"].isNotNull()), start, zone)
 
 
+#: Fields of Apple's statistics and the methods that they are results of.
+STATISTICS = {"sum": "total", "average": "avg", "minimum": "min", "maximum": "max", "mostRecent": "last"}
+
+
+def apple_statistics(payloads: DataFrame) -> DataFrame:
+    """(user_id, payload) with statistics to summary rows (user_id, indicator, start_time, end_time, value), times local."""
+    from tidemark.functions.registry import target
+
+    schema = "array<struct<type:string,grouping:string,dateFrom:bigint,dateTo:bigint,timezone:string," + ",".join(f"{k}:double" for k in STATISTICS) + ">>"
+    rows = payloads.select("user_id", F.explode(F.from_json(F.get_json_object("payload", "$.statistics"), schema)).alias("x")).select("user_id", "x.*")
+    rows = rows.withColumn("source_indicator", F.try_element_at(F.create_map(*[F.lit(v) for kv in APPLE.items() for v in kv]), F.col("type"))).where("source_indicator is not null and grouping in ('hourly', 'daily', 'weekly', 'monthly')")
+    made = F.array(*[F.struct(F.lit(target(m, "", "")).alias("method"), F.col(k).alias("value")) for k, m in STATISTICS.items()])
+    zone = F.coalesce("timezone", F.lit("UTC"))
+    local = lambda c: F.from_utc_timestamp(F.timestamp_millis(c), zone)
+    name = F.concat("grouping", "r.method", F.upper(F.substring("source_indicator", 1, 1)), F.substring("source_indicator", 2, 200))
+    return rows.withColumn("r", F.explode(F.filter(made, lambda x: x["value"].isNotNull()))).select("user_id", name.alias("indicator"), local(F.col("dateFrom")).alias("start_time"), local(F.col("dateTo")).alias("end_time"), F.col("r.value").alias("value"))
+
+
 def to_readings(records: DataFrame, now: Column) -> DataFrame:
-    """Records to readings: percent fix, range tag, naive UTC time, source in lower case, value as text."""
-    from tidemark.functions.scalars import percent_fix, validate
+    """Records to readings: names in the registry's spelling, percent fix, the registry's unit, range tag, naive UTC time,
+    source in lower case, value as text."""
+    from tidemark.functions.registry import INDICATORS
+    from tidemark.functions.scalars import convert, percent_fix, validate
     from tidemark.sources.readings import FILTERED
 
-    r = records.select("user_id", F.col("type").alias("indicator"), F.lower("source").alias("source"), F.timestamp_millis("time_ms").alias("time"), percent_fix(F.col("value"), F.col("unit"), F.col("source")).alias("num"), "timezone")
+    known = records.sparkSession.createDataFrame([(i.name.lower(), i.name, i.unit) for i in INDICATORS], "_low string, _name string, to_unit string")
+    r = records.withColumn("_low", F.lower("type")).join(F.broadcast(known), "_low", "left").select("user_id", F.coalesce("_name", "type").alias("indicator"), "source", "time_ms", "unit", percent_fix(F.col("value"), F.col("unit"), F.col("source")).alias("value"), F.coalesce("to_unit", "unit").alias("to_unit"), "timezone")
+    r = convert(r).select("user_id", "indicator", F.lower("source").alias("source"), F.timestamp_millis("time_ms").alias("time"), F.col("converted").alias("num"), "timezone")
     r = validate(r)
     return r.select("user_id", "indicator", "source", "time", F.col("num").cast("string").alias("value"), "num", "timezone", F.when(F.col("reason").isNotNull(), FILTERED).alias("task_id"), now.alias("update_time"))
 

@@ -5,6 +5,8 @@ value is text, num its guarded decimal, task_id marks rows that were kept althou
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,3 +63,27 @@ local AS (SELECT *, (time AT TIME ZONE 'UTC') AT TIME ZONE timezone AS local_tim
  CAST(((time AT TIME ZONE 'UTC') AT TIME ZONE timezone) - CASE WHEN lower(indicator) LIKE '%sleep%' THEN INTERVAL 18 HOUR ELSE INTERVAL 0 HOUR END AS DATE) AS day
  FROM readings),
 good AS (SELECT * FROM local WHERE task_id IS NULL OR task_id <> '{FILTERED}')"""
+
+#: Categories of the daily values below: base, and the divisor of the noise.
+SIGNALS = [("heartRate", 60, 24.0), ("hrv", 50, 24.0), ("bloodGlucose", 95, 12.0), ("steps", 8000, 0.1), ("weight", 70, 97.0)]
+#: The days of the daily values end on this one, a Sunday.
+LAST_DAY, DAYS = "2024-03-31", 91
+#: What befalls the customers of each kind (key modulo 8) as SQL of both engines: u the key, d the number of the day.
+_STORY = """CASE WHEN u % 8 = 1 AND category = 'heartRate' AND d >= 86 THEN 25.0D WHEN u % 8 = 1 AND category = 'hrv' AND d >= 86 THEN -25.0D
+ WHEN u % 8 = 2 AND category = 'heartRate' AND d BETWEEN 50 AND 84 THEN (85 - d) * 1.25D WHEN u % 8 = 3 AND category = 'heartRate' AND d >= 62 THEN (d - 62) * 0.5D
+ WHEN u % 8 = 4 AND category = 'bloodGlucose' AND d >= 82 THEN 30.0D WHEN u % 8 = 5 AND category = 'steps' AND (d % 7 = 6 OR d % 7 = 5) THEN -4000.0D
+ WHEN u % 8 = 6 AND category = 'weight' AND d >= 80 THEN 8.0D ELSE 0.0D END"""
+_MISSING = "u % 8 = 7 AND (u * 31 + d * 17) % 3 = 0"
+
+
+def daily_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, category, day, value): the customers as users with a value a day of each category, some of them unwell."""
+    kinds = F.array(*[F.struct(F.lit(i).cast("long").alias("k"), F.lit(n).alias("category"), F.lit(float(b)).alias("base"), F.lit(w).alias("wide")) for i, (n, b, w) in enumerate(SIGNALS)])
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("u"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DAYS - 1).cast("long"))).alias("d")).withColumn("s", F.explode(kinds)).select("u", "d", "s.*")
+    value = F.expr("base + ((u * 7919 + d * 104729 + k * 1299709) % 97) / wide + " + _STORY)
+    return rows.where(f"not ({_MISSING})").select(F.col("u").cast("string").alias("user_id"), "category", F.date_add(F.date_sub(F.lit(LAST_DAY).cast("date"), DAYS - 1), F.col("d").cast("int")).alias("day"), value.alias("value"))
+
+
+VALUES_OF_DAYS_SQL = f"""kinds AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{n}', CAST({b} AS DOUBLE), CAST({w} AS DOUBLE))" for i, (n, b, w) in enumerate(SIGNALS))}) AS t(k, category, base, wide)),
+v AS (SELECT CAST(u AS VARCHAR) AS user_id, category, CAST(DATE '{LAST_DAY}' - {DAYS - 1} + CAST(d AS INT) AS DATE) AS day, base + ((u * 7919 + d * 104729 + k * 1299709) % 97) / wide + {re.sub(r"([0-9.]+)D", r"CAST(\1 AS DOUBLE)", _STORY)} AS value
+ FROM (SELECT CAST(c_custkey AS BIGINT) AS u FROM customer), (SELECT unnest(generate_series(0, {DAYS - 1})) AS d), kinds WHERE NOT ({_MISSING}))"""
