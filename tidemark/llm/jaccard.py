@@ -52,11 +52,12 @@ FLUSH = 1 << 20
 HOT = 64
 #: Sets that a task remembers, so that equal sets post once a task.
 SEEN = 200_000
-_FEATURES = "doc_id long, tag long, n_shingles long, set_key binary"
-#: A list's key and a member, the 128 bits of its set_key; of a list whose members are tied, the member they are tied to.
-_POSTING = np.dtype([("key", "<u8"), ("hi", "<u8"), ("lo", "<u8")])
+_FEATURES = "doc_id long, tag long, n_shingles long, set_key binary, name long"
+#: A list's key and a member, the first 64 bits of its set_key; of a list whose members are tied, the member they are tied
+#: to. Sets of one name are candidates of all that either is, and of each other.
+_POSTING = np.dtype([("key", "<u8"), ("name", "<u8")])
 #: A member and the one that it is tied to.
-_TIE = np.dtype([("center_hi", "<u8"), ("center_lo", "<u8"), ("hi", "<u8"), ("lo", "<u8")])
+_TIE = np.dtype([("center", "<u8"), ("name", "<u8")])
 
 
 class Sizes:
@@ -161,7 +162,7 @@ def _features(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
             size.append(np.diff(at))
             key += [xxhash.xxh3_128_digest(h[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
         n = np.concatenate(size) if size else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tag"), pa.array(n, pa.int64()), pa.array(key, pa.binary())], ["doc_id", "tag", "n_shingles", "set_key"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tag"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(np.frombuffer(b"".join(key), ">i8")[::2].astype(np.int64))], ["doc_id", "tag", "n_shingles", "set_key", "name"])
 
 
 def _postings(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, light: int, buckets: int, hot: int = HOT) -> Iterator[pa.RecordBatch]:
@@ -185,8 +186,8 @@ def _postings(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, lig
         new = np.ones(len(keys), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
         x = np.empty(int(new.sum()), _POSTING)
-        names = np.frombuffer(b"".join(marks), ">u8").reshape(-1, 2)[owner[new]]
-        x["key"], x["hi"], x["lo"] = keys[new], names[:, 0], names[:, 1]
+        names = np.frombuffer(b"".join(marks), ">u8")[::2].astype(np.uint64)
+        x["key"], x["name"] = keys[new], names[owner[new]]
         head = np.ones(len(x), bool)
         head[1:] = x["key"][1:] != x["key"][:-1]
         start = np.flatnonzero(head)
@@ -194,13 +195,11 @@ def _postings(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, lig
         member = np.repeat(count >= hot, count) & ~head
         owner = owner[new]
         pair = np.unique(owner[np.repeat(start, count)[member]] * len(marks) + owner[member])
-        every = np.frombuffer(b"".join(marks), ">u8").reshape(-1, 2)
         ties, tied = np.empty(len(pair), _TIE), x[start[count >= hot]]
-        for (a, b), side in ((("center_hi", "center_lo"), pair // len(marks)), (("hi", "lo"), pair % len(marks))):
-            ties[a], ties[b] = every[side, 0], every[side, 1]
+        ties["center"], ties["name"] = names[pair // len(marks)], names[pair % len(marks)]
         x = x[~member]
         of = lambda v: v % np.uint64(buckets)
-        rows = [*_blobs(x, of(x["key"]), 1), *_blobs(ties, of(ties["lo"]), 2), *_blobs(tied, of(tied["key"]), 3)]
+        rows = [*_blobs(x, of(x["key"]), 1), *_blobs(ties, of(ties["name"]), 2), *_blobs(tied, of(tied["key"]), 3)]
         for i in range(0, len(rows), 256):
             bucket, *blobs = zip(*rows[i : i + 256], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *(pa.array(v, pa.binary()) for v in blobs)], ["bucket", "postings", "ties", "tied"])
@@ -253,11 +252,6 @@ def _distinct(x: np.ndarray) -> np.ndarray:
     return x[new]
 
 
-def _names(x: np.ndarray, hi: str, lo: str) -> pa.Array:
-    raw = np.stack((x[hi], x[lo]), axis=1).astype(">u8").tobytes()
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(x), [None, pa.py_buffer(raw)]).cast(pa.binary())
-
-
 def _lists(bucket: pa.Table) -> pa.Table:
     """Inverted lists of a bucket with two sets or more, each once: (list_id, center, member), center the smallest. Ties
     have no list_id, and lists with tied members no member."""
@@ -275,7 +269,7 @@ def _lists(bucket: pa.Table) -> pa.Table:
     seen: set[bytes] = set()
     keep = np.zeros(len(start), bool)
     with_ties = np.isin(x["key"][start], tied["key"])
-    sets = np.ascontiguousarray(np.stack((x["hi"], x["lo"]), axis=1))
+    sets = np.ascontiguousarray(x["name"])
     for i in np.flatnonzero(size > 1).tolist():
         if with_ties[i]:
             keep[i] = True
@@ -285,8 +279,8 @@ def _lists(bucket: pa.Table) -> pa.Table:
     rows = np.repeat(keep, size)
     found, center = x[rows], x[np.repeat(start, size)[rows]]
     ties, tied = _distinct(ties), _distinct(tied)
-    none = pa.nulls(len(tied), pa.binary())
-    return pa.table({"list_id": pa.concat_arrays([pa.array(found["key"].view(np.int64)), pa.nulls(len(ties), pa.int64()), pa.array(tied["key"].view(np.int64))]), "center": pa.concat_arrays([_names(center, "hi", "lo"), _names(ties, "center_hi", "center_lo"), _names(tied, "hi", "lo")]), "member": pa.concat_arrays([_names(found, "hi", "lo"), _names(ties, "hi", "lo"), none])})
+    number = lambda v: pa.array(v.view(np.int64))
+    return pa.table({"list_id": pa.concat_arrays([number(found["key"].copy()), pa.nulls(len(ties), pa.int64()), number(tied["key"].copy())]), "center": number(np.concatenate((center["name"], ties["center"], tied["name"]))), "member": pa.concat_arrays([number(found["name"].copy()), number(ties["name"].copy()), pa.nulls(len(tied), pa.int64())])})
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -410,14 +404,15 @@ def _components_of_rows(docs: DataFrame, words: int, num: int, den: int, buckets
     features = materialise(source.withColumn("tag", F.xxhash64("text")).mapInArrow(lambda it: _features(it, words), _FEATURES), "sets")
     full = features.where("n_shingles > 0")
     # sets get a number each once they are written, and go by it from there on
-    classes = materialise(full.groupBy("set_key").agg(F.min("doc_id").alias("doc_id")).withColumn("set_id", F.monotonically_increasing_id()), "classes")
+    classes = materialise(full.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.min("name").alias("name")).withColumn("set_id", F.monotonically_increasing_id()), "classes")
     light = choose_boundary({r[0]: r[1] for r in features.where(F.col("n_shingles").between(1, LIGHT_MOST * den // num + 1)).groupBy("n_shingles").count().collect()}, num, den)
     posted = source.mapInArrow(lambda it: _postings(it, words, num, den, light, n_buckets, hot), "bucket int, postings binary, ties binary, tied binary")
-    lists = materialise(posted.groupBy("bucket").applyInArrow(_lists, "list_id long, center binary, member binary"), "lists")
-    number = classes.select("set_key", "set_id")
-    named = lists.join(number.select(F.col("set_key").alias("member"), F.col("set_id").alias("b")), "member", "left").join(number.select(F.col("set_key").alias("center"), F.col("set_id").alias("a")), "center").select("list_id", "a", "b")
+    lists = posted.groupBy("bucket").applyInArrow(_lists, "list_id long, center long, member long")
+    number = classes.select("name", "set_id")
+    named = lists.join(number.select(F.col("name").alias("member"), F.col("set_id").alias("b")), "member", "left").join(number.select(F.col("name").alias("center"), F.col("set_id").alias("a")), "center").select("list_id", "a", "b")
     named = materialise(named, "lists")
-    edges = named.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    same_name = number.groupBy("name").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b")).select("a", "b")
+    edges = named.select("a", "b").union(same_name).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges = materialise(edges, "candidates")
     wanted = edges.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(classes, "set_id")
     # a doc_id may have several texts: of those only the one of the wanted set stays
