@@ -38,14 +38,19 @@ def release() -> None:
         _state[:] = None, None
         gc.collect()
         pa.default_memory_pool().release_unused()
-    _allocator()
+    if (library := _allocator()) is not None:
+        library.malloc_trim(0)
 
 
 @cache
-def _allocator() -> None:
-    """Let the C library return large arrays to the system as soon as they are freed, where it can be told so."""
+def _allocator() -> ctypes.CDLL | None:
+    """The C library, told to return large arrays to the system as soon as they are freed; None where it can't be told so."""
     with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).mallopt(_M_MMAP_THRESHOLD, 1 << 20)
+        library = ctypes.CDLL(None)
+        library.mallopt(_M_MMAP_THRESHOLD, 1 << 20)
+        library.malloc_trim(0)
+        return library
+    return None
 
 
 #: Bytes of an Arrow batch, where the session leaves Spark's default of 64 MB: tasks hold several copies of a batch.

@@ -24,7 +24,7 @@ Defined cases: null text, or text without words, has an empty set, links with no
 component; fewer words than k make one shingle of the whole sequence; rows that share a doc_id are told apart by
 their sets, and each gets the component of its own; repeated rows are equal sets and each keeps its row; a row
 without a doc_id gets the component of an equal set that has one, else none; texts of any length are read whole, in runs
-of about 2 MB; other columns are ignored, whatever their names; an empty table gives no rows. keep_one() keeps rows
+of about 0.5 MB; other columns are ignored, whatever their names; an empty table gives no rows. keep_one() keeps rows
 whose doc_id is the smallest of their component, and rows without a doc_id or without words.
 """
 
@@ -47,9 +47,9 @@ LIGHT_MOST = 40
 #: Sketches count shingles in 2**SKETCH_BITS ranges of their hashes.
 SKETCH_BITS = 10
 #: Postings that a task holds before it hands them on.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 #: Members of a list in what a task holds, from which it is tied together there.
-HOT = 64
+HOT = 32
 #: Sets that a task remembers, so that equal sets post once a task.
 SEEN = 200_000
 _FEATURES = "doc_id long, tag long, n_shingles long, set_key binary, name long"
@@ -157,7 +157,7 @@ def _features(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
     release()
     for b in batches:
         size, key = [], []
-        for _, _, raw, ends in textops.slices(b.column("text")):
+        for _, _, raw, ends in textops.slices(b.column("text"), textops.SHORT_RUN):
             h, at = textops.shingle_sets(raw, ends, k)
             size.append(np.diff(at))
             key += [xxhash.xxh3_128_digest(h[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
@@ -206,7 +206,7 @@ def _postings(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, lig
 
     for b in batches:
         known = b.column("doc_id").is_valid().to_pylist()
-        for row, _, raw, ends in textops.slices(b.column("text")):
+        for row, _, raw, ends in textops.slices(b.column("text"), textops.SHORT_RUN):
             h, at = textops.shingle_sets(raw, ends, k)
             sums = np.zeros(len(h) + 1, np.uint64)
             np.cumsum(textops.mix(h), out=sums[1:])
@@ -252,10 +252,15 @@ def _distinct(x: np.ndarray) -> np.ndarray:
     return x[new]
 
 
+def _rows(blobs: pa.ChunkedArray, dtype: np.dtype) -> np.ndarray:
+    """The rows in blobs, one after the other; nulls have none."""
+    return np.concatenate([np.zeros(0, dtype), *(np.frombuffer(v.as_buffer(), dtype) for v in blobs.drop_null())])
+
+
 def _lists(bucket: pa.Table) -> pa.Table:
     """Inverted lists of a bucket with two sets or more, each once: (list_id, center, member), center the smallest. Ties
     have no list_id, and lists with tied members no member."""
-    x, ties, tied = (np.frombuffer(b"".join(v for v in bucket.column(c).to_pylist() if v), d) for c, d in (("postings", _POSTING), ("ties", _TIE), ("tied", _POSTING)))
+    x, ties, tied = (_rows(bucket.column(c), d) for c, d in (("postings", _POSTING), ("ties", _TIE), ("tied", _POSTING)))
     order = np.argsort(x["key"], kind="stable")
     key = x["key"][order]
     twice = np.zeros(len(key), bool)
@@ -287,7 +292,7 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
     """Sets of the wanted rows, with a sketch each: how many shingles fall in each of SKETCH ranges."""
     release()
     for b in batches:
-        for row, last, raw, ends in textops.slices(b.column("text")):
+        for row, last, raw, ends in textops.slices(b.column("text"), textops.SHORT_RUN):
             h, at = textops.shingle_sets(raw, ends, k)
             out: list[tuple] = []
             for name, want, i, j in zip(b.column("set_id").slice(row, last - row).to_pylist(), b.column("set_key").slice(row, last - row).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):

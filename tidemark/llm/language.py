@@ -14,7 +14,7 @@ languages; the evidence for all of them is worked out for the items of the new c
 Defined cases: text that is null or has no letter (digits, numerals, signs) is `und` with score 0; text with letters
 that the model knows nothing of gets the most frequent language with the score of a guess; of equally likely languages
 the more frequent one, then the first by name is taken; without labelled rows everything is `und`, and keep() drops
-only texts that are null or have no letter; texts of any length are read whole, in runs of about 2 MB; rows that
+only texts that are null or have no letter; texts of any length are read whole, in runs of about 0.5 MB; rows that
 share a doc_id, and repeated rows, each give a row; a null doc_id is never learned from; other columns are ignored,
 whatever their names; an empty table gives no rows.
 """
@@ -153,7 +153,7 @@ def _guesses(column: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
     """The language and score of each text."""
     n, pred, score = len(model.languages), [], []
     table = worker_state(("language", model.name), lambda: ChunkTable(model.chunks, Matrix(n + 1)))
-    for _, _, raw, ends in textops.slices(column):
+    for _, _, raw, ends in textops.slices(column, textops.SHORT_RUN):
         v = row_sums(table, raw, ends)
         count = np.maximum(v[:, n], 1)
         e = v[:, :n] * (np.minimum(count, EVIDENCE) / count)[:, None]

@@ -77,6 +77,10 @@ _LOWERED = _CODES.copy()
 _LOWERED[65:91] = _CODES[97:123]
 
 
+#: Bytes of a short run, for operators whose numbers take many times the bytes of a run.
+SHORT_RUN = 1 << 19
+
+
 def slices(column: pa.Array | pa.ChunkedArray, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """A string column in runs of whole rows of about `most` bytes: first row, last row + 1, bytes, offsets.
 
