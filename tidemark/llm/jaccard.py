@@ -14,7 +14,7 @@ A document's set holds its distinct k-word shingles. Two documents link when den
 
 Lists give candidates: first every member with the smallest of its list, verified on whole sets. A list of HOT
 members or more within a task sends only its smallest one on: the others are tied to that one there, once for all
-such lists, so a list that a third of the documents share stays spread out. Members of a list that are in different components afterwards go through a second, finer scan: their shingles are put
+such lists, so a list that a third of the documents share stays spread out. Members of a list of three or more that are in different components afterwards go through a second, finer scan: their shingles are put
 in order, the rarest among them first, and a list holds, for one shingle and two ranges of sizes, the sets
 that have it early enough for the overlap that such sizes need. There every member is verified with the one
 of fewest shingles of its own, and what then is in different components pair by pair, so no link is lost,
@@ -437,7 +437,9 @@ def _components_of_rows(docs: DataFrame, words: int, num: int, den: int, buckets
     missed = named.where("a <> b").select("list_id", F.col("a").alias("center"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(linked, ["a", "b"], "left").where("linked is null")
     missed = materialise(missed.select("list_id", F.when(F.col("list_id").isNull(), F.col("center")).alias("center")).distinct(), "missed")
     ties, tied = named.where("list_id is null").select("a", "b"), named.where("b is null").select("list_id", "a")
-    failed = missed.where("list_id is not null").select("list_id").union(tied.join(missed.where("list_id is null").select(F.col("center").alias("a")), "a").select("list_id")).distinct()
+    # two members are a pair, which is settled either way once it is verified
+    pairs = named.where("list_id is not null").groupBy("list_id").agg(F.count("*").alias("n"), F.max(F.col("b").isNull()).alias("tied")).where("n = 2 and not tied").select("list_id")
+    failed = missed.where("list_id is not null").select("list_id").join(pairs, "list_id", "left_anti").union(tied.join(missed.where("list_id is null").select(F.col("center").alias("a")), "a").select("list_id")).distinct()
     failed = materialise(failed, "failed")
     members = named.where("b is not null").join(failed, "list_id").select(F.explode(F.array("a", "b")).alias("doc"))
     centers = tied.join(failed, "list_id").select("a").distinct()
