@@ -14,8 +14,8 @@ A document's set holds its distinct k-word shingles. Two documents link when den
 
 Lists give candidates: first every member with the smallest of its list, verified on whole sets. A list of HOT
 members or more within a task sends only its smallest one on: the others are tied to that one there, once for all
-such lists, so a list that a third of the documents share stays spread out. Members of a list of three or more that are in different components afterwards go through a second, finer scan: their shingles are put
-in order, the rarest among them first, and a list holds, for one shingle and two ranges of sizes, the sets
+such lists, so a list that a third of the documents share stays spread out. Members of a list of three or more that
+are in different components afterwards go through a second, finer scan: their shingles are put in order, the rarest among them first, and a list holds, for one shingle and two ranges of sizes, the sets
 that have it early enough for the overlap that such sizes need. There every member is verified with the one
 of fewest shingles of its own, and what then is in different components pair by pair, so no link is lost,
 while a large group of near copies never becomes all its pairs. Components come from star contraction.
