@@ -65,14 +65,18 @@ def apply_batch(batch: DataFrame, readings: Days, summaries: Days) -> None:
     written = batch.select(F.to_date("time").alias(_PART)).distinct()
     old = readings.of(written).where("time is not null")
     readings.replace(written, mapping.upsert(old, batch, READING_KEYS, values, order="update_time", stamp="update_time"))
-    touched = checkpoint(affected_days(batch))
+    recompute(checkpoint(affected_days(batch)), readings, summaries)
+
+
+def recompute(touched: DataFrame, readings: Days, summaries: Days) -> None:
+    """Make the summaries of some days (user_id, indicator, source, timezone, day) anew from all of their readings."""
     # a local day lies within a day of the UTC day of its name, on either side, a night one more
     around = touched.select(F.explode(F.sequence(F.date_sub("day", 1), F.date_add("day", 2))).alias(_PART)).distinct()
     now = daily.with_day(readings.of(around).where("time is not null"))
     fresh = daily.summaries(now.join(touched, ["user_id", "indicator", "source", "timezone", "day"], "left_semi").drop("day", "local_time", "day_start_utc"))
     days = touched.select(F.col("day").alias(_PART)).distinct()
     # every summary of a touched day is made again or has no readings left, so the old ones of its indicator and source go
-    rules = batch.sparkSession.createDataFrame([(i, t) for i, _, t in daily.plain_rules()], "indicator string, target string")
+    rules = touched.sparkSession.createDataFrame([(i, t) for i, _, t in daily.plain_rules()], "indicator string, target string")
     gone = touched.join(F.broadcast(rules), "indicator").select("user_id", F.concat("target", F.lit("."), F.regexp_replace(F.coalesce("source", F.lit("unknown")), r"^vital\.", "")).alias("indicator"), F.col("day").cast("timestamp").alias("start_time")).distinct()
     kept = summaries.of(days).where("start_time is not null").join(gone, ["user_id", "indicator", "start_time"], "left_anti").select(*SUMMARY_KEYS, "value")
     summaries.replace(days, kept.unionByName(fresh.select(*SUMMARY_KEYS, "value")))
