@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 @dataclass(frozen=True)
@@ -58,10 +59,25 @@ def output_unit(method: str, unit: str) -> str:
     return METHOD_UNITS.get(method) or ("%" if threshold(method) else unit)
 
 
-def rules(include_mixed: bool = False) -> list[tuple[str, str, str, str]]:
-    """(indicator, method, target, unit) for each summary that is made; custom ones are appended by the caller."""
-    return [(i.name, m, target(m, i.name), output_unit(m, i.unit)) for i in INDICATORS if i.kind == "SERIES" or include_mixed for m in i.methods]
+@dataclass(frozen=True)
+class Custom:
+    """A caller's rule: an aggregate of a day's numbers and times (columns) of an indicator, under its own method name."""
+
+    indicator: str
+    method: str
+    unit: str
+    column: Callable[[Column, Column], Column]
+    target: str | None = None  # the summary's name, else made from method and indicator
+
+
+def rules(include_mixed: bool = False, custom: Sequence[Custom] = ()) -> list[tuple[str, str, str, str]]:
+    """(indicator, method, target, unit) for each summary that is made, the caller's own at the end.
+
+    A custom rule of an indicator and method that the registry has takes its place; of two with the same the last counts."""
+    own = {(c.indicator, c.method): (c.indicator, c.method, c.target or target(c.method, c.indicator), c.unit) for c in custom}
+    made = [(i.name, m, target(m, i.name), output_unit(m, i.unit)) for i in INDICATORS if i.kind == "SERIES" or include_mixed for m in i.methods]
+    return [r for r in made if r[:2] not in own] + [*own.values()]
 
 
-def rules_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(rules(), "indicator string, method string, target string, unit string")
+def rules_table(spark: SparkSession, custom: Sequence[Custom] = ()) -> DataFrame:
+    return spark.createDataFrame(rules(custom=custom), "indicator string, method string, target string, unit string")

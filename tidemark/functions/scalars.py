@@ -158,3 +158,25 @@ def preview(text: Column, lines: int = 5, width: int = 1000) -> Column:
     """The first and last lines of a text, cut to a width."""
     parts = F.transform(F.split(text, "\n"), lambda x: F.substring(x, 1, width))
     return F.when(F.size(parts) <= 2 * lines, F.array_join(parts, "\n")).otherwise(F.concat_ws("\n", F.array_join(F.slice(parts, 1, lines), "\n"), F.lit("..."), F.array_join(F.slice(parts, -lines, lines), "\n")))
+
+
+#: Abbreviations and what they stand for.
+ABBREVIATIONS = {
+    "Ab": "Antibody", "Ag": "Antigen", "AIDS": "Acquired immunodeficiency syndrome", "AJCC": "American Joint Committee on Cancer", "AP": "Anteroposterior", "ART": "Antiretroviral therapy", "BP": "Blood pressure", "CD": "Cluster of differentiation", "CDC": "Centers for Disease Control", "CNS": "Central nervous system",
+    "CoA": "Coenzyme A", "CoV": "Coronavirus", "CSF": "Cerebrospinal fluid", "CT": "Computed tomography", "DNA": "Deoxyribonucleic acid", "ECG": "Electrocardiogram", "EDTA": "Ethylenediaminetetraacetic acid", "ENT": "Ear nose and throat", "FC": "Flow cytometry", "FH": "Family history",
+    "FIGO": "International Federation of Gynecology and Obstetrics", "GE": "Gastroesophageal", "GP": "General practitioner", "Hct": "Hematocrit", "Hgb": "Hemoglobin", "HIV": "Human immunodeficiency virus", "HLA": "Human leukocyte antigen", "HTLV": "Human T-lymphotropic virus", "IA": "Immunoassay", "IgA": "Immunoglobulin A",
+    "IgD": "Immunoglobulin D", "IgE": "Immunoglobulin E", "IgG": "Immunoglobulin G", "IgM": "Immunoglobulin M", "IV": "Intravenous", "MR": "Magnetic resonance", "MRA": "Magnetic resonance angiography", "MRI": "Magnetic resonance imaging", "NAA": "Nucleic acid amplification", "NM": "Nuclear medicine",
+    "RAST": "Radioallergosorbent test", "RBC": "Red blood cells", "RF": "Rheumatoid factor", "RFA": "Radiofrequency ablation", "Rh": "Rhesus", "RNA": "Ribonucleic acid", "rRNA": "Ribosomal RNA", "SARS": "Severe acute respiratory syndrome", "TNM": "Tumor Node Metastasis", "UICC": "Union for International Cancer Control",
+    "US": "Ultrasound", "WBC": "White blood cells", "WHO": "World Health Organization", "XR": "X-ray",
+}
+
+
+def expanded(text: Column, table: dict[str, str] = ABBREVIATIONS) -> Column:
+    """The text with the full form in brackets behind each abbreviation that stands as a word; null stays null.
+
+    One alternation, the longest first, finds them, so what is put in is not looked at again. The pieces between and the
+    matches are two arrays that are zipped, which keeps it in the JVM. A word is of letters, digits and underscores."""
+    at = r"(?<![\p{L}\p{N}_])(" + "|".join(f"\\Q{a}\\E" for a in sorted(table, key=len, reverse=True)) + r")(?![\p{L}\p{N}_])"
+    full = F.create_map(*[F.lit(x) for a, name in table.items() for x in (a, f"{a} ({name})")])
+    found = F.transform(F.regexp_extract_all(text, F.lit(at), F.lit(1)), lambda a: F.element_at(full, a))
+    return F.array_join(F.flatten(F.zip_with(F.split(text, at), found, lambda piece, a: F.array(piece, F.coalesce(a, F.lit(""))))), "")

@@ -209,3 +209,17 @@ def without_subsets(concepts: DataFrame) -> DataFrame:
         stays = written(stays.unionByName(undecided.join(left, "name", "left_anti")))
         open_ = written(left)
     return stays
+
+
+def prefix_groups(names: DataFrame, least: int = 2, blocked: tuple[str, ...] = ()) -> DataFrame:
+    """(code, prefix, words, n): each name's longest prefix of whole words that at least `least` codes share.
+
+    names: (code, name); words are parted by spaces, upper and lower case are the same, text behind a [ is left out, and
+    of a prefix of several names with one code it counts once. Blocked prefixes group nobody, longer ones that begin with them may.
+    A name is short, so its prefixes are few: they are the nodes of a trie, counted before they are shuffled."""
+    words = F.filter(F.split(F.lower(F.trim(F.substring_index("name", "[", 1))), r"\s+"), lambda w: w != "")
+    n = names.where("code is not null and name is not null").select("code", words.alias("w")).where(F.size("w") > 0)
+    p = n.select("code", F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.struct(i.alias("words"), F.array_join(F.slice("w", 1, i), " ").alias("prefix")))).alias("p")).select("code", "p.words", "p.prefix").distinct()
+    p = p.where(~F.col("prefix").isin(*blocked)) if blocked else p
+    shared = p.groupBy("prefix").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return p.join(shared, "prefix").groupBy("code").agg(F.max(F.struct("words", F.col("n"), "prefix")).alias("r")).select("code", "r.prefix", F.col("r.words").cast("long").alias("words"), "r.n")

@@ -5,7 +5,7 @@ compiled to columns, so one shuffle serves all of them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +14,6 @@ from tidemark.functions import registry
 from tidemark.sources.readings import not_filtered
 
 KEYS = ["user_id", "indicator", "source", "timezone", "day"]
-#: Methods that callers add: name to a function of (num, time) columns.
-CUSTOM: dict[str, Callable[[Column, Column], Column]] = {}
 
 
 def sleep_shift(indicator: Column) -> Column:
@@ -38,8 +36,6 @@ def method_column(method: str, num: Column, time: Column, local: Column) -> Colu
     """The aggregate of a method's name; rounding is half up on decimals, as SQL does it. Of readings of one moment the
     smallest is the first and the largest the last."""
     number = num.cast("double")
-    if method in CUSTOM:
-        return CUSTOM[method](num, time)
     if bound := registry.threshold(method):
         kind, low, high = bound
         hit = number < low if kind == "below" else number > low if kind == "above" else number.between(low, high)
@@ -64,18 +60,25 @@ def aggregate(df: DataFrame, methods: Iterable[str]) -> DataFrame:
     return good.groupBy(*KEYS).agg(*[method_column(m, F.col("num"), F.col("time"), F.col("local_time")).alias(m) for m in methods])
 
 
-def plain_rules() -> list[tuple[str, str, str]]:
-    """(indicator, method, target) of the rules that one grouping computes as numbers."""
+def plain_rules(custom: Sequence[registry.Custom] = ()) -> list[tuple[str, str, str]]:
+    """(indicator, method, target) of the rules that one grouping computes as numbers, the caller's own among them."""
     special = ("time_of_", "hypo_", "gmi_", "morning_", "nighttime_", "sleep_onset")
-    return [(i, m, t) for i, m, t, _ in registry.rules() if not m.startswith(special)]
-
-
-def summaries(df: DataFrame) -> DataFrame:
-    """Long summary rows (user_id, indicator, start_time, end_time, value) named target.source; nulls are left out."""
-    wanted = plain_rules()
-    methods = list(dict.fromkeys(m for _, m, _ in wanted))
-    wide = aggregate(df.where(F.col("indicator").isin(sorted({i for i, _, _ in wanted}))), methods)
-    made = F.array(*[F.struct(F.lit(i).alias("of"), F.lit(t).alias("target"), F.col(m).alias("value")) for i, m, t in wanted])
-    rows = wide.select("user_id", "source", "day", F.explode(F.filter(made, lambda x: (x["of"] == F.col("indicator")) & x["value"].isNotNull())).alias("r"))
+    own = {(c.indicator, c.method) for c in custom}
+    return [(i, m, t) for i, m, t, _ in registry.rules(custom=custom) if (i, m) in own or not m.startswith(special)]
+
+
+def summaries(df: DataFrame, custom: Sequence[registry.Custom] = ()) -> DataFrame:
+    """Long summary rows (user_id, indicator, start_time, end_time, value) named target.source; nulls are left out.
+
+    custom: rules of the caller; they are a value that is passed on, so sessions and workers share none."""
+    wanted = plain_rules(custom)
+    own = {(c.indicator, c.method): c.column for c in custom}
+    made = [(i, m, t, f"m{n}" if (i, m) in own else m) for n, (i, m, t) in enumerate(wanted)]
+    good = with_day(df.where(F.col("indicator").isin(sorted({i for i, *_ in wanted})) & not_filtered(F.col("task_id"))))
+    num, time, local = F.col("num"), F.col("time"), F.col("local_time")
+    columns = {c: own[i, m](num, time).cast("double") if (i, m) in own else method_column(m, num, time, local) for i, m, _, c in made}
+    wide = good.groupBy(*KEYS).agg(*[x.alias(c) for c, x in columns.items()])
+    values = F.array(*[F.struct(F.lit(i).alias("of"), F.lit(t).alias("target"), F.col(c).alias("value")) for i, _, t, c in made])
+    rows = wide.select("user_id", "source", "day", F.explode(F.filter(values, lambda x: (x["of"] == F.col("indicator")) & x["value"].isNotNull())).alias("r"))
     start = F.col("day").cast("timestamp")
     return rows.select("user_id", F.concat("r.target", F.lit("."), F.regexp_replace(F.coalesce("source", F.lit("unknown")), r"^vital\.", "")).alias("indicator"), start.alias("start_time"), (start + F.expr("INTERVAL 86399 SECONDS")).alias("end_time"), F.col("r.value").alias("value"))

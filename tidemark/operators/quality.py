@@ -32,6 +32,9 @@ def health(n: Column) -> Column:
     return F.when(n == 0, "ok").when(n == 1, "warning").otherwise("critical")
 
 
+MILLION = 1_000_000
+
+
 def daily_profile(df: DataFrame) -> DataFrame:
     """A row for each day, indicator and source: counts, spread, percentiles, flags.
 
@@ -40,13 +43,14 @@ def daily_profile(df: DataFrame) -> DataFrame:
     kept = F.when(not_filtered(F.col("task_id")), F.col("num"))
     by = [F.date_trunc("day", "time").alias("stat_date"), "indicator", "source"]
     counted = df.groupBy(*by, kept.alias("v")).agg(F.count("*").alias("c"), F.count_if(F.col("num").isNull()).alias("no"), F.count_if(F.col("task_id") == FILTERED).alias("f"))
+    # counts of equal values are taken apart into millions and the rest, so that products stay exact up to 10**13 readings
     v, c = F.col("v"), F.when(F.col("v").isNotNull(), F.col("c")).otherwise(0)
     x = v.cast("double")
-    sums = [F.sum(c).alias("n"), F.sum("no").alias("non_numeric"), F.sum("f").alias("filtered"), F.min(x).alias("low"), F.max(x).alias("high"), F.sum((v * c.cast("decimal(12,0)")).cast("decimal(30,2)")).alias("s1"), F.sum((v * v * c.cast("decimal(8,0)")).cast("decimal(38,4)")).alias("s2")]
+    sums = [F.sum(c).alias("n"), F.sum("no").alias("non_numeric"), F.sum("f").alias("filtered"), F.min(x).alias("low"), F.max(x).alias("high"), F.sum((v * c.cast("decimal(12,0)")).cast("decimal(30,2)")).alias("s1"), *[F.sum((v * v * part.cast("decimal(7,0)")).cast("decimal(38,4)")).alias(name) for name, part in (("s2", c % MILLION), ("s2m", F.floor(c / MILLION)))]]
     marks = (1, 5, 25, 50, 75, 95, 99)
     out = counted.groupBy("stat_date", "indicator", "source").agg(*sums, F.percentile(x, F.array(*[F.lit(q / 100) for q in marks]), F.when(v.isNotNull(), F.col("c")).otherwise(1)).alias("p"))
     n, s1 = F.col("n"), F.col("s1").cast("double")
-    out = out.withColumn("mean", F.when(n > 0, s1 / n)).withColumn("sigma", F.when(n > 1, F.sqrt(F.greatest(F.col("s2").cast("double") - s1 * s1 / n, F.lit(0.0)) / (n - 1))))
+    out = out.withColumn("mean", F.when(n > 0, s1 / n)).withColumn("sigma", F.when(n > 1, F.sqrt(F.greatest(F.col("s2").cast("double") + F.col("s2m").cast("double") * MILLION - s1 * s1 / n, F.lit(0.0)) / (n - 1))))
     out = out.select("stat_date", "indicator", "source", "n", "non_numeric", "filtered", "low", "high", "mean", "sigma", *[F.round(F.get("p", F.lit(i)), 6).alias(f"p{q}") for i, q in enumerate(marks)])
     issues = flags(F.col("low"), F.col("high"), F.col("mean"), F.col("sigma"))
     return out.withColumn("issues", F.array_join(issues, ",")).withColumn("health", health(F.size(issues))).withColumn("mean", F.round("mean", 3)).withColumn("sigma", F.round("sigma", 3))

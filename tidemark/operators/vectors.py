@@ -97,13 +97,37 @@ def user_search(vectors: DataFrame, owned: DataFrame, queries: DataFrame, k: int
 
 
 def unmapped_search(rows: DataFrame, vectors: DataFrame, queries: DataFrame, least: float) -> DataFrame:
-    """(id, n, score) of names without a code (id a row): how often they occur, and their best score over few queries."""
+    """(id, n, score) of names without a code (id a row): how often they occur, and their best score over all queries.
+
+    Queries are broadcast in rounds of MOST_QUERIES, so there may be any number; without any there is no row. A null
+    vector is none, one of zeros has score 0; vectors of one table must be equally long."""
+    spark = vectors.sparkSession
     n = rows.where("id is not null").groupBy("id").agg(F.count("*").alias("n"))
-    asked = queries.select("vector").where("vector is not null").limit(MOST_QUERIES + 1).collect()
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries")
-    score = F.greatest(*[cosine(F.col("vector"), F.array(*map(F.lit, map(float, r["vector"])))) for r in asked], F.lit(-1.0))
-    return vectors.join(n, "id").select("id", "n", score.alias("score")).where(F.col("score") >= least)
+    asked = vectors.where("vector is not null").select("id", F.col("vector").cast("array<double>").alias("vector")).join(n, "id")
+    out = None
+
+    def best(part: list) -> DataFrame:
+        shared = spark.sparkContext.broadcast(_unit(np.array(part, np.float64)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    v = _unit(b.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
+                    top = np.concatenate([(v[k : k + 1024] @ shared.value.T).max(axis=1) for k in range(0, len(v), 1024)])
+                    yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.int64()), b.column("n"), pa.array(top)], ["id", "n", "score"])
+
+        return asked.mapInArrow(run, "id long, n long, score double")
+
+    part: list = []
+    for r in queries.select("vector").where("vector is not null").toLocalIterator():
+        part.append(r["vector"])
+        if len(part) == MOST_QUERIES:
+            out, part = best(part) if out is None else out.unionByName(best(part)), []
+    if part:
+        out = best(part) if out is None else out.unionByName(best(part))
+    if out is None:
+        return spark.createDataFrame([], "id long, n long, score double")
+    return out.groupBy("id").agg(F.max("n").alias("n"), F.max("score").alias("score")).where(F.col("score") >= least)
 
 
 def fetch_by_ids(rows: DataFrame, ids: list[int]) -> DataFrame:

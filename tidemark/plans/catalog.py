@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import daily_queries, graph_queries, other_queries, quality_queries
+from tidemark.plans import daily_queries, graph_queries, other_queries, quality_queries, stream_queries
 
-_ALL = daily_queries.QUERIES | quality_queries.QUERIES | other_queries.QUERIES | graph_queries.QUERIES
+_ALL = daily_queries.QUERIES | quality_queries.QUERIES | other_queries.QUERIES | graph_queries.QUERIES | stream_queries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

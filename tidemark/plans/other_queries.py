@@ -102,7 +102,7 @@ def _backfilled(s, d):
 def _upserted(s, d):
     o = table(s, d, "orders")
     old = o.where("o_orderkey % 3 <> 0").select("o_orderkey", "o_orderstatus", "o_totalprice", F.lit(1).alias("stamp"))
-    new = o.where("o_orderkey % 2 = 0").select("o_orderkey", "o_orderstatus", F.when(F.col("o_orderkey") % 4 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("o_totalprice"), F.lit(2).alias("stamp"))
+    new = o.where("o_orderkey % 2 = 0 or o_orderkey % 3 = 0").select("o_orderkey", "o_orderstatus", F.when(F.col("o_orderkey") % 4 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("o_totalprice"), F.lit(2).alias("stamp"))
     return mapping.upsert(old, new, ["o_orderkey"], ["o_orderstatus", "o_totalprice"], stamp="stamp")
 
 
@@ -159,7 +159,7 @@ def _user_search(s, d):
 
 def _unmapped_search(s, d):
     e, q = _asked(s, d)
-    rows = table(s, d, "lineitem").where("l_suppkey % 2 = 0").select(F.col("l_partkey").alias("id"))
+    rows = table(s, d, "lineitem").select(F.col("l_partkey").alias("id"))
     return vectors.unmapped_search(rows, e, q, 0.2).withColumn("score", F.round("score", 5))
 
 
@@ -250,7 +250,7 @@ QUERIES = {
     "dominant_codes": (lambda s, d: mapping.dominant(_mapped(s, d), 6).withColumn("id", F.col("id").cast("int")), f"WITH {_M}, c AS (SELECT name, id, count(*) AS n FROM m WHERE id IS NOT NULL GROUP BY 1, 2), w AS (SELECT *, CAST(sum(n) OVER (PARTITION BY name) AS BIGINT) AS total, row_number() OVER (PARTITION BY name ORDER BY n DESC, id) AS r FROM c) SELECT name, id, n, total FROM w WHERE r = 1 AND n * 100 >= 6 * total"),
     "history_backfill": (_backfilled, f"WITH {_M}, u AS (SELECT name, min(id) AS one FROM m WHERE id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT id) = 1) SELECT m.name || '.x' AS indicator, count(*) AS n, count(coalesce(id, one)) AS mapped FROM m LEFT JOIN u ON u.name = m.name GROUP BY 1"),
     "placeholder_insert": (lambda s, d: mapping.placeholders(_mapped(s, d).select(F.col("name").alias("indicator"), F.col("id").alias("fhir_id")), s.range(20).select(F.col("id").cast("string").alias("indicator"))), f"WITH {_M} SELECT DISTINCT name AS indicator FROM m WHERE id IS NULL AND CAST(name AS INT) >= 20"),
-    "upsert_orders": (_upserted, "WITH o AS (SELECT o_orderkey, o_orderstatus, o_totalprice, 1 AS stamp FROM orders WHERE o_orderkey % 3 <> 0), n AS (SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 2 = 0) SELECT coalesce(n.o_orderkey, o.o_orderkey) AS o_orderkey, coalesce(n.o_orderstatus, o.o_orderstatus) AS o_orderstatus, coalesce(n.o_totalprice, o.o_totalprice) AS o_totalprice, CASE WHEN n.o_orderkey IS NOT NULL AND (o.o_orderkey IS NULL OR o.o_totalprice <> n.o_totalprice) THEN 2 ELSE 1 END AS stamp FROM o FULL JOIN n ON o.o_orderkey = n.o_orderkey"),
+    "upsert_orders": (_upserted, "WITH o AS (SELECT o_orderkey, o_orderstatus, o_totalprice, 1 AS stamp FROM orders WHERE o_orderkey % 3 <> 0), n AS (SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0) SELECT coalesce(n.o_orderkey, o.o_orderkey) AS o_orderkey, coalesce(n.o_orderstatus, o.o_orderstatus) AS o_orderstatus, coalesce(n.o_totalprice, o.o_totalprice) AS o_totalprice, CASE WHEN n.o_orderkey IS NOT NULL AND (o.o_orderkey IS NULL OR o.o_totalprice <> n.o_totalprice) THEN 2 ELSE 1 END AS stamp FROM o FULL JOIN n ON o.o_orderkey = n.o_orderkey"),
     "nearby_positions": (_nearby, "WITH p AS (SELECT substr(p_brand, 7) AS grp, CAST(p_retailprice * 10 AS BIGINT) AS position, p_partkey AS id FROM part), j AS (SELECT a.grp, a.id, b.id AS near, abs(b.position - a.position) AS distance FROM p a JOIN p b ON a.grp = b.grp AND abs(b.position - a.position) <= 400 WHERE a.id % 100 = 0 AND b.id % 100 <> 0) SELECT grp, id, near, distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, near) AS r FROM j) WHERE r <= 5"),
     "baselines": (lambda s, d: _rounded(_base(s, d).drop("days"), "mean", "sigma"), f"WITH RECURSIVE {_V}, {_BASE} SELECT user_id, category, n, round(mean, 6) AS mean, round(sigma, 6) AS sigma, frozen FROM base"),
     "baselines_of_days": (lambda s, d: _rounded(insight.baselines(daily_values(s, d)).drop("days"), "mean", "sigma"), f"{_DAYS} SELECT user_id, category, n, round(mean, 6) AS mean, round(sigma, 6) AS sigma, frozen FROM base"),
@@ -303,7 +303,7 @@ QUERIES = {
     "summary_upsert": (_summary_upserted, "WITH o AS (SELECT o_orderkey AS k, o_totalprice AS v, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS fhir_id FROM orders), n AS (SELECT o_orderkey AS k, o_totalprice + 1 AS v, CASE WHEN o_orderkey % 5 = 0 THEN 1 END AS fhir_id FROM orders WHERE o_orderkey % 3 = 0) SELECT o.k, coalesce(n.v, o.v) AS v, coalesce(n.fhir_id, o.fhir_id) AS fhir_id FROM o LEFT JOIN n ON n.k = o.k"),
     "user_search": (_user_search, f"WITH c AS ({_COS}), own AS (SELECT DISTINCT c_custkey AS id FROM customer WHERE c_nationkey = 3), r AS (SELECT query_id, c.id, c, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 12) DESC, c.id) AS r FROM c JOIN own ON own.id = c.id) SELECT id, round(max(c), 5) AS score FROM r WHERE r <= 5 GROUP BY 1"),
     "fetch_by_ids": (lambda s, d: vectors.fetch_by_ids(_mapped_readings(s, d), [3, 5, 8]), f"WITH {R}, m AS (SELECT *, event_id % 11 AS fhir_id FROM readings) SELECT user_id, indicator, fhir_id, count(*) AS n, min(time) AS first, max(time) AS last FROM m WHERE fhir_id IN (3, 5, 8) GROUP BY 1, 2, 3"),
-    "unmapped_search": (_unmapped_search, f"WITH c AS ({_COS}), cnt AS (SELECT l_partkey AS id, count(*) AS n FROM lineitem WHERE l_suppkey % 2 = 0 GROUP BY 1) SELECT id, any_value(n) AS n, round(max(c), 5) AS score FROM c JOIN cnt USING (id) WHERE c >= 0.2 GROUP BY 1"),
+    "unmapped_search": (_unmapped_search, f"WITH c AS ({_COS}), cnt AS (SELECT l_partkey AS id, count(*) AS n FROM lineitem GROUP BY 1) SELECT id, any_value(n) AS n, round(max(c), 5) AS score FROM c JOIN cnt USING (id) WHERE c >= 0.2 GROUP BY 1"),
     "content_store": (lambda s, d: table(s, d, "documents").select(F.sha2("text", 256).alias("content_hash"), "doc_id").groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1"),
     "newest_page": (lambda s, d: mapping.page(table(s, d, "orders").select("o_orderkey", "o_orderdate"), [F.desc("o_orderdate"), "o_orderkey"], 2, 50), "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50 OFFSET 100"),
 }

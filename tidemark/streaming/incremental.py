@@ -7,11 +7,14 @@ days again. A batch that is run again changes nothing, so a restart from the che
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from tidemark.functions.registry import Custom
 from tidemark.operators import daily, mapping
 from tidemark.session import checkpoint
 
@@ -59,32 +62,32 @@ def affected_days(batch: DataFrame) -> DataFrame:
     return daily.with_day(batch).select("user_id", "indicator", "source", "timezone", "day").distinct()
 
 
-def apply_batch(batch: DataFrame, readings: Days, summaries: Days) -> None:
+def apply_batch(batch: DataFrame, readings: Days, summaries: Days, custom: Sequence[Custom] = ()) -> None:
     values = ["num", "timezone", "task_id"]
     batch = checkpoint(batch.select(*READING_KEYS, *values, "update_time"))
     written = batch.select(F.to_date("time").alias(_PART)).distinct()
     old = readings.of(written).where("time is not null")
     readings.replace(written, mapping.upsert(old, batch, READING_KEYS, values, order="update_time", stamp="update_time"))
-    recompute(checkpoint(affected_days(batch)), readings, summaries)
+    recompute(checkpoint(affected_days(batch)), readings, summaries, custom)
 
 
-def recompute(touched: DataFrame, readings: Days, summaries: Days) -> None:
+def recompute(touched: DataFrame, readings: Days, summaries: Days, custom: Sequence[Custom] = ()) -> None:
     """Make the summaries of some days (user_id, indicator, source, timezone, day) anew from all of their readings."""
     # a local day lies within a day of the UTC day of its name, on either side, a night one more
     around = touched.select(F.explode(F.sequence(F.date_sub("day", 1), F.date_add("day", 2))).alias(_PART)).distinct()
     now = daily.with_day(readings.of(around).where("time is not null"))
-    fresh = daily.summaries(now.join(touched, ["user_id", "indicator", "source", "timezone", "day"], "left_semi").drop("day", "local_time", "day_start_utc"))
+    fresh = daily.summaries(now.join(touched, ["user_id", "indicator", "source", "timezone", "day"], "left_semi").drop("day", "local_time", "day_start_utc"), custom)
     days = touched.select(F.col("day").alias(_PART)).distinct()
     # every summary of a touched day is made again or has no readings left, so the old ones of its indicator and source go
-    rules = touched.sparkSession.createDataFrame([(i, t) for i, _, t in daily.plain_rules()], "indicator string, target string")
+    rules = touched.sparkSession.createDataFrame([(i, t) for i, _, t in daily.plain_rules(custom)], "indicator string, target string")
     gone = touched.join(F.broadcast(rules), "indicator").select("user_id", F.concat("target", F.lit("."), F.regexp_replace(F.coalesce("source", F.lit("unknown")), r"^vital\.", "")).alias("indicator"), F.col("day").cast("timestamp").alias("start_time")).distinct()
     kept = summaries.of(days).where("start_time is not null").join(gone, ["user_id", "indicator", "start_time"], "left_anti").select(*SUMMARY_KEYS, "value")
     summaries.replace(days, kept.unionByName(fresh.select(*SUMMARY_KEYS, "value")))
 
 
-def start(stream: DataFrame, readings: Days, summaries: Days, checkpoints: str, **trigger: object) -> StreamingQuery:
-    """Run the stream of readings; trigger as of writeStream (availableNow, processingTime)."""
-    return stream.writeStream.foreachBatch(lambda batch, _: apply_batch(batch, readings, summaries)).option("checkpointLocation", checkpoints).trigger(**(trigger or {"availableNow": True})).start()
+def start(stream: DataFrame, readings: Days, summaries: Days, checkpoints: str, custom: Sequence[Custom] = (), **trigger: object) -> StreamingQuery:
+    """Run the stream of readings; trigger as of writeStream (availableNow, processingTime); custom: rules of the caller."""
+    return stream.writeStream.foreachBatch(lambda batch, _: apply_batch(batch, readings, summaries, custom)).option("checkpointLocation", checkpoints).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def tables(spark: SparkSession, folder: str) -> tuple[Days, Days]:

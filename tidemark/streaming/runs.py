@@ -9,11 +9,13 @@ the cursor is found by the count. A long range is done in chunks of days, and th
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.registry import Custom
 from tidemark.operators import daily
 from tidemark.session import checkpoint
 from tidemark.streaming import incremental
@@ -46,7 +48,7 @@ class Cursors:
         self.spark.createDataFrame([(name, before[0] + 1 if before else 0, at, rows)], _CURSORS).coalesce(1).write.mode("append").parquet(self.path)
 
 
-def run(readings: Days, summaries: Days, cursors: Cursors, now: dt.datetime, name: str = "daily") -> dict[str, object]:
+def run(readings: Days, summaries: Days, cursors: Cursors, now: dt.datetime, name: str = "daily", custom: Sequence[Custom] = ()) -> dict[str, object]:
     """Bring the summaries up to date. Returns mode (normal or cold_start), status (success or no_data), touched days and cursor."""
     last = cursors.last(name)
     since = last[1] if last else now - COLD_START
@@ -56,7 +58,7 @@ def run(readings: Days, summaries: Days, cursors: Cursors, now: dt.datetime, nam
     if top is None or (last and top["update_time"] == last[1] and top["n"] == last[2]):
         return {"mode": mode, "status": "no_data", "days": 0, "cursor": last[1] if last else None}
     touched = checkpoint(incremental.affected_days(seen))
-    incremental.recompute(touched, readings, summaries)
+    incremental.recompute(touched, readings, summaries, custom)
     cursors.commit(name, top["update_time"], top["n"])
     return {"mode": mode, "status": "success", "days": touched.count(), "cursor": top["update_time"]}
 
