@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.functions.ranges import RANGES
 
 #: One base unit is so many of each other one.
 LINEAR_UNITS = {
@@ -14,8 +20,6 @@ LINEAR_UNITS = {
 }
 #: Conversions of one indicator: value * scale + offset.
 SPECIFIC = [("waters", "g", "L", 0.001, 0.0), ("waters", "kg", "L", 1.0, 0.0), ("oxygenSaturations", "mmHg", "%", 0.7, 30.0), ("bloodGlucoses", "mmol/L", "mg/dL", 18.0182, 0.0), ("totalCholesterols", "mg/dL", "mmol/L", 0.02586, 0.0), ("totalCholesterols", "g/L", "mmol/L", 2.586, 0.0)]
-#: Ranges outside which a value is kept but tagged.
-RANGES = {"heartRates": ">=25,<=350", "restingHeartRates": ">=25,<=220", "oxygenSaturations": ">=50,<=100", "systolicPressures": ">=40,<=280", "diastolicPressures": ">=20,<=200", "bodyTemperatures": ">=25,<=45", "respiratoryRates": ">=4,<=80", "bodyMasss": ">=2,<=300", "bloodGlucoses": ">=20,<=600", "hrvDatas": ">=5,<=500", "steps": ">=0,<=100000", "sleepAnalysis_InBed": ">=0,<=86400000"}
 
 
 def unit_pairs() -> list[tuple[str, str, float]]:
@@ -150,6 +154,38 @@ def unpack(packed: Column) -> tuple[Column, Column]:
     return F.shiftright(packed, 60).bitwiseAND(F.lit(7)), packed.bitwiseAND(F.lit((1 << 60) - 1))
 
 
+#: The numbers of systems in packed codes; codes of the hashed ones are no numbers.
+SYSTEMS, HASHED = {"SNOMED_CT": 0, "LOINC": 1, "RXNORM": 2, "CVX": 3, "DCM": 4}, ("DCM",)
+
+
+@F.pandas_udf(T.LongType())
+def _digest60(code: pd.Series) -> pd.Series:
+    """The upper 60 bits of the 8-byte blake2b digest of each code."""
+    # as a list, since a series with nulls would become floats on its way
+    return pd.Series([None if c is None else int.from_bytes(hashlib.blake2b(c.encode(), digest_size=8).digest(), "big") >> 4 for c in code], dtype="Int64")
+
+
+def code_ids(rows: DataFrame, systems: dict[str, int] = SYSTEMS, hashed: tuple[str, ...] = HASHED) -> DataFrame:
+    """rows (system, code) with id: the packed code, digests for hashed systems, else the number without dashes.
+
+    An unknown system, a null, and a code of another system that is no number of at most 60 bits have a null id. Only the
+    hashed rows go through Python, in Arrow batches."""
+    number = F.regexp_replace("code", "-", "")
+    plain = F.when(number.rlike("^[0-9]+$"), number.try_cast("long"))
+    known = F.create_map(*[F.lit(x) for kv in systems.items() for x in kv])
+    system = F.try_element_at(known, F.col("system"))
+    hash_ = F.col("system").isin(*hashed) if hashed else F.lit(False)
+    by_number = rows.where(~F.coalesce(hash_, F.lit(False))).withColumn("id", F.when(plain < (1 << 60), pack(system, plain)))
+    by_digest = rows.where(hash_).withColumn("id", pack(system, _digest60(F.col("code").cast("string"))))
+    return by_number.unionByName(by_digest)
+
+
+def code_collisions(ids: DataFrame) -> DataFrame:
+    """(id, codes): the ids of (system, code, id) that stand for several codes, with these, sorted."""
+    one = ids.where("id is not null").select("id", F.concat_ws(":", "system", "code").alias("c")).distinct()
+    return one.groupBy("id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("c")), "|").alias("codes")).where("n > 1").drop("n")
+
+
 def tokens(text: Column, stop_words: list[str]) -> Column:
     return F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))), F.array(*map(F.lit, stop_words)).cast("array<string>"))
 

@@ -1,4 +1,4 @@
-"""Queries that run streams over given tables, packing, prefixes and abbreviations, with their SQL."""
+"""Queries of streams over given tables, packing, prefixes, abbreviations, ranges, codes and vocabularies, with their SQL."""
 
 from __future__ import annotations
 
@@ -6,11 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import registry, scalars
-from tidemark.operators import concept_graph, daily, packing
+from tidemark.functions import ranges, registry, scalars
+from tidemark.operators import concept_graph, daily, graph, packing
 from tidemark.plans.other_queries import _BASE
 from tidemark.session import shared_folder
 from tidemark.sources.readings import READINGS_SQL as R
+from tidemark.sources import vocabularies
 from tidemark.sources.readings import readings, table
 from tidemark.streaming import baselines, raw
 
@@ -101,7 +102,55 @@ def _custom(s, d):
 _CUSTOM = f"""WITH {R}, g AS (SELECT user_id, indicator, source, timezone, day, CAST(max(num) - min(num) AS DOUBLE) AS spread, CAST(count(*) FILTER (WHERE num > 180) AS DOUBLE) AS high FROM good GROUP BY ALL)
 SELECT user_id, CASE indicator WHEN 'heartRates' THEN 'dailySpreadHeartRates.' ELSE 'dailyHighGlucose.' END || regexp_replace(source, '^vital\\.', '') AS indicator, CAST(day AS TIMESTAMP) AS start_time, CASE indicator WHEN 'heartRates' THEN spread ELSE high END AS value FROM g WHERE indicator IN ('heartRates', 'bloodGlucoses')"""
 
+_B = list(ranges.BOUNDS.items())
+
+
+def _ranges(s, d):
+    """Line items as readings of all indicators that have a range, with values from tenths to tens of thousands."""
+    name = F.element_at(F.array(*[F.lit(n) for n, _ in _B]), (F.col("l_partkey") % len(_B) + 1).cast("int"))
+    num = (F.col("l_extendedprice").cast("double") - 5000) / F.pow(F.lit(10.0), F.col("l_linenumber") - 1)
+    v = scalars.validate(table(s, d, "lineitem").select(name.alias("indicator"), num.alias("num")))
+    return v.groupBy("indicator", F.substring("reason", 1, 2).alias("broken")).agg(F.count("*").alias("n"))
+
+
+_RANGES = f"""WITH b AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{n}', {low}::DOUBLE, {high}::DOUBLE)" for i, (n, (low, high)) in enumerate(_B))}) AS t(k, indicator, low, high)),
+v AS (SELECT l_partkey % {len(_B)} AS k, (CAST(l_extendedprice AS DOUBLE) - 5000) / power(10.0::DOUBLE, l_linenumber - 1) AS x FROM lineitem)
+SELECT indicator, CASE WHEN x < low THEN '>=' WHEN x > high THEN '<=' END AS broken, count(*) AS n FROM v JOIN b USING (k) GROUP BY 1, 2"""
+
+
+def _coded(s, d):
+    """Parts as codes of numbered systems, some with dashes, so different codes meet in one number; and as hashed ones."""
+    p, k = table(s, d, "part").select("p_partkey", "p_type"), F.col("p_partkey")
+    loinc = p.select(F.lit("LOINC").alias("system"), F.when(k % 2 == 0, F.concat(F.floor(k / 20).cast("string"), F.lit("-"), (F.floor(k / 2) % 10).cast("string"))).otherwise(F.floor(k / 2).cast("string")).alias("code"))
+    other = p.select(F.when(k % 3 == 0, "RXNORM").when(k % 3 == 1, "SNOMED_CT").otherwise("unknown").alias("system"), F.when(k % 10 == 0, "p_type").otherwise(k.cast("string")).alias("code"))
+    return loinc.unionByName(other)
+
+
+_CODED = """c AS (SELECT 'LOINC' AS system, 1 AS k, CASE WHEN p_partkey % 2 = 0 THEN (p_partkey // 20) || '-' || (p_partkey // 2 % 10) ELSE CAST(p_partkey // 2 AS VARCHAR) END AS code FROM part
+ UNION ALL SELECT CASE p_partkey % 3 WHEN 0 THEN 'RXNORM' WHEN 1 THEN 'SNOMED_CT' ELSE 'unknown' END, CASE p_partkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 END, CASE WHEN p_partkey % 10 = 0 THEN 'p_type' ELSE CAST(p_partkey AS VARCHAR) END FROM part),
+i AS (SELECT system, code, k * 1152921504606846976 + TRY_CAST(replace(code, '-', '') AS BIGINT) AS id FROM c)"""
+
+
+def _vocabulary(s, d):
+    """Suppliers and customers written as files of names and read back: the concepts that both have."""
+    from tidemark.plans.other_queries import _codes
+
+    folder = _folder(s, "MRCONSO")
+    none = F.lit("")
+    cells = {"CUI": F.col("cui"), "LAT": F.lit("ENG"), "SAB": F.when(F.col("system") == "S", "SNOMEDCT_US").otherwise("LNC"), "CODE": F.col("code"), "STR": F.concat(F.lit('a "name" of '), "code"), "SUPPRESS": F.lit("N")}
+    _codes(s, d).select(F.concat(*[x for n in vocabularies.COLUMNS["MRCONSO"].split() for x in (cells.get(n, none), F.lit("|"))]).alias("value")).write.text(folder)
+    return graph.bridge_classes(vocabularies.concept_codes(vocabularies.rich(s, folder, "MRCONSO")), "snomed", "loinc")
+
+
+_VOCABULARY = """WITH s AS (SELECT s_nationkey || '-' || CAST(floor(s_acctbal / 100) AS BIGINT) AS cui, CAST(s_suppkey AS VARCHAR) AS code FROM supplier), c AS (SELECT c_nationkey || '-' || CAST(floor(c_acctbal / 100) AS BIGINT) AS cui, CAST(c_custkey AS VARCHAR) AS code FROM customer),
+a AS (SELECT cui, count(*) AS n FROM s GROUP BY 1), b AS (SELECT cui, count(*) AS n FROM c GROUP BY 1), k AS (SELECT cui, a.n AS na, b.n AS nb FROM a JOIN b USING (cui))
+SELECT 'snomed' AS system, code, cui AS class_id, nb AS links FROM s JOIN k USING (cui) UNION ALL SELECT 'loinc', code, cui, na FROM c JOIN k USING (cui)"""
+
 QUERIES = {
+    "range_rules": (_ranges, _RANGES),
+    "code_ids": (lambda s, d: scalars.code_ids(_coded(s, d)), f"WITH {_CODED} SELECT system, code, id FROM i"),
+    "code_collisions": (lambda s, d: scalars.code_collisions(scalars.code_ids(_coded(s, d))), f"WITH {_CODED} SELECT id, string_agg(DISTINCT system || ':' || code, '|' ORDER BY system || ':' || code) AS codes FROM i WHERE id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT system || ':' || code) > 1"),
+    "vocabulary_bridges": (_vocabulary, _VOCABULARY),
     "streamed_baselines": (_streamed_baselines, _STREAMED),
     "stored_messages": (_stored, "SELECT 'm' || (event_id // 3) AS msg_id, CAST(1 AS BIGINT) AS stored, CAST(1 AS BIGINT) AS with_payload FROM events GROUP BY 1"),
     "packed_conversations": (_packed, _PACKED),
