@@ -1,6 +1,7 @@
 """Corpus operators must do the whole job where a group, a vocabulary or a run of text is large."""
 
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,21 @@ def test_every_language_is_learned(spark):
     assert [got[i] for i, _, _ in rows] == [lang for _, _, lang in rows]
 
 
+def test_every_word_of_the_sample_is_learned(spark):
+    """More words than were kept once, each of them once, in languages that share their n-grams."""
+    r = random.Random(7)
+    words = [*{"".join(r.choices("abcdefgh", k=9)) for _ in range(50_000)}]
+    half = len(words) // 2
+    rows = [(i, " ".join(words[a : a + 500]), lang) for i, (a, lang) in enumerate((a, lang) for lang, low, high in (("x", 0, half), ("y", half, len(words))) for a in range(low, high, 500))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = {w: lang for i, t, lang in rows if zlib.crc32(str(i).encode()) % 3 != 1 for w in t.split()}
+    model = language.fit(df)
+    assert set(model.words.row) == set(learned) and len(learned) > 25_000
+    asked = r.sample(sorted(learned), 300)
+    got = {p["doc_id"]: p["lang_pred"] for p in language.predict(spark.createDataFrame([*enumerate(asked)], "doc_id long, text string"), model).collect()}
+    assert [got[i] for i in range(300)] == [learned[w] for w in asked]
+
+
 def test_without_labels_only_texts_without_letters_go(spark):
     rows = [(1, "some text", None), (2, "123 --", None), (3, None, None), (4, "日本", None)]
     kept = language.keep(spark.createDataFrame(rows, "doc_id long, text string, lang string"))

@@ -7,9 +7,9 @@ for at most EVIDENCE words, so long texts don't become certain of anything. Word
 
 The model is fitted on a bounded sample: at most about SAMPLE documents of each language that any
 row has, chosen by a hash of the doc_id, from the rows whose crc32(doc_id) modulo 3 is not 1. Of each language it
-keeps the WORDS words and GRAMS n-grams that are most frequent in the sample and occur there more than once (one
-occurrence is no estimate of a frequency). The counts are sparse, so the model grows in proportion to the number of
-languages; the evidence for all of them is worked out for the items of the new chunks of a run of texts.
+keeps every word and n-gram of the sample, so its size is bounded by the sample alone. The counts are sparse, so the
+model grows in proportion to the number of languages, and come to the driver row by row; the evidence for all of them is
+worked out for the items of the new chunks of a run of texts.
 
 Defined cases: text that is null or has no letter (digits, numerals, signs) is `und` with score 0; text with letters
 that the model knows nothing of gets the most frequent language with the score of a guess; of equally likely languages
@@ -28,14 +28,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
 from .chunks import ChunkTable, Matrix, row_sums
 from .common import fold, prepare, worker_state
 
-SAMPLE, WORDS, GRAMS, LONGEST, EVIDENCE = 2_000, 20_000, 20_000, 4, 25
+SAMPLE, LONGEST, EVIDENCE = 2_000, 4, 25
 UNDETERMINED = "und"
 _WORD = regex.compile(r"\p{L}+")
 #: Numbers of a dense block of evidence.
@@ -137,14 +137,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     cuts = F.flatten(F.array(*[F.expr(f"transform(sequence(1, greatest(1, length(w) - {k - 1})), i -> substring(w, i, {k}))") for k in range(1, LONGEST + 1)]))
     grams = marked.select("lang", "n", F.explode(cuts).alias("item")).groupBy("lang", "item").agg(F.sum("n").alias("n"))
 
-    def most(counts: DataFrame, k: int) -> dict[str, dict[str, int]]:
-        order = Window.partitionBy("lang").orderBy(F.desc("n"), "item")
+    def by_item(counts: DataFrame) -> dict[str, dict[str, int]]:
         out: dict[str, dict[str, int]] = {}
-        for r in counts.where("n > 1").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).collect():
+        for r in counts.select("item", "lang", "n").toLocalIterator():
             out.setdefault(r["item"], {})[r["lang"]] = r["n"]
         return out
 
-    model = Model([r["lang"] for r in found], most(words, WORDS), most(grams, GRAMS))
+    model = Model([r["lang"] for r in found], by_item(words), by_item(grams))
     words.unpersist()
     return model
 
