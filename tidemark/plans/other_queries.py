@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
 from tidemark.operators import admin, graph, insight, mapping, vectors
+from tidemark.plans import daily_queries
 from tidemark.sources.readings import FILTERED, LAST_DAY, VALUES_OF_DAYS_SQL, daily_values, not_filtered, numeric, readings, table
 from tidemark.sources.readings import READINGS_SQL as R
 
@@ -296,7 +297,7 @@ QUERIES = {
     "workspace_stats": (lambda s, d: admin.workspace(table(s, d, "documents").select(F.col("source").alias("workspace"), "text")), "SELECT source AS workspace, count(*) AS files, count(*) FILTER (WHERE coalesce(text, '') = '') AS empty, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS chars FROM documents GROUP BY 1"),
     "newest_files": (lambda s, d: admin.newest(table(s, d, "orders").select(F.col("o_custkey").alias("file_key"), F.col("o_orderdate").alias("time"), F.col("o_orderkey").alias("version"))), "SELECT file_key, time, version FROM (SELECT o_custkey AS file_key, o_orderdate AS time, o_orderkey AS version, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1"),
     "series_quality": (lambda s, d: admin.series_quality(readings(s, d)), f"WITH {R}, q AS (SELECT indicator, source, CAST(min(num) AS DOUBLE) AS low, CAST(max(num) AS DOUBLE) AS high, count(num) AS n, count(*) FILTER (WHERE task_id = '{FILTERED}') AS filtered FROM readings WHERE source NOT IN ('chat', 'journal') GROUP BY 1, 2) SELECT *, low < 0 AS negative_value FROM q"),
-    "derived_trend": (lambda s, d: admin.derived_trend(_derived(s, d)), None),
+    "derived_trend": (lambda s, d: admin.derived_trend(_derived(s, d)), f"SELECT CAST(day AS DATE) AS day, count(*) AS records, count(DISTINCT indicator) AS indicators FROM ({daily_queries.QUERIES['derived_indicators'][1]}) GROUP BY 1"),
     "registry_backfill": (_registry_backfilled, "WITH c AS (SELECT CAST(p_partkey % 97 AS VARCHAR) AS key, p_partkey % 50 AS id FROM part UNION ALL SELECT p_brand, p_partkey % 50 FROM part WHERE p_brand <> ''), u AS (SELECT key, min(id) AS id FROM c GROUP BY 1 HAVING count(DISTINCT id) = 1), r AS (SELECT CAST(s_suppkey % 120 AS VARCHAR) AS k FROM supplier) SELECT r.k || '.x' AS indicator, count(*) AS n, count(id) AS mapped FROM r LEFT JOIN u ON u.key = r.k GROUP BY 1"),
     "genetic_lookup": (lambda s, d: mapping.genetic_lookup(_variants(s, d), [f"rs{i}" for i in range(0, 400, 7)], chromosome="3"), "SELECT 'rs' || p_partkey AS rsid, substr(p_brand, 7) AS chromosome, p_size AS position, p_type AS genotype FROM part WHERE p_partkey < 400 AND p_partkey % 7 = 0 AND substr(p_brand, 7) = '3'"),
     "delete_by_source": (lambda s, d: mapping.delete_by_source(readings(s, d), ["vital.garmin"]).groupBy("source").agg(F.count("*").alias("n")), f"WITH {R} SELECT source, count(*) AS n FROM readings WHERE source <> 'vital.garmin' GROUP BY 1"),
@@ -307,3 +308,17 @@ QUERIES = {
     "content_store": (lambda s, d: table(s, d, "documents").select(F.sha2("text", 256).alias("content_hash"), "doc_id").groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1"),
     "newest_page": (lambda s, d: mapping.page(table(s, d, "orders").select("o_orderkey", "o_orderdate"), [F.desc("o_orderdate"), "o_orderkey"], 2, 50), "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50 OFFSET 100"),
 }
+
+
+def _findings_sql() -> str:
+    """The findings of the recipes that the data of a user allow, by the SQL of each recipe; all users have fresh values."""
+    of = {"multi_signal_deterioration": "insight_multi_signal", "long_term_trend": "insight_trend_findings", "recovery_trend": "insight_recovery", "weekday_weekend_pattern": "insight_weekday_steps", "glucose_control": "insight_glucose"}
+    parts = " UNION ALL ".join(f"SELECT user_id, '{recipe}' AS recipe, {'severity' if name in ('insight_multi_signal', 'insight_trend_findings', 'insight_glucose') else chr(39) + 'mild' + chr(39)} AS severity FROM ({QUERIES[name][1]})" for recipe, name in of.items())
+    need = ", ".join(f"('{recipe}', {f"'{category}'" if category else 'NULL'}, {days})" for recipe, category, days, _ in insight.RECIPES)
+    return f"""{_DAYS}, based AS (SELECT user_id, category FROM base WHERE n >= 7), held AS (SELECT v.user_id, v.category, count(DISTINCT day) AS have FROM v JOIN based ON based.user_id = v.user_id AND based.category = v.category WHERE day BETWEEN {_T} - 14 AND {_T} GROUP BY 1, 2),
+able AS (SELECT u.user_id, recipe FROM (SELECT DISTINCT user_id FROM based) u CROSS JOIN (VALUES {need}) AS r(recipe, category, days) LEFT JOIN held ON held.user_id = u.user_id AND held.category = r.category WHERE r.category IS NULL OR have >= days),
+finds AS ({parts})
+SELECT finds.user_id, finds.recipe, '{LAST_DAY}' AS target, finds.severity FROM finds JOIN able ON able.user_id = finds.user_id AND able.recipe = finds.recipe JOIN (SELECT user_id FROM v GROUP BY 1 HAVING max(day) >= {_T} - 7) fresh ON fresh.user_id = finds.user_id"""
+
+
+QUERIES["insight_findings"] = (QUERIES["insight_findings"][0], _findings_sql())

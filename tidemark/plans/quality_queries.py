@@ -8,6 +8,7 @@ from tidemark.functions import registry
 from tidemark.operators import daily, derived
 from tidemark.operators import quality as q
 from tidemark.sources.readings import FILTERED, readings
+from tidemark.plans import daily_queries
 from tidemark.sources.readings import READINGS_SQL as R
 
 #: The moment that reports are made for, in the test data.
@@ -29,6 +30,8 @@ def _on(f, *moment):
 
 
 _RULES = " UNION ALL ".join(f"SELECT '{i}' AS indicator, '{t}' AS target, '{u}' AS unit" for i, m, t, u in registry.rules())
+_INPUTS = " UNION ALL ".join(f"SELECT '{name}' AS derived, '{i}' AS input" for name, (inputs, _) in derived.RULES.items() for i in inputs)
+_SUMMARIES = daily_queries.QUERIES["daily_summaries"][1]
 
 QUERIES = {
     "hourly_ingestion": (_on(q.hourly_ingestion), f"WITH {R} SELECT date_trunc('hour', time) AS stat_hour, source, count(*) AS records, count(DISTINCT user_id) AS users, count(DISTINCT indicator) AS indicators, count(*) FILTER (WHERE task_id = '{FILTERED}') AS filtered, {_PLATFORM} AS platform FROM readings GROUP BY 1, 2"),
@@ -47,6 +50,6 @@ QUERIES = {
     "user_profile": (_on(q.user_profile, AS_OF), f"WITH {R}, p AS (SELECT user_id, indicator, count(DISTINCT CAST(time AS DATE)) AS days, count(*) AS records, max(time) AS latest, CAST(min(num) AS DOUBLE) AS low, CAST(max(num) AS DOUBLE) AS high, count(DISTINCT CAST(time AS DATE)) FILTER (WHERE CAST(time AS DATE) > CAST({_TS} AS DATE) - 14) AS recent FROM good GROUP BY 1, 2) SELECT *, datediff('day', CAST(latest AS DATE), CAST({_TS} AS DATE)) AS days_since, CASE WHEN recent >= 11 THEN 'continuous' WHEN recent >= 7 THEN 'intermittent' ELSE 'sparse' END AS density FROM p"),
     "analyzable_pairs": (lambda s, d: q.analyzable_pairs(q.user_profile(readings(s, d), _at())), f"WITH {R}, p AS (SELECT user_id, indicator, count(DISTINCT CAST(time AS DATE)) AS days FROM good GROUP BY 1, 2 HAVING count(DISTINCT CAST(time AS DATE)) FILTER (WHERE CAST(time AS DATE) > CAST({_TS} AS DATE) - 14) >= 7) SELECT a.user_id, a.indicator AS first, b.indicator AS second, least(a.days, b.days) AS days, least(a.days, b.days) >= 14 AS sufficient FROM p a JOIN p b ON a.user_id = b.user_id AND a.indicator < b.indicator"),
     "coverage_report": (lambda s, d: q.coverage(readings(s, d), registry.rules_table(s)), f"WITH {R}, r AS ({_RULES}), s AS (SELECT indicator, count(*) AS records, count(DISTINCT user_id) AS users FROM readings GROUP BY 1) SELECT r.indicator, target, unit, coalesce(records, 0) AS records, coalesce(users, 0) AS users FROM r LEFT JOIN s ON r.indicator = s.indicator"),
-    "coverage_observed": (lambda s, d: q.observed_targets(daily.summaries(readings(s, d)), registry.rules_table(s)), None),
-    "coverage_derived": (lambda s, d: q.derived_dependencies(daily.summaries(readings(s, d)), derived.inputs_table(s)), None),
+    "coverage_observed": (lambda s, d: q.observed_targets(daily.summaries(readings(s, d)), registry.rules_table(s)), f"WITH s AS ({_SUMMARIES}), r AS ({_RULES}), o AS (SELECT target, string_agg(indicator, ',' ORDER BY indicator) AS observed, CAST(sum(n) AS BIGINT) AS n FROM (SELECT split_part(indicator, '.', 1) AS target, indicator, count(*) AS n FROM s GROUP BY 1, 2) GROUP BY 1) SELECT r.indicator, r.target, coalesce(observed, '') AS observed, coalesce(n, 0) AS \"rows\" FROM r LEFT JOIN o ON o.target = r.target"),
+    "coverage_derived": (lambda s, d: q.derived_dependencies(daily.summaries(readings(s, d)), derived.inputs_table(s)), f"WITH s AS ({_SUMMARIES}), i AS ({_INPUTS}), h AS (SELECT DISTINCT split_part(indicator, '.', 1) AS input FROM s) SELECT derived, count(*) AS inputs, coalesce(string_agg(i.input, ',' ORDER BY i.input) FILTER (WHERE h.input IS NULL), '') AS missing, count(*) = count(h.input) AS satisfied FROM i LEFT JOIN h ON h.input = i.input GROUP BY 1"),
 }
