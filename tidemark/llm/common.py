@@ -88,10 +88,24 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lost executors cost no recomputation, and lineage is cut."""
+#: Spark's setting that removes a query's shuffle files when the query ends.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialise(df: DataFrame, label: str, tidy: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: lost executors cost no recomputation, and lineage is cut.
+
+    With tidy, the shuffle files of the write go once it has ended, as nobody reads them again; otherwise they stay until
+    the driver's garbage is collected, so an operator of many steps holds those of all of them."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_TIDY, None)
+    if tidy:
+        spark.conf.set(_TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if tidy:
+            spark.conf.unset(_TIDY) if before is None else spark.conf.set(_TIDY, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

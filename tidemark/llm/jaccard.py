@@ -40,7 +40,8 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import join_ids, materialise, partitions_of, prepare, release, texts
+from .common import join_ids, partitions_of, prepare, release, texts
+from .common import materialise as written
 
 #: Sets of more shingles are always heavy.
 LIGHT_MOST = 40
@@ -60,6 +61,11 @@ _POSTING = np.dtype([("key", "<u8"), ("name", "<u8")])
 _TIE = np.dtype([("center", "<u8"), ("name", "<u8")])
 
 
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """df as a table; each step reads the tables of the steps before it only, so its shuffle files go with it."""
+    return written(df, label, tidy=True)
+
+
 class Sizes:
     """What follows from the threshold num/den and the boundary for sets of each size."""
 
