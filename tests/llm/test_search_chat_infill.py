@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 from tests.conftest import SF
-from tidemark.llm import chat, infill, queries, search
+from tidemark.llm import chat, common, infill, queries, search
 
 # --- 11: ranked search ------------------------------------------------------------------------------------
 
@@ -246,3 +246,16 @@ def test_infill_of_given_tables(spark):
     want = sorted((brute_infill(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()), key=repr)
     assert infilled(queries.op13_fill_in_middle(spark, SF)) == [w[:5] + w[6:] for w in want]
     assert {w[2] for w in want} == {"plain", "psm", "spm"}
+
+
+# --- what operators share ---------------------------------------------------------------------------------
+
+
+def test_tidy_tables_leave_the_session_as_it_was(spark):
+    """Shuffle files of a tidy write go when it ends; the setting is as before, after an error, too."""
+    before = spark.conf.get(common._TIDY)
+    df = common.materialise(spark.range(1000).repartition(3, "id").groupBy("id").count(), "tidy", tidy=True)
+    assert df.count() == 1000 and spark.conf.get(common._TIDY) == before
+    with pytest.raises(Exception, match="no good"):
+        common.materialise(spark.range(3).selectExpr("raise_error('no good') as x", "id"), "tidy", tidy=True)
+    assert spark.conf.get(common._TIDY) == before

@@ -361,22 +361,28 @@ def _early(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa
     """Lists of each set: its shingles in rarest-first order, as far as a partner's size lets the first common one stand."""
     release()
     z = Sizes(num, den)
+    names = [x.split() for x in _KEYS.split(", ")]
     for b in batches:
-        rows: list[tuple] = []
-        for doc, size, shared in zip(*(b.column(c).to_pylist() for c in ("doc", "size", "shared")), strict=True):
-            order = [e["shingle"] for e in sorted(shared or (), key=lambda e: (e["n"], e["shingle"]))]
-            alone = size - len(order)
-            least: dict[int, int] = {}  # by range of the partner's size: the least overlap
-            for t in z.partners(size):
-                if t > 0 and (o := z.overlap(size, t)) <= min(size, t):
-                    r = _size_range(t)
-                    least[r] = min(least.get(r, o), o)
-            own = _size_range(size)
-            for r, o in least.items():
-                for place in range(alone, size - o + 1):
-                    rows.append((order[place - alone], min(own, r), max(own, r), doc, size, place, alone))
-        cols = list(zip(*rows, strict=True)) or [()] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4], strict=True)], [x.split()[0] for x in _KEYS.split(", ")])
+        for at in range(0, b.num_rows, 64):  # few sets at a time, as numbers in arrays: a set may have very many keys
+            part, rows = b.slice(at, 64), []
+            for doc, size, shared in zip(part.column("doc").to_pylist(), part.column("size").to_pylist(), part.column("shared"), strict=True):
+                order = np.zeros(0, np.int64)
+                if shared.is_valid:
+                    n, order = (shared.values.field(c).to_numpy() for c in ("n", "shingle"))
+                    order = order[np.lexsort((order, n))]
+                alone = size - len(order)
+                least: dict[int, int] = {}  # by range of the partner's size: the least overlap
+                for t in z.partners(size):
+                    if t > 0 and (o := z.overlap(size, t)) <= min(size, t):
+                        r = _size_range(t)
+                        least[r] = min(least.get(r, o), o)
+                own = _size_range(size)
+                for r, o in least.items():
+                    place = np.arange(alone, size - o + 1)
+                    rows.append((order[place - alone], *(np.full(len(place), v) for v in (min(own, r), max(own, r), doc, size)), place, np.full(len(place), alone)))
+            if rows:
+                columns = (np.concatenate(c) for c in zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32 if kind == "int" else np.int64)) for c, (_, kind) in zip(columns, names, strict=True)], [name for name, _ in names])
 
 
 def components(edges: DataFrame) -> DataFrame:
