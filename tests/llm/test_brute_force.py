@@ -292,4 +292,4 @@ def test_pipeline_of_odd_and_empty_tables(spark, odd, none, tmp_path):
 
 
 def test_queries_are_the_operators_over_whole_tables():
-    assert sorted(queries.queries()) == sorted(f"op{n}_{x}" for n, x in enumerate(("toxicity", "order_minhash", "language_id", "bpe_round_trip", "ngram_jaccard_join", "token_counts", "html_extraction", "suffix_array_dedup", "token_records", "benchmark_decontamination"), 1))
+    assert sorted(queries.queries()) == sorted(f"op{n}_{x}" for n, x in enumerate(("toxicity", "order_minhash", "language_id", "bpe_round_trip", "ngram_jaccard_join", "token_counts", "html_extraction", "suffix_array_dedup", "token_records", "benchmark_decontamination", "ranked_search", "chat_formatting", "fill_in_middle"), 1))
