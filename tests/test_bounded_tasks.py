@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
-from tidemark.operators import insight
+from tidemark.operators import graph, insight
 from tidemark.plans import catalog
 from tidemark.sources import readings
 
@@ -42,3 +42,25 @@ def test_scored_days_are_those_of_the_join(spark):
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect())) and want.count() == 80
     assert plan(got.where("z > 1")).count("lambda a") == plan(got).count("lambda a")
     assert sorted(map(tuple, insight.fresh_users(v, "2024-02-15").collect())) == [("a", 40), ("b", 40)] and insight.fresh_users(v, "2024-02-20").count() == 0
+
+
+def above_join(df):
+    """The plan above its topmost join."""
+    return plan(df).split("Join")[0]
+
+
+def test_shared_labels_are_given_with_the_first_group(spark):
+    rows = [("g", "a", "x"), ("g", "b", "x"), ("h", "a", "y"), ("h", "b", "y"), ("h", "c", "y"), ("i", "a", "x"), ("i", "b", "x"), ("i", "c", "z"), (None, "a", "x"), (None, "d", "x")]
+    out = graph.relations(spark.createDataFrame(rows, "g string, m string, label string"), "g", "m", "label")
+    assert sorted(map(tuple, out.collect())) == [("a", "b", "x|y"), ("a", "c", "y"), ("b", "c", "y")]
+    assert "Exchange" not in above_join(out)
+
+
+def test_token_pairs_are_multiplied_within_blocks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", 3)
+    rows = [(i, [["p", "q"], ["q", "p", "r"], ["p", "s"], ["u", "v"]][i % 4]) for i in range(40)]
+    want = {(a, b) for a, s in rows for b, t in rows if a < b and 2 * len({*s} & {*t}) >= max(len(s), len(t))}
+    out = graph.token_bridge(spark.createDataFrame(rows, "id long, tokens array<string>"))
+    got = [(r["a"], r["b"]) for r in out.collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert "Join" not in plan(out)
