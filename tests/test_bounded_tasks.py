@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
-from tidemark.operators import graph, insight
+from tidemark.operators import graph, insight, mapping
 from tidemark.plans import catalog
 from tidemark.sources import readings
 
@@ -64,3 +64,17 @@ def test_token_pairs_are_multiplied_within_blocks(spark, monkeypatch):
     got = [(r["a"], r["b"]) for r in out.collect()]
     assert set(got) == want and len(got) == len(want)
     assert "Join" not in plan(out)
+
+
+def test_crowded_positions_give_few_candidates(spark):
+    rows = [("g", 100 + i % 3, i) for i in range(2000)] + [("g", 139, 3000), ("h", 100, 3001), ("g", 60, 3002), (None, 100, 3003)]
+    points = spark.createDataFrame(rows, "grp string, position long, id long")
+    asked = points.where("id in (0, 3000)")
+    want = []
+    for q in (0, 3000):
+        at = dict((i, p) for _, p, i in rows)[q]
+        near = sorted((abs(p - at), i) for g, p, i in rows if g == "g" and i not in (0, 3000) and abs(p - at) <= 40)[:5]
+        want += [("g", q, i, d) for d, i in near]
+    out = mapping.nearby(points, asked, 40, 5)
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    assert "collect_list" in plan(out)  # what is joined is an array of each bin, no pairs

@@ -84,12 +84,16 @@ def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 def nearby(points: DataFrame, asked: DataFrame, reach: int, top: int) -> DataFrame:
     """For each asked (group, position, id) the `top` points of its group nearest within `reach`, not asked themselves.
 
-    A range join by bins as wide as the reach: each asked position looks into three of them, so rows meet by
-    an equal key only, and a crowded bin is split as any other skewed key."""
+    Positions are whole numbers, so of the points at one only the first `top` by id can be among the nearest, and a bin as
+    wide as the reach is an array of at most reach * top points, however crowded it is. Each asked position looks into
+    three bins, and takes the best of each within the row."""
     bin_ = lambda c: F.floor(c / reach)
-    p = points.join(asked.select(F.col("id")), "id", "left_anti").select(F.col("grp").alias("g"), F.col("position").alias("at"), F.col("id").alias("near"), bin_(F.col("position")).alias("bin"))
+    p = points.join(asked.select(F.col("id")), "id", "left_anti").select(F.col("grp").alias("g"), F.col("position").alias("at"), F.col("id").alias("near")).where("g is not null and at is not null")
+    p = p.withColumn("r", F.row_number().over(Window.partitionBy("g", "at").orderBy("near"))).where(F.col("r") <= top)
+    p = p.groupBy("g", bin_(F.col("at")).alias("bin")).agg(F.collect_list(F.struct("at", "near")).alias("points"))
     a = asked.select(F.col("grp").alias("g"), "position", "id", F.explode(F.array(*[bin_(F.col("position")) + i for i in (-1, 0, 1)])).alias("bin"))
-    j = a.join(p, ["g", "bin"]).withColumn("distance", F.abs(F.col("at") - F.col("position"))).where(F.col("distance") <= reach)
+    near = F.filter(F.transform("points", lambda x: F.struct(F.abs(x.at - F.col("position")).alias("distance"), x.near.alias("near"))), lambda x: x.distance <= reach)
+    j = a.join(p, ["g", "bin"]).select("g", "id", F.explode(F.slice(F.sort_array(near), 1, top)).alias("n")).select("g", "id", "n.*")
     w = Window.partitionBy("g", "id").orderBy("distance", "near")
     return j.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).select(F.col("g").alias("grp"), "id", "near", "distance")
 
