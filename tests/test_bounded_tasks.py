@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
-from tidemark.operators import graph, insight, mapping
+from tidemark.operators import concept_graph, graph, insight, mapping
 from tidemark.plans import catalog
 from tidemark.sources import readings
 
@@ -78,3 +78,12 @@ def test_crowded_positions_give_few_candidates(spark):
     out = mapping.nearby(points, asked, 40, 5)
     assert sorted(map(tuple, out.collect())) == sorted(want)
     assert "collect_list" in plan(out)  # what is joined is an array of each bin, no pairs
+
+
+def test_neighbours_are_given_with_the_first_shared_group(spark):
+    groups = spark.createDataFrame([("size", "1", "a|b|c|d", None), ("type", "t", "a|b|e", None), ("cui", "k", "a|f", "b|g"), ("cui", "l", "b", "a|c")], "kind string, group string, left string, right string")
+    codes = spark.createDataFrame([(c, i) for i, c in enumerate("abcdefg")], "code string, node long")
+    out = concept_graph.neighbours(concept_graph.build(groups, codes), spark.createDataFrame([(0,), (1,), (9,)], "node long"))
+    want = [(0, 1, True), (0, 2, False), (0, 3, False), (0, 4, False), (0, 6, True), (1, 0, True), (1, 2, True), (1, 3, False), (1, 4, False), (1, 5, True)]
+    assert sorted(map(tuple, out.collect())) == want
+    assert "Exchange" not in above_join(out)
