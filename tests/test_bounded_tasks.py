@@ -4,11 +4,12 @@ import contextlib
 import datetime as dt
 import io
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
-from tidemark.operators import concept_graph, graph, insight, mapping
+from tidemark.operators import concept_graph, graph, insight, mapping, vectors
 from tidemark.plans import catalog
 from tidemark.sources import readings
 
@@ -87,3 +88,14 @@ def test_neighbours_are_given_with_the_first_shared_group(spark):
     want = [(0, 1, True), (0, 2, False), (0, 3, False), (0, 4, False), (0, 6, True), (1, 0, True), (1, 2, True), (1, 3, False), (1, 4, False), (1, 5, True)]
     assert sorted(map(tuple, out.collect())) == want
     assert "Exchange" not in above_join(out)
+
+
+def test_scores_of_few_vectors_are_held_at_once(spark):
+    r = np.random.default_rng(3)
+    v = r.integers(-2, 3, (1300, 4)).astype(float)
+    df = spark.createDataFrame([(i, x.tolist(), i % 2) for i, x in enumerate(v)], "id long, vector array<double>, label int").coalesce(1)
+    unit = v / np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) == 0, 1, n)
+    want = {(q, i) for q in range(20) for g in (0, 1) for i in sorted(range(g, 1300, 2), key=lambda i: (-round(float(unit[i] @ unit[q]), 12), i))[:3]}
+    got = vectors.top_k(df, df.where("id < 20").select(F.col("id").alias("query_id"), "vector"), 3, "label").collect()
+    assert {(x["query_id"], x["id"]) for x in got} == want and len(got) == len(want)
+    assert vectors.ROWS * vectors.MOST_QUERIES * 8 <= 2**24

@@ -1,8 +1,8 @@
 """Vector search and code resolution: exact top-k by cosine over blocks, without an index and without a cross join.
 
 Queries are a stated set. While they fit MOST_QUERIES they are broadcast, and each task multiplies its Arrow
-batches of vectors with all of them, keeps the k best it has seen, and gives them once at its end; more queries run in
-rounds of that size."""
+batches of vectors with all of them, ROWS vectors at a time, keeps the k best it has seen, and gives them once at its
+end; more queries run in rounds of that size. So a task holds at most MOST_QUERIES * ROWS scores."""
 
 from __future__ import annotations
 
@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_QUERIES = 4096
+#: Fixed value: vectors that are multiplied with all queries at once.
+ROWS = 512
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -56,20 +58,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, by: str | None = None)
             qid, q = shared.value
             best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]  # query, id, score, group
             for b in batches:
-                group, own = b.column("grp").to_numpy(), b.column("id").to_numpy()
                 v = b.column("vector")
-                size = np.diff(v.offsets.to_numpy())
-                if (size != q.shape[1]).any():
+                if (np.diff(v.offsets.to_numpy()) != q.shape[1]).any():
                     raise ValueError("vectors of different lengths")
-                s = _unit(v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), q.shape[1])) @ q.T
-                found = []
-                for g in np.unique(group):
-                    at = np.flatnonzero(group == g)
-                    part = s[at]
-                    least = np.partition(part, len(at) - k, axis=0)[len(at) - k] if len(at) > k else np.full(len(qid), -np.inf)
-                    row, col = np.nonzero(part >= least - 1e-11)  # with all that tie for the last place
-                    found.append((qid[col], own[at[row]], part[row, col], np.full(len(row), g)))
-                best = _best([np.concatenate(c) for c in zip(best, *found, strict=True)], k)
+                groups, ids = b.column("grp").to_numpy(), b.column("id").to_numpy()
+                flat = v.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), q.shape[1])
+                for i in range(0, len(ids), ROWS):
+                    group, own = groups[i : i + ROWS], ids[i : i + ROWS]
+                    s = _unit(flat[i : i + ROWS].astype(np.float64)) @ q.T
+                    found = []
+                    for g in np.unique(group):
+                        at = np.flatnonzero(group == g)
+                        part = s if len(at) == len(s) else s[at]
+                        least = np.partition(part, len(at) - k, axis=0)[len(at) - k] if len(at) > k else np.full(len(qid), -np.inf)
+                        row, col = np.nonzero(part >= least - 1e-11)  # with all that tie for the last place
+                        found.append((qid[col], own[at[row]], part[row, col], np.full(len(row), g)))
+                    best = _best([np.concatenate(c) for c in zip(best, *found, strict=True)], k)
             if len(best[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in best], ["query_id", "id", "score", "grp"])
 
