@@ -99,3 +99,8 @@ def test_scores_of_few_vectors_are_held_at_once(spark):
     got = vectors.top_k(df, df.where("id < 20").select(F.col("id").alias("query_id"), "vector"), 3, "label").collect()
     assert {(x["query_id"], x["id"]) for x in got} == want and len(got) == len(want)
     assert vectors.ROWS * vectors.MOST_QUERIES * 8 <= 2**24
+
+
+def test_line_items_are_dealt_out_by_their_number(spark):
+    p = plan(catalog.queries()["running_sum_peers"](spark, SF))
+    assert "REPARTITION_BY_NUM" in p and p.count("Exchange") == 1

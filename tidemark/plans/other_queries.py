@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars
 from tidemark.operators import admin, graph, insight, mapping, vectors
 from tidemark.plans import daily_queries
+from tidemark.session import dealt
 from tidemark.sources.readings import FILTERED, LAST_DAY, VALUES_OF_DAYS_SQL, daily_values, not_filtered, numeric, readings, table
 from tidemark.sources.readings import READINGS_SQL as R
 
@@ -236,7 +237,8 @@ def _range_default(s, d):
     from pyspark.sql import Window
 
     w = Window.partitionBy("l_suppkey").orderBy("l_shipdate")
-    return table(s, d, "lineitem").withColumn("run", F.sum(F.col("l_quantity").cast("long")).over(w)).groupBy("l_suppkey", "l_shipdate").agg(F.max("run").alias("run"), F.min("run").alias("same"))
+    rows = dealt(table(s, d, "lineitem").select("l_suppkey", "l_shipdate", "l_quantity"), 1_000_000, "l_suppkey")
+    return rows.withColumn("run", F.sum(F.col("l_quantity").cast("long")).over(w)).groupBy("l_suppkey", "l_shipdate").agg(F.max("run").alias("run"), F.min("run").alias("same"))
 
 
 QUERIES = {
