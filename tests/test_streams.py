@@ -4,11 +4,13 @@ import datetime as dt
 import random
 from decimal import Decimal
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tidemark.operators import daily, insight
+from tidemark.plans import catalog
 from tidemark.sources.readings import readings
 from tidemark.streaming import baselines, incremental, raw, runs
 
@@ -59,6 +61,17 @@ def test_fold_freezes_and_thaws_like_the_batch(spark):
     assert {u: (short(m), short(s), f) for u, (m, s, f) in got.items()} == want and {f for _, _, f in got.values()} == {True, False}
 
 
+def test_baselines_on_a_threshold_are_those_of_the_sql(spark, tmp_path):
+    """Whole numbers with a deviation of 16, one of them just as far away, and a mean that ends in a 5 to be rounded."""
+    series = [[1, 22, 47, 50, 46, 41, 20, 37, 33, 47, 16, 9, 35, 43, 18, 27, 2, 25, 6, 34, 32, 12, 13, 37, 40, 1], [47, 50, 37, 36, 29, 46, 49, 17, 14, 10, 2, 35, 8, 32, 27, 22, 36, 7, 18, 7, 47, 45]]
+    rows = [(1, u, d % 7 + 1, float(x), "R", dt.datetime(2024, 1, 1) + dt.timedelta(days=d)) for u, values in enumerate(series) for d, x in enumerate(values)]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_shipdate timestamp").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = [tuple(r) for r in catalog.queries()["streamed_baselines"](spark, str(tmp_path)).collect()]
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert sorted(got) == sorted(db.sql(catalog.oracle_sql()["streamed_baselines"]).fetchall()) and len(got) == 2
+
+
 RAW = "msg_id string, received timestamp, payload string, user_id string"
 
 

@@ -50,8 +50,10 @@ def _dev(s, d):
 
 
 def _rounded(df, *columns):
+    """Rounded as the SQL does, which rounds the double after it is scaled; F.round(c, 6) rounds its shortest decimals, so
+    41.979662499999996 goes down there and up here."""
     for c in columns:
-        df = df.withColumn(c, F.round(c, 6))
+        df = df.withColumn(c, F.round(F.col(c) * 1e6) / 1e6)
     return df
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import ranges, registry, scalars
 from tidemark.operators import concept_graph, daily, graph, packing
-from tidemark.plans.other_queries import _BASE
+from tidemark.plans.other_queries import _BASE, _rounded
 from tidemark.session import shared_folder
 from tidemark.sources.readings import READINGS_SQL as R
 from tidemark.sources import vocabularies
@@ -32,7 +32,7 @@ def _streamed_baselines(s, d):
     folder = _folder(s, "baselines")
     q = baselines.start(rows, folder, _folder(s, "state"), lookback=365)
     q.awaitTermination()
-    return baselines.current(s, folder).select("user_id", "category", "n", F.round("mean", 6).alias("mean"), F.round("sigma", 6).alias("sigma"), "frozen", "newest")
+    return _rounded(baselines.current(s, folder), "mean", "sigma")
 
 
 _STREAMED = f"""WITH RECURSIVE d AS (SELECT CAST(l_suppkey AS VARCHAR) AS user_id, l_returnflag AS category, CAST(l_shipdate AS DATE) AS day, arg_max(CAST(l_quantity AS DOUBLE), l_orderkey * 8 + l_linenumber) AS value FROM lineitem GROUP BY 1, 2, 3),

@@ -33,10 +33,16 @@ _EPOCH, _DAY_MS = dt.date(1970, 1, 1), 86_400_000
 
 
 def fold(values: list[float], alpha: float = 0.1, freeze_at: float = 2.0, freeze_after: int = 3, thaw_at: float = 1.0, thaw_after: int = 7) -> tuple[float, float, bool]:
-    """Mean, deviation and whether it is frozen, of values in order of their days; as insight.baselines()."""
+    """Mean, deviation and whether it is frozen, of values in order of their days; as insight.baselines(), to the last bit,
+    as whole numbers often lie exactly on a threshold."""
     early = values[: max(len(values) // 3, 7)]
-    mean = math.fsum(early) / len(early)
-    sigma = math.sqrt(math.fsum((x - mean) ** 2 for x in early) / len(early)) or 1.0
+    total = grown = m2 = 0.0  # sum, and mean and squared distance as they grow (Welford)
+    for n, x in enumerate(early, 1):
+        total += x
+        away = x - grown
+        grown += away / n
+        m2 += away * (x - grown)
+    mean, sigma = total / len(early), math.sqrt(m2 / len(early)) or 1.0
     frozen, away, near = False, 0, 0
     for x in values:
         z = abs(x - mean) / sigma
