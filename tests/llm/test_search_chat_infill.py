@@ -5,13 +5,14 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from tests.conftest import SF
-from tidemark.llm import chat, common, infill, queries, search
+from tidemark.llm import chat, common, infill, jaccard, queries, search, suffix_dedup
 
 # --- 11: ranked search ------------------------------------------------------------------------------------
 
@@ -259,3 +260,23 @@ def test_tidy_tables_leave_the_session_as_it_was(spark):
     with pytest.raises(Exception, match="no good"):
         common.materialise(spark.range(3).selectExpr("raise_error('no good') as x", "id"), "tidy", tidy=True)
     assert spark.conf.get(common._TIDY) == before
+
+
+def test_scratch_tables_go_and_kept_ones_stay(spark):
+    with common.scratch(spark):
+        gone, kept = common.materialise(spark.range(9), "gone"), common.materialise(spark.range(9), "kept", keep=True)
+        assert gone.count() == 9
+    assert kept.count() == 9 and not Path(gone.inputFiles()[0].removeprefix("file://")).exists()
+
+
+def test_near_duplicates_leave_one_table(spark, odd):
+    root = Path(common.shared_dir(spark, "x").removeprefix("file:")).parent
+    before = set(root.iterdir())
+    out = jaccard.keep_one(odd)
+    assert {p.name.split("-")[0] for p in set(root.iterdir()) - before} == {"copies"} and out.count() > 0
+
+
+def test_repeated_passages_shuffle_the_texts_once_at_a_time(spark, odd):
+    """What the passes shuffle is written before the last step shuffles the texts again, so that step has no pass in it."""
+    plan = suffix_dedup.clean(odd)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "FlatMapGroupsInArrow" not in plan

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import join_ids, partitions_of, prepare, release, texts
+from .common import join_ids, partitions_of, prepare, release, scratch, texts
 from .common import materialise as written
 
 #: Sets of more shingles are always heavy.
@@ -61,9 +61,9 @@ _POSTING = np.dtype([("key", "<u8"), ("name", "<u8")])
 _TIE = np.dtype([("center", "<u8"), ("name", "<u8")])
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """df as a table; each step reads the tables of the steps before it only, so its shuffle files go with it."""
-    return written(df, label, tidy=True)
+    return written(df, label, tidy=True, keep=keep)
 
 
 class Sizes:
@@ -435,12 +435,17 @@ def _components_of_rows(docs: DataFrame, words: int, num: int, den: int, buckets
     # a doc_id may have several texts: of those only the one of the wanted set stays
     sets = join_ids(source, materialise(wanted, "wanted"), "doc_id", "inner").mapInArrow(lambda it: _sets(it, words), "set_id long, size long, sketch binary, shingles binary")
     sets = materialise(sets, "shingles")
-    side = lambda x, *columns: sets.select(F.col("set_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+    side = lambda s, x, *columns: s.select(F.col("set_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+    sizes = materialise(sets.select("set_id", "size").distinct(), "sizes")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        brief = pairs.join(side("b", "size", "sketch"), "b").join(side("a", "size", "sketch"), "a").where(f"least(size_a, size_b) * {den} >= greatest(size_a, size_b) * {num}")
+        # sizes first, as many pairs end at them and sketches are large
+        brief = pairs.join(side(sizes, "b", "size"), "b").join(side(sizes, "a", "size"), "a").where(f"least(size_a, size_b) * {den} >= greatest(size_a, size_b) * {num}")
+        brief = brief.join(side(sets, "b", "sketch"), "b").join(side(sets, "a", "sketch"), "a")
         pairs = materialise(brief.mapInArrow(lambda it: _possible(it, num, den), "a long, b long"), "possible")
-        full = pairs.join(side("b", "shingles"), "b").join(side("a", "shingles"), "a")
+        # most sets are in no pair that is left, so only the others' shingles are shuffled
+        asked = join_ids(sets, materialise(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "asked"), "set_id", "left_semi")
+        full = pairs.join(side(asked, "b", "shingles"), "b").join(side(asked, "a", "shingles"), "a")
         return materialise(full.mapInArrow(lambda it: _verified(it, num, den), "a long, b long").distinct(), "links")
 
     links = verified(edges)
@@ -465,7 +470,10 @@ def _components_of_rows(docs: DataFrame, words: int, num: int, den: int, buckets
 
 def _second_scan(open_: DataFrame, sets: DataFrame, edges: DataFrame, links: DataFrame, verified: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
     """Components after the finer scan of the open sets (doc)."""
-    inside = materialise(open_.join(sets, "doc").dropDuplicates(["doc"]), "open")
+    # only the sets of repeated rows stand there more than once, so only those are shuffled
+    again = materialise(sets.groupBy("doc").count().where("count > 1").select("doc"), "again")
+    asked = join_ids(sets, open_, "doc", "left_semi")
+    inside = materialise(join_ids(asked, again, "doc", "left_anti").union(join_ids(asked, again, "doc", "left_semi").dropDuplicates(["doc"])), "open")
     element = inside.select("doc", "shingles").mapInArrow(_elements, "doc long, shingle long")
     common = materialise(element.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "common")
     shared = element.join(common, "shingle").groupBy("doc").agg(F.collect_list(F.struct("n", "shingle")).alias("shared"))
@@ -474,14 +482,20 @@ def _second_scan(open_: DataFrame, sets: DataFrame, edges: DataFrame, links: Dat
     by = ["shingle", "low", "high"]
 
     centers = keys.groupBy(by).agg(F.count("*").alias("n"), F.min(F.struct("alone", "doc")).alias("c")).where("n > 1").select(*by, F.col("c.doc").alias("center"))
-    first = keys.join(centers, by).where("doc <> center").select(F.least("doc", "center").alias("a"), F.greatest("doc", "center").alias("b")).distinct().join(edges, ["a", "b"], "left_anti")
+    keys = materialise(keys.join(centers, by), "shared")  # most lists have one set and end here
+    first = keys.where("doc <> center").select(F.least("doc", "center").alias("a"), F.greatest("doc", "center").alias("b")).distinct().join(edges, ["a", "b"], "left_anti")
     first = materialise(first, "tried")
     links = links.union(verified(first))
     found = components(links)
 
+    # a list goes on if a member's component is not its center's
+    found = materialise(found, "found")
+    of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    keys = join_ids(join_ids(keys, of("doc"), "doc", "left"), of("center"), "center", "left")
+    keys = materialise(keys.select(*by, "doc", "size", "place", F.coalesce("of_doc", "doc").alias("component"), F.coalesce("of_center", "center").alias("main")), "early")
+    mixed = materialise(keys.where("component <> main").select(*by).distinct(), "mixed")
+    keys = materialise(keys.drop("main").join(mixed, by, "left_semi"), "early")
     # the largest component of a list need not be paired with itself
-    keys = keys.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    keys = materialise(keys, "early")
     main = keys.groupBy(*by, "component").count().groupBy(by).agg(F.max_by("component", F.struct("count", -F.col("component"))).alias("main"), F.count("*").alias("n")).where("n > 1").drop("n")
     listed = materialise(keys.join(main, by), "early")
     p, q = listed.where("component <> main").alias("p"), listed.alias("q")
@@ -495,8 +509,9 @@ def _second_scan(open_: DataFrame, sets: DataFrame, edges: DataFrame, links: Dat
 
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The documents of docs that have the smallest doc_id of their component; all columns of docs."""
-    out = _components_of_rows(docs, words, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias("out_id"), F.col("tag").alias("out_tag")).distinct()
-    out = materialise(out, "copies")
+    with scratch(docs.sparkSession):  # the tables of the steps are many times what comes of them
+        out = _components_of_rows(docs, words, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias("out_id"), F.col("tag").alias("out_tag")).distinct()
+        out = materialise(out, "copies", keep=True)
     # the columns of docs travel in one struct, so their names can't clash with ours
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("out_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("out_tag"))
     return join_ids(rows, out, ["out_id", "out_tag"], "left_anti").select("row.*")

@@ -442,12 +442,12 @@ def dedup(docs: DataFrame, width: int = 200, buckets: int | None = None, carry:
     n = max(16, buckets or 2 * partitions_of(source))
     posted = source.select("id", "tag", "text").mapInArrow(lambda it: _chunk_postings(it, width, n, hot), "bucket int, kind int, postings binary")
     found = posted.groupBy("bucket").applyInArrow(lambda t: _pass_1(t, width, hot), _RANGES)
-    found = materialise(found.groupBy("id", "tag").agg(F.collect_list("ranges").alias("ranges"), F.collect_list("asked").alias("asked")), "ranges")
-    # both uses of this join share one shuffle of the texts
-    full = source.join(found, ["id", "tag"], "left")
-    asked = full.where(F.size("asked") > 0).select("id", "tag", "text", "asked").mapInArrow(lambda it: _asked_chunks(it, width, n), "bucket int, postings binary, chunks binary")
+    # each step is written, so its shuffle files go before the next one shuffles the texts
+    found = materialise(found.groupBy("id", "tag").agg(F.collect_list("ranges").alias("ranges"), F.collect_list("asked").alias("asked")), "ranges", tidy=True)
+    asked = source.select("id", "tag", "text").join(found.where(F.size("asked") > 0).select("id", "tag", "asked"), ["id", "tag"]).mapInArrow(lambda it: _asked_chunks(it, width, n), "bucket int, postings binary, chunks binary")
     more = asked.groupBy("bucket").applyInArrow(lambda key, t: (_pass_2_dealt if key[0].as_py() >= n else _pass_2)(t, width), _RANGES)
-    more = more.groupBy("id", "tag").agg(F.collect_list("ranges").alias("more"))
+    more = materialise(more.groupBy("id", "tag").agg(F.collect_list("ranges").alias("more")), "more", tidy=True)
+    full = source.join(found.drop("asked"), ["id", "tag"], "left")
     kind = source.schema["rest"].dataType.simpleString()
     return full.join(more, ["id", "tag"], "left").select("doc_id", "text", "ranges", "more", "rest").mapInArrow(_removed, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, text string, rest {kind}")
 
