@@ -1,6 +1,7 @@
 """Operators that SQL can't express against plain versions of their definitions, and the cases that once went wrong."""
 
 import hashlib
+import itertools
 import math
 import random
 import time
@@ -177,6 +178,17 @@ def test_library_encoder_is_the_library():
     assert got == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_library_encoder_asks_once_for_each_of_many_chunks():
+    e, asked = records.LibraryEncoder(BYTES), []
+    one, ids = e._encode_pieces, e._ids
+    e._encode_pieces = lambda pieces: asked.append(len(pieces)) or one(pieces)
+    text = " ".join(map("".join, itertools.islice(itertools.product("abcdefghijklmnopqrstuvwxyz", repeat=4), 450_000)))
+    first = e.encode_batch([text[i : i + 100_000] for i in range(0, len(text), 100_000)])
+    n = sum(asked)
+    assert e.encode_batch([text[i : i + 100_000] for i in range(0, len(text), 100_000)]) == first and sum(asked) == n > 400_000
+    assert np.frombuffer(e.encode_batch(["abc  déf\n"])[0], "<u4").tolist() == ids("abc  déf\n")
+
+
 def test_records_keep_their_order_over_shards(spark):
     rows = [(7, f"text number {i:03} of one id") for i in range(300)] + [(3, "first"), (9, "last")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)

@@ -21,6 +21,7 @@ their names; an empty table gives no shards and no rows.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -38,6 +39,8 @@ from .common import materialise, prepare, shared_dir, texts, worker_state
 
 #: Bytes after which a shard is closed.
 SHARD = 64 << 20
+#: Chunks that a worker remembers: asking the library for one takes far longer than finding it, and few bytes are kept.
+MOST = 800_000
 _NONE = -(2**63)
 _MANIFEST = "part long, number long, first_id long, shard string, n_records long, n_tokens long, n_bytes long"
 
@@ -94,10 +97,12 @@ class LibraryEncoder(ByteEncoder):
         self.library.no_truncation()
         self.library.no_padding()
         self._start({t.content: i for i, t in self.library.get_added_tokens_decoder().items()})
+        self.table.most = MOST
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.line = self.library.encode("\n", add_special_tokens=False).ids[0]
 
     def _ids(self, text: str) -> list[int]:
-        return self.library.encode(text, add_special_tokens=False).ids
+        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids  # without the places in the text
 
     def _encode_pieces(self, pieces: list[str]) -> list[list[int]]:
         out: list[list[int]] = [[]] * len(pieces)
