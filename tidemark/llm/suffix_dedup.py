@@ -21,7 +21,7 @@ a gram around which many different chunks stand there, only a mark goes to its b
 by their hashes are aggregated in the map task in the same way.
 
 Defined cases: null text is empty; texts shorter than the width keep all bytes but can't lose any; texts of any
-length are read whole, in pieces of about 1 MB that overlap by a window; matches don't cross documents; rows that
+length are read whole, in pieces of about 256 KB that overlap by a window; matches don't cross documents; rows that
 share a doc_id are documents of their own (the text's hash tells them apart; equal rows repeat each other, so both
 lose their windows: no occurrence is the first); other columns are ignored by dedup() and kept by clean(), whatever
 their names; an empty table gives no rows.
@@ -42,13 +42,13 @@ from . import textops
 from .common import materialise, partitions_of, prepare, release
 
 #: Bytes of postings that a task holds before it hands them on.
-FLUSH = 24 << 20
+FLUSH = 12 << 20
 #: Different chunks of a gram, in what a task holds or in all, from which their windows are dealt out.
 HOT = 256
 #: Added to the count of a chunk that is asked for, if its windows are dealt out.
 _DEALT = 1 << 20
-#: Bytes of text handled at a time; longer texts are cut into overlapping pieces.
-PIECE = 1 << 20
+#: Bytes of text handled at a time, whose numbers take over 100 times as much; longer texts are cut into overlapping pieces.
+PIECE = 1 << 18
 _INDEX_BITS = np.uint64(23)
 #: A row of a table: its doc_id (the least long for null) and a hash of its text.
 _ROW = np.dtype([("id", "<i8"), ("tag", "<i4")])
