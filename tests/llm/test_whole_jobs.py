@@ -1,14 +1,16 @@
 """Corpus operators must do the whole job where a group, a vocabulary or a run of text is large."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from tests.llm.test_text_operators import brute_dedup, overlapping, sorted_rows
-from tidemark.llm import fingerprint, language, suffix_dedup
+from tidemark.llm import common, fingerprint, language, suffix_dedup
 
 CUT = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -39,6 +41,37 @@ def test_suffix_dedup_groups_stay_small():
     assert most(400) <= 16 and most(40) <= 16
 
 
+def test_suffix_dedup_first_pass_hands_on_without_copies():
+    """Beside the postings that a task holds there is never a second copy of all of them, once they are handed on."""
+    r = np.random.RandomState(4)
+    texts = ["".join(map(chr, r.randint(97, 123, 4000))) for _ in range(2500)]
+    b = pa.record_batch({"id": pa.array(range(len(texts)), pa.int64()), "tag": pa.array([0] * len(texts), pa.int32()), "text": pa.array(texts)})
+    tracemalloc.start()
+    try:
+        sent = sum(len(x) for part in suffix_dedup._chunk_postings(iter([b]), 200, 64) for x in part.column("postings").to_pylist())
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sent > 6 << 20 and peak < 30 << 20
+
+
+def test_a_worker_gives_arrows_memory_back(monkeypatch):
+    """Also if no operator has left a state in the worker."""
+    freed = []
+    pool = type("Pool", (), {"release_unused": lambda self: freed.append(1)})()
+    monkeypatch.setattr(common.pa, "default_memory_pool", lambda: pool)
+    monkeypatch.setattr(common, "_state", [None, None])
+    common.release()
+    assert freed
+
+
+def test_tables_of_steps_have_small_row_groups(spark):
+    """A task holds a row group as it writes or reads, so it must not grow with the task's rows."""
+    rows = spark.range(0, 6_000_000, 1, 1).selectExpr("id", "xxhash64(id) as a", "xxhash64(id, 1) as b")
+    files = [pq.ParquetFile(f) for f in common.materialise(rows, "groups").inputFiles() for f in [f.removeprefix("file://")]]
+    assert max(m.row_group(i).total_byte_size for m in (f.metadata for f in files) for i in range(m.num_row_groups)) < 2 * common.ROW_GROUP
+
+
 def test_every_language_is_learned(spark):
     """More languages than the 64 that were learned once; each has words of its own."""
     r = random.Random(5)

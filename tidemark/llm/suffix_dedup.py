@@ -21,7 +21,7 @@ a gram around which many different chunks stand there, only a mark goes to its b
 by their hashes are aggregated in the map task in the same way.
 
 Defined cases: null text is empty; texts shorter than the width keep all bytes but can't lose any; texts of any
-length are read whole, in pieces of about 256 KB that overlap by a window; matches don't cross documents; rows that
+length are read whole, in pieces of about 128 KB that overlap by a window; matches don't cross documents; rows that
 share a doc_id are documents of their own (the text's hash tells them apart; equal rows repeat each other, so both
 lose their windows: no occurrence is the first); other columns are ignored by dedup() and kept by clean(), whatever
 their names; an empty table gives no rows.
@@ -30,7 +30,8 @@ their names; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,13 +43,13 @@ from . import textops
 from .common import materialise, partitions_of, prepare, release
 
 #: Bytes of postings that a task holds before it hands them on.
-FLUSH = 12 << 20
+FLUSH = 6 << 20
 #: Different chunks of a gram, in what a task holds or in all, from which their windows are dealt out.
 HOT = 256
 #: Added to the count of a chunk that is asked for, if its windows are dealt out.
 _DEALT = 1 << 20
 #: Bytes of text handled at a time, whose numbers take over 100 times as much; longer texts are cut into overlapping pieces.
-PIECE = 1 << 18
+PIECE = 1 << 17
 _INDEX_BITS = np.uint64(23)
 #: A row of a table: its doc_id (the least long for null) and a hash of its text.
 _ROW = np.dtype([("id", "<i8"), ("tag", "<i4")])
@@ -107,19 +108,22 @@ def _pieces(column: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarr
                 yield part, np.array([0, len(part)]), np.array([row]), np.array([at])
 
 
-def _blobs(postings: np.ndarray, buckets: np.ndarray, kind: int) -> Iterator[tuple[int, int, bytes]]:
-    """(bucket, kind, postings) for each bucket that occurs."""
+def _blobs(postings: np.ndarray, buckets: np.ndarray, kind: int, which: np.ndarray | None = None) -> Iterator[tuple[int, int, bytes]]:
+    """(bucket, kind, postings) for each bucket that occurs; which: the postings that buckets are of, if not all. Only one
+    bucket's postings are copied at a time."""
     order = np.argsort(buckets, kind="stable")
-    buckets, postings = buckets[order], postings[order]
-    cut = [0, *(np.flatnonzero(np.diff(buckets)) + 1), len(buckets)]
+    cut = [0, *(np.flatnonzero(np.diff(buckets[order])) + 1), len(buckets)]
     for x, y in zip(cut[:-1], cut[1:], strict=True):
         if x < y:
-            yield int(buckets[x]), kind, postings[x:y].tobytes()
+            part = order[x:y]
+            yield int(buckets[part[0]]), kind, postings[part if which is None else which[part]].tobytes()
 
 
-def _batches(rows: list[tuple], schema: list[tuple[str, pa.DataType]], size: int = 64) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(rows), size):
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows[i : i + size], strict=True), schema, strict=True)], [n for n, _ in schema])
+def _batches(rows: Iterable[tuple], schema: list[tuple[str, pa.DataType]], size: int = 64) -> Iterator[pa.RecordBatch]:
+    """Batches of `size` rows, which are made as the batches are asked for."""
+    rows = iter(rows)
+    while part := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*part, strict=True), schema, strict=True)], [n for n, _ in schema])
 
 
 _SENT = [("bucket", pa.int32()), ("kind", pa.int32()), ("postings", pa.binary())]
@@ -148,18 +152,21 @@ def _chunk_postings(batches: Iterator[pa.RecordBatch], width: int, buckets: int,
             return
         x = np.concatenate(held)
         held.clear()
+        pa.default_memory_pool().release_unused()
         keep, size = _runs(x["chunk"])
-        again = size > 1
-        sent = x[keep]
-        sent["count"] = np.where(again[keep], -sent["count"], sent["count"])
-        known = x[again]
-        first, variants = _runs(sent["gram"])
-        dealt = sent[variants >= hot]
-        marks = sent[(variants >= hot) & first]
+        known = x[size > 1]
+        sent = np.flatnonzero(keep)  # the postings stay where they are: a copy of all is as large as what is held
+        x["count"][sent] *= np.where(size[sent] > 1, -1, 1).astype(np.int16)
+        first, variants = _runs(x["gram"][sent])
+        warm = variants >= hot
+        dealt, marks = x[sent[warm]], x[sent[warm & first]]
         marks["count"] = 0
-        sent = np.concatenate((sent[variants < hot], marks))
-        rows = [*_blobs(sent, (sent["gram"] % np.uint64(buckets)).astype(np.int64), 0), *_blobs(known, known["id"] % buckets, 1), *_blobs(dealt, dealt["id"] % buckets, 2)]
-        yield from _batches(rows, _SENT)
+        sent = sent[~warm]
+        if len(marks):
+            x, sent = np.concatenate((x, marks)), np.concatenate((sent, np.arange(len(x), len(x) + len(marks))))
+        # few rows a batch, as a row of kind 0 has a bucket's share of all that is held
+        yield from _batches(_blobs(x, (x["gram"][sent] % np.uint64(buckets)).astype(np.int64), 0, sent), _SENT, 16)
+        yield from _batches(chain(_blobs(known, known["id"] % buckets, 1), _blobs(dealt, dealt["id"] % buckets, 2)), _SENT)
 
     size = 0
     for b in batches:
