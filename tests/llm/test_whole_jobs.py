@@ -10,7 +10,8 @@ import pyarrow.parquet as pq
 import pytest
 
 from tests.llm.test_text_operators import brute_dedup, overlapping, sorted_rows
-from tidemark.llm import common, fingerprint, language, suffix_dedup
+from tidemark.llm import bpe, chunks, common, fingerprint, language, suffix_dedup
+from tidemark.llm.queries import tokenizer
 
 CUT = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -55,6 +56,46 @@ def test_suffix_dedup_first_pass_hands_on_without_copies():
     assert sent > 6 << 20 and peak < 30 << 20
 
 
+def traced(work):
+    """The most bytes that work() holds at a time beyond those before it, and what it gives."""
+    tracemalloc.start()
+    try:
+        out = work()
+        return tracemalloc.get_traced_memory()[1], out
+    finally:
+        tracemalloc.stop()
+
+
+def test_chunk_tables_are_halved_in_place():
+    """What is kept is moved some at a time: the positions of all of it would take eight times its bytes, more than once."""
+    table, r = chunks.Ragged(np.uint8), np.random.RandomState(6)
+    size = r.randint(0, 2000, 16_000)
+    flat = r.randint(0, 256, size.sum()).astype(np.uint8)
+    table.add(flat, size)
+    rows = np.flatnonzero(r.rand(len(size)) < 0.5)
+    peak, _ = traced(lambda: table.keep(rows))
+    end = np.cumsum(size)
+    assert table.rows == len(rows) and table.used == size[rows].sum()
+    assert all(np.array_equal(table.take(np.array([k]))[0], flat[end[i] - size[i] : end[i]]) for k, i in enumerate(rows))
+    table.add(flat[:5], np.array([2, 3]))
+    assert np.array_equal(table.take(np.array([table.rows - 1, 0]))[0], np.concatenate((flat[2:5], flat[end[rows[0]] - size[rows[0]] : end[rows[0]]])))
+    assert peak < 16 << 20
+
+
+def test_encoders_hold_little_beside_their_vocabulary():
+    """Both while they meet new words and while they go through long batches of known ones."""
+    r, path = random.Random(7), tokenizer("byte_bpe_50k.json")
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(3, 9)))
+    new = pa.array([" ".join(word() for _ in range(300)) for _ in range(200)])
+    known = pa.array(["the cat sat on the mat and saw the dog " * 50] * 2000)
+    common.release()
+    bpe.encoder(path)
+    for texts, most in ((new, 60), (known, 60)):
+        b = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+        peak, n = traced(lambda b=b: sum(sum(x.column("round_trip").to_pylist()) for x in bpe._tokenised(iter([b]), path)))
+        assert n == len(texts) and peak < most << 20, (peak >> 20, most)
+
+
 def test_a_worker_gives_arrows_memory_back(monkeypatch):
     """Also if no operator has left a state in the worker."""
     freed = []

@@ -11,8 +11,8 @@ moment to the first, a token on the right edge of the left token's merge tree an
 the right token's. If at any moment those two could merge before their own trees go on, the pair fails.
 
 Defined cases: null text is empty and has no tokens; a special token's string in a text is that token, as in
-the tokenizers library; texts of any length are handled whole, in runs of about 2 MB (a longer text is a run
-of its own); of equal merges the leftmost goes first; other columns are ignored, whatever their names; rows that
+the tokenizers library; texts of any length are handled whole, in runs of about 0.25 MB (a longer text is a
+run of its own); of equal merges the leftmost goes first; other columns are ignored, whatever their names; rows that
 share a doc_id, and repeated rows, each give a row; an empty table gives no rows.
 """
 
@@ -23,6 +23,7 @@ import heapq
 import json
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -34,8 +35,10 @@ from . import textops
 from .chunks import ChunkTable, Ragged, cut
 from .common import prepare, texts, worker_state
 
-#: Words that a Python worker remembers; beyond them it starts anew.
-WORDS = 100_000
+#: Words that a Python worker remembers; beyond them it starts anew. Chunks of text whose ids it remembers at most.
+WORDS, CHUNKS = 30_000, 100_000
+#: Bytes of text encoded at a time; the numbers of a run take many times its bytes.
+RUN = 1 << 18
 _NEVER = np.int64(1 << 40)
 #: Symbols of words that are handled many at a time.
 _SHORT = 48
@@ -149,15 +152,26 @@ class Merges:
             whole[z] &= whole[self.left[z]] & whole[self.right[z]]
         self.known = {s: i for s, i in self.ids.items() if whole[i]}
         self.lengths = self._lengths(lambda s: s[:3])
-        self.lengths_at_end = self._lengths(lambda s: s[-3:])
         self._longest, self.tokens = _by_hash({s: x[0] for s, x in self.lengths.items()}), _by_hash(self.known)
-        self.longest_at_end = _by_hash({s: x[0] for s, x in self.lengths_at_end.items()})
         self._made = np.zeros(len(self.pairs), np.int64)
         for r, z in self.pairs.values():
             self._made[r] = z
-        self._steps = self.rank.tolist(), self.left.tolist(), self.right.tolist()
         self._apart: dict[int, bool] = {}
 
+    # what follows is for those who count from the end of a word only
+
+    @cached_property
+    def lengths_at_end(self) -> dict[str, tuple[int, ...]]:
+        return self._lengths(lambda s: s[-3:])
+
+    @cached_property
+    def _steps(self) -> tuple[list[int], list[int], list[int]]:
+        return self.rank.tolist(), self.left.tolist(), self.right.tolist()
+
+    @cached_property
+    def longest_at_end(self) -> Hashed:
+        return _by_hash({s: x[0] for s, x in self.lengths_at_end.items()})
+
     def _lengths(self, key: Callable[[str], str]) -> dict[str, tuple[int, ...]]:
         """Lengths of the tokens of three symbols or more by their key, the longest first, then two and one."""
         found: dict[str, set[int]] = {}
@@ -357,7 +371,7 @@ class ByteEncoder:
     def _start(self, special: dict[str, int]) -> None:
         self.special = special
         self.specials = re.compile(b"|".join(re.escape(s.encode()) for s in sorted(special, key=len, reverse=True))) if special else None
-        self.table = ChunkTable(self._values, Ragged("<u4"))
+        self.table = ChunkTable(self._values, Ragged("<u4"), CHUNKS)
 
     def _encode_pieces(self, pieces: list[str]) -> list[list[int]]:
         """Ids of texts without special tokens, each by the whole split pattern."""
@@ -397,7 +411,7 @@ def encoder(path: str) -> ByteEncoder:
 def _round_trips(column: pa.Array, path: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[bytes]]]:
     """Runs of texts: first and last row, ids, where they end, and the UTF-8 bytes of what each text's ids decode to."""
     e = encoder(path)
-    for row, last, raw, ends in textops.slices(column):
+    for row, last, raw, ends in textops.slices(column, RUN):
         ids, at = e.encode_run(raw, ends)
         data, end = e.merges.decode_run(ids, at)
         decoded = [data[a:z].tobytes() for a, z in zip(end[:-1].tolist(), end[1:].tolist(), strict=True)]

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from itertools import repeat
 
 import numpy as np
 
@@ -24,6 +23,8 @@ from . import textops
 MOST, MOST_BYTES, RUN = 400_000, 32 << 20, 1 << 20
 #: Longer chunks are worked out each time.
 LONG = 1 << 12
+#: Numbers of a table that are moved at a time, as their positions take eight bytes each.
+_BLOCK = 1 << 18
 
 
 def _kinds(*groups: str) -> tuple[np.ndarray, np.ndarray]:
@@ -114,9 +115,15 @@ class Ragged:
         return self.flat[places(self.start[rows], size)], size
 
     def keep(self, rows: np.ndarray) -> None:
-        flat, size = self.take(rows)
-        self.__init__(self.flat.dtype)
-        self.add(flat, size)
+        """Only these rows, in ascending order: they are moved to the front within the table, some at a time."""
+        start, size = self.start[rows], self.size[rows]
+        end = np.cumsum(size)
+        low = self.used = 0
+        while low < len(rows):
+            high = max(low + 1, int(np.searchsorted(end, self.used + _BLOCK, "right")))
+            self.flat[self.used : end[high - 1]] = self.flat[places(start[low:high], size[low:high])]
+            low, self.used = high, int(end[high - 1])
+        self.start[: len(rows)], self.size[: len(rows)], self.rows = end - size, size, len(rows)
 
 
 class Matrix:
@@ -153,7 +160,7 @@ class ChunkTable:
 
     def __init__(self, values: Callable[[list[str]], tuple], store: Ragged | Matrix, most: int = MOST, most_bytes: int = MOST_BYTES):
         self.values, self.store, self.most, self.most_bytes = values, store, most, most_bytes
-        self.at: dict[int, int] = {}
+        self.known, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes of the remembered chunks in order, and their rows
         self.text = Ragged(np.uint8)
         self.keys, self.last = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int64)
         self.turn = 0
@@ -168,7 +175,8 @@ class ChunkTable:
         self.store.keep(keep)
         self.text.keep(keep)
         self.keys[: len(keep)], self.last[: len(keep)] = self.keys[keep], self.last[keep]
-        self.at = dict(zip(self.keys[: len(keep)].tolist(), range(len(keep)), strict=True))
+        self.at = np.argsort(self.keys[: len(keep)]).astype(np.int32)
+        self.known = self.keys[self.at]
 
     def _add(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, keys: np.ndarray, turn: int) -> np.ndarray:
         """New rows; turn 0: not to be remembered."""
@@ -181,6 +189,13 @@ class ChunkTable:
         self.keys[row : self.store.rows], self.last[row : self.store.rows] = keys, turn
         return np.arange(row, self.store.rows)
 
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The rows of remembered chunks by their hashes, -1 for those that are new."""
+        if not len(self.known):
+            return np.full(len(keys), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
+        return np.where(self.known[at] == keys, self.at[at], -1).astype(np.int64)
+
     def rows(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The store's row of each chunk; they stay what they are until the next call."""
         self._trim()
@@ -203,7 +218,7 @@ class ChunkTable:
         h = textops.span_hashes(textops.prefix_sums(raw), start, end)
         keys, first, which = np.unique(h, return_index=True, return_inverse=True)
         start, end = start[first], end[first]
-        at = np.fromiter(map(self.at.get, keys.tolist(), repeat(-1)), np.int64, len(keys))
+        at = self._find(keys)
         held = np.flatnonzero(at >= 0)
         size = (end - start)[held]
         same = size == self.text.size[at[held]]
@@ -215,7 +230,8 @@ class ChunkTable:
         new = np.flatnonzero(at < 0)
         if len(new):
             at[new] = self._add(raw, start[new], end[new], keys[new], self.turn)
-            self.at |= zip(keys[new].tolist(), at[new].tolist(), strict=True)
+            place = np.searchsorted(self.known, keys[new])
+            self.known, self.at = np.insert(self.known, place, keys[new]), np.insert(self.at, place, at[new])
         self.last[at[self.last[at] > 0]] = self.turn
         return at[which]
 

@@ -416,15 +416,15 @@ def _components_of_rows(docs: DataFrame, words: int, num: int, den: int, buckets
     """The same with tag, a hash of the row's text."""
     prepare(docs.sparkSession)
     source = texts(docs)
-    # buckets are groups in a task's memory, so their number follows the input
-    n_buckets = max(16, buckets or 2 * partitions_of(source))
+    # buckets are groups in a task's memory, so their number follows the input, and so do the tasks that read them
+    n_buckets = max(16, buckets or 4 * partitions_of(source))
     features = materialise(source.withColumn("tag", F.xxhash64("text")).mapInArrow(lambda it: _features(it, words), _FEATURES), "sets")
     full = features.where("n_shingles > 0")
     # sets get a number each once they are written, and go by it from there on
     classes = materialise(full.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.min("name").alias("name")).withColumn("set_id", F.monotonically_increasing_id()), "classes")
     light = choose_boundary({r[0]: r[1] for r in features.where(F.col("n_shingles").between(1, LIGHT_MOST * den // num + 1)).groupBy("n_shingles").count().collect()}, num, den)
     posted = source.mapInArrow(lambda it: _postings(it, words, num, den, light, n_buckets, hot), "bucket int, postings binary, ties binary, tied binary")
-    lists = posted.groupBy("bucket").applyInArrow(_lists, "list_id long, center long, member long")
+    lists = posted.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(_lists, "list_id long, center long, member long")
     number = classes.select("name", "set_id")
     named = lists.join(number.select(F.col("name").alias("member"), F.col("set_id").alias("b")), "member", "left").join(number.select(F.col("name").alias("center"), F.col("set_id").alias("a")), "center").select("list_id", "a", "b")
     named = materialise(named, "lists")

@@ -445,14 +445,14 @@ def dedup(docs: DataFrame, width: int = 200, buckets: int | None = None, carry:
     # the other columns travel in one struct, so their names can't clash with ours
     rest = F.struct(*[docs[c] for c in others]) if others else F.lit(None).cast("int")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), rest.alias("rest")).select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.hash("text").alias("tag"), "text", "rest")
-    # buckets are groups in a task's memory, so their number follows the input
-    n = max(16, buckets or 2 * partitions_of(source))
+    # buckets are groups in a task's memory, so their number follows the input, and so do the tasks that read them
+    n = max(16, buckets or 4 * partitions_of(source))
     posted = source.select("id", "tag", "text").mapInArrow(lambda it: _chunk_postings(it, width, n, hot), "bucket int, kind int, postings binary")
-    found = posted.groupBy("bucket").applyInArrow(lambda t: _pass_1(t, width, hot), _RANGES)
+    found = posted.repartition(n, "bucket").groupBy("bucket").applyInArrow(lambda t: _pass_1(t, width, hot), _RANGES)
     # each step is written, so its shuffle files go before the next one shuffles the texts
     found = materialise(found.groupBy("id", "tag").agg(F.collect_list("ranges").alias("ranges"), F.collect_list("asked").alias("asked")), "ranges", tidy=True)
     asked = source.select("id", "tag", "text").join(found.where(F.size("asked") > 0).select("id", "tag", "asked"), ["id", "tag"]).mapInArrow(lambda it: _asked_chunks(it, width, n), "bucket int, postings binary, chunks binary")
-    more = asked.groupBy("bucket").applyInArrow(lambda key, t: (_pass_2_dealt if key[0].as_py() >= n else _pass_2)(t, width), _RANGES)
+    more = asked.repartition(n, "bucket").groupBy("bucket").applyInArrow(lambda key, t: (_pass_2_dealt if key[0].as_py() >= n else _pass_2)(t, width), _RANGES)
     more = materialise(more.groupBy("id", "tag").agg(F.collect_list("ranges").alias("more")), "more", tidy=True)
     full = source.join(found.drop("asked"), ["id", "tag"], "left")
     kind = source.schema["rest"].dataType.simpleString()
