@@ -3,6 +3,7 @@
 import contextlib
 import datetime as dt
 import io
+import re
 
 import numpy as np
 import pytest
@@ -104,3 +105,27 @@ def test_scores_of_few_vectors_are_held_at_once(spark):
 def test_line_items_are_dealt_out_by_their_number(spark):
     p = plan(catalog.queries()["running_sum_peers"](spark, SF))
     assert "REPARTITION_BY_NUM" in p and p.count("Exchange") == 1
+
+
+def waits_in_generated_code(df):
+    """Of each multiplication above the topmost join, from the top, whether it is in generated code."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return [bool(re.search(r"\*\(\d+\) Generate", x)) for x in above_join(df.select("*")).splitlines() if "Generate " in x]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_only_the_pairs_of_one_token_row_wait(spark):
+    rows = [(i, [["p", "q"], ["q", "p", "r"]][i % 2]) for i in range(40)]
+    assert waits_in_generated_code(graph.token_bridge(spark.createDataFrame(rows, "id long, tokens array<string>"))) == [True, False]
+
+
+def test_blocks_of_a_class_are_paired_once(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", 3)
+    kept = []
+    monkeypatch.setattr(graph, "written", lambda df, f=graph.written: kept.append(f(df)) or kept[-1])
+    out = graph.token_bridge(spark.createDataFrame([(i, ["p", "q"]) for i in range(40)], "id long, tokens array<string>"))
+    n = kept[0].count()
+    assert n > 10 and kept[1].count() == n * (n + 1) // 2 and out.count() == out.distinct().count() == 40 * 39 // 2
