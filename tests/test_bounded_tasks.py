@@ -3,6 +3,7 @@
 import contextlib
 import datetime as dt
 import io
+import random
 import re
 
 import numpy as np
@@ -129,3 +130,25 @@ def test_blocks_of_a_class_are_paired_once(spark, monkeypatch):
     out = graph.token_bridge(spark.createDataFrame([(i, ["p", "q"]) for i in range(40)], "id long, tokens array<string>"))
     n = kept[0].count()
     assert n > 10 and kept[1].count() == n * (n + 1) // 2 and out.count() == out.distinct().count() == 40 * 39 // 2
+
+
+def test_pairs_of_a_group_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", 3)
+    out = graph.relations(spark.createDataFrame([("g", f"m{i:03}", "x") for i in range(120)], "g string, m string, label string"), "g", "m", "label")
+    assert waits_in_generated_code(out) == [True, False]
+    of_task = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(of_task) == 120 * 119 // 2 and max(of_task) < sum(of_task) / 20
+
+
+def test_members_of_one_and_of_several_groups_share_labels(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", 3)
+    r = random.Random(3)
+    rows = [(g, f"m{i}", r.choice("xyz")) for i in range(60) for g in r.sample("abcdef", r.choice([1, 1, 2, 3]))]
+    rows += rows[::7] + [("a", "m0", "y"), (None, "m1", "x"), ("b", None, "x"), ("c", "m2", None), ("w", "alone", "x")]
+    of = {}
+    for g, m, label in rows:
+        if None not in (g, m, label):
+            of.setdefault(m, set()).add((g, label))
+    want = sorted((a, b, "|".join(sorted({label for _, label in of[a] & of[b]}))) for a in of for b in of if a < b and of[a] & of[b])
+    out = graph.relations(spark.createDataFrame(rows, "g string, m string, label string"), "g", "m", "label")
+    assert sorted(map(tuple, out.collect())) == want and len({x[2] for x in want}) > 3
